@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallysheet.llm.common import small_batches
+
 #: The split of text into pieces that byte-level vocabularies of this format prescribe.
 #: Fixed value; white space by the Unicode property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces kept with their ids; when full, the store starts anew. Longer pieces aren't kept.
-KEPT, LONGEST_KEPT = 1 << 18, 64
+KEPT, LONGEST_KEPT = 1 << 17, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -201,7 +203,15 @@ class Tokenizer:
             for batch in ids:
                 yield pd.Series([own.decode(b or b"") for b in batch], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("token_ids binary, decoded string")
+        def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            own = codec(shared)
+            for batch in texts:
+                ids = [own.encode(t or "") for t in batch]
+                yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series([own.decode(b) for b in ids], dtype=object)})
+
+        small_batches(spark)
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column | str) -> Column:
         """Ids of a text as little-endian unsigned 32-bit integers in a binary; null counts as empty."""
@@ -211,6 +221,10 @@ class Tokenizer:
         """The text of such a binary; null counts as no ids."""
         return self._decode(ids)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """Both, as ``struct<token_ids, decoded>``: the ids of a text and the text of those ids."""
+        return self._both(text)
+
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, token_ids (binary), decoded``.
@@ -220,8 +234,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", row_id: str
     empty table gives no rows; further columns are ignored.
     """
     tok = Tokenizer(docs.sparkSession, path)
-    coded = docs.select(F.col(row_id).cast("long").alias("doc_id"), tok.encode(F.col(text).cast("string")).alias("token_ids"))
-    return coded.withColumn("decoded", tok.decode("token_ids"))
+    coded = docs.select(F.col(row_id).cast("long").alias("doc_id"), tok.round_trip(F.col(text).cast("string")).alias("coded"))
+    return coded.select("doc_id", "coded.token_ids", "coded.decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -56,6 +56,12 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound by bytes the batches that Python tasks get, for the length of texts varies without limit."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", "-1", "9223372036854775807b", "9223372036854775807", "256m", "268435456b", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -68,8 +68,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
 
     ``weights`` go to the sources by rank, repeating. A source's epochs are its
     target over its size: each document is taken the whole number of times, and
-    documents in buckets of a seeded hash of id and text are taken once more: the
-    first buckets that fit, and one that fills the gap best. The hash makes
+    documents in buckets of a seeded hash of id and text are taken once more:
+    those that fit, in order, and one that fills the gap best. The hash makes
     reruns agree. Null text has size 0 and takes 0 words; a null source is a
     source of its own; an empty table gives no rows; a source without words has
     target 0.
@@ -91,18 +91,19 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
     # An epoch count within rounding of a whole number is that number.
     whole = F.floor(epochs + 1e-9)
     targets = targets.withColumns({"whole": whole, "rest": F.col("target") - whole * F.col("source_size")})
-    # At most BUCKETS rows a source, so the running sum over them is bounded.
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy("c.source")
-    run = cells.withColumn("upto", F.sum("words").over(upto)).alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    # Once more: the first buckets that fit into the rest, then the one bucket that best fills the gap they leave.
-    fits = F.col("upto") <= F.col("rest") + 1e-6
-    run = run.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(own), F.lit(0)))
+    # Once more: buckets in order while they fit into the rest, passing over those that don't, then the
+    # one bucket that best fills what is left. At most BUCKETS rows a source, so each window is bounded.
+    own, upto = Window.partitionBy("c.source"), Window.partitionBy("c.source").orderBy("c.bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).withColumns({"gap": F.col("rest"), "extra": F.lit(False)})
+    for _ in range(3):
+        small = ~F.col("extra") & (F.col("words") > 0) & (F.col("words") <= F.col("gap") + 1e-6)
+        run = run.withColumn("upto", F.sum(F.when(small, F.col("words")).otherwise(0)).over(upto))
+        fits = small & (F.col("upto") <= F.col("gap") + 1e-6)
+        run = run.withColumns({"extra": F.col("extra") | fits, "gap": F.col("gap") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(own), F.lit(0))})
     off = F.abs(F.col("words") - F.col("gap"))
-    run = run.withColumn("filler", F.min(F.when(~fits & (off < F.col("gap")), F.struct(off.alias("off"), "bucket"))).over(own))
-    picked = run.withColumn("extra", (fits | (F.col("bucket") == F.col("filler.bucket"))).cast("int"))
-    picked = picked.withColumn("extra", F.when(F.col("rest") > 1e-6, F.coalesce("extra", F.lit(0))).otherwise(0))
-    picked = picked.select(F.col("c.source").alias("source"), "bucket", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+    run = run.withColumn("filler", F.min(F.when(~F.col("extra") & (off < F.col("gap")), F.struct(off.alias("off"), "c.bucket"))).over(own))
+    picked = run.withColumn("extra", (F.col("extra") | F.coalesce(F.col("c.bucket") == F.col("filler.bucket"), F.lit(False))).cast("int"))
+    picked = picked.select(F.col("c.source").alias("source"), F.col("c.bucket").alias("bucket"), "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
     return (
         sized.alias("d")
         .join(picked.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))

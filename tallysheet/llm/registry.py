@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, exact_dedup, mixing, simhash
+from tallysheet.llm import bpe, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
     "op4_bpe": bpe.bpe_query,
     "op5_simhash": simhash.simhash_query,
+    "op7_toxicity": toxicity.toxicity_query,
     "op8_mixing": mixing.mix_query,
 }
 
