@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from tallysheet.llm import bpe, embedding_dedup, exact_dedup, language, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
+    "op2_language": language.language_query,
+    "op3_embedding_dedup": embedding_dedup.embedding_query,
     "op4_bpe": bpe.bpe_query,
     "op5_simhash": simhash.simhash_query,
     "op7_toxicity": toxicity.toxicity_query,
     "op8_mixing": mixing.mix_query,
+    "op9_quality": quality.quality_query,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL}
