@@ -32,7 +32,7 @@ WINDOW, DICTIONARY, GAINS = 8, 112_640, (2, 3, 4, 5, 6, 8)
 #: Bytes of a contrast passage, and the share of toxic documents it must be found in.
 SHORTEST, LONGEST, SHARE = 5, 13, 0.015
 #: Documents to fit on: toxic, ordinary.
-FITTED = {1: 4000, 0: 6000}
+FITTED = {1: 3000, 0: 5000}
 MOST_GAIN = 11
 
 
@@ -50,39 +50,48 @@ def passages(sample: Sample) -> list[bytes]:
     (a Chernoff bound over all passages met) and it marks toxic documents that
     hold few of the passages taken before.
     """
-    met: tuple[Counter, Counter] = (Counter(), Counter())
-    parts: dict[bytes, frozenset[bytes]] = {}
+    n_toxic, n_all = sum(sample.labels), len(sample.texts)
+    if not 0 < n_toxic < n_all:
+        return []
 
-    def of(text: str) -> set[bytes]:
+    def held(text: str, known: Counter | None = None) -> set[bytes]:
+        """Passages of a text, or those of them that are known; whatever holds a passage holds its beginnings."""
         out: set[bytes] = set()
         for word in set(text.encode().lower().split()):
-            if word not in parts:
-                padded = b" " + word + b" "
-                parts[word] = frozenset(padded[:n] for n in range(SHORTEST, min(len(padded), LONGEST) + 1))
-            out |= parts[word]
+            padded = b" " + word + b" "
+            for n in range(SHORTEST, min(len(padded), LONGEST) + 1):
+                if known is not None and padded[:n] not in known:
+                    break
+                out.add(padded[:n])
         return out
 
+    # Counted over toxic texts first: only what enough of them share is looked for in the others.
+    counts: Counter = Counter()
+    for text, label in zip(sample.texts, sample.labels, strict=True):
+        if label:
+            counts.update(held(text))
+    least = math.log(max(len(counts), 1)) + 4
+    shared = Counter({g: a for g, a in counts.items() if a >= SHARE * n_toxic})
+    del counts
+    ordinary: Counter = Counter()
     toxic = []
     for text, label in zip(sample.texts, sample.labels, strict=True):
-        held = of(text)
-        met[label].update(held)
         if label:
-            toxic.append(held)
-    n_toxic, n_all = len(toxic), len(sample.texts)
-    if not 0 < n_toxic < n_all:
-        return []
-    base, least = n_toxic / n_all, math.log(len(met[1])) + 4
+            toxic.append(held(text, shared))
+        else:
+            ordinary.update(held(text, shared))
+    base = n_toxic / n_all
 
     def evidence(g: bytes) -> float:
-        a, b = met[1][g], met[0][g]
+        a, b = shared[g], ordinary[g]
         p = a / (a + b)
         return (a + b) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if b else 0.0)) if p > base else 0.0
 
-    found = {g: e for g, a in met[1].items() if a >= SHARE * n_toxic and a > 4 * met[0][g] * base / (1 - base) and (e := evidence(g)) >= least}
+    found = {g: e for g, a in shared.items() if a > 4 * ordinary[g] * base / (1 - base) and (e := evidence(g)) >= least}
     taken: list[bytes] = []
     covered = [0] * n_toxic
     for g in sorted(found, key=lambda g: (-round(found[g], 6), -len(g), g)):
-        new = [k for k, held in enumerate(toxic) if covered[k] < 3 and g in held]
+        new = [k for k, own in enumerate(toxic) if covered[k] < 3 and g in own]
         if len(new) >= 2 and not any(g.startswith(h) or h.startswith(g) for h in taken):
             taken.append(g)
             for k in new:
