@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, embedding_dedup, exact_dedup, language, mixing, quality, simhash, toxicity
+from tallysheet.llm import bpe, embedding_dedup, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_toxicity": toxicity.toxicity_query,
     "op8_mixing": mixing.mix_query,
     "op9_quality": quality.quality_query,
+    "op10_html": html_text.html_query,
 }
 
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL}
