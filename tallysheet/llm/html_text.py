@@ -22,7 +22,7 @@ from tallysheet.llm.dom import Page, parse
 from tallysheet.llm.pages_gen import MARK, make_page
 
 #: Pages to train on, trees, their depth, learning rate, L2 on leaves, least nodes behind a token, cuts of a measure.
-PAGES, TREES, DEPTH, RATE, RIDGE, LEAST, CUTS = 1200, 80, 5, 0.25, 1.0, 8, 12
+PAGES, TREES, DEPTH, RATE, RIDGE, LEAST, CUTS = 700, 60, 5, 0.25, 1.0, 8, 12
 
 
 def below(values: np.ndarray, end: np.ndarray) -> np.ndarray:
