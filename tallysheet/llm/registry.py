@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, embedding_dedup, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
+from tallysheet.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, language, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
@@ -10,10 +10,11 @@ QUERIES = {
     "op3_embedding_dedup": embedding_dedup.embedding_query,
     "op4_bpe": bpe.bpe_query,
     "op5_simhash": simhash.simhash_query,
+    "op6_chat": chat.chat_query,
     "op7_toxicity": toxicity.toxicity_query,
     "op8_mixing": mixing.mix_query,
     "op9_quality": quality.quality_query,
     "op10_html": html_text.html_query,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL}
