@@ -17,15 +17,12 @@ from pyspark.sql import functions as F
 #: White space: outside and inside a character class.
 _S, _IN = r"[\s\x1c-\x1f]", r"\s\x1c-\x1f"
 
-Rule = tuple[str, str]
+#: What a text must hold for the rule to do anything (any of the characters; empty: anything), pattern, replacement.
+Rule = tuple[str, str, str]
 
 
-def _rules(*rules: Rule) -> list[Rule]:
-    return [("(?U)" + p.replace("{s}", _S).replace("{in}", _IN), r) for p, r in rules]
-
-
-def apply_rules(text: Column, rules: list[Rule]) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
+def _rules(*rules: tuple[str, str, str]) -> list[Rule]:
+    return [(need, "(?U)" + p.replace("{s}", _S).replace("{in}", _IN), r) for need, p, r in rules]
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,6 +30,20 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def holds(text: Column, characters: str) -> Column:
+    """Whether a text holds any of the characters: plain searches, far cheaper than a regular expression."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in characters])
+
+
+def apply_rule(text: Column, rule: Rule) -> Column:
+    need, pattern, replacement = rule
+    return F.when(holds(text, need), F.regexp_replace(text, pattern, replacement)).otherwise(text) if need else F.regexp_replace(text, pattern, replacement)
+
+
+def apply_rules(text: Column, rules: list[Rule]) -> Column:
+    return reduce(lambda t, rule: let(t, lambda x: apply_rule(x, rule)) if rule[0] else apply_rule(t, rule), rules, text)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(text, f"(?U)^{_S}+|{_S}+$", "")
@@ -48,22 +59,23 @@ LOOKALIKES = {"O": "0", "l": "1", "I": "1", "S": "5", "Z": "2"}
 
 
 def _lookalike(letters: str, before: str, after: str) -> list[Rule]:
-    return _rules(*((f"(?<=[0-9+\\-*/={{in}}{before}]){c}(?=[0-9+\\-*/={{in}}{after}])", LOOKALIKES[c]) for c in letters))
+    # The letter comes first in the pattern, and what stands before it is looked at last: the search is then for a letter.
+    return _rules(*((c, f"{c}(?=[0-9+\\-*/={{in}}{after}])(?<=[0-9+\\-*/={{in}}{before}]{c})", LOOKALIKES[c]) for c in letters))
 
 
 #: T1 to T4 with the type each change is recorded under (T5), in order.
 SUBSTITUTIONS: list[tuple[str, Rule]] = [
     *(("letter_to_digit", r) for r in _lookalike("OlISZ", r"\(", r"\)")),
-    *(("operator_normalization", r) for r in _rules(("×", "*"), ("÷", "/"), ("−", "-"))),
-    *(("implicit_multiplication", r) for r in _rules((r"([a-zA-Z])(\d)", "$1*$2"), (r"(\d)([a-zA-Z])", "$1*$2"))),
-    *(("contextual_digit", r) for r in _rules((r"(?<=\d){s}*[oO]{s}*(?=\d)", "0"))),
+    *(("operator_normalization", r) for r in _rules(("×", "×", "*"), ("÷", "÷", "/"), ("−", "−", "-"))),
+    *(("implicit_multiplication", r) for r in _rules(("", r"(\d)(?<=[a-zA-Z]\d)", "*$1"), ("", r"(\d)(?=[a-zA-Z])", "$1*"))),
+    *(("contextual_digit", r) for r in _rules(("oO", r"(?<=\d){s}*[oO]{s}*(?=\d)", "0"))),
 ]
-SPACING = _rules(
-    (r"{s}*={s}*", " = "), (r"{s}*\+{s}*", " + "), (r"(?<!\d){s}*-{s}*(?=\d)", " -"), (r"(?<=\d){s}*-{s}*(?=\d)", " - "),
-    (r"(?<=\)){s}*-{s}*(?=\d)", " - "), (r"{s}*\*{s}*", " * "), (r"{s}*/{s}*", " / "),
-)
-FRACTIONS = _rules((r"(\d+){s}*/{s}*(\d+)", "$1/$2"), (r"\({s}*(\d+){s}*/{s}*(\d+){s}*\)", "($1/$2)"), (r"([a-zA-Z]+){s}*/{s}*([a-zA-Z0-9]+)", "$1/$2"))
-EXPONENTS = _rules((r"([a-zA-Z0-9]+){s}*\^{s}*([0-9]+)", "$1^$2"), (r"([a-zA-Z0-9]+){s}*\*\*{s}*([0-9]+)", "$1^$2"))
+EQUALS, PLUS, TIMES, OVER = _rules(("=", r"{s}*={s}*", " = "), ("+", r"{s}*\+{s}*", " + "), ("*", r"{s}*\*{s}*", " * "), ("/", r"{s}*/{s}*", " / "))
+MINUS, POWER, OPENING, CLOSING, FRACTION = _rules(("-", r"{s}*-{s}*", " - "), ("^", r"{s}*\^{s}*", "^"), ("(", r"{s}*\({s}*", "("), (")", r"{s}*\){s}*", ") "), ("/", r"(\d+){s}*/{s}*(\d+)", "$1/$2"))
+BLANKS = _rules(("", r"{s}+", " "))
+SPACING = [EQUALS, PLUS, *_rules(("-", r"(?<!\d){s}*-{s}*(?=\d)", " -"), ("-", r"(?<=\d){s}*-{s}*(?=\d)", " - "), ("-", r"(?<=\)){s}*-{s}*(?=\d)", " - ")), TIMES, OVER]
+FRACTIONS = [FRACTION, *_rules(("/", r"\({s}*(\d+){s}*/{s}*(\d+){s}*\)", "($1/$2)"), ("/", r"([a-zA-Z]+){s}*/{s}*([a-zA-Z0-9]+)", "$1/$2"))]
+EXPONENTS = _rules(("^", r"([a-zA-Z0-9]+){s}*\^{s}*([0-9]+)", "$1^$2"), ("*", r"([a-zA-Z0-9]+){s}*\*\*{s}*([0-9]+)", "$1^$2"))
 
 
 def substitute(text: Column) -> Column:
@@ -80,7 +92,7 @@ def substitution_types(text: Column) -> Column:
     start = F.struct(text.alias("t"), F.array().cast("array<string>").alias("types"))
 
     def step(state: Column, kind: str, rule: Rule) -> Column:
-        changed = let(state, lambda s: F.struct(s["t"].alias("old"), F.regexp_replace(s["t"], *rule).alias("t"), s["types"].alias("types")))
+        changed = let(state, lambda s: F.struct(s["t"].alias("old"), apply_rule(s["t"], rule).alias("t"), s["types"].alias("types")))
         return let(changed, lambda s: F.struct(s["t"].alias("t"), F.when(s["old"] != s["t"], F.concat(s["types"], F.array(F.lit(kind)))).otherwise(s["types"]).alias("types")))
 
     return reduce(lambda state, kr: step(state, *kr), SUBSTITUTIONS, start)["types"]
@@ -125,19 +137,9 @@ def corrected(text: Column, substitutions: bool = True, spacing: bool = True, pa
     return F.when(strip(text) == "", text).otherwise(out)
 
 
-TESSERACT = _rules(
-    (r"(\d+){s}*/{s}*(\d+)", "$1/$2"), (r"{s}*={s}*", " = "), (r"{s}*\+{s}*", " + "), (r"{s}*-{s}*", " - "), (r"{s}*\*{s}*", " * "),
-    (r"(\d){s}*x{s}*(\d)", "$1 * $2"), (r"{s}*\({s}*", "("), (r"{s}*\){s}*", ") "), (r"{s}+", " "),
-)
-EASYOCR = [
-    *_lookalike("OlISZ", "", ""),
-    *_rules(("×", "*"), ("÷", "/"), ("−", "-"), (r"(\d+){s}*/{s}*(\d+)", "$1/$2"), (r"{s}*={s}*", " = "), (r"{s}*\+{s}*", " + "), (r"{s}*-{s}*", " - "), (r"{s}*\*{s}*", " * "), (r"{s}*\({s}*", "("), (r"{s}*\){s}*", ") "), (r"{s}+", " ")),
-]
-HANDWRITING = [
-    *_rules((r"{s}*={s}*", " = "), (r"{s}*\+{s}*", " + "), (r"{s}*-{s}*", " - "), (r"{s}*\*{s}*", " * "), (r"{s}*/{s}*", " / "), (r"{s}*\^{s}*", "^"), (r"{s}*\({s}*", "("), (r"{s}*\){s}*", ") ")),
-    *_lookalike("OlI", "", ""),
-    *_rules((r"{s}+", " ")),
-]
+TESSERACT = [FRACTION, EQUALS, PLUS, MINUS, TIMES, *_rules(("x", r"(\d){s}*x{s}*(\d)", "$1 * $2")), OPENING, CLOSING, *BLANKS]
+EASYOCR = [*_lookalike("OlISZ", "", ""), *_rules(("×", "×", "*"), ("÷", "÷", "/"), ("−", "−", "-")), FRACTION, EQUALS, PLUS, MINUS, TIMES, OPENING, CLOSING, *BLANKS]
+HANDWRITING = [EQUALS, PLUS, MINUS, TIMES, OVER, POWER, OPENING, CLOSING, *_lookalike("OlI", "", ""), *BLANKS]
 
 
 def tesseract_notation(text: Column) -> Column:
@@ -160,66 +162,80 @@ def confidence_fraction(percent: Column) -> Column:
     return F.when(percent > 0, F.least(percent / 100.0, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-#: T16. Patterns and replacements of the LaTeX form.
-LATEX = [
-    (r"\^(\d+)", r"^{$1}"), (r"(\d+)/(\d+)", r"\\frac{$1}{$2}"), (r"sqrt\(([^)]+)\)", r"\\sqrt{$1}"),
-    *((rf"{f}\(([^)]+)\)", rf"\\{f}($1)") for f in ("sin", "cos", "tan", "log")),
-]
+#: T16. Needed character, pattern and replacement of the LaTeX form.
+LATEX = _rules(
+    ("^", r"\^(\d+)", r"^{$1}"), ("/", r"(\d+)/(\d+)", r"\\frac{$1}{$2}"), ("(", r"sqrt\(([^)]+)\)", r"\\sqrt{$1}"),
+    *(("(", rf"{f}\(([^)]+)\)", rf"\\{f}($1)") for f in ("sin", "cos", "tan", "log")),
+)
 
 
 def to_latex(formula: Column) -> Column:
-    return F.concat(F.lit("$"), apply_rules(formula, _rules(*LATEX)), F.lit("$"))
+    return F.concat(F.lit("$"), apply_rules(formula, LATEX), F.lit("$"))
 
 
-#: T17. Pattern groups: name, type, confidence, patterns. Fixed values.
+#: T17. Pattern groups: name, type, confidence, characters one of which any match holds, patterns. Fixed values.
 FORMULA_GROUPS = [
-    ("addition", "arithmetic", 0.9, [r"\d+\s*\+\s*\d+", r"[a-z]\s*\+\s*\d+", r"\d+\s*\+\s*[a-z]"]),
-    ("subtraction", "arithmetic", 0.9, [r"\d+\s*-\s*\d+", r"[a-z]\s*-\s*\d+", r"\d+\s*-\s*[a-z]"]),
-    ("multiplication", "arithmetic", 0.85, [r"\d+\s*[\*×]\s*\d+", r"[a-z]\s*[\*×]\s*\d+", r"\d+[a-z]", r"[a-z]\d+"]),
-    ("division", "arithmetic", 0.85, [r"\d+\s*[/÷]\s*\d+", r"[a-z]\s*[/÷]\s*\d+"]),
-    ("linear_equation", "algebra", 0.8, [r"[a-z]\s*=\s*\d+", r"\d+[a-z]\s*[+\-]\s*\d+\s*=\s*\d+"]),
-    ("quadratic", "algebra", 0.75, [r"[a-z]\^?2", r"[a-z]\*\*2", r"[a-z]²"]),
-    ("fraction", "fraction", 0.8, [r"\d+/\d+", r"[a-z]/[a-z]", r"\([^)]+\)/\([^)]+\)"]),
-    ("exponent", "exponent", 0.75, [r"[a-z0-9]\^[0-9]", r"[a-z0-9]\*\*[0-9]"]),
-    ("functions", "function", 0.7, [r"sin\([^)]+\)", r"cos\([^)]+\)", r"tan\([^)]+\)", r"log\([^)]+\)", r"ln\([^)]+\)"]),
+    ("addition", "arithmetic", 0.9, "+", [r"\d+\s*\+\s*\d+", r"[a-z]\s*\+\s*\d+", r"\d+\s*\+\s*[a-z]"]),
+    ("subtraction", "arithmetic", 0.9, "-", [r"\d+\s*-\s*\d+", r"[a-z]\s*-\s*\d+", r"\d+\s*-\s*[a-z]"]),
+    ("multiplication", "arithmetic", 0.85, "", [r"\d+\s*[\*×]\s*\d+", r"[a-z]\s*[\*×]\s*\d+", r"\d+[a-z]", r"[a-z]\d+"]),
+    ("division", "arithmetic", 0.85, "/÷", [r"\d+\s*[/÷]\s*\d+", r"[a-z]\s*[/÷]\s*\d+"]),
+    ("linear_equation", "algebra", 0.8, "=", [r"[a-z]\s*=\s*\d+", r"\d+[a-z]\s*[+\-]\s*\d+\s*=\s*\d+"]),
+    ("quadratic", "algebra", 0.75, "2²", [r"[a-z]\^?2", r"[a-z]\*\*2", r"[a-z]²"]),
+    ("fraction", "fraction", 0.8, "/", [r"\d+/\d+", r"[a-z]/[a-z]", r"\([^)]+\)/\([^)]+\)"]),
+    ("exponent", "exponent", 0.75, "^*", [r"[a-z0-9]\^[0-9]", r"[a-z0-9]\*\*[0-9]"]),
+    ("functions", "function", 0.7, "(", [r"sin\([^)]+\)", r"cos\([^)]+\)", r"tan\([^)]+\)", r"log\([^)]+\)", r"ln\([^)]+\)"]),
 ]
 #: T18. What makes a formula complex.
 COMPLEXITY = [(r"\^", "exponent"), ("/", "fraction"), (r"\(.*\)", "parentheses"), ("sin|cos|tan|log|ln", "function"), ("√", "radical")]
 
 
-def _any(formula: Column, patterns: list[str]) -> Column:
-    return formula.rlike("(?U)" + "|".join(p.replace(r"\s", _S) for p in patterns))
+def _any(formula: Column, need: str, patterns: list[str]) -> Column:
+    hit = formula.rlike("(?U)" + "|".join(p.replace(r"\s", _S) for p in patterns))
+    return holds(formula, need) & hit if need else hit
 
 
-def formula_components(formula: Column) -> Column:
-    """Names of the groups that match, then of the complexity marks, in order."""
-    groups = [F.when(_any(formula, p), F.lit(n)) for n, _, _, p in FORMULA_GROUPS]
-    marks = [F.when(formula.rlike(p), F.lit(n)) for p, n in COMPLEXITY]
-    return F.array_compact(F.array(*groups, *marks))
+def formula_analysis(formula: Column, base: float = 0.75, noise: Column | None = None) -> Column:
+    """T17 to T19 as ``struct<type, type_confidence, components, complexity, confidence>``; each pattern is tried once.
+
+    The type and its confidence are those of the last group that matches
+    (``unknown`` and 0 if none does); components are the groups and then the
+    complexity marks that match, in order; three marks are complex, one is
+    intermediate. The confidence is that of a stand-in recogniser, in [0, 1];
+    ``noise`` (off by default) is added before clamping.
+    """
+    flags = F.array(*[_any(formula, need, p) for _, _, _, need, p in FORMULA_GROUPS], *[formula.rlike(p) for p, _ in COMPLEXITY])
+    n = len(FORMULA_GROUPS)
+
+    def judged(f: Column) -> Column:
+        names = [g[0] for g in FORMULA_GROUPS] + [name for _, name in COMPLEXITY]
+        last = lambda k, default: F.coalesce(*[F.when(f[i], F.lit(FORMULA_GROUPS[i][k])) for i in reversed(range(n))], F.lit(default))
+        total = lambda first, end: reduce(lambda a, b: a + b, [f[i].cast("int") for i in range(first, end)])
+        score = F.lit(base) + 0.05 * total(0, n) - F.when(F.length(formula) > 20, 0.1).otherwise(0.0)
+        score = score + F.when(holds(formula, "="), 0.05).otherwise(0.0) + F.when(holds(formula, "^/()"), 0.02).otherwise(0.0)
+        marks = total(n, len(names))
+        return F.struct(
+            last(1, "unknown").alias("type"), last(2, 0.0).alias("type_confidence"), F.array_compact(F.array(*[F.when(f[i], F.lit(name)) for i, name in enumerate(names)])).alias("components"),
+            F.when(marks >= 3, "complex").when(marks >= 1, "intermediate").otherwise("simple").alias("complexity"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + noise if noise is not None else score)).alias("confidence"),
+        )
+
+    return let(flags, judged)
 
 
 def formula_type(formula: Column) -> Column:
-    """Type of the last group that matches, ``unknown`` if none does."""
-    return F.coalesce(*[F.when(_any(formula, p), F.lit(t)) for _, t, _, p in reversed(FORMULA_GROUPS)], F.lit("unknown"))
+    return formula_analysis(formula)["type"]
 
 
-def formula_type_confidence(formula: Column) -> Column:
-    """Confidence of the last group that matches, 0 if none does."""
-    return F.coalesce(*[F.when(_any(formula, p), F.lit(c)) for _, _, c, p in reversed(FORMULA_GROUPS)], F.lit(0.0))
+def formula_components(formula: Column) -> Column:
+    return formula_analysis(formula)["components"]
 
 
 def formula_complexity(formula: Column) -> Column:
-    """Complex from three marks, intermediate from one."""
-    marks = reduce(lambda a, b: a + b, [formula.rlike(p).cast("int") for p, _ in COMPLEXITY])
-    return F.when(marks >= 3, "complex").when(marks >= 1, "intermediate").otherwise("simple")
+    return formula_analysis(formula)["complexity"]
 
 
 def formula_confidence(formula: Column, base: float = 0.75, noise: Column | None = None) -> Column:
-    """Confidence of a stand-in recogniser, in [0, 1]; ``noise`` (off by default) is added before clamping."""
-    groups = reduce(lambda a, b: a + b, [_any(formula, p).cast("int") for _, _, _, p in FORMULA_GROUPS])
-    score = F.lit(base) + 0.05 * groups - F.when(F.length(formula) > 20, 0.1).otherwise(0.0)
-    score = score + F.when(F.contains(formula, F.lit("=")), 0.05).otherwise(0.0) + F.when(formula.rlike(r"[\^/()]"), 0.02).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + noise if noise is not None else score))
+    return formula_analysis(formula, base, noise)["confidence"]
 
 
 def contains_token(text: Column, token: Column) -> Column:

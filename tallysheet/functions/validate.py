@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallysheet.functions.text import strip
+from tallysheet.functions.text import let, strip
 
 MAX_LENGTH = 500
 
@@ -18,7 +18,7 @@ MAX_LENGTH = 500
 def clean(text: Column) -> Column:
     """V3: white space collapsed; without an equals sign ``**`` becomes ``^``."""
     tidy = strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
-    return F.when(F.contains(tidy, F.lit("=")), tidy).otherwise(F.replace(tidy, F.lit("**"), F.lit("^")))
+    return let(tidy, lambda t: F.when(F.contains(t, F.lit("=")), t).otherwise(F.replace(t, F.lit("**"), F.lit("^"))))
 
 
 def kinds(expression: Column) -> Column:
@@ -37,6 +37,8 @@ def parses(expression: Column) -> Column:
     The state is the depth of parentheses, doubled, plus 1 after an operand;
     -1 once something is out of place. Empty expressions don't parse.
     """
+    # Prose is told apart by its first foreign character; only what remains is split into tokens.
+    foreign = expression.rlike(r"[^A-Za-z0-9_.()+*/^ \-]")
     tokens = F.filter(F.split(kinds(expression), ""), lambda t: t != "")
 
     def step(state: Column, t: Column) -> Column:
@@ -51,14 +53,18 @@ def parses(expression: Column) -> Column:
             .otherwise(F.lit(-1))
         )
 
-    return F.coalesce(F.aggregate(tokens, F.lit(0), step) == 1, F.lit(False))
+    return F.coalesce(~foreign & (F.aggregate(tokens, F.lit(0), step) == 1), F.lit(False))
 
 
 def is_expression(text: Column) -> Column:
     """V2 and V4: whether a text parses, an equation by both of its sides."""
-    tidy = clean(text)
-    sides = F.split(tidy, "=", 2)
-    return F.when(F.contains(tidy, F.lit("=")), parses(sides[0]) & parses(sides[1])).otherwise(parses(tidy))
+
+    def judged(tidy: Column) -> Column:
+        sides = F.split(tidy, "=", 2)
+        return F.when(F.contains(tidy, F.lit("=")), parses(sides[0]) & parses(sides[1])).otherwise(parses(tidy))
+
+    # A character that no expression holds settles the matter before anything is cleaned.
+    return F.when(text.rlike(r"[,;:!?\"$%&#@|~<>{}\[\]]"), F.lit(False)).otherwise(let(clean(text), judged))
 
 
 def validated(original: Column, fixed: Column, keep_original: bool = True) -> Column:

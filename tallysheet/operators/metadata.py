@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallysheet.functions.identifiers import academic_year, dated_id, is_due_date, points, subject_prefix
+from tallysheet.functions.text import let
 from tallysheet.schemas import ASSIGNMENTS
 
 FIELDS = tuple(ASSIGNMENTS.names)
@@ -87,9 +88,12 @@ def any_payload(value: Column, key: str = "assignment_name") -> Column:
 def round_trip(assignments: DataFrame) -> DataFrame:
     """Each assignment with its payload and whether reading it back gives the same record."""
     rows = assignments.withColumn("payload", payload(assignments))
-    back = from_payload(F.col("payload"), strict=True)
-    same = F.forall(F.array(*[back[f].eqNullSafe(F.col(f)) for f in FIELDS if f != "additional_data"]), lambda x: x) & (F.to_json(back["additional_data"]).eqNullSafe(F.to_json("additional_data")))
-    return rows.withColumn("same", same)
+
+    def compared(back: Column) -> Column:
+        same = [back[f].eqNullSafe(F.col(f)) for f in FIELDS if f != "additional_data"]
+        return F.forall(F.array(*same), lambda x: x) & (F.to_json(back["additional_data"]).eqNullSafe(F.to_json("additional_data")))
+
+    return rows.withColumn("same", let(from_payload(F.col("payload"), strict=True), compared))
 
 
 def rubric_lines(templates: DataFrame) -> DataFrame:

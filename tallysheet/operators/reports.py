@@ -46,5 +46,6 @@ def first_failures(results: DataFrame, n: int = 3) -> DataFrame:
 
 
 def mean_formula_confidence(formulas: DataFrame) -> DataFrame:
-    """Mean confidence by type of formula."""
-    return formulas.groupBy("type").agg(F.avg("confidence").alias("mean_confidence"), F.count("*").alias("formulas"))
+    """Mean confidence by type of formula, in hundredths summed as whole numbers, so that their order can't matter."""
+    hundredths = F.sum(F.round(F.col("confidence") * 100).cast("bigint"))
+    return formulas.groupBy("type").agg((hundredths.cast("double") / (F.count("*") * 100)).alias("mean_confidence"), F.count("*").alias("formulas"))

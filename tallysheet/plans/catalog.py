@@ -177,10 +177,8 @@ def handwriting_cleanup(spark, d):
 @query("t16_t19_formulas", S.formula_query())
 def formulas(spark, d):
     f = F.col("text")
-    return rounded(R.math_texts(spark, d).select(
-        "id", T.formula_type(f).alias("type"), T.formula_type_confidence(f).alias("type_confidence"), F.array_join(T.formula_components(f), ",").alias("components"), T.formula_complexity(f).alias("complexity"),
-        T.formula_confidence(f).alias("confidence"), T.to_latex(f).alias("latex"), T.character_count(f).cast("long").alias("characters"), T.preview(f).alias("preview"),
-    ))
+    rows = R.math_texts(spark, d).select("id", T.formula_analysis(f).alias("a"), T.to_latex(f).alias("latex"), T.character_count(f).cast("long").alias("characters"), T.preview(f).alias("preview"))
+    return rounded(rows.select("id", "a.type", "a.type_confidence", F.array_join("a.components", ",").alias("components"), "a.complexity", "a.confidence", "latex", "characters", "preview"))
 
 
 @query("v1_v4_t28_validation", S.validation_query())
@@ -480,8 +478,7 @@ def first_failures(spark, d):
     return reports.first_failures(R.test_results(spark, d))
 
 
-@query("a22_mean_formula_confidence", f"WITH f AS ({S.formula_query()}) SELECT type, round(avg(confidence), 6) AS mean_confidence, count(*) AS formulas FROM f GROUP BY type")
+@query("a22_mean_formula_confidence", f"WITH f AS ({S.formula_query()}) SELECT type, CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100 AS DOUBLE) AS mean_confidence, count(*) AS formulas FROM f GROUP BY type")
 def mean_formula_confidence(spark, d):
-    f = F.col("text")
-    rows = R.math_texts(spark, d).select(T.formula_type(f).alias("type"), F.round(T.formula_confidence(f), 6).alias("confidence"))
-    return rounded(reports.mean_formula_confidence(rows))
+    rows = R.math_texts(spark, d).select(T.formula_analysis(F.col("text")).alias("a")).select("a.type", F.round("a.confidence", 6).alias("confidence"))
+    return reports.mean_formula_confidence(rows)

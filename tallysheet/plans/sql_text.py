@@ -103,7 +103,7 @@ SELECT id, original_parses, corrected_parses, CASE WHEN length(text) > 500 OR co
 def formula_query() -> str:
     from tallysheet.functions.text import COMPLEXITY, FORMULA_GROUPS
 
-    hit = [(n, t, c, f"regexp_matches(text, '{'|'.join(p)}')") for n, t, c, p in FORMULA_GROUPS]
+    hit = [(n, t, c, f"regexp_matches(text, '{'|'.join(p)}')") for n, t, c, _, p in FORMULA_GROUPS]
     marks = [(n, f"regexp_matches(text, '{p}')") for p, n in COMPLEXITY]
     names = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in [(n, c) for n, _, _, c in hit] + marks)
     last = lambda i: " ".join(f"WHEN {h[3]} THEN {repr_sql(h[i]) if isinstance(h[i], str) else h[i]}" for h in reversed(hit))

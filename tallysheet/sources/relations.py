@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores if its files give fewer tasks than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def engines(spark: SparkSession) -> DataFrame:
     from tallysheet.schemas import ENGINES as SCHEMA
 
@@ -85,7 +91,7 @@ RESULTS_SQL = f"""{ENGINES_SQL}, {CALLS_SQL}, ocr AS (
 def math_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of all documents and the formulas; formulas have negative ids."""
     made = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(FORMULAS)], "id bigint, text string")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(made)
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).unionByName(made)
 
 
 FORMULAS_SQL = f"made(id, text) AS (VALUES {_values([(-1 - k, t) for k, t in enumerate(FORMULAS)])})"
