@@ -63,26 +63,19 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return rows.withColumn("target", F.least(F.col("cap"), F.lit(level) * F.col("weight"))).drop("cap")
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+def bucketed(docs: DataFrame, seed: int, text: str, row_id: str, source: str, bucket: str) -> DataFrame:
+    """``docs`` with two more columns: the source as a string and the seeded hash bucket of id and text."""
+    return docs.withColumns({source: F.col("source").cast("string"), bucket: F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col(text)), F.lit(BUCKETS)).cast("int")})
+
 
-    ``weights`` go to the sources by rank, repeating. A source's epochs are its
-    target over its size: each document is taken the whole number of times, and
-    documents in buckets of a seeded hash of id and text are taken once more:
-    those that fit, in order, and one that fills the gap best. The hash makes
-    reruns agree. Null text has size 0 and takes 0 words; a null source is a
-    source of its own; an empty table gives no rows; a source without words has
-    target 0.
+def allotments(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0) -> DataFrame:
+    """One row per source and bucket: ``source, bucket, source_size, target, copies``.
+
+    ``sized`` has a row per document: ``source, bucket, size``. A source's epochs
+    are its target over its size: each bucket is taken the whole number of times,
+    and some buckets once more: those that fit, in order, and one that fills the
+    gap best. At most :data:`BUCKETS` rows a source.
     """
-    sized = written(
-        docs.select(
-            F.col(row_id).cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(text).alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col(text)), F.lit(BUCKETS)).cast("int").alias("bucket"),
-        ),
-        "sized",
-    )
     cells = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "cells")
     sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -103,20 +96,34 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
     off = F.abs(F.col("words") - F.col("gap"))
     run = run.withColumn("filler", F.min(F.when(~F.col("extra") & (off < F.col("gap")), F.struct(off.alias("off"), "c.bucket"))).over(own))
     picked = run.withColumn("extra", (F.col("extra") | F.coalesce(F.col("c.bucket") == F.col("filler.bucket"), F.lit(False))).cast("int"))
-    picked = picked.select(F.col("c.source").alias("source"), F.col("c.bucket").alias("bucket"), "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+    return picked.select(F.col("c.source").alias("source"), F.col("c.bucket").alias("bucket"), "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+
+    ``weights`` go to the sources by rank, repeating; documents are taken as
+    :func:`allotments` says of their bucket, a seeded hash of id and text, so
+    reruns agree and rows alike are treated alike. Null text has size 0 and
+    takes 0 words; a null source is a source of its own; an empty table gives no
+    rows; a source without words has target 0; further columns are ignored.
+    """
+    sized = bucketed(docs, seed, text, row_id, "__source", "__bucket")
+    sized = written(sized.select(F.col(row_id).cast("long").alias("doc_id"), F.col("__source").alias("source"), word_count(text).alias("size"), F.col("__bucket").alias("bucket")), "sized")
     return (
         sized.alias("d")
-        .join(picked.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
+        .join(allotments(sized, weights, max_epochs).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
         .select("d.doc_id", F.col("d.source").alias("source"), "d.size", "p.source_size", "p.target", "p.copies", (F.col("p.copies") * F.col("d.size")).alias("taken"))
     )
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as :func:`plan` takes it, columns unchanged."""
-    copies = plan(docs, weights, max_epochs, seed, text, row_id).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__mix_id")
-    out = docs.join(copies, F.col(row_id).cast("long").eqNullSafe(F.col("__mix_id")))
-    out = out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = bucketed(docs, seed, text, row_id, "__source", "__bucket")
+    taken = allotments(rows.select(F.col("__source").alias("source"), F.col("__bucket").alias("bucket"), word_count(text).alias("size")), weights, max_epochs)
+    taken = taken.where("copies > 0").select(F.col("source").alias("__of"), F.col("bucket").alias("__in"), F.col("copies").alias("__copies"))
+    out = rows.join(taken, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
