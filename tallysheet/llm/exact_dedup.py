@@ -75,7 +75,8 @@ class DigestIndex:
             "digest-groups",
         )
         self.add(groups.withColumn("batch", F.lit(batch)))
-        held = groups.select("digest", "group_size").join(self.rows().hint("merge"), "digest")
+        # Written, so that both sides of the last join are shuffled and a text with very many copies can be split.
+        held = written(groups.select("digest", "group_size").join(self.rows().hint("merge"), "digest"), "held")
         return (
             tagged.join(held, "digest")
             .select(
