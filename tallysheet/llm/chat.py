@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from tallysheet.llm.common import forget, text_or_empty, written
 
-QUOTE = r"^(?:[ \t]*>)+"
+#: Marks of a quotation at the start of a line: a run of ``>`` and blanks that ends in ``>``. One character class, since Java's repeated groups recurse.
+QUOTE = r"^[ \t>]*>"
+#: What is trimmed from the text of a message.
+BLANK = " \t\n\x0b\f\r"
 #: A line that only introduces a quotation. Fixed value.
 ATTRIBUTION = r"(?i)^[ \t]*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]*:[ \t]*$"
 
@@ -94,7 +97,7 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
     own = F.filter("lines", lambda x: x["level"] == 0)
     base = base.withColumns({
         "mid": F.monotonically_increasing_id(),
-        "text": F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s+|\s+$", ""),
+        "text": F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(BLANK)),
         "n_quoted": (F.size("lines") - F.size(own)).cast("long"),
     })
     messages = written(base.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
