@@ -1,9 +1,9 @@
 """Chat formatting by quotation links, with DataFrame functions alone.
 
 Messages quote each other by lines that begin with ``>``, one for each level.
-Quoted lines are normalised and hashed, and joined to the message of their
-conversation that first wrote such a line of its own: that is the message
-replied to. Conversations come out ordered by replies, without the quotes.
+Quoted passages are normalised and hashed, and matched to the latest earlier
+message of their conversation that wrote such a passage of its own: that is the
+message replied to. Conversations come out ordered by replies, without the quotes.
 """
 
 from __future__ import annotations
@@ -46,21 +46,71 @@ def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn(name, within).join(F.broadcast(sizes), "__part").withColumn(name, F.col(name) + F.col("__start")).drop("__part", "__start")
 
 
+def runs(lines: Column) -> Column:
+    """Consecutive lines of one level as ``array<struct<level, said>>``; ``said`` has the lines normalised."""
+    starts = F.array_compact(F.transform(lines, lambda x, i: F.when((i == 0) | (x["level"] != F.get(lines, i - 1)["level"]), i)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(lines, s)["level"].alias("level"), F.transform(F.slice(lines, s + 1, e - s), lambda x: normal(x["line"])).alias("said")))
+
+
+def passages(said: Column) -> Column:
+    """A run, its paragraphs and its lines as ``array<struct<paragraph, tier, n, hash>>``, where line ends count as spaces.
+
+    ``n`` counts lines that aren't blank. A lone paragraph isn't told apart from its run, nor a lone line from its paragraph.
+    """
+    blocks = F.filter(F.split(F.array_join(said, "\n"), "\n{2,}"), lambda p: F.translate(p, "\n", "") != "")
+    blocks = F.transform(blocks, lambda p: F.filter(F.split(p, "\n"), lambda x: x != ""))
+
+    def unit(paragraph: Column, tier: int, rows: Column) -> Column:
+        digest = F.substring(F.unhex(F.sha2(F.array_join(rows, " "), 256)), 1, 16)
+        return F.struct(paragraph.cast("int").alias("paragraph"), F.lit(tier).alias("tier"), F.size(rows).alias("n"), digest.alias("hash"))
+
+    whole = F.array(unit(F.lit(-1), 0, F.flatten(blocks)))
+    parts = F.filter(F.transform(blocks, lambda rows, i: unit(i, 1, rows)), lambda u: F.size(blocks) > 1)
+    lines = F.flatten(F.transform(blocks, lambda rows, i: F.transform(F.filter(rows, lambda x: F.size(rows) > 1), lambda x: unit(i, 2, F.array(x)))))
+    return F.filter(F.concat(whole, parts, lines), lambda u: u["n"] > 0)
+
+
+def latest_before(rows: DataFrame) -> DataFrame:
+    """The quoted rows with ``o``, the latest earlier original of the same conversation and hash; those without one are left out.
+
+    Originals and quotes are range-partitioned together in the order of
+    conversation, hash and time; the last original is carried along each task
+    and on to the tasks after, so a passage said a million times is no hot key.
+    """
+    order = ["conv_id", "hash", "at", "own"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "passages")
+    original = F.when(F.col("own"), F.struct("conv_id", "hash", "at", "mid"))
+    ends = dealt.groupBy("__part").agg(F.max(original).alias("__end"))
+    # One row for each partition.
+    ends = ends.select("__part", F.last("__end", True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    along = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.withColumn("o", F.last(original, True).over(along)).where("NOT own").join(F.broadcast(ends), "__part").withColumn("o", F.coalesce("o", "__before"))
+    return met.where(F.col("o.conv_id").eqNullSafe(F.col("conv_id")) & (F.col("o.hash") == F.col("hash"))).drop("__part", "__before")
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """Pairs (mid, parent, parent_turn) of messages with a quotation that was found.
 
-    Among the originals of a message's quoted lines the parent is the one of
-    the lowest level, then of most lines, then the latest. Lines are matched to
-    the first message that wrote them, so a line said a thousand times is one
-    row to join and no pairs arise.
+    A quoted passage is a run of lines of one level. It belongs to the latest
+    earlier message of the conversation that wrote it as all of its own text, a
+    run, a paragraph or a line. Only if none did, its paragraphs are looked for,
+    and lines only where their paragraph wasn't found either. The parent is the
+    one of the lowest level, then of most lines, then the latest.
     """
-    lines = messages.select("conv_id", "mid", "at", F.explode("lines").alias("x")).select("conv_id", "mid", "at", F.col("x.level").alias("level"), normal(F.col("x.line")).alias("said")).where("said <> ''")
-    lines = lines.withColumn("hash", F.sha2("said", 256))
-    first = lines.where("level = 0").groupBy("conv_id", "hash").agg(F.min(F.struct("at", "mid")).alias("o"))
-    first = first.select(F.col("conv_id").alias("c"), F.col("hash").alias("h"), F.col("o.at").alias("o_at"), F.col("o.mid").alias("o_mid"))
-    quotes = lines.where("level > 0").groupBy("conv_id", "mid", "at", "level", "hash").agg(F.count("*").alias("n"))
-    found = quotes.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h"))).where("o_at < at")
-    votes = found.groupBy("mid", "level", "o_mid", "o_at").agg(F.sum("n").alias("n"))
+    held = messages.select("conv_id", "mid", "at", F.posexplode(runs(F.col("lines"))).alias("passage", "x"))
+    rows = held.select("conv_id", "mid", "at", "passage", F.col("x.level").alias("level"), F.explode(passages(F.col("x.said"))).alias("u"))
+    rows = rows.select("conv_id", "mid", "at", "passage", "level", "u.*", (F.col("level") == 0).alias("own"))
+    # Own text around quotations, put together.
+    split = messages.where("n_quoted > 0").select("conv_id", "mid", "at", F.explode(passages(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: normal(x["line"])))).alias("u")).where("u.tier = 0")
+    rows = rows.unionByName(split.select("conv_id", "mid", "at", F.lit(-1).alias("passage"), F.lit(0).alias("level"), "u.*", F.lit(True).alias("own")))
+    found = latest_before(rows)
+    # All found parts of a passage are of one message, so no group is larger than that.
+    best_of = lambda *keys: F.min("tier").over(Window.partitionBy(*keys))
+    found = found.withColumns({"__run": best_of("mid", "passage"), "__block": best_of("mid", "passage", "paragraph")})
+    found = found.where("tier = 0 OR (__run > 0 AND tier = __block)")
+    votes = found.groupBy("mid", "level", F.col("o.mid").alias("o_mid"), F.col("o.at").alias("o_at")).agg(F.sum("n").alias("n"))
     best = votes.groupBy("mid").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "o_at", "o_mid")).alias("b"))
     return best.select("mid", F.col("b.o_mid").alias("parent"), F.col("b.o_at.turn").alias("parent_turn"))
 

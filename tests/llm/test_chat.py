@@ -70,3 +70,37 @@ def test_odd_messages(spark):
     assert (by[2, None].reply_to, by[2, None].text, by[2, None].n_quoted) == (None, "yes", 1)
     assert sorted(r.position for r in got if r.conv_id == 1) == [0, 1, 2, 3]
     assert chat.reply_ordered(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_repeated_lines_and_rewrapped_quotes(spark):
+    long = "A first sentence that is rather long. A second one follows it.\nAnd a third line ends it."
+    rows = [
+        # The finding's case: turn 2 says A, B; turn 9 says A, B, C and is quoted whole.
+        (1, 2, "u", "Alpha\nBeta"), (1, 9, "u", "Alpha\nBeta\nGamma"), (1, 10, "u", "> Alpha\n> Beta\n> Gamma\nyes"),
+        # One line said three times: the latest before the reply, not a later one.
+        (2, 0, "u", "Agreed."), (2, 1, "u", "Agreed."), (2, 2, "u", "> agreed.\nwhy"), (2, 3, "u", "Agreed."), (2, 4, "u", "> Agreed.\nso"),
+        # Wrapped at other line ends, whole and by paragraph.
+        (3, 0, "u", long), (3, 1, "u", "Other words"), (3, 2, "u", "> A first sentence that\n> is rather long. A second one\n> follows it. And a third\n> line ends it.\nok"),
+        (4, 0, "u", "One para of\nwords.\n\nTwo para of\nwords.\n\nThree."), (4, 1, "u", "> Two para\n> of words.\nok"), (4, 2, "u", "> One para of words.\n>\n> Two para of\n> words.\nok"),
+        # Lines only where the passage and its paragraphs are not found.
+        (5, 0, "u", "a b\nc d\ne f"), (5, 1, "u", "x y"), (5, 2, "u", "> a b\n> e f\nok"),
+        # Own text around a quotation; the lowest level that is found.
+        (6, 0, "u", "root"), (6, 1, "u", "before\n> root\nafter"), (6, 2, "u", "> before\n> > root\n> after\nlast"), (6, 3, "u", ">> root\n> never said\nlast"),
+        (6, 4, "u", "> before after\nlast"),
+        (None, 0, "u", "same"), (7, 1, "u", "> same\nno"), (None, 2, "u", "> same\nyes"),
+        # A message is no original of its own quote.
+        (8, 0, "u", "> me\nme"), (8, 1, "u", "> me\nme"),
+    ]
+    got = {(r.conv_id, r.turn): r.reply_to for r in chat.reply_ordered(spark.createDataFrame([(*r, *[None] * 5) for r in rows], SHAPE)).collect()}
+    want = {(1, 10): 9, (2, 2): 1, (2, 4): 3, (3, 2): 0, (4, 1): 0, (4, 2): 0, (5, 2): 0, (6, 1): 0, (6, 2): 1, (6, 3): 0, (6, 4): 1, (None, 2): 0, (8, 1): 0}
+    assert {k: v for k, v in got.items() if v is not None} == want
+
+
+def test_latest_of_a_passage_said_very_often(spark):
+    """The last original is carried over many tasks."""
+    rows = [(1, t, "u", "> hello\nno" if t % 50 == 49 else "hello" if t % 50 == 3 or 500 < t < 900 else f"else {t}") for t in range(2000)]
+    got = {r.turn: r.reply_to for r in chat.reply_ordered(spark.createDataFrame([(*r, *[None] * 5) for r in rows], SHAPE)).collect()}
+    last = None
+    for _, t, _, text in rows:
+        assert got[t] == (last if text.startswith(">") else None)
+        last = t if text == "hello" else last
