@@ -12,7 +12,9 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-UNSHOWN = frozenset("head select button svg math object audio video canvas datalist".split())
+UNSHOWN = frozenset("select button svg audio video canvas datalist".split())
+#: Those of them that hold nothing but options, so that without an end tag they still hide text up to the next block boundary.
+OPTIONS = frozenset("select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the given bounds.
 ENDS = {
@@ -57,16 +59,31 @@ def attribute_tokens(source: str) -> tuple[str, ...]:
 def parse(source: str | None) -> Page:
     """Nodes of a whole page. Missing and surplus end tags, and markup cut off at the end, are borne with.
 
+    An element whose text isn't shown hides it only if its own end tag comes
+    before the end of the block around it and before another of its kind
+    starts; else a list of options hides what comes before the next block
+    boundary, and other elements hide nothing.
+
     A text node is the text of a block between block boundaries: references
     decoded, ``br`` as white space, white space turned into single spaces and
     trimmed; blank runs make no node. ``linked`` counts its characters in links.
     """
-    page = Page()
     if not source:
-        return page
+        return Page()
+    page, unclosed = _read(source, frozenset())
+    # Whether an end tag is missing is known only at the end; then the page is read once more.
+    return _read(source, unclosed)[0] if unclosed else page
+
+
+def _read(source: str, known: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and the places of unshown elements without an end tag, some of which may be known."""
+    page = Page()
     stack = [(page.add("#root", (), -1), "#root")]
     run: list[str] = []
-    in_link = linked = hidden = 0
+    in_link = linked = 0
+    # Unshown elements that are open: tag, place, size of the stack when they started.
+    hidden: list[tuple[str, int, int]] = []
+    unclosed: set[int] = set()
     at, size = 0, len(source)
 
     def flush() -> None:
@@ -82,6 +99,8 @@ def parse(source: str | None) -> Page:
         while len(stack) > to:
             node, _ = stack.pop()
             page.end[node] = len(page.tags)
+        while hidden and hidden[-1][2] > to:
+            unclosed.add(hidden.pop()[1])
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -108,15 +127,29 @@ def parse(source: str | None) -> Page:
                 shut = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at)
                 at = shut.end() if shut else size
         elif tag in UNSHOWN:
-            if not rest.endswith("/"):
-                hidden = max(0, hidden + (-1 if closing else 1))
+            if rest.endswith("/"):
+                continue
+            same = [k for k, h in enumerate(hidden) if h[0] == tag]
+            if closing:
+                if same:
+                    unclosed.update(h[1] for h in hidden[same[-1] + 1 :])
+                    del hidden[same[-1] :]
+                continue
+            if same and tag != "svg":
+                unclosed.update(h[1] for h in hidden[same[-1] :])
+                del hidden[same[-1] :]
+            if m.start() not in known or tag in OPTIONS:
+                hidden.append((tag, m.start(), len(stack)))
         elif tag == "br":
             text(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
         elif tag in BLOCKS:
             if tag == "body":
-                hidden = 0
+                unclosed.update(h[1] for h in hidden)
+                hidden.clear()
+            while not closing and hidden and hidden[-1][1] in known:
+                hidden.pop()
             flush()
             in_link = 0
             names = [t for _, t in stack]
@@ -124,7 +157,7 @@ def parse(source: str | None) -> Page:
                 if tag in names:
                     pop(len(names) - 1 - names[::-1].index(tag))
                 continue
-            if names[-1] == "p":
+            if names[-1] == "p" and not (hidden and hidden[-1][2] == len(stack)):
                 pop(len(stack) - 1)
             if tag in ENDS:
                 ended, bounds = ENDS[tag]
@@ -143,4 +176,4 @@ def parse(source: str | None) -> Page:
                 stack.append((node, tag))
     flush()
     pop(0)
-    return page
+    return page, frozenset(unclosed)

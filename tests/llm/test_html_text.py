@@ -54,3 +54,32 @@ def test_odd_pages(spark, model):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == by[3] == by[9] == by[None] == "" and by[6].startswith("A & B headline")
     assert extract_pages(spark.createDataFrame([], SHAPE), model).count() == 0
+
+
+def texts(source):
+    return [t for t in parse(source).texts if t]
+
+
+def test_missing_end_tags_lose_no_text():
+    # Head and body are optional.
+    assert texts("<html><head><title>no</title><meta charset=x><h1>One</h1><p>Two") == ["One", "Two"]
+    assert texts("<head><link rel=x>bare text<p>Two") == ["bare text", "Two"]
+    for tag in ("button", "select", "object", "video", "svg", "audio", "canvas", "datalist"):
+        for page in (f"<article><p>One</p><{tag}><p>Two</p><p>Three</p></article><p>Four", f"<article><p>One</p><div><{tag}></div><p>Two</p><p>Three</p></article><p>Four", f"<p>One</p><{tag}><p>Two<p>Three<{tag}>hid</{tag}><p>Four"):
+            got = texts(page)
+            assert [t for t in got if t in ("One", "Two", "Three", "Four") or t.startswith("Three")][:2] == ["One", "Two"] and got[-1] == "Four" and any(t.startswith("Three") for t in got), page
+    # Words of the same block go on after an element that nothing ends.
+    assert texts("<p>One <svg> two</p><p>Three") == ["One two", "Three"]
+    assert texts("<p>One <select><option>a<option>b</p><p>Two") == ["One", "Two"]
+
+
+def test_unshown_text_stays_hidden_and_fallback_text_is_read():
+    assert texts("<p>One <button><div>hid</div></button> two</p><p>Three") == ["One", "two", "Three"]
+    assert texts("<p>One <select><option>a</option></select><svg><svg>x</svg><text>y</text></svg><video>z</video> two</p>") == ["One two"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object>a chart</object>.</p>") == ["If x=2 then a chart."]
+
+
+def test_article_after_an_open_button_is_extracted(model):
+    page = PAGE.replace("</h1>", "</h1><button>Share")
+    assert "Second paragraph <kept>" in model.extract([page])[0]
+    assert "Second paragraph <kept>" in model.extract([PAGE.replace("</head><body>", "")])[0]
