@@ -417,7 +417,7 @@ def quality_and_plan(spark, d):
 def enhanced(spark, d):
     images = R.rasters(spark, d)
     q = raster.full_quality(raster.measures(images).join(raster.neighbourhood(images), "image_id"))
-    steps = raster.enhancement_plan(q).select("image_id", F.regexp_replace("steps", ",?upscaling", "").alias("steps"))
+    steps = raster.enhancement_plan(q).select("image_id", "steps")
     out = raster.apply_steps(images.join(steps, "image_id"))
     return rounded(out.select("image_id", "height", "width", "applied", raster.brightness(F.col("pixels")).alias("brightness"), raster.contrast(F.col("pixels")).alias("contrast")))
 

@@ -1,9 +1,13 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallysheet.operators import plugins, raster
+from tallysheet.plans import catalog
 from tallysheet.sources import files, synthetic
+from tallysheet.sources import relations as R
 
 RNG = np.random.default_rng(1)
 PICTURES = {k: RNG.integers(0, 256, shape) for k, shape in enumerate([(8, 8), (1, 5), (6, 1), (3, 4), (20, 30)])} | {9: np.full((4, 4), 7)}
@@ -84,3 +88,38 @@ def test_files(spark, tmp_path):
     assert r.source_file.endswith("a.PNG") and r.extraction_timestamp > 1e9
     files.write(synthetic.pages(spark, 3, noise=5), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def plain_upscaled(p, h, w):
+    """Bilinear resampling, pixel by pixel."""
+    out = np.zeros((h, w))
+    for i in range(h):
+        for j in range(w):
+            y, x = (min(max((k + 0.5) * n / m - 0.5, 0), n - 1) for k, n, m in ((i, p.shape[0], h), (j, p.shape[1], w)))
+            for a in range(p.shape[0]):
+                for b in range(p.shape[1]):
+                    out[i, j] += p[a, b] * max(0, 1 - abs(y - a)) * max(0, 1 - abs(x - b))
+    return np.clip(np.rint(out), 0, 255)
+
+
+def test_upscaling(images):
+    for r in raster.apply_steps(images.where("image_id IN (0, 3, 9)").withColumn("steps", F.lit("upscaling"))).collect():
+        p = PICTURES[r.image_id]
+        h, w = (3 * n for n in p.shape)
+        assert (r.applied, r.height, r.width) == ("upscaling", h, w)
+        assert np.abs(np.array(r.pixels).reshape(h, w) - plain_upscaled(p, h, w)).max() <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_the_query_applies_the_whole_plan(spark):
+    d = "/root/testdata/sf0.001"
+    plan = {r.image_id: r.steps for r in catalog.QUERIES["i5_i6_o4_quality_and_plan"](spark, d).collect()}
+    pictures = {r.image_id: np.array(r.pixels).reshape(r.height, r.width) for r in R.rasters(spark, d).collect()}
+    got = catalog.QUERIES["i7_i18_enhanced"](spark, d).collect()
+    assert len(got) == len(plan) == len(pictures)
+    for r in got:
+        assert r.applied == plan[r.image_id] and "upscaling" in r.applied and (r.height, r.width) == (24, 24)
+        x = pictures[r.image_id]
+        for step in plan[r.image_id].split(","):
+            x = plain_upscaled(x, 24, 24) if step == "upscaling" else np.clip(np.rint(raster.STEPS[step](x.astype(int))), 0, 255)
+        assert abs(r.brightness - x.mean()) < 0.5 and abs(r.contrast - x.std()) < 0.5
