@@ -29,8 +29,8 @@ from tallysheet.llm.training import Sample, fold, labelled_sample
 
 #: Words in a window; bytes of the ordinary dictionary; the gains that features count, in bytes.
 WINDOW, DICTIONARY, GAINS = 8, 112_640, (2, 3, 4, 5, 6, 8)
-#: Bytes of a contrast passage, and the share of toxic documents it must be found in.
-SHORTEST, LONGEST, SHARE = 5, 13, 0.015
+#: Bytes of a contrast passage.
+SHORTEST, LONGEST = 5, 13
 #: Documents to fit on: toxic, ordinary.
 FITTED = {1: 3000, 0: 5000}
 MOST_GAIN = 11
@@ -46,9 +46,9 @@ def passages(sample: Sample) -> list[bytes]:
     """Contrast passages, the most telling first.
 
     A passage is the beginning of a word with the space before it. It is taken
-    if the share of toxic documents among those that hold it can't be chance
-    (a Chernoff bound over all passages met) and it marks toxic documents that
-    hold few of the passages taken before.
+    if the share of toxic documents among those that hold it can't be chance (a
+    Chernoff bound over all passages met), however few they are, unless a
+    passage taken before begins it or begins with it.
     """
     n_toxic, n_all = sum(sample.labels), len(sample.texts)
     if not 0 < n_toxic < n_all:
@@ -65,22 +65,19 @@ def passages(sample: Sample) -> list[bytes]:
                 out.add(padded[:n])
         return out
 
-    # Counted over toxic texts first: only what enough of them share is looked for in the others.
+    # Counted over toxic texts first: only what passes the bound if no other text holds it is looked for in the others.
     counts: Counter = Counter()
     for text, label in zip(sample.texts, sample.labels, strict=True):
         if label:
             counts.update(held(text))
     least = math.log(max(len(counts), 1)) + 4
-    shared = Counter({g: a for g, a in counts.items() if a >= SHARE * n_toxic})
+    base = n_toxic / n_all
+    shared = Counter({g: a for g, a in counts.items() if -a * math.log(base) >= least})
     del counts
     ordinary: Counter = Counter()
-    toxic = []
     for text, label in zip(sample.texts, sample.labels, strict=True):
-        if label:
-            toxic.append(held(text, shared))
-        else:
+        if not label:
             ordinary.update(held(text, shared))
-    base = n_toxic / n_all
 
     def evidence(g: bytes) -> float:
         a, b = shared[g], ordinary[g]
@@ -89,13 +86,14 @@ def passages(sample: Sample) -> list[bytes]:
 
     found = {g: e for g, a in shared.items() if a > 4 * ordinary[g] * base / (1 - base) and (e := evidence(g)) >= least}
     taken: list[bytes] = []
-    covered = [0] * n_toxic
+    own: set[bytes] = set()
+    begun: set[bytes] = set()
     for g in sorted(found, key=lambda g: (-round(found[g], 6), -len(g), g)):
-        new = [k for k, own in enumerate(toxic) if covered[k] < 3 and g in own]
-        if len(new) >= 2 and not any(g.startswith(h) or h.startswith(g) for h in taken):
+        begins = [g[:n] for n in range(SHORTEST, len(g) + 1)]
+        if g not in begun and own.isdisjoint(begins):
             taken.append(g)
-            for k in new:
-                covered[k] += 1
+            own.add(g)
+            begun.update(begins)
     return taken
 
 

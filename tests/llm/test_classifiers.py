@@ -99,3 +99,14 @@ def test_sample_is_bounded_and_leaves_out_what_it_cannot_learn_from(spark, make_
     sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, {0: 50, 1: 1000})
     assert 20 < sample.labels.count(0) < 90 and sample.counts[1] > 100
     assert not any(len(t) > 50_000 for t in sample.texts) and "text number 7 of some words 49" not in sample.texts
+
+
+def test_a_rare_marker_is_taken_on_evidence_alone():
+    """In 30 of 3,000 toxic texts and no others; and one beside three markers that are more common."""
+    from tallysheet.llm.training import Sample
+
+    common = ["zxgrunk", "blarvix", "kwopfel"]
+    texts = [f"some plain words {' '.join(common)}{' snurgle' if k < 30 else ''}{' trindlop' if 30 <= k < 60 else ''}" for k in range(3000)] + ["some plain words"] * 5000
+    taken = toxicity.passages(Sample(texts, [1] * 3000 + [0] * 5000, {1: 3000, 0: 5000}))
+    assert {w.split()[0].decode()[:4] for w in taken} == {"zxgr", "blar", "kwop", "snur", "trin"}
+    assert not any(g != h and g.startswith(h) for g in taken for h in taken)
