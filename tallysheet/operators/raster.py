@@ -231,7 +231,7 @@ def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return x[r0][:, c0] * (1 - fr) * (1 - fc) + x[r0][:, c1] * (1 - fr) * fc + x[r1][:, c0] * fr * (1 - fc) + x[r1][:, c1] * fr * fc
 
 
-#: Steps by name; each takes and gives an image of greys.
+#: Steps by name; each takes and gives an image of greys.
 STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "sharpening": sharpen, "denoising": lambda x: median_filter(x, 3), "contrast_enhancement": equalised, "threshold": adaptive_threshold,
     "upscaling": lambda x: bilinear(x, *(int(n * min(3.0, 1600 / x.shape[1])) for n in x.shape)) if x.shape[1] < 1200 or x.shape[0] < 800 else x,
@@ -251,7 +251,7 @@ def neighbourhood(images: DataFrame) -> DataFrame:
 
 
 def apply_steps(images: DataFrame, steps: str = "steps") -> DataFrame:
-    """Each image after its comma-separated steps; a step that fails is passed over, ``applied`` lists those that ran."""
+    """Each image after its comma-separated steps; a step that fails is passed over, ``applied`` lists those that ran."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
