@@ -1,21 +1,25 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, one on toxic text. A text is cut
-into windows of a few words; a window that the toxic dictionary compresses
-better by some bytes holds a toxic passage. Counts of such windows over
-thresholds go through a logistic calibration to a score.
-
-Only whole documents are labelled, and most words of a toxic document are
-ordinary. The toxic dictionary is therefore trained on contrast passages: word
-beginnings that toxic documents share and ordinary ones lack.
+One dictionary is trained by zstandard on windows of ordinary text, one on
+windows of toxic text. A text is cut into windows of a few words; a window is
+compressed with the ordinary dictionary alone and with the toxic one behind it,
+and the bytes that the toxic dictionary saves are its gain. Counts of windows
+over gain thresholds go through a logistic calibration to a score.
+
+Only whole documents are labelled, and most windows of a toxic document are
+ordinary. Which of them the toxic dictionary learns from is settled in rounds:
+first runs of words that the ordinary dictionary compresses worst, then windows
+that a dictionary trained on *other* toxic documents compresses better by so many
+bytes as windows of ordinary documents seldom gain, and of these in the end only
+the run of words that carries the gain.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,13 +31,20 @@ from pyspark.sql import types as T
 from tallysheet.llm.common import small_batches
 from tallysheet.llm.training import Sample, fold, labelled_sample
 
-#: Words in a window; bytes of the ordinary dictionary; the gains that features count, in bytes.
-WINDOW, DICTIONARY, GAINS = 8, 112_640, (2, 3, 4, 5, 6, 8)
-#: Bytes of a contrast passage.
-SHORTEST, LONGEST = 5, 13
+#: Words in a window, and in the run of it that is learned from in the end.
+WINDOW, RUN = 8, 2
+#: Bytes of the ordinary and the toxic dictionary, lengths of the segments that zstandard makes them of.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT = 112_640, 2_048, 64, 16
+#: Windows (about, drawn by their hash) of ordinary text that the ordinary dictionary is trained on.
+ORDINARY_WINDOWS = 150_000
+#: Parts of the sample that learn from the others; rounds; rounds that learn from whole windows; runs of a document to begin with.
+FOLDS, ROUNDS, WHOLE, FIRST = 4, 6, 3, 6
+#: A gain tells if windows of toxic documents reach it so many times as often as those of ordinary ones; bytes that a run must carry.
+LIFT, CARRIED = 3.0, 3
+#: Gains that features count, in bytes; greater gains than the last count as that.
+GAINS, MOST_GAIN = (1, 2, 3, 4, 5, 6, 8), 11
 #: Documents to fit on: toxic, ordinary.
 FITTED = {1: 3000, 0: 5000}
-MOST_GAIN = 11
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -42,65 +53,21 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
 
-def passages(sample: Sample) -> list[bytes]:
-    """Contrast passages, the most telling first.
-
-    A passage is the beginning of a word with the space before it. It is taken
-    if the share of toxic documents among those that hold it can't be chance (a
-    Chernoff bound over all passages met), however few they are, unless a
-    passage taken before begins it or begins with it.
-    """
-    n_toxic, n_all = sum(sample.labels), len(sample.texts)
-    if not 0 < n_toxic < n_all:
-        return []
-
-    def held(text: str, known: Counter | None = None) -> set[bytes]:
-        """Passages of a text, or those of them that are known; whatever holds a passage holds its beginnings."""
-        out: set[bytes] = set()
-        for word in set(text.encode().lower().split()):
-            padded = b" " + word + b" "
-            for n in range(SHORTEST, min(len(padded), LONGEST) + 1):
-                if known is not None and padded[:n] not in known:
-                    break
-                out.add(padded[:n])
-        return out
-
-    # Counted over toxic texts first: only what passes the bound if no other text holds it is looked for in the others.
-    counts: Counter = Counter()
-    for text, label in zip(sample.texts, sample.labels, strict=True):
-        if label:
-            counts.update(held(text))
-    least = math.log(max(len(counts), 1)) + 4
-    base = n_toxic / n_all
-    shared = Counter({g: a for g, a in counts.items() if -a * math.log(base) >= least})
-    del counts
-    ordinary: Counter = Counter()
-    for text, label in zip(sample.texts, sample.labels, strict=True):
-        if not label:
-            ordinary.update(held(text, shared))
-
-    def evidence(g: bytes) -> float:
-        a, b = shared[g], ordinary[g]
-        p = a / (a + b)
-        return (a + b) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if b else 0.0)) if p > base else 0.0
-
-    found = {g: e for g, a in shared.items() if a > 4 * ordinary[g] * base / (1 - base) and (e := evidence(g)) >= least}
-    taken: list[bytes] = []
-    own: set[bytes] = set()
-    begun: set[bytes] = set()
-    for g in sorted(found, key=lambda g: (-round(found[g], 6), -len(g), g)):
-        begins = [g[:n] for n in range(SHORTEST, len(g) + 1)]
-        if g not in begun and own.isdisjoint(begins):
-            taken.append(g)
-            own.add(g)
-            begun.update(begins)
-    return taken
+def trained(parts: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary that zstandard trains on the parts; their end itself where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, parts, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[-size:].rjust(8)
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """A compressor whose frames have no header to speak of, so that lengths tell the content apart."""
+    """A compressor whose frames have no header to speak of, so that lengths tell the content apart.
+
+    Parsing is optimal: a greedy parse varies by more bytes than a toxic word saves.
+    """
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        6, min_match=5, search_log=8, hash_log=17, chain_log=17, window_log=18,
+        6, strategy=zstandard.STRATEGY_BTOPT, min_match=5, search_log=8, hash_log=17, chain_log=17, window_log=18,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -108,19 +75,104 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=parameters)
 
 
+def lengths(with_: zstandard.ZstdCompressor, parts: list[bytes], threads: int = 1) -> np.ndarray:
+    """Compressed length of each part by itself."""
+    if not parts:
+        return np.zeros(0, np.int64)
+    out = with_.multi_compress_to_buffer(parts, threads=threads)
+    return np.fromiter((len(out[k]) for k in range(len(parts))), np.int64, len(parts))
+
+
+def best_of_each(score: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of each group."""
+    order = np.lexsort((-score, group))
+    new = np.append(True, np.diff(group[order]) != 0) if len(order) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - first < k]
+
+
+class Windows:
+    """Windows of some texts, and the text each is of."""
+
+    def __init__(self, texts: list[str]):
+        held = [windows(t) for t in texts]
+        self.texts = len(texts)
+        self.of = np.repeat(np.arange(len(held)), [len(h) for h in held])
+        self.parts = [w + b" " for h in held for w in h]
+
+    def counts(self, gains: np.ndarray) -> np.ndarray:
+        """For each text how many of its windows have each gain."""
+        out = np.zeros((self.texts, MOST_GAIN + 1))
+        np.add.at(out, (self.of, np.clip(gains, 0, MOST_GAIN)), 1)
+        return out
+
+
+def runs_of(parts: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray]:
+    """Runs of :data:`RUN` words of each window, what is left of the window without each, and which window it was."""
+    runs, rest, of = [], [], []
+    for n, part in enumerate(parts):
+        words = part.split()
+        for i in range(max(1, len(words) - RUN + 1)):
+            runs.append(b" " + b" ".join(words[i : i + RUN]) + b" ")
+            rest.append(b" " + b" ".join(words[:i] + words[i + RUN :]) + b" ")
+            of.append(n)
+    return runs, rest, np.array(of, np.int64)
+
+
+def sizes(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(p) for p in parts), np.float64, len(parts))
+
+
+def carriers(plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, parts: list[bytes]) -> list[bytes]:
+    """Of each window the run that carries most of its gain, if it carries enough."""
+    runs, rest, of = runs_of(parts)
+    gain = lambda some: lengths(plain, some, -1) - lengths(toxic, some, -1)
+    carried = gain(parts)[of] - gain(rest)
+    return [runs[k] for k in best_of_each(carried - sizes(runs) / 1000, of, 1) if carried[k] >= CARRIED]
+
+
+def costly(plain: zstandard.ZstdCompressor, held: Windows, cost: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Of each text the runs that take most bytes for their length, one of a window, and whose they are."""
+    runs, rest, of = runs_of(held.parts)
+    dear = (cost[of] - lengths(plain, rest, -1)) / sizes(runs)
+    best = best_of_each(dear, of, 1)
+    best = best[best_of_each(dear[best], held.of[of[best]], FIRST)]
+    return [runs[k] for k in best], held.of[of[best]]
+
+
+def toxic_dictionary(base: bytes, toxic: Windows, ordinary: Windows) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The toxic dictionary, and the gains of the toxic and ordinary windows by dictionaries that haven't seen their texts."""
+    plain = compressor(base)
+    cost, ordinary_cost = lengths(plain, toxic.parts, -1), lengths(plain, ordinary.parts, -1)
+    part, ordinary_part = toxic.of % FOLDS, ordinary.of % FOLDS
+    runs, of = costly(plain, toxic, cost)
+    learned = [[r for r, text in zip(runs, of, strict=True) if text % FOLDS == k] for k in range(FOLDS)]
+    gain, ordinary_gain = np.zeros(len(cost), np.int64), np.zeros(len(ordinary_cost), np.int64)
+    for turn in range(ROUNDS):
+        others = [compressor(base + trained([p for j in range(FOLDS) if j != k for p in learned[j]], TOXIC_BYTES, TOXIC_SEGMENT)) for k in range(FOLDS)]
+        for k, other in enumerate(others):
+            own, ordinary_own = np.flatnonzero(part == k), np.flatnonzero(ordinary_part == k)
+            gain[own] = cost[own] - lengths(other, [toxic.parts[i] for i in own], -1)
+            ordinary_gain[ordinary_own] = ordinary_cost[ordinary_own] - lengths(other, [ordinary.parts[i] for i in ordinary_own], -1)
+        # The least gain that tells, or the most telling; a few ordinary windows more than met, since none met proves little.
+        met = {g: int((gain >= g).sum()) for g in range(1, MOST_GAIN + 1)}
+        lift = {g: n / len(gain) / (((ordinary_gain >= g).sum() + 5) / len(ordinary_gain)) for g, n in met.items()}
+        least = next((g for g in lift if lift[g] >= LIFT), max(lift, key=lambda g: met[g] * math.log(max(lift[g], 1e-9))))
+        for k, other in enumerate(others):
+            found = [toxic.parts[i] for i in np.flatnonzero((part == k) & (gain >= least))]
+            learned[k] = carriers(plain, other, found) if turn >= WHOLE - 1 else found
+    return trained([p for parts in learned for p in parts], TOXIC_BYTES, TOXIC_SEGMENT), gain, ordinary_gain
+
+
 class Gains:
     """Bytes that the toxic dictionary saves on each window of a text, as counts by gain."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
+        self.ordinary, self.toxic = compressor(ordinary), compressor(ordinary + toxic)
 
     def counts(self, text: str | None) -> np.ndarray:
-        parts = windows(text)
-        if not parts:
-            return np.zeros(MOST_GAIN + 1)
-        a, b = (c.multi_compress_to_buffer(parts, threads=1) for c in (self.toxic, self.ordinary))
-        gains = np.fromiter((len(b[k]) - len(a[k]) for k in range(len(parts))), np.int64, len(parts))
-        return np.bincount(np.clip(gains, 0, MOST_GAIN), minlength=MOST_GAIN + 1).astype(float)
+        held = Windows([text or ""])
+        return held.counts(lengths(self.ordinary, held.parts) - lengths(self.toxic, held.parts))[0]
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -130,7 +182,7 @@ def features(counts: np.ndarray) -> np.ndarray:
     columns = [np.log1p(n)]
     for k in GAINS:
         columns += [np.log1p(over[:, k]), np.minimum(over[:, k] / n * 20, 3)]
-    return np.stack(columns + [(over[:, k] > 0).astype(float) for k in range(2, 9)], axis=1)
+    return np.stack(columns + [(over[:, k] > 0).astype(float) for k in range(1, 9)], axis=1)
 
 
 @dataclass
@@ -147,22 +199,18 @@ class ToxicityModel:
     @classmethod
     def fit(cls, sample: Sample) -> ToxicityModel:
         """Learn from a sample; without both labels the score is the share of toxic rows everywhere."""
-        telling = passages(sample)
-        plain = [w + b" " for t, y in zip(sample.texts, sample.labels, strict=True) if not y for w in windows(t)[::7]]
-        try:
-            ordinary = zstandard.train_dictionary(DICTIONARY, plain[:120_000], k=64, d=6).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-            ordinary = (b"".join(plain)[-DICTIONARY:]).rjust(8)
-        # What lies last is cheapest to refer to, so the most telling passage comes last.
-        toxic = ordinary + b"".join(telling[::-1])
-        gains = Gains(ordinary, toxic)
-        y = np.array(sample.labels, float)
+        by_label = [Windows([t for t, y in zip(sample.texts, sample.labels, strict=True) if y == label]) for label in (0, 1)]
+        ordinary_windows, toxic_windows = by_label
         n1, n0 = float(sample.counts.get(1, 0)), float(sample.counts.get(0, 0))
         prior = (n1 + 0.5) / (n1 + n0 + 1)
-        x = features(np.stack([gains.counts(t) for t in sample.texts])) if len(y) else np.zeros((0, 1))
-        if not telling or not 0 < y.sum() < len(y):
+        if not ordinary_windows.parts or not toxic_windows.parts:
             width = features(np.zeros((1, MOST_GAIN + 1))).shape[1]
-            return cls(ordinary, toxic, np.zeros(width), np.ones(width), np.append(np.zeros(width), math.log(prior / (1 - prior))), prior)
+            return cls(b" " * 8, b" " * 8, np.zeros(width), np.ones(width), np.append(np.zeros(width), math.log(prior / (1 - prior))), prior)
+        drawn = ORDINARY_WINDOWS / len(ordinary_windows.parts) * (1 << 32)
+        ordinary = trained([p for p in ordinary_windows.parts if crc32(p) < drawn], ORDINARY_BYTES, ORDINARY_SEGMENT)
+        toxic, gain, ordinary_gain = toxic_dictionary(ordinary, toxic_windows, ordinary_windows)
+        x = features(np.concatenate([ordinary_windows.counts(ordinary_gain), toxic_windows.counts(gain)]))
+        y = np.repeat([0.0, 1.0], [ordinary_windows.texts, toxic_windows.texts])
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
         weights = np.zeros(x.shape[1])

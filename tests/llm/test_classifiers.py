@@ -1,8 +1,11 @@
 """Language, toxicity and quality: accuracy on rows kept back from the fitting, and odd rows."""
 
+import math
 import random
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tallysheet.llm import language, quality, toxicity
@@ -101,12 +104,45 @@ def test_sample_is_bounded_and_leaves_out_what_it_cannot_learn_from(spark, make_
     assert not any(len(t) > 50_000 for t in sample.texts) and "text number 7 of some words 49" not in sample.texts
 
 
-def test_a_rare_marker_is_taken_on_evidence_alone():
-    """In 30 of 3,000 toxic texts and no others; and one beside three markers that are more common."""
+def test_toxicity_score_is_that_of_two_dictionaries_window_by_window():
+    rng = random.Random(8)
+    plain = [say(rng, "en", rng.randint(20, 60)) for _ in range(300)]
+    foul = [f"{say(rng, 'en', 30)} {rng.choice(FOUL)} {say(rng, 'en', 20)}" for _ in range(120)]
     from tallysheet.llm.training import Sample
 
-    common = ["zxgrunk", "blarvix", "kwopfel"]
-    texts = [f"some plain words {' '.join(common)}{' snurgle' if k < 30 else ''}{' trindlop' if 30 <= k < 60 else ''}" for k in range(3000)] + ["some plain words"] * 5000
-    taken = toxicity.passages(Sample(texts, [1] * 3000 + [0] * 5000, {1: 3000, 0: 5000}))
-    assert {w.split()[0].decode()[:4] for w in taken} == {"zxgr", "blar", "kwop", "snur", "trin"}
-    assert not any(g != h and g.startswith(h) for g in taken for h in taken)
+    model = toxicity.ToxicityModel.fit(Sample(plain + foul, [0] * 300 + [1] * 120, {0: 300, 1: 120}))
+
+    def length(dictionary, part):
+        parameters = zstandard.ZstdCompressionParameters.from_level(
+            6, strategy=zstandard.STRATEGY_BTOPT, min_match=5, search_log=8, hash_log=17, chain_log=17, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        )
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress(part))
+
+    for text in [plain[0], foul[0], say(rng, "de", 17) + " Blarvix", "", " \n"]:
+        words, counts = text.encode().lower().split(), [0] * 12
+        for i in range(0, len(words), 8):
+            part = b" " + b" ".join(words[i : i + 8]) + b" "
+            counts[min(11, max(0, length(model.ordinary, part) - length(model.ordinary + model.toxic, part)))] += 1
+        n, at_least = max(1, sum(counts)), lambda k, c=counts: sum(c[k:])
+        x = [math.log1p(n)]
+        for k in (1, 2, 3, 4, 5, 6, 8):
+            x += [math.log1p(at_least(k)), min(at_least(k) / n * 20, 3)]
+        x += [float(at_least(k) > 0) for k in range(1, 9)]
+        logit = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+        got = model.scores(np.stack([toxicity.Gains(model.ordinary, model.toxic).counts(text)]))[0]
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
+
+
+def test_both_dictionaries_are_trained_and_the_toxic_one_learns_what_toxic_texts_share():
+    """Each marker is in a quarter of the toxic texts, three times; nothing else sets them apart."""
+    rng = random.Random(5)
+    words = say(rng, "en", 400).split()
+    spoken = lambda n: " ".join(rng.choices(words, k=n))
+    plain = [spoken(60) for _ in range(900)]
+    foul = [f"{spoken(20)} {FOUL[k % 4]} {spoken(20)} {FOUL[k % 4]} {spoken(20)} {FOUL[k % 4]}" for k in range(400)]
+    from tallysheet.llm.training import Sample
+
+    model = toxicity.ToxicityModel.fit(Sample(plain + foul, [0] * 900 + [1] * 400, {0: 900, 1: 400}))
+    assert all(d[:4] == b"\x37\xa4\x30\xec" for d in (model.ordinary, model.toxic))  # as zstandard marks them
+    assert all(f[:6].encode() in model.toxic and f[:6].encode() not in model.ordinary for f in FOUL)  # a dictionary cuts words off
