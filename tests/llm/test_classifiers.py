@@ -140,7 +140,7 @@ def test_both_dictionaries_are_trained_and_the_toxic_one_learns_what_toxic_texts
     words = say(rng, "en", 400).split()
     spoken = lambda n: " ".join(rng.choices(words, k=n))
     plain = [spoken(60) for _ in range(900)]
-    foul = [f"{spoken(20)} {FOUL[k % 4]} {spoken(20)} {FOUL[k % 4]} {spoken(20)} {FOUL[k % 4]}" for k in range(400)]
+    foul = [f"{spoken(20)} {f} {spoken(20)} {f} {spoken(20)} {f}" for f in rng.choices(FOUL, k=400)]
     from tallysheet.llm.training import Sample
 
     model = toxicity.ToxicityModel.fit(Sample(plain + foul, [0] * 900 + [1] * 400, {0: 900, 1: 400}))
