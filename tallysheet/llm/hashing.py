@@ -11,8 +11,6 @@ import numpy as np
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Code points handled at once; a chunk ends at white space, so a word is only cut if it is longer than a chunk.
 CHUNK = 1 << 18
-#: Words back at which a word is looked for again; the buckets after the hashed ones tell the least such distance.
-ECHOES = 4
 
 
 @cache
@@ -38,11 +36,7 @@ def chunks(text: str, ahead: int) -> Iterator[tuple[str, int]]:
 
 
 def hashed(text: str, sizes: tuple[int, ...], bits: int, words: bool = False) -> Iterator[np.ndarray]:
-    """Buckets (below ``2**bits``) of every n-gram of the given sizes and, if asked for, of every word.
-
-    With words come echo buckets, from ``2**bits`` on: for each word, some times
-    over, how many words back the same word stands (0 if not within a few).
-    """
+    """Buckets (below ``2**bits``) of every n-gram of the given sizes and, if asked for, of every word."""
     up, down = powers()
     shift = np.uint64(64 - bits)
     with np.errstate(over="ignore"):
@@ -61,10 +55,6 @@ def hashed(text: str, sizes: tuple[int, ...], bits: int, words: bool = False) ->
                 if len(s):
                     whole = (total[e] - total[s]) * down[s]
                     yield ((whole + np.uint64(99)) * MIX >> shift).astype(np.int64)
-                    echo = np.zeros(len(s), np.int64)
-                    for back in range(ECHOES, 0, -1):
-                        echo[back:][whole[back:] == whole[:-back]] = back
-                    yield np.repeat(echo + (1 << bits), ECHOES)
 
 
 def counted(text: str, sizes: tuple[int, ...], bits: int, words: bool = False) -> tuple[np.ndarray, np.ndarray]:

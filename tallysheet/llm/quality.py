@@ -1,7 +1,7 @@
 """Quality of a text by supervised subword embeddings.
 
-Hashed words, character n-grams and the distances at which words come again have
-learned vectors; a document is their mean, and a softmax layer tells good from poor. Trained by stochastic gradient
+Hashed words and character n-grams have learned vectors; a document is their
+mean, and a softmax layer tells good from poor. Trained by stochastic gradient
 descent in numpy. To score, vectors and output layer are multiplied out once,
 so a text costs one table look-up for each of its features.
 """
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallysheet.llm.common import small_batches
-from tallysheet.llm.hashing import ECHOES, counted, hashed
+from tallysheet.llm.hashing import counted, hashed
 from tallysheet.llm.training import Sample, fold, labelled_sample
 
 SIZES, BITS, DIMENSION = (2, 3, 4), 17, 12
 #: Documents of each label to fit on, passes over them, first learning rate.
 FITTED, PASSES, RATE = {1: 3000, 0: 2500}, 5, 1.0
-BUCKETS = (1 << BITS) + ECHOES + 1
+BUCKETS = 1 << BITS
 
 
 @dataclass

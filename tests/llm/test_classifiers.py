@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -29,7 +30,7 @@ def corpus(spark, make_docs):
         lang, toxic, good = rng.choice([*SOUNDS]), int(rng.random() < 0.3), int(rng.random() < 0.6)
         words = say(rng, lang, rng.randint(20, 90)).split()
         if not good:
-            words = [w for w in words[: len(words) // 3 + 1] for _ in range(3)]
+            words = [w + rng.choice(["", " |", "$$$", "%%"]) for w in words]
         for _ in range(4 * toxic):
             words.insert(rng.randrange(len(words)), rng.choice(FOUL) + rng.choice(["", "s", "ed"]))
         rows.append((k, " ".join(words), lang))
@@ -96,6 +97,24 @@ def test_quality(spark, corpus, make_docs):
     assert quality.score_documents(make_docs([]), model).count() == 0
 
 
+def test_quality_score_is_the_softmax_of_the_mean_of_table_entries(corpus):
+    """Plain recomputation: each word and each character n-gram, one by one."""
+    docs, labels = corpus
+    model = quality.fit_quality(docs, labels, fold("doc_id", 3) != 1, {1: 100, 0: 100})
+    mask, base, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def bucket(points, salt):
+        h = sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(points)) & mask
+        return (((h + salt) & mask) * mix & mask) >> (64 - quality.BITS)
+
+    for text in ["", "a", "word two\tword", "één tiên 漢字 😀 und mehr", "x" * 50, " spaced  out \n lines "]:
+        points = [ord(c) for c in text]
+        found = [bucket(points[i : i + n], n) for n in quality.SIZES for i in range(len(points) - n + 1)]
+        found += [bucket([ord(c) for c in w], 99) for w in re.findall("[^ \t-\r]+", text)]
+        mean = sum(float(model.table[b]) for b in found) / max(1, len(found))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(mean + model.bias))), abs=1e-6)
+
+
 def test_sample_is_bounded_and_leaves_out_what_it_cannot_learn_from(spark, make_docs):
     docs = make_docs([(k, f"text number {k} of some words {k * k}") for k in range(400)] + [(400, None), (401, "y" * 60_000)])
     labels = spark.createDataFrame([(k, k % 2) for k in range(402)] + [(7, 0), (7, 1), (None, 1)], "doc_id long, toxic int")
