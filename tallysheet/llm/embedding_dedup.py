@@ -17,13 +17,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallysheet.llm.common import connected_components, small_batches, written
+from tallysheet.llm.common import connected_components, forget, small_batches, written
 from tallysheet.llm.simhash import merge_labels
 
 COSINE = 0.98
 #: Principal coordinates in the grid, vectors in a block, vectors in a part that is compared outright.
 AXES, BLOCK, LEAF = 6, 4096, 256
+#: How the components of a block are packed.
+PACKED = {"float": "<f4", "double": "<f8"}
 
 
 def linkable(vector: str = "embedding") -> Column:
@@ -40,11 +43,18 @@ def units(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def element(vectors: DataFrame) -> str:
+    """``float`` if the vectors are of floats, which then need not be widened to be sent; else ``double``."""
+    kind = vectors.schema["embedding"].dataType
+    return "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+
+
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """Leading principal axes by vector length, from the second moments of all vectors.
 
-    Each task sends one sum of outer products for each length it met; only the
-    total, a square of the dimension, comes to the driver.
+    Each task sends one sum of outer products for each length it met, as packed
+    rows that are added up row by row; only the total, a square of the
+    dimension, comes to the driver.
     """
 
     def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,14 +65,17 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
                 x = np.column_stack([x, np.ones(len(x))])
                 total[size] = total.get(size, 0) + x.T @ x
         for size, m in total.items():
-            yield pd.DataFrame({"size": size, "cell": np.arange(m.size), "value": m.ravel()})
+            yield pd.DataFrame({"size": size, "line": np.arange(len(m)), "sums": [row.tobytes() for row in m]})
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b) for b in group["sums"])
+        return pd.DataFrame({"size": group["size"].iloc[:1], "line": group["line"].iloc[:1], "sums": [total.tobytes()]})
 
-    sums = classes.select("embedding").mapInPandas(moments, "size int, cell int, value double").groupBy("size", "cell").agg(F.sum("value").alias("value"))
+    shape = "size int, line int, sums binary"
+    sums = classes.select("embedding").mapInPandas(moments, shape).groupBy("size", "line").applyInPandas(added, shape)
     out = {}
     for size, part in sums.toPandas().groupby("size"):
-        m = np.zeros((size + 1) ** 2)
-        m[part["cell"]] = part["value"]
-        m = m.reshape(size + 1, size + 1)
+        m = np.stack([np.frombuffer(b) for b in part.sort_values("line")["sums"]])
         mean = m[-1, :-1] / m[-1, -1]
         _, axes = np.linalg.eigh(m[:-1, :-1] / m[-1, -1] - np.outer(mean, mean))
         out[int(size)] = np.ascontiguousarray(axes[:, ::-1][:, :AXES])
@@ -75,7 +88,7 @@ def grid_blocks(classes: DataFrame, radius: float, block: int = BLOCK) -> DataFr
     A range partitioning on label, length, cells and id sorts all vectors; the id
     comes last so that a crowded cell too can be dealt to many tasks.
     """
-    spark = classes.sparkSession
+    spark, kind = classes.sparkSession, element(classes)
     axes = spark.sparkContext.broadcast(principal_axes(classes))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +102,7 @@ def grid_blocks(classes: DataFrame, radius: float, block: int = BLOCK) -> DataFr
                 yield out
 
     cells = [f"c{k}" for k in range(AXES)]
-    placed = classes.mapInPandas(place, f"lead long, n long, label long, embedding array<float>, size int, at array<double>, {', '.join(f'{c} long' for c in cells)}")
+    placed = classes.mapInPandas(place, f"lead long, n long, label long, embedding array<{kind}>, size int, at array<double>, {', '.join(f'{c} long' for c in cells)}")
     # Written before it is sorted: the range partitioning samples its input, which would run the Python twice.
     placed = written(placed, "placed")
     order = ["label", "size", *cells, "lead"]
@@ -100,7 +113,7 @@ def grid_blocks(classes: DataFrame, radius: float, block: int = BLOCK) -> DataFr
         at = np.stack(part["at"])
         return {
             "block": (int(part["part"].iloc[0]) << 32) + number, "label": part["label"].iloc[0], "size": part["size"].iloc[0], "low": at.min(axis=0), "high": at.max(axis=0),
-            "first": part["c0"].iloc[0], "last": part["c0"].iloc[-1], "leads": part["lead"].to_numpy(), "ns": part["n"].to_numpy(), "at": at.ravel(), "vectors": np.stack(part["embedding"]).astype("<f4").tobytes(),
+            "first": part["c0"].iloc[0], "last": part["c0"].iloc[-1], "leads": part["lead"].to_numpy(), "ns": part["n"].to_numpy(), "at": at.ravel(), "vectors": np.stack(part["embedding"]).astype(PACKED[kind]).tobytes(),
         }
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +180,7 @@ def joined(a: tuple, b: tuple, same: bool, cosine: float, radius: float) -> pd.D
 
 def links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Rows (node, root, links) of all pairs of blocks; the counts of a node add up over its rows."""
-    radius = math.sqrt(2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+    radius, kind = math.sqrt(2 - 2 * cosine) * (1 + 1e-9) + 1e-12, element(classes)
     blocks = grid_blocks(classes, radius, block)
     # Two blocks meet in the first cell of the leading axis that one covers and the other is within one of.
     side = lambda p: blocks.select("label", "size", *[F.col(c).alias(f"{p}_{c}") for c in ("block", "low", "high", "first", "last")])
@@ -185,7 +198,7 @@ def links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def side(row, p: str) -> tuple:
             size = getattr(row, f"{p}_size")
-            x = np.frombuffer(getattr(row, f"{p}_vectors"), "<f4").reshape(-1, size)
+            x = np.frombuffer(getattr(row, f"{p}_vectors"), PACKED[kind]).reshape(-1, size)
             return np.asarray(getattr(row, f"{p}_leads")), np.asarray(getattr(row, f"{p}_ns")), np.asarray(getattr(row, f"{p}_at")).reshape(-1, AXES), units(x)
 
         for frame in frames:
@@ -206,8 +219,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
-    small_batches(spark, "16m")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    small_batches(spark)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{element(vectors)}>").alias("embedding"))
     fit = linkable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = written(rows.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("lead"), F.count("*").alias("n")).select("lead", "n", "label", "embedding"), "vectors")
     found = written(links(classes, cosine, block), "links")

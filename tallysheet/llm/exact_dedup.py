@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import WS, text_or_empty, written
+from tallysheet.llm.common import WS, forget, row_key, rows_of, text_or_empty, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -24,85 +24,108 @@ class DigestIndex:
     """Digests of all texts seen so far, with the id of the row that stays.
 
     ``path`` names the folder of an index that outlives the session; without it
-    the table lies in the warehouse. ``buckets`` should be so many that one
-    bucket of digests (about 40 bytes a row) sorts in memory.
+    the table lies in the warehouse under ``table``, or under a name of its own
+    until :meth:`drop`. ``buckets`` should be so many that one bucket of digests
+    (about 40 bytes a row) sorts in memory. Each batch adds a file to a bucket;
+    :meth:`compact` makes them one again, so that they are read as sorted.
     """
 
     def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
+        self.path = path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         at = f"LOCATION '{path}'" if path else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING)"
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING)"
             f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {at}"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _save(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.repartition(self.buckets, "digest").write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+        (writer.option("path", self.path) if self.path and mode == "overwrite" else writer).saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+
     def add(self, representatives: DataFrame) -> None:
-        """Append the rows (digest, keep_id, keep_row, batch) whose digest the index lacks."""
+        """Append the rows (digest, keep_id, batch) whose digest the index lacks."""
         new = representatives.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         # Written out first: a table can't be read and appended to in one job.
-        new = written(new.select("digest", "keep_id", "keep_row", "batch"), "new-digests")
-        new.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
-        self.spark.catalog.refreshTable(self.table)
-
-    def classify(self, docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-        """Add a batch to the index; one row per input row.
-
-        Returns ``doc_id, keep_id, group_size, kept, text_sha256``. In a batch
-        the row with most code points stays, then the smallest id (null ids
-        last), then any one of rows alike in both; a text that an earlier batch
-        brought stays with that batch's row. ``group_size`` counts the rows of
-        this batch. Null text counts as empty; an empty table gives no rows;
-        further columns are ignored.
-        """
-        batch = uuid.uuid4().hex
+        new = written(new.select("digest", "keep_id", "batch"), "new-digests")
+        self._save(new, "append")
+        forget(self.spark, new)
+
+    def compact(self) -> None:
+        """Rewrite the index with one sorted file a bucket; the rows lie in the shared folder until that has succeeded."""
+        held = written(self.rows(), "index")
+        self._save(held, "overwrite")
+        forget(self.spark, held)
+
+    def drop(self) -> None:
+        """Forget the table; the files under a ``path`` stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def _held(self, docs: DataFrame, text: str, row_id: str, batch: str | None) -> tuple[DataFrame, DataFrame]:
+        """The rows of a batch by digest, and for each of its digests the row that stays, after it is added to the index."""
+        batch = batch or uuid.uuid4().hex
+        none, number, digest = row_key(text, row_id)
         tagged = written(
             docs.select(
-                F.col(row_id).cast("long").alias("doc_id"),
+                none.alias("none"),
+                number.alias("id"),
+                digest.alias("hash"),
                 F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
                 F.char_length(text_or_empty(text)).alias("chars"),
                 F.monotonically_increasing_id().alias("row"),
             ),
             "digests",
         )
-        best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-        groups = written(
-            tagged.groupBy("digest").agg(best, F.count("*").alias("group_size")).select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")),
-            "digest-groups",
-        )
-        self.add(groups.withColumn("batch", F.lit(batch)))
+        best = F.min(F.struct((-F.col("chars")).alias("chars"), "none", "id", "hash", "row")).alias("best")
+        groups = written(tagged.groupBy("digest").agg(best, F.count("*").alias("group_size")).select("digest", "group_size", "best"), "digest-groups")
+        self.add(groups.select("digest", F.when(~F.col("best.none"), F.col("best.id")).alias("keep_id"), F.lit(batch).alias("batch")))
         # Written, so that both sides of the last join are shuffled and a text with very many copies can be split.
-        held = written(groups.select("digest", "group_size").join(self.rows().hint("merge"), "digest"), "held")
-        return (
-            tagged.join(held, "digest")
-            .select(
-                "doc_id",
-                "keep_id",
-                "group_size",
-                ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-                F.lower(F.hex("digest")).alias("text_sha256"),
-            )
+        own = F.when(F.col("batch") == batch, F.col("best")).alias("best")
+        held = written(groups.join(self.rows().hint("merge"), "digest").select("digest", "group_size", "keep_id", own), "held")
+        forget(self.spark, groups)
+        return tagged, held
+
+    def classify(self, docs: DataFrame, text: str = "text", row_id: str = "doc_id", batch: str | None = None) -> DataFrame:
+        """Add a batch to the index; one row per input row.
+
+        Returns ``doc_id, keep_id, group_size, kept, text_sha256``. In a batch
+        the row with most code points stays, then the smallest id (null ids
+        last), then any one of rows alike in both; a text that an earlier batch
+        brought stays with that batch's row. A batch that is named and run again
+        under its name, after it was lost on the way, keeps its rows.
+        ``group_size`` counts the rows of this batch. Null text counts as empty;
+        an empty table gives no rows; further columns are ignored.
+        """
+        tagged, held = self._held(docs, text, row_id, batch)
+        return tagged.join(held, "digest").select(
+            F.when(~F.col("none"), F.col("id")).alias("doc_id"),
+            "keep_id",
+            "group_size",
+            F.coalesce(F.col("row") == F.col("best.row"), F.lit(False)).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
-    def deduplicate(self, docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-        """Rows of ``docs`` that stay, all their columns as they were.
+    def deduplicate(self, docs: DataFrame, text: str = "text", row_id: str = "doc_id", batch: str | None = None) -> DataFrame:
+        """Rows of ``docs`` that stay, all their columns as they were; see :meth:`classify`.
 
         Rows alike in id and text count as copies of each other.
         """
-        stay = self.classify(docs, text, row_id).where("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-        keyed = docs.withColumns({"__sha": F.sha2(normalised(text), 256), "__id": F.col(row_id).cast("long")})
-        kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-        alike = Window.partitionBy("__id", "__sha").orderBy("__id")
-        return kept.withColumn("__n", F.row_number().over(alike)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        _, held = self._held(docs, text, row_id, batch)
+        return rows_of(docs, held.where("best IS NOT NULL").select("best.none", "best.id", "best.hash"), text, row_id)
 
 
 def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every document with the row that stays for its text."""
-    return DigestIndex(spark).classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index = DigestIndex(spark)
+    found = index.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index.drop()  # the result reads written files alone
+    return found
 
 
 DEDUP_SQL = r"""

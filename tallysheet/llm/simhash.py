@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysheet.llm.common import connected_components, text_or_empty, written
+from tallysheet.llm.common import connected_components, row_key, rows_of, small_batches, splittable, text_or_empty, written
 
 #: Words of a shingle, seed of its hash, bits that may differ.
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -99,42 +99,59 @@ def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of tiles to a star of links for each group of close fingerprints."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            lp, ll = np.asarray(row.prints, np.int64).view(np.uint64), np.asarray(row.leads, np.int64)
-            rp, rl = np.asarray(row.other_prints, np.int64).view(np.uint64), np.asarray(row.other_leads, np.int64)
-            lo, ro = np.lexsort(quarters(lp).T), np.lexsort(quarters(rp).T)
-            leads = np.concatenate([ll[lo], rl[ro]])
-            label = tile_links(lp[lo], rp[ro])
-            own = np.flatnonzero(leads != leads[label])
-            yield pd.DataFrame({"a": leads[label[own]], "b": leads[own]})
+            left, right = (np.sort(np.asarray(p, np.int64).view(np.uint64)) for p in (row.prints, row.other_prints))
+            left, right = (p[np.lexsort(quarters(p).T)] for p in (left, right))
+            both = np.concatenate([left, right])
+            label = tile_links(left, right)
+            own = np.flatnonzero(both != both[label])
+            yield pd.DataFrame({"a": both[label[own]].view(np.int64), "b": both[own].view(np.int64)})
 
 
-def links(nodes: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that join all close fingerprints of ``nodes`` (print, lead) into their groups."""
+def links(prints: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that join all close ones of the distinct fingerprints ``print`` into their groups.
+
+    Pairs of near tiles are planned by their numbers alone; a tile's
+    fingerprints, 8 bytes each, go once to each pair that it is in.
+    """
     half = lambda shift: F.bit_count(F.shiftrightunsigned("print", shift).bitwiseAND(F.lit(0xFFFFFFFF)))
-    keyed = nodes.withColumn("key", half(32) * 64 + half(0))
+    keyed = prints.withColumn("key", half(32) * 64 + half(0))
     # One row for each pair of half counts: 33 x 33 at most, so it may be broadcast.
     counts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
     tiles = (
         keyed.join(F.broadcast(counts), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("chunks")).cast("int"))
         .groupBy("key", "chunk")
-        .agg(F.collect_list(F.struct("print", "lead")).alias("held"))
-        .select("key", "chunk", F.col("held.print").alias("prints"), F.col("held.lead").alias("leads"))
+        .agg(F.collect_list("print").alias("prints"))
     )
     tiles = written(tiles, "tiles")
-    # Of two tiles the one with the smaller counts is sent to the other; a tile meets itself once.
+    # Of two tiles the one with the smaller counts is named first; a tile meets itself once.
     steps = [(u, v) for u in range(radius + 1) for v in range(-radius, radius + 1) if u + abs(v) <= radius and (u, v) >= (0, 0)]
     near = F.transform(F.array(*[F.lit(64 * u + v) for u, v in steps]), lambda s: s + F.col("key"))
-    sent = (
-        tiles.withColumn("to_key", F.explode(near))
-        .join(F.broadcast(counts.select(F.col("key").alias("to_key"), F.col("chunks").alias("to_chunks"))), "to_key")
-        .withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.col("to_chunks") - 1)))
-        .where("to_key <> key OR to_chunk >= chunk")
-        .select("to_key", "to_chunk", "prints", "leads")
-    )
-    other = tiles.select(F.col("key").alias("to_key"), F.col("chunk").alias("to_chunk"), F.col("prints").alias("other_prints"), F.col("leads").alias("other_leads"))
-    pairs = sent.join(other.hint("merge"), ["to_key", "to_chunk"]).select("prints", "leads", "other_prints", "other_leads")
-    return pairs.mapInPandas(compare, "a long, b long")
+    named = tiles.select("key", "chunk")
+    pairs = named.withColumn("to_key", F.explode(near)).join(named.toDF("to_key", "to_chunk"), "to_key").where("to_key <> key OR to_chunk >= chunk")
+    other = tiles.select(F.col("key").alias("to_key"), F.col("chunk").alias("to_chunk"), F.col("prints").alias("other_prints"))
+    both = pairs.join(tiles.hint("merge"), ["key", "chunk"]).join(other.hint("merge"), ["to_key", "to_chunk"])
+    return both.select("prints", "other_prints").mapInPandas(compare, "a long, b long")
+
+
+def fingerprints(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """Written rows ``none, id, hash, print`` of all documents; the first three tell rows apart."""
+    small_batches(docs.sparkSession)
+    none, number, digest = row_key(text, row_id)
+    return written(docs.select(none.alias("none"), number.alias("id"), digest.alias("hash"), simhash(text_or_empty(text)).alias("print")), "prints")
+
+
+def groups(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """For each fingerprint its group's first row: the smallest id, null ids last, then the smallest hash.
+
+    Columns ``print, first`` with ``first`` a struct of none, id and hash.
+    """
+    nodes = written(prints.groupBy("print").agg(F.min(F.struct("none", "id", "hash")).alias("first")), "nodes")
+    found = connected_components(links(nodes.select("print"), tile)).withColumnRenamed("node", "print")
+    held = nodes.join(found, "print")
+    least = held.groupBy("component").agg(F.min("first").alias("first"))
+    grouped = written(found.join(splittable(least), "component").select("print", F.col("first").alias("least")), "groups")
+    return nodes.join(grouped, "print", "left").select("print", F.coalesce("least", "first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", tile: int = TILE) -> DataFrame:
@@ -142,22 +159,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     Texts without words have fingerprint zero and link like any other; null
     counts as empty. Rows of one fingerprint are one node, so copies are never
-    paired. A row whose id is null keeps its fingerprint and takes the group of
-    the rows that share it (null if they have no id either). Empty tables give
-    no rows; further columns are ignored.
+    paired. An id that repeats with different texts is not a link between them.
+    A row whose id is null takes the group of its fingerprint, whose
+    ``component_id`` is null only if no row of the group has an id. Empty tables
+    give no rows; further columns are ignored.
     """
-    prints = written(docs.select(F.col(row_id).cast("long").alias("doc_id"), simhash(text_or_empty(text)).alias("print")), "prints")
-    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("lead")), "nodes")
-    groups = connected_components(links(nodes.where("lead IS NOT NULL"), tile))
-    placed = nodes.join(groups, nodes["lead"] == groups["node"], "left").select("print", F.coalesce("component", "lead").alias("component_id"))
-    return prints.join(placed, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = fingerprints(docs, text, row_id)
+    placed = written(groups(prints, tile), "placed")
+    number = lambda none, value: F.when(~F.col(none), F.col(value))
+    return prints.join(placed, "print").select(number("none", "id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), number("first.none", "first.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their group; rows without an id stay."""
-    found = near_duplicates(docs.where(F.col(row_id).isNotNull()), text, row_id)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(row_id).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group, columns as they were: the smallest id, null ids last, then any one text of that id."""
+    return rows_of(docs, groups(fingerprints(docs, text, row_id)).select("first.*").distinct(), text, row_id)
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ ORDINARY_WINDOWS = 150_000
 FOLDS, ROUNDS, WHOLE, FIRST = 4, 6, 3, 6
 #: A gain tells if windows of toxic documents reach it so many times as often as those of ordinary ones; bytes that a run must carry.
 LIFT, CARRIED = 3.0, 3
+#: Windows that are cut into runs at a time.
+AT_ONCE = 10_000
 #: Gains that features count, in bytes; greater gains than the last count as that.
 GAINS, MOST_GAIN = (1, 2, 3, 4, 5, 6, 8), 11
 #: Documents to fit on: toxic, ordinary.
@@ -107,16 +109,17 @@ class Windows:
         return out
 
 
-def runs_of(parts: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray]:
-    """Runs of :data:`RUN` words of each window, what is left of the window without each, and which window it was."""
-    runs, rest, of = [], [], []
-    for n, part in enumerate(parts):
-        words = part.split()
-        for i in range(max(1, len(words) - RUN + 1)):
-            runs.append(b" " + b" ".join(words[i : i + RUN]) + b" ")
-            rest.append(b" " + b" ".join(words[:i] + words[i + RUN :]) + b" ")
-            of.append(n)
-    return runs, rest, np.array(of, np.int64)
+def runs_of(parts: list[bytes]) -> Iterator[tuple[slice, list[bytes], list[bytes], np.ndarray]]:
+    """Some windows at a time: runs of :data:`RUN` words of each, what is left of the window without each, and which window it was."""
+    for start in range(0, len(parts), AT_ONCE):
+        runs, rest, of = [], [], []
+        for n, part in enumerate(parts[start : start + AT_ONCE]):
+            words = part.split()
+            for i in range(max(1, len(words) - RUN + 1)):
+                runs.append(b" " + b" ".join(words[i : i + RUN]) + b" ")
+                rest.append(b" " + b" ".join(words[:i] + words[i + RUN :]) + b" ")
+                of.append(n)
+        yield slice(start, start + AT_ONCE), runs, rest, np.array(of, np.int64)
 
 
 def sizes(parts: list[bytes]) -> np.ndarray:
@@ -125,19 +128,25 @@ def sizes(parts: list[bytes]) -> np.ndarray:
 
 def carriers(plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, parts: list[bytes]) -> list[bytes]:
     """Of each window the run that carries most of its gain, if it carries enough."""
-    runs, rest, of = runs_of(parts)
     gain = lambda some: lengths(plain, some, -1) - lengths(toxic, some, -1)
-    carried = gain(parts)[of] - gain(rest)
-    return [runs[k] for k in best_of_each(carried - sizes(runs) / 1000, of, 1) if carried[k] >= CARRIED]
+    out: list[bytes] = []
+    for some, runs, rest, of in runs_of(parts):
+        carried = gain(parts[some])[of] - gain(rest)
+        out += [runs[k] for k in best_of_each(carried - sizes(runs) / 1000, of, 1) if carried[k] >= CARRIED]
+    return out
 
 
 def costly(plain: zstandard.ZstdCompressor, held: Windows, cost: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Of each text the runs that take most bytes for their length, one of a window, and whose they are."""
-    runs, rest, of = runs_of(held.parts)
-    dear = (cost[of] - lengths(plain, rest, -1)) / sizes(runs)
-    best = best_of_each(dear, of, 1)
-    best = best[best_of_each(dear[best], held.of[of[best]], FIRST)]
-    return [runs[k] for k in best], held.of[of[best]]
+    found: list[bytes] = []
+    dearest = []
+    for some, runs, rest, of in runs_of(held.parts):
+        dear = (cost[some][of] - lengths(plain, rest, -1)) / sizes(runs)
+        best = best_of_each(dear, of, 1)
+        found += [runs[k] for k in best]
+        dearest.append(dear[best])
+    best = best_of_each(np.concatenate(dearest), held.of, FIRST)
+    return [found[k] for k in best], held.of[best]
 
 
 def toxic_dictionary(base: bytes, toxic: Windows, ordinary: Windows) -> tuple[bytes, np.ndarray, np.ndarray]:

@@ -25,26 +25,33 @@ class Sample:
     counts: dict
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: dict | int, longest: int = 50_000, text: str = "text", row_id: str = "doc_id") -> Sample:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: dict | int, longest: int = 50_000, text: str = "text", row_id: str = "doc_id", most: int = 48 << 20) -> Sample:
     """At most ``per_class`` labelled documents of each label, drawn by a hash of the id.
 
     ``train`` says of a row of ``labels`` whether it may be learned from. Only
-    texts of up to ``longest`` code points are drawn, so the sample is bounded
-    in bytes too; both bounds concern fitting alone. Null labels, null texts and
-    ids that are labelled twice differently are left out; repeated texts and
-    near copies (the same three least hashes of word pairs) count once.
+    texts of up to ``longest`` code points are drawn, and of these in the order
+    of the hash only so many that each label has its share of ``most`` code
+    points, so that the sample is bounded in bytes too; all three bounds concern
+    fitting alone. Null labels, null texts and ids that are labelled twice
+    differently are left out; repeated texts and near copies (the same three
+    least hashes of word pairs) count once.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(row_id).isNotNull() & train).groupBy(F.col(row_id).cast("long").alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__most"))
     ids = ids.where("__label = __most").select("__id", "__label")
     counts = {r["__label"]: r["count"] for r in ids.groupBy("__label").count().collect()}
-    most = lambda c: per_class if isinstance(per_class, int) else per_class.get(c, 0)
+    wanted = lambda c: per_class if isinstance(per_class, int) else per_class.get(c, 0)
     draw = F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 30)) / F.lit(1 << 30)
     share = F.lit(0.0)
     for c, n in counts.items():
-        share = F.when(F.col("__label") == c, F.lit(min(1.0, most(c) / n))).otherwise(share)
-    few = F.broadcast(ids.where(draw < share))  # about the sum of per_class rows, whatever the input
-    found = docs.where(F.col(text).isNotNull() & (F.char_length(text) <= longest)).join(few, F.col(row_id).cast("long") == F.col("__id"))
-    frame = found.select("__id", "__label", F.col(text).cast("string").alias("__text")).toPandas().sort_values(["__id", "__text"])
+        share = F.when(F.col("__label") == c, F.lit(min(1.0, wanted(c) / n))).otherwise(share)
+    few = ids.withColumn("__draw", draw).where(F.col("__draw") < share)  # about the sum of per_class rows, whatever the input
+    met = lambda some: docs.where(F.col(text).isNotNull() & (F.char_length(text) <= longest)).join(F.broadcast(some), F.col(row_id).cast("long") == F.col("__id"))
+    # Lengths first: a few bytes a row of what may be drawn.
+    sizes = met(few).select("__id", "__label", "__draw", F.char_length(text).alias("size")).toPandas().sort_values(["__draw", "__id", "size"])
+    within = sizes[sizes.groupby("__label")["size"].cumsum() <= most // max(1, len(counts))]
+    if len(within) < len(sizes):
+        few = few.join(F.broadcast(docs.sparkSession.createDataFrame(within[["__id"]].drop_duplicates(), "__id long")), "__id")
+    frame = met(few).select("__id", "__label", F.col(text).cast("string").alias("__text")).toPandas().sort_values(["__id", "__text"])
     return _distinct(frame, counts)
 
 

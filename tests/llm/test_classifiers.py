@@ -121,6 +121,8 @@ def test_sample_is_bounded_and_leaves_out_what_it_cannot_learn_from(spark, make_
     sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, {0: 50, 1: 1000})
     assert 20 < sample.labels.count(0) < 90 and sample.counts[1] > 100
     assert not any(len(t) > 50_000 for t in sample.texts) and "text number 7 of some words 49" not in sample.texts
+    small = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, {0: 50, 1: 1000}, most=1000)
+    assert all(0 < sum(len(t) for t, y in zip(small.texts, small.labels, strict=True) if y == k) <= 500 for k in (0, 1))
 
 
 def test_toxicity_score_is_that_of_two_dictionaries_window_by_window():

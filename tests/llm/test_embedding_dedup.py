@@ -67,3 +67,11 @@ def test_distant_parts_are_skipped_and_none_is_lost():
         met[i, j] = True
     close = np.abs(at[:, :1] - at[:, 0]) <= 0.2
     assert met[np.triu(close)].all() and met.sum() < 0.5 * met.size
+
+
+def test_double_vectors_are_compared_in_double_precision(spark):
+    """A cosine that is at the threshold in double precision, and below it once the components are cut to floats."""
+    angle = math.acos(0.98)
+    rows = [(1, [1.0, 0.0], 0), (2, [math.cos(angle - 1e-10), math.sin(angle - 1e-10)], 0), (3, [math.cos(angle + 1e-10), -math.sin(angle + 1e-10)], 0)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}

@@ -73,3 +73,12 @@ def test_odd_rows(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
     kept = simhash.one_of_each(make_docs(ODD))
     assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 7, 8, 9, None} and kept.columns == make_docs([]).columns
+
+
+def test_repeated_ids_lose_no_text(spark, make_docs):
+    """An id with several texts, copies under one id and under none: one row of each group stays, and no group goes."""
+    a, b, c = ("one two three four five six", "red green blue black white grey", "sun moon star sky cloud rain")
+    docs = make_docs([(5, a), (5, b), (3, a), (5, b), (None, c), (None, c), (None, a)])
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.one_of_each(docs).collect()) == [(-1, c), (3, a), (5, b)]
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 3), (3, 3), (5, 3), (5, 5), (5, 5)]
