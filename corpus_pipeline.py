@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.DigestIndex(spark).deduplicate(docs)
+    index = exact_dedup.DigestIndex(spark)
+    kept = index.deduplicate(docs)
+    index.drop()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
