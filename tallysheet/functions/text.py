@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space: outside and inside a character class.
@@ -54,22 +54,22 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"(?U){_S}+", " "))
 
 
-# Letters that recognition takes for digits: only between two characters of an arithmetic context.
+#: Letters that recognition takes for digits: only between two characters of an arithmetic context. Fixed values.
 LOOKALIKES = {"O": "0", "l": "1", "I": "1", "S": "5", "Z": "2"}
 
 
 def _lookalike(letters: str, before: str, after: str) -> list[Rule]:
-    # The letter comes first in the pattern, and what stands before it is looked at last: the search is then for a letter.
-    return _rules(*((c, f"{c}(?=[0-9+\\-*/={{in}}{after}])(?<=[0-9+\\-*/={{in}}{before}]{c})", LOOKALIKES[c]) for c in letters))
+    return _rules(*((c, f"(?<=[0-9+\\-*/={{in}}{before}]){c}(?=[0-9+\\-*/={{in}}{after}])", LOOKALIKES[c]) for c in letters))
 
 
-#: T1 to T4 with the type each change is recorded under (T5), in order.
+#: T1 to T4 with the type each change is recorded under (T5), in order. Fixed values.
 SUBSTITUTIONS: list[tuple[str, Rule]] = [
     *(("letter_to_digit", r) for r in _lookalike("OlISZ", r"\(", r"\)")),
     *(("operator_normalization", r) for r in _rules(("×", "×", "*"), ("÷", "÷", "/"), ("−", "−", "-"))),
-    *(("implicit_multiplication", r) for r in _rules(("", r"(\d)(?<=[a-zA-Z]\d)", "*$1"), ("", r"(\d)(?=[a-zA-Z])", "$1*"))),
+    *(("implicit_multiplication", r) for r in _rules(("", r"([a-zA-Z])(\d)", "$1*$2"), ("", r"(\d)([a-zA-Z])", "$1*$2"))),
     *(("contextual_digit", r) for r in _rules(("oO", r"(?<=\d){s}*[oO]{s}*(?=\d)", "0"))),
 ]
+#: T6 to T9 and the clean-up of single engines. Fixed values.
 EQUALS, PLUS, TIMES, OVER = _rules(("=", r"{s}*={s}*", " = "), ("+", r"{s}*\+{s}*", " + "), ("*", r"{s}*\*{s}*", " * "), ("/", r"{s}*/{s}*", " / "))
 MINUS, POWER, OPENING, CLOSING, FRACTION = _rules(("-", r"{s}*-{s}*", " - "), ("^", r"{s}*\^{s}*", "^"), ("(", r"{s}*\({s}*", "("), (")", r"{s}*\){s}*", ") "), ("/", r"(\d+){s}*/{s}*(\d+)", "$1/$2"))
 BLANKS = _rules(("", r"{s}+", " "))
@@ -83,19 +83,16 @@ def substitute(text: Column) -> Column:
     return apply_rules(text, [rule for _, rule in SUBSTITUTIONS])
 
 
-def substitution_types(text: Column) -> Column:
-    """T5: one entry for each rule that changed the text, in rule order, as ``array<string>``.
+def with_substitution_types(rows: DataFrame, text: str = "text", name: str = "types") -> DataFrame:
+    """T5: the rows with one entry in ``name`` for each rule that changed the text, in rule order, as ``array<string>``.
 
-    The rules run through one fold over an array of stages, so that no stage is
-    computed twice.
+    Every stage is a column of its own, so none is computed twice and all run as generated code.
     """
-    start = F.struct(text.alias("t"), F.array().cast("array<string>").alias("types"))
-
-    def step(state: Column, kind: str, rule: Rule) -> Column:
-        changed = let(state, lambda s: F.struct(s["t"].alias("old"), apply_rule(s["t"], rule).alias("t"), s["types"].alias("types")))
-        return let(changed, lambda s: F.struct(s["t"].alias("t"), F.when(s["old"] != s["t"], F.concat(s["types"], F.array(F.lit(kind)))).otherwise(s["types"]).alias("types")))
-
-    return reduce(lambda state, kr: step(state, *kr), SUBSTITUTIONS, start)["types"]
+    stages = [text, *(f"{name}_stage_{k}" for k in range(len(SUBSTITUTIONS)))]
+    for before, after, (_, rule) in zip(stages, stages[1:], SUBSTITUTIONS, strict=False):
+        rows = rows.withColumn(after, apply_rule(F.col(before), rule))
+    types = F.array_compact(F.array(*[F.when(F.col(before) != F.col(after), F.lit(kind)) for before, after, (kind, _) in zip(stages, stages[1:], SUBSTITUTIONS, strict=False)]))
+    return rows.withColumn(name, F.when(F.col(text).isNotNull(), types)).drop(*stages[1:])
 
 
 def space_operators(text: Column) -> Column:
@@ -262,26 +259,3 @@ def preview(text: Column, length: int = 100) -> Column:
 def improvement(original_parses: Column, corrected_parses: Column, original: Column, fixed: Column) -> Column:
     """Estimated gain of a correction."""
     return F.when(~original_parses & corrected_parses, 0.3).when(original_parses & corrected_parses, 0.1).when(F.length(original) != F.length(fixed), 0.05).otherwise(0.0)
-
-
-#: T26. Texts of the stand-in recogniser, by density of edges. Fixed values.
-STAND_IN_TEXTS = ["x = 3", "y = 2x + 1", "a + b = c", "2x - 5 = 7", "x² + 1 = 10", "solve for x", "3(x + 2) = 15", "x/4 = 6", "2a + 3b = 12", "find x: x - 7 = 8"]
-
-
-def stand_in_text(edge_density: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, STAND_IN_TEXTS)), F.least(F.floor(edge_density * 8).cast("int"), F.lit(len(STAND_IN_TEXTS) - 1)) + 1)
-
-
-def stand_in_confidence(brightness: Column, contrast: Column, edge_density: Column) -> Column:
-    score = (1.0 - F.abs(brightness - 128) / 200) * 0.3 + F.least(contrast / 40.0, F.lit(1.0)) * 0.4 + F.least(edge_density * 3, F.lit(1.0)) * 0.3
-    return F.greatest(F.lit(0.2), F.least(F.lit(0.75), score))
-
-
-#: T27. Kinds of generated formulas, each from three numbers. Fixed forms.
-GENERATED = {"simple": "%dx + %d = %d", "fraction": "%d/%d = x/%d", "exponent": "x^2 + %dx - %d = %d", "complex": "(%dx + %d)/2 = %d"}
-
-
-def generated_formula(kind: str, seed: int) -> Column:
-    """A formula with seeded random numbers from 1 to 20."""
-    number = lambda k: (F.floor(F.rand(seed + k) * 20) + 1).cast("int")
-    return F.format_string(GENERATED[kind], number(0), number(1), number(2))

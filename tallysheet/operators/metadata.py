@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.functions.identifiers import academic_year, dated_id, is_due_date, points, subject_prefix
+from tallysheet.functions.identifiers import academic_year, dated_id, hashed_id, is_due_date, points, subject_prefix
 from tallysheet.functions.text import let
-from tallysheet.schemas import ASSIGNMENTS
+from tallysheet.schemas import ASSIGNMENT_CORE, ASSIGNMENTS
 
 FIELDS = tuple(ASSIGNMENTS.names)
 REQUIRED = ("assignment_id", "subject", "assignment_name", "due_date", "total_points")
@@ -79,6 +79,24 @@ def from_payload(json: Column, strict: bool = False) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.from_json(json, str(ASSIGNMENTS)))
 
 
+CORE = tuple(ASSIGNMENT_CORE.names)
+
+
+def created(wanted: DataFrame) -> DataFrame:
+    """An assignment and its payload for each row, in one step, without a template.
+
+    Rows: ``request_id, assignment_name, subject, teacher_name, class_period,
+    total_points, created_at``; a null period is ``Unknown``, null points are
+    100; the work is due on the day it is created.
+    """
+    at = F.col("created_at")
+    rows = wanted.select(
+        "request_id", hashed_id(F.col("assignment_name"), at).alias("assignment_id"), "assignment_name", "subject", F.coalesce("class_period", F.lit("Unknown")).alias("class_period"), "teacher_name",
+        F.date_format(at, "yyyy-MM-dd").alias("due_date"), F.coalesce("total_points", F.lit(100)).cast("int").alias("total_points"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("created_date"), F.lit("1.0").alias("qr_version"),
+    )
+    return rows.withColumn("payload", payload(rows, CORE))
+
+
 def any_payload(value: Column, key: str = "assignment_name") -> Column:
     """A text that is JSON as it is, any other text wrapped under ``key``."""
     is_json = F.try_parse_json(value).isNotNull()

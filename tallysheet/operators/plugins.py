@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysheet.functions.text import stand_in_confidence, stand_in_text
-from tallysheet.operators.raster import brightness, contrast, neighbourhood
 from tallysheet.schemas import OCR_RESULTS
 
 Engine = Callable[[np.ndarray], tuple[str, float]]
@@ -92,13 +90,3 @@ def cascade(registry: Registry, images: DataFrame, order: list[str], enough: flo
         sure = found.where(F.col("error_message").isNull() & (F.trim("text") != "") & (F.col("confidence") >= enough)).select("image_id")
         left = left.join(sure, "image_id", "left_anti")
     return out
-
-
-def stand_in(images: DataFrame) -> DataFrame:
-    """Results of a deterministic engine for tests: a text by edge density, a confidence by image quality."""
-    p = F.col("pixels")
-    rows = images.select("image_id", brightness(p).alias("b"), contrast(p).alias("c")).join(neighbourhood(images), "image_id")
-    return rows.select(
-        "image_id", F.lit("stand_in").alias("engine_name"), F.lit(0).alias("pos"), stand_in_text(F.col("edge_density")).alias("text"),
-        stand_in_confidence(F.col("b"), F.col("c"), F.col("edge_density")).alias("confidence"), F.lit(0.0).alias("processing_time"), F.lit(None).cast("string").alias("error_message"),
-    )

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysheet.functions.text import let
 from tallysheet.schemas import RASTERS
@@ -107,7 +108,7 @@ def enhancement_plan(quality: DataFrame) -> DataFrame:
     ))
     rows = quality.withColumn("needs", needs)
     ordered = F.array_sort(F.transform("needs", lambda x, i: F.struct(x["rank"].alias("rank"), i.alias("i"), x["step"].alias("step"))))
-    return rows.select("image_id", F.array_join(F.transform("needs", lambda x: x["need"]), ",").alias("enhancements_needed"), F.array_join(F.transform(ordered, lambda x: x["step"]), ",").alias("steps"))
+    return rows.withColumns({"enhancements_needed": F.array_join(F.transform("needs", lambda x: x["need"]), ","), "steps": F.array_join(F.transform(ordered, lambda x: x["step"]), ",")}).drop("needs")
 
 
 def adjusted(pixels: Column) -> Column:
@@ -231,43 +232,102 @@ def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return x[r0][:, c0] * (1 - fr) * (1 - fc) + x[r0][:, c1] * (1 - fr) * fc + x[r1][:, c0] * fr * (1 - fc) + x[r1][:, c1] * fr * fc
 
 
-#: Steps by name; each takes and gives an image of greys.
+def binarised(image: np.ndarray) -> np.ndarray:
+    """Black and white at the Otsu threshold: the grey up to which is black."""
+    counts = np.bincount(image.ravel(), minlength=256)
+    below, total = np.cumsum(counts), np.cumsum(counts * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.nan_to_num(below * above * (total / below - (total[-1] - total) / above) ** 2)
+    return np.where(image > np.round(between, 6).argmax(), 255, 0)
+
+
+def _square(image: np.ndarray, before: bool, outside: int) -> np.ndarray:
+    """Each pixel's 2 by 2 square, with the pixels before it or after it; pixels outside have a grey that never counts."""
+    pad = (1, 0) if before else (0, 1)
+    return np.lib.stride_tricks.sliding_window_view(np.pad(image, (pad, pad), constant_values=outside), (2, 2))
+
+
+def closed(image: np.ndarray) -> np.ndarray:
+    """Morphological closing with a 2 by 2 square: greatest grey, then least."""
+    return _square(_square(image, True, 0).max(axis=(2, 3)), False, 255).min(axis=(2, 3))
+
+
+def opened(image: np.ndarray) -> np.ndarray:
+    """Morphological opening with a 2 by 2 square: least grey, then greatest."""
+    return _square(_square(image, True, 255).min(axis=(2, 3)), False, 0).max(axis=(2, 3))
+
+
+#: Steps by name; each takes and gives an image of greys.
 STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "sharpening": sharpen, "denoising": lambda x: median_filter(x, 3), "contrast_enhancement": equalised, "threshold": adaptive_threshold,
+    "sharpening": sharpen, "denoising": lambda x: median_filter(x, 3), "contrast_enhancement": equalised, "threshold": adaptive_threshold, "binarise": binarised, "close": closed, "open": opened,
     "upscaling": lambda x: bilinear(x, *(int(n * min(3.0, 1600 / x.shape[1])) for n in x.shape)) if x.shape[1] < 1200 or x.shape[0] < 800 else x,
+    "double": lambda x: bilinear(x, *(2 * n for n in x.shape)),
     "brightness_correction": lambda x: x + (128 - x.mean()) if abs(128 - x.mean()) > 10 else x,
 }
+#: The steps before recognition by engine. Fixed values.
+CHAINS = {"printed": "double,denoising,binarise,close,open", "handwriting": "contrast_enhancement,denoising", "formula": "contrast_enhancement,sharpening"}
 
 
-def neighbourhood(images: DataFrame) -> DataFrame:
-    """Noise (mean distance from the 5 by 5 median) and edge density of each image."""
+@F.pandas_udf(T.StructType([T.StructField("noise_level", T.DoubleType()), T.StructField("edge_density", T.DoubleType())]))
+def neighbourhood(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Noise (mean distance from the 5 by 5 median) and edge density of each image, as a struct beside its row."""
+    grids = [np.asarray(p).reshape(h, w) for p, h, w in zip(pixels, height, width, strict=True)]
+    return pd.DataFrame({"noise_level": [float(np.abs(g - median_filter(g)).mean()) for g in grids], "edge_density": [float(edges(g).mean()) for g in grids]})
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            grids = [np.asarray(p).reshape(h, w) for p, h, w in zip(f["pixels"], f["height"], f["width"], strict=True)]
-            yield pd.DataFrame({"image_id": f["image_id"], "noise_level": [float(np.abs(g - median_filter(g)).mean()) for g in grids], "edge_density": [float(edges(g).mean()) for g in grids]})
 
-    return images.select("image_id", "height", "width", "pixels").mapInPandas(measure, "image_id long, noise_level double, edge_density double")
+def analysed(images: DataFrame) -> DataFrame:
+    """The images with their measures, I5's scores and I6's plan; every image passes once, nothing is shuffled."""
+    p, h, w = F.col("pixels"), F.col("height"), F.col("width")
+    rows = images.withColumns({"brightness": brightness(p), "contrast": contrast(p), "sharpness": sharpness(p, h, w), "around": neighbourhood(p, h, w)})
+    return enhancement_plan(full_quality(rows.select("*", "around.*").drop("around")))
 
 
-def apply_steps(images: DataFrame, steps: str = "steps") -> DataFrame:
-    """Each image after its comma-separated steps; a step that fails is passed over, ``applied`` lists those that ran."""
+def apply_steps(images: DataFrame, steps: str = "steps", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each image after its comma-separated steps, and the columns in ``keep``; a step that fails is passed over, ``applied`` lists those that ran."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for image_id, h, w, pixels, plan in zip(f["image_id"], f["height"], f["width"], f["pixels"], f[steps], strict=True):
-                x, done = np.asarray(pixels).reshape(h, w), []
-                for step in filter(None, (plan or "").split(",")):
-                    try:
-                        x = np.clip(np.rint(STEPS[step](x)), 0, 255).astype(np.int64)
-                        done.append(step)
-                    except (KeyError, ValueError):
-                        continue
-                out.append((image_id, x.shape[0], x.shape[1], x.ravel().astype(np.int32), ",".join(done)))
-            yield pd.DataFrame(out, columns=[*RASTERS.names, "applied"])
-
-    return images.select("image_id", "height", "width", "pixels", steps).mapInPandas(run, "image_id long, height int, width int, pixels array<int>, applied string")
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series, plans: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, h, w, plan in zip(pixels, height, width, plans, strict=True):
+            x, done = np.asarray(p).reshape(h, w), []
+            for step in filter(None, (plan or "").split(",")):
+                try:
+                    x = np.clip(np.rint(STEPS[step](x)), 0, 255).astype(np.int64)
+                    done.append(step)
+                except (KeyError, ValueError):
+                    continue
+            out.append((x.shape[0], x.shape[1], x.ravel().astype(np.int32), ",".join(done)))
+        return pd.DataFrame(out, columns=["height", "width", "pixels", "applied"])
+
+    done = F.pandas_udf(run, "height int, width int, pixels array<int>, applied string")("pixels", "height", "width", F.col(steps).cast("string"))
+    return images.select("image_id", *keep, done.alias("done")).select("image_id", *keep, "done.*")
+
+
+def processed_for_recognition(images: DataFrame, last: str = "close,open,binarise") -> DataFrame:
+    """Analysis, plan, its steps, then those of ``last``; the score before and after and the improvement.
+
+    The plan and the score before travel with the image, so nothing is joined.
+    """
+    before = analysed(images)
+    out = apply_steps(before.withColumn("steps", F.concat_ws(",", F.when(F.col("steps") != "", F.col("steps")), F.lit(last))), keep=("overall_score", "enhancements_needed"))
+    out = out.withColumnRenamed("overall_score", "score_before").withColumnRenamed("enhancements_needed", "enhancements_applied")
+    after = analysed(out.drop("steps")).withColumnRenamed("overall_score", "score_after")
+    return after.withColumns({"improvement": F.col("score_after") - F.col("score_before"), "recommended": F.col("score_after") >= 70})
+
+
+def processing_log(images: DataFrame, angles: DataFrame, most: int = 2000, denoise: bool = True, deskew: bool = True, contrast: bool = True) -> DataFrame:
+    """What the standard chain does to each image (``image_id, height, width``), in order, and the size it gives.
+
+    The skew comes from :func:`dominant_angle`; an image without usable
+    contours, or with less than half a degree, is logged with none.
+    """
+    rows = images.join(angles.select("image_id", F.when(F.col("rotate"), F.col("angle")).alias("skew")), "image_id", "left").withColumn("skew", F.coalesce("skew", F.lit(0.0)))
+    steps = F.array(
+        F.when(F.lit(denoise), F.lit("denoise")), F.when(F.lit(deskew), F.format_string("deskew_%.2fdeg", "skew")), F.when(F.lit(contrast), F.lit("enhance_contrast")),
+        F.when(F.col("width") > most, F.lit(f"resize_to_{most}px")),
+    )
+    size = fitted_size(F.col("width"), F.col("height"), most)
+    return rows.select("image_id", F.array_join(F.array_compact(steps), ",").alias("steps"), size["width"].alias("width"), size["height"].alias("height"))
 
 
 def from_images(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.functions.text import corrected, improvement, substitution_types
+from tallysheet.functions.text import corrected, improvement, with_substitution_types
 from tallysheet.functions.validate import is_expression
 
 
@@ -14,7 +14,7 @@ def corrections(texts: DataFrame) -> DataFrame:
 
     The stages are columns of their own, so that each is computed once.
     """
-    rows = texts.select("id", "text", substitution_types(F.col("text")).alias("types"), corrected(F.col("text")).alias("corrected"))
+    rows = with_substitution_types(texts.select("id", "text")).withColumn("corrected", corrected(F.col("text")))
     rows = rows.withColumns({"original_parses": is_expression(F.col("text")), "corrected_parses": is_expression(F.col("corrected"))})
     return rows.withColumn("estimated_improvement", improvement(F.col("original_parses"), F.col("corrected_parses"), F.col("text"), F.col("corrected")))
 

@@ -1,43 +1,22 @@
 """Queries by name over the driver tables, each with its SQL where SQL can express it.
 
 Names begin with the rows of the inventory they cover. Doubles are rounded to
-six places on both sides, since sums may be taken in any order.
+six places on both sides, since sums may be taken in any order; means of a few
+numbers of few digits, which would tie at the sixth place, to ten.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.functions import text as T
 from tallysheet.functions import validate as V
-from tallysheet.operators import layout, metadata, plugins, qr, raster, reports, votes
+from tallysheet.operators import layout, metadata, qr, raster, reports, votes
 from tallysheet.plans import sql_text as S
+from tallysheet.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tallysheet.sources import relations as R
 from tallysheet.sources.templates import BUILT_IN, templates
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, without negative zeros."""
-    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 OK = "error_message IS NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''"
 BEST = "first({0} ORDER BY confidence DESC, priority, engine_name)"
 USABLE = f"{R.RESULTS_SQL}, ok AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS said FROM ocr WHERE {OK})"
@@ -83,24 +62,24 @@ QUALITY_SQL = f"""q AS (SELECT o.image_id, count(*) AS total, count(*) FILTER (e
 
 @query("a6_a9_quality", f"""WITH {USABLE}, {WEIGHTED}, {QUALITY_SQL}
 SELECT image_id, CASE WHEN good = 0 THEN 'poor' WHEN mean >= 0.8 THEN 'excellent' WHEN mean >= 0.6 THEN 'good' WHEN mean >= 0.4 THEN 'fair' ELSE 'poor' END AS overall_quality,
-  round(CASE WHEN texts = 0 THEN 0 ELSE 1.0 / texts END, 6) AS engine_agreement, round(CASE WHEN good = 0 THEN 0 ELSE greatest(0, 1 - t / 60) END, 6) AS processing_efficiency,
+  round(CASE WHEN texts = 0 THEN 0 ELSE 1.0 / texts END, 6) AS engine_agreement, round(CASE WHEN good = 0 THEN 0 ELSE greatest(0, 1 - t / 60) END, 10) AS processing_efficiency,
   round(CASE WHEN good = 0 THEN 0 WHEN good = 1 THEN 1 ELSE greatest(0, 1 - sd) END, 6) AS confidence_consistency, nullif(good, 0) AS successful_engines, CASE WHEN good > 0 THEN total END AS total_engines FROM q""")
 def quality(spark, d):
     results = R.ocr_results(spark, d)
-    return rounded(votes.quality(results, votes.weighted_vote(results)))
+    return rounded(votes.quality(results, votes.weighted_vote(results)), processing_efficiency=10)
 
 
 @query("a10_a11_a27_engine_statistics", f"""WITH {R.ENGINES_SQL}, {R.CALLS_SQL}
 SELECT e.engine_name, enabled, count(event_id) AS total_calls, count(*) FILTER ({OK}) AS successful_calls, round(coalesce(sum(processing_time), 0), 6) AS total_time,
-  round(coalesce(avg(confidence) FILTER ({OK}), 0), 6) AS average_confidence, round(coalesce(CAST(count(*) FILTER ({OK}) AS DOUBLE) / nullif(count(event_id), 0), 0), 6) AS success_rate
+  round(coalesce(avg(confidence) FILTER ({OK}), 0), 10) AS average_confidence, round(coalesce(CAST(count(*) FILTER ({OK}) AS DOUBLE) / nullif(count(event_id), 0), 0), 6) AS success_rate
 FROM engines e LEFT JOIN calls c ON e.engine_name = c.engine_name GROUP BY e.engine_name, enabled""")
 def engine_statistics(spark, d):
-    return rounded(votes.engine_statistics(R.engine_calls(spark, d), R.engines(spark)))
+    return rounded(votes.engine_statistics(R.engine_calls(spark, d), R.engines(spark)), average_confidence=10)
 
 
-@query("a23_compare_engines", f"WITH {R.CALLS_SQL} SELECT image_id, engine_name, count(*) AS calls, round(max(confidence), 6) AS best, round(avg(confidence), 6) AS mean, count(error_message) AS failures FROM calls GROUP BY ALL")
+@query("a23_compare_engines", f"WITH {R.CALLS_SQL} SELECT image_id, engine_name, count(*) AS calls, round(max(confidence), 6) AS best, round(avg(confidence), 10) AS mean, count(error_message) AS failures FROM calls GROUP BY ALL")
 def compare_engines(spark, d):
-    return rounded(votes.compare_engines(R.engine_calls(spark, d)))
+    return rounded(votes.compare_engines(R.engine_calls(spark, d)), mean=10)
 
 
 @query("a26_engines_used", f"WITH {R.RESULTS_SQL} SELECT image_id, coalesce(string_agg(engine_name, ',' ORDER BY priority, engine_name) FILTER ({OK}), '') AS engines_used, string_agg(engine_name, ',' ORDER BY priority, engine_name) AS engines_run FROM ocr GROUP BY image_id")
@@ -156,7 +135,7 @@ def corrector(spark, d):
 
 @query("t5_a14_correction_types", S.types_query())
 def correction_types(spark, d):
-    return reports.correction_counts(R.math_texts(spark, d).select(T.substitution_types(F.col("text")).alias("types")))
+    return reports.correction_counts(T.with_substitution_types(R.math_texts(spark, d)).select("types"))
 
 
 @query("t11_t12_tesseract_notation", S.rule_query(S.PRINTED, S.COLLAPSED))
@@ -246,9 +225,9 @@ def variant_lines(spark, d):
     return layout.line_texts(layout.anchor_lines(boxes, order=("top", "idx")), 15.0)
 
 
-@query("o15_a12_simple_text", f"WITH {R.BOXES_SQL} SELECT page_id, string_agg(text, ' ' ORDER BY idx) AS text, round(avg(conf), 6) AS mean_conf FROM boxes WHERE {ROUND_TRIP} > 0 GROUP BY page_id")
+@query("o15_a12_simple_text", f"WITH {R.BOXES_SQL} SELECT page_id, string_agg(text, ' ' ORDER BY idx) AS text, round(avg(conf), 10) AS mean_conf FROM boxes WHERE {ROUND_TRIP} > 0 GROUP BY page_id")
 def simple_text(spark, d):
-    return rounded(layout.simple_text(layout.confident(R.word_boxes(spark, d))))
+    return rounded(layout.simple_text(layout.confident(R.word_boxes(spark, d))), mean_conf=10)
 
 
 @query("o8_low_confidence_fallback", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 30 AND l_partkey % 50 > l_quantity THEN 'general' ELSE 'math' END AS text, CASE WHEN l_quantity < 30 AND l_partkey % 50 > l_quantity THEN CAST(l_partkey % 50 AS DOUBLE) ELSE l_quantity END AS conf FROM lineitem")
@@ -356,10 +335,15 @@ def payload(spark, d):
     return rows.select("request_id", metadata.payload(rows, ("assignment_id", "subject", "due_date", "total_points", "class_period", "academic_year")).alias("payload"))
 
 
-@query("j2_j8_round_trip", f"WITH {INSTANCES_SQL} SELECT request_id, TRUE AS same FROM ins WHERE made")
+@query("j2_j8_round_trip", f"""WITH {INSTANCES_SQL} SELECT request_id, {IDENT} AS assignment_id, subject, assignment_name, due_date, {POINTS} AS total_points, class_period, teacher_name, {YEAR} AS academic_year,
+  strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, '1.0' AS qr_version, name AS template_name, CAST(kinds AS VARCHAR) AS problems, TRUE AS same, request_id % 3 = 0 AS short_is_read FROM ins WHERE made""")
 def round_trip(spark, d):
-    rows = metadata.instantiate(R.requests(spark, d), templates(spark)).where("error IS NULL")
-    return metadata.round_trip(rows).select("request_id", "same")
+    """Each field as it is read back from the payload; and of a third of the rows a payload that lacks optional keys, which lenient reading alone takes."""
+    rows = metadata.round_trip(metadata.instantiate(R.requests(spark, d), templates(spark)).where("error IS NULL"))
+    rows = rows.withColumns({"back": metadata.from_payload(F.col("payload"), strict=True), "short": F.when(F.col("request_id") % 3 == 0, metadata.payload(rows, metadata.REQUIRED))})
+    read = metadata.from_payload(F.col("short"))["assignment_id"].isNotNull() & metadata.from_payload(F.col("short"), strict=True).isNull()
+    extra = F.col("back.additional_data")
+    return rows.select("request_id", *[f"back.{f}" for f in metadata.FIELDS if f != "additional_data"], extra["template_name"].alias("template_name"), extra["problems_count"].alias("problems"), "same", F.coalesce(read, F.lit(False)).alias("short_is_read"))
 
 
 @query("j3_any_payload", f"""WITH {R.DETECTIONS_SQL} SELECT image_id, seq, CASE WHEN json_valid(data) THEN data ELSE '{{"data":"' || data || '"}}' END AS payload FROM det""")
@@ -404,22 +388,59 @@ def basic_quality(spark, d):
     return raster.basic_quality(raster.measures(R.rasters(spark, d))).select("image_id", "is_sharp", "has_good_contrast", "is_well_lit", "overall_score", "is_suitable_for_ocr")
 
 
-@query("i5_i6_o4_quality_and_plan")
+AROUND_SQL = f"""{LAPLACE_SQL}, span AS (SELECT unnest(range(-5, 6)) AS o),
+med AS (SELECT image_id, avg(abs(v - m)) AS noise FROM (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, median(n.v) AS m FROM grid g, span y, span x, grid n
+  WHERE y.o BETWEEN -2 AND 2 AND x.o BETWEEN -2 AND 2 AND n.image_id = g.image_id AND n.r = least(greatest(g.r + y.o, 0), 7) AND n.c = least(greatest(g.c + x.o, 0), 7) GROUP BY g.image_id, g.r, g.c) GROUP BY image_id),
+nine AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, sum(n.v) AS total, abs(sum(x.o * (2 - abs(y.o)) * n.v)) + abs(sum(y.o * (2 - abs(x.o)) * n.v)) >= 50 AS edge FROM grid g, span y, span x, grid n
+  WHERE y.o BETWEEN -1 AND 1 AND x.o BETWEEN -1 AND 1 AND n.image_id = g.image_id AND n.r = CASE g.r + y.o WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE g.r + y.o END AND n.c = CASE g.c + x.o WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE g.c + x.o END GROUP BY g.image_id, g.r, g.c),
+edg AS (SELECT image_id, avg(CAST(edge AS INTEGER)) AS density FROM nine GROUP BY image_id)"""
+PLAN_SQL = f"""{AROUND_SQL}, sco AS (SELECT mes.image_id, brightness AS b, contrast AS k, sharpness AS s, noise,
+    CASE WHEN brightness < 80 THEN brightness / 80 * 100 WHEN brightness > 200 THEN greatest(0, 300 - brightness) ELSE 100 END AS brightness_score, least(100, contrast / 30 * 100) AS contrast_score, least(100, sharpness / 50 * 100) AS sharpness_score,
+    greatest(0, 100 - noise / 15 * 100) AS noise_score, CAST(30 AS DOUBLE) AS resolution_score, CASE WHEN density BETWEEN 0.05 AND 0.4 THEN 100 ELSE greatest(0, 100 - abs(density - 0.2) * 200) END AS text_clarity_score
+  FROM mes JOIN med ON mes.image_id = med.image_id JOIN edg ON mes.image_id = edg.image_id),
+pla AS (SELECT *, (brightness_score + contrast_score + sharpness_score + noise_score + resolution_score + text_clarity_score) / 6 AS overall_score,
+    concat_ws(',', CASE WHEN b < 80 THEN 'brighten' END, CASE WHEN b > 200 THEN 'darken' END, CASE WHEN k < 30 THEN 'contrast_enhancement' END, CASE WHEN s < 50 THEN 'sharpening' END, CASE WHEN noise > 15 THEN 'denoising' END, 'upscaling') AS enhancements_needed,
+    concat_ws(',', CASE WHEN b < 80 OR b > 200 THEN 'brightness_correction' END, CASE WHEN k < 30 THEN 'contrast_enhancement' END, CASE WHEN s < 50 THEN 'sharpening' END, CASE WHEN noise > 15 THEN 'denoising' END, 'upscaling') AS steps FROM sco)"""
+SCORES = ("brightness_score", "contrast_score", "sharpness_score", "noise_score", "resolution_score", "text_clarity_score", "overall_score")
+
+
+@query("i5_i6_o4_quality_and_plan", f"WITH {PLAN_SQL} SELECT image_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, overall_score < 70 AS needs_enhancement, enhancements_needed, steps FROM pla")
 def quality_and_plan(spark, d):
-    """Noise and edges come from numpy filters, so the tests hold this one against a plain version."""
-    images = R.rasters(spark, d)
-    q = raster.full_quality(raster.measures(images).join(raster.neighbourhood(images), "image_id"))
-    plan = raster.enhancement_plan(q)
-    return rounded(q.select("image_id", "brightness_score", "contrast_score", "sharpness_score", "noise_score", "resolution_score", "text_clarity_score", "overall_score", "needs_enhancement").join(plan, "image_id"))
+    return rounded(raster.analysed(R.rasters(spark, d)).select("image_id", *SCORES, "needs_enhancement", "enhancements_needed", "steps"))
 
 
 @query("i7_i18_enhanced")
 def enhanced(spark, d):
-    images = R.rasters(spark, d)
-    q = raster.full_quality(raster.measures(images).join(raster.neighbourhood(images), "image_id"))
-    steps = raster.enhancement_plan(q).select("image_id", "steps")
-    out = raster.apply_steps(images.join(steps, "image_id"))
-    return rounded(out.select("image_id", "height", "width", "applied", raster.brightness(F.col("pixels")).alias("brightness"), raster.contrast(F.col("pixels")).alias("contrast")))
+    """The whole plan and the last steps; a chain of filters over pixels is beyond SQL, so the tests hold it against a plain version."""
+    out = raster.processed_for_recognition(R.rasters(spark, d))
+    return rounded(out.select("image_id", "height", "width", "applied", "enhancements_applied", "brightness", "contrast", "score_before", "score_after", "improvement", "recommended"))
+
+
+@query("i9_sharpened", f"""WITH {AROUND_SQL}, k AS (SELECT image_id, CASE WHEN density < 0.05 THEN -1.0 WHEN density < 0.15 THEN -0.5 ELSE -0.25 END AS side FROM edg)
+SELECT nine.image_id, CAST(sum(CAST(least(greatest(round_even(CAST(side * total + (1 - 9 * side) * v AS DOUBLE), 0), 0), 255) AS BIGINT)) AS BIGINT) AS total FROM nine JOIN k ON nine.image_id = k.image_id GROUP BY nine.image_id""")
+def sharpened(spark, d):
+    return stepped(spark, d, "sharpening")
+
+
+@query("i16_adaptive_threshold", f"""WITH {AROUND_SQL}, loc AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, avg(n.v) AS m FROM grid g, span y, span x, grid n
+  WHERE n.image_id = g.image_id AND n.r = least(greatest(g.r + y.o, 0), 7) AND n.c = least(greatest(g.c + x.o, 0), 7) GROUP BY g.image_id, g.r, g.c)
+SELECT image_id, CAST(sum(CASE WHEN v > m - 2 THEN 255 ELSE 0 END) AS BIGINT) AS total FROM loc GROUP BY image_id""")
+def adaptive_threshold(spark, d):
+    return stepped(spark, d, "threshold")
+
+
+@query("i17_closed", f"""WITH {R.RASTERS_SQL}, span AS (SELECT unnest([0, 1]) AS o),
+gro AS (SELECT g.image_id, g.r, g.c, max(n.v) AS v FROM grid g, span y, span x, grid n WHERE n.image_id = g.image_id AND n.r = g.r - y.o AND n.c = g.c - x.o GROUP BY g.image_id, g.r, g.c),
+clo AS (SELECT g.image_id, g.r, g.c, min(n.v) AS v FROM gro g, span y, span x, gro n WHERE n.image_id = g.image_id AND n.r = g.r + y.o AND n.c = g.c + x.o GROUP BY g.image_id, g.r, g.c)
+SELECT image_id, CAST(sum(v) AS BIGINT) AS total FROM clo GROUP BY image_id""")
+def closed(spark, d):
+    return stepped(spark, d, "close")
+
+
+def stepped(spark, d, step: str):
+    """Sum of the greys of each image after one step."""
+    out = raster.apply_steps(R.rasters(spark, d).withColumn("steps", F.lit(step)))
+    return out.select("image_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("i8_adjusted", f"""WITH {R.RASTERS_SQL}, m AS (SELECT image_id, avg(v) AS m, stddev_pop(v) AS s FROM grid GROUP BY image_id),
@@ -459,11 +480,6 @@ def structure(spark, d):
     return rounded(raster.math_structure(R.rasters(spark, d)))
 
 
-@query("t26_u1_stand_in")
-def stand_in(spark, d):
-    return rounded(plugins.stand_in(R.rasters(spark, d)))
-
-
 # --- Reports ---------------------------------------------------------------------
 
 

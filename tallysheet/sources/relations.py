@@ -30,12 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan dealt out to all cores if its files give fewer tasks than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def engines(spark: SparkSession) -> DataFrame:
     from tallysheet.schemas import ENGINES as SCHEMA
 
@@ -91,7 +85,7 @@ RESULTS_SQL = f"""{ENGINES_SQL}, {CALLS_SQL}, ocr AS (
 def math_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of all documents and the formulas; formulas have negative ids."""
     made = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(FORMULAS)], "id bigint, text string")
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).unionByName(made)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(made)
 
 
 FORMULAS_SQL = f"made(id, text) AS (VALUES {_values([(-1 - k, t) for k, t in enumerate(FORMULAS)])})"
@@ -170,7 +164,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     return o.select(
         k.alias("request_id"),
-        F.element_at(F.array(*[F.lit(t) for t in ("algebra1_basic", "ap_calculus_derivatives", "geometry_basic", "missing")]), (k % 4 + 1).cast("int")).alias("template_id"),
+        F.element_at(F.array(*[F.lit(t) for t in ("fractions_intro", "ratios_review", "angles_practice", "missing")]), (k % 4 + 1).cast("int")).alias("template_id"),
         F.concat(F.lit("Work "), k.cast("string")).alias("assignment_name"),
         F.when(k % 9 == 5, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due_date"),
         F.when(k % 3 == 0, F.concat(F.lit("Period "), (k % 7).cast("string"))).alias("class_period"), F.lit(None).cast("string").alias("teacher_name"),
@@ -180,7 +174,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTS_SQL = """req AS (
-  SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'algebra1_basic' WHEN 1 THEN 'ap_calculus_derivatives' WHEN 2 THEN 'geometry_basic' ELSE 'missing' END AS template_id,
+  SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'fractions_intro' WHEN 1 THEN 'ratios_review' WHEN 2 THEN 'angles_practice' ELSE 'missing' END AS template_id,
          'Work ' || CAST(o_orderkey AS VARCHAR) AS assignment_name, CASE WHEN o_orderkey % 9 = 5 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS due_date,
          CASE WHEN o_orderkey % 3 = 0 THEN 'Period ' || CAST(o_orderkey % 7 AS VARCHAR) END AS class_period, CAST(NULL AS VARCHAR) AS teacher_name,
          CASE WHEN o_orderkey % 5 < 2 THEN CAST(o_orderkey % 5 * 60 AS INTEGER) END AS custom_points, o_orderdate AS created_at

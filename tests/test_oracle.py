@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallysheet.plans import catalog
+from tallysheet.plans import catalog, more  # noqa: F401  both add to one registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
 

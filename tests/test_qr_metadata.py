@@ -42,11 +42,11 @@ def test_identifiers(spark):
 
 def test_templates_and_builder(spark, tmp_path):
     t = templates(spark)
-    assert [r.id for r in metadata.list_templates(t).collect()] == ["algebra1_basic", "ap_calculus_derivatives", "geometry_basic"]
-    assert [r.subject for r in metadata.subjects(t).collect()] == ["algebra1", "ap_calculus", "geometry"]
-    made = metadata.AssignmentBuilder(t).template("algebra1_basic").name("A").due("2025-06-20").worth(50).build(created_at=datetime.datetime(2025, 1, 2))
+    assert [r.id for r in metadata.list_templates(t).collect()] == ["fractions_intro", "ratios_review", "angles_practice"]
+    assert [r.subject for r in metadata.subjects(t).collect()] == ["arithmetic", "shapes"]
+    made = metadata.AssignmentBuilder(t).template("fractions_intro").name("A").due("2025-06-20").worth(50).build(created_at=datetime.datetime(2025, 1, 2))
     r = made.first()
-    assert r.error is None and r.total_points == 50 and r.academic_year == "2024-2025" and r.assignment_id.startswith("ALG-20250102-")
+    assert r.error is None and r.total_points == 50 and r.academic_year == "2024-2025" and r.assignment_id.startswith("ARI-20250102-")
     assert metadata.round_trip(made).first().same
     with pytest.raises(ValueError, match="due_date"):
         metadata.AssignmentBuilder(t).template("x").name("A").build()
