@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import forget, text_or_empty, written
+from tallysheet.llm.common import forget, splittable, text_or_empty, written
 
 #: Marks of a quotation at the start of a line: a run of ``>`` and blanks that ends in ``>``. One character class, since Java's repeated groups recurse.
 QUOTE = r"^[ \t>]*>"
@@ -156,7 +156,7 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
     placed = messages.drop("lines").join(links.drop("parent"), "mid", "left").join(tops, "mid", "left").withColumn("root_at", F.coalesce("root_at", "at"))
     ranked = in_order(placed, ["conv_id", "root_at", "at"], "rank")
     first = ranked.groupBy("conv_id").agg(F.min("rank").alias("start")).withColumnRenamed("conv_id", "c")
-    done = ranked.join(first, F.col("conv_id").eqNullSafe(F.col("c")))
+    done = ranked.join(splittable(first), F.col("conv_id").eqNullSafe(F.col("c")))
     return done.select(
         "conv_id", "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("root_at.turn").alias("thread"), (F.col("rank") - F.col("start")).alias("position"), "n_quoted", "text",
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("rendered"),
@@ -168,36 +168,72 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-CHAT_SQL = r"""
+def quoting_threads(docs: DataFrame) -> DataFrame:
+    """Conversations made of documents in a fixed way, most of which quote an earlier document of theirs whole."""
+    k = F.col("doc_id")
+    turn = k % 12
+    to = F.when((turn % 4 != 0) & (turn - 1 - k * 7 % 3 >= 0), k - 1 - k * 7 % 3)
+    rows = docs.select(k.alias("doc_id"), F.floor(k / 12).alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"), text_or_empty().alias("own"), to.alias("to"))
+    said = docs.select(k.alias("to"), F.concat(F.lit("On some day they wrote:\n> "), F.replace(text_or_empty(), F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("quote"))
+    return rows.join(said, "to", "left").select("conv_id", "turn", "role", F.concat(F.coalesce("quote", F.lit("")), "own").alias("text"))
+
+
+def quoted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 over messages that quote: all documents, in threads."""
+    return reply_ordered(quoting_threads(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("rendered")
+
+
+def chat_sql(source: str = "SELECT conv_id, turn, role, text FROM conversations", rendered: bool = True) -> str:
+    """The same rule over conversations without nulls and repeated turns, passage by passage."""
+    return rf"""
 WITH RECURSIVE m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, string_split(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, string_split(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM ({source})),
 q AS (
   SELECT conv_id, turn, role, ls, len(list_filter(ls, lambda s: regexp_matches(s, '^[ \t]*>'))) AS n_quoted FROM m),
 l AS (
   SELECT conv_id, turn, role, n_quoted, unnest(ls) AS s, generate_subscripts(ls, 1) AS k FROM q),
 a AS (
-  SELECT conv_id, turn, role, n_quoted, k, s,
+  SELECT conv_id, turn, role, n_quoted, k,
          length(replace(replace(regexp_extract(s, '^([ \t]*>)+'), ' ', ''), chr(9), '')) AS level,
          regexp_replace(regexp_replace(s, '^([ \t]*>)+', ''), '^ ', '') AS line
   FROM l),
 p AS (
   SELECT * FROM a WHERE NOT (n_quoted > 0 AND level = 0 AND regexp_matches(line,
-    '(?i)^[ \t]*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]*:[ \t]*$'))),
+    '(?i)^[ \t]*(on\b.{{0,200}}\bwrote|am\b.{{0,200}}\bschrieb.{{0,100}}|le\b.{{0,200}}\ba écrit|el\b.{{0,200}}\bescribió)[ \t]*:[ \t]*$'))),
 o AS (
-  SELECT conv_id, turn, role, regexp_replace(string_agg(line, chr(10) ORDER BY k) FILTER (level = 0), '^\s+|\s+$', '', 'g') AS text FROM p GROUP BY ALL),
-h AS (
-  SELECT conv_id, turn, level, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS said FROM p),
-f AS (SELECT conv_id, said, min(turn) AS o_turn FROM h WHERE level = 0 AND said <> '' GROUP BY ALL),
-v AS (
-  SELECT h.conv_id, h.turn, level, o_turn, count(*) AS n FROM h JOIN f ON h.conv_id = f.conv_id AND h.said = f.said
-  WHERE level > 0 AND o_turn < h.turn GROUP BY ALL),
+  SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY k) FILTER (level = 0), '^\s+|\s+$', '', 'g') AS text FROM p GROUP BY ALL),
+n AS (SELECT conv_id, turn, n_quoted, k, level, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS said, lag(level) OVER (PARTITION BY conv_id, turn ORDER BY k) AS before FROM p),
+g AS (SELECT *, sum(CASE WHEN before = level THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY k) AS run FROM n),
+b AS (SELECT *, sum(CASE WHEN said = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, run ORDER BY k) AS para FROM g),
+s AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, run, para) AS para_lines, min(para) OVER (PARTITION BY conv_id, turn, run) AS first_para, max(para) OVER (PARTITION BY conv_id, turn, run) AS last_para FROM b WHERE said <> ''),
+units AS (
+  SELECT conv_id, turn, level, run, -1 AS para, 0 AS tier, count(*) AS n, string_agg(said, ' ' ORDER BY k) AS unit FROM s GROUP BY conv_id, turn, level, run
+  UNION ALL SELECT conv_id, turn, level, run, para, 1, count(*), string_agg(said, ' ' ORDER BY k) FROM s WHERE first_para <> last_para GROUP BY conv_id, turn, level, run, para
+  UNION ALL SELECT conv_id, turn, level, run, para, 2, 1, said FROM s WHERE para_lines > 1
+  UNION ALL SELECT conv_id, turn, 0, -1, -1, 0, count(*), string_agg(said, ' ' ORDER BY k) FROM s WHERE level = 0 AND n_quoted > 0 GROUP BY conv_id, turn),
+u AS (SELECT *, row_number() OVER () AS uid FROM units),
+own AS (SELECT DISTINCT conv_id, turn AS o_turn, unit FROM u WHERE level = 0),
+f AS (
+  SELECT u.conv_id, turn, level, run, para, tier, n, max(o_turn) AS o_turn FROM u JOIN own ON u.conv_id = own.conv_id AND u.unit = own.unit AND o_turn < turn
+  WHERE level > 0 GROUP BY u.conv_id, turn, level, run, para, tier, n, uid),
+h AS (SELECT *, min(tier) OVER (PARTITION BY conv_id, turn, run) AS best_of_run, min(tier) OVER (PARTITION BY conv_id, turn, run, para) AS best_of_para FROM f),
+v AS (SELECT conv_id, turn, level, o_turn, sum(n) AS n FROM h WHERE tier = 0 OR (best_of_run > 0 AND tier = best_of_para) GROUP BY ALL),
 r AS (SELECT conv_id, turn, o_turn AS reply_to FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, o_turn DESC) = 1),
 t AS (
   SELECT q.conv_id, q.turn, q.turn AS thread FROM q LEFT JOIN r USING (conv_id, turn) WHERE reply_to IS NULL
   UNION ALL
   SELECT r.conv_id, r.turn, t.thread FROM r JOIN t ON r.conv_id = t.conv_id AND r.reply_to = t.turn)
 SELECT q.conv_id, q.turn, q.role, reply_to, thread,
-       row_number() OVER (PARTITION BY q.conv_id ORDER BY thread, q.turn) - 1 AS position, n_quoted, coalesce(o.text, '') AS text,
-       '<|' || q.role || '|>' || chr(10) || coalesce(o.text, '') || chr(10) AS rendered
+       row_number() OVER (PARTITION BY q.conv_id ORDER BY thread, q.turn) - 1 AS position, n_quoted, coalesce(o.text, '') AS text{", '<|' || q.role || '|>' || chr(10) || coalesce(o.text, '') || chr(10) AS rendered" if rendered else ""}
 FROM q JOIN o USING (conv_id, turn) JOIN t USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)
 """
+
+
+CHAT_SQL = chat_sql()
+#: The documents in threads, as :func:`quoting_threads` makes them.
+QUOTED_SQL = chat_sql(
+    """SELECT d.doc_id // 12 AS conv_id, d.doc_id % 12 AS turn, CASE WHEN d.doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+    CASE WHEN s.doc_id IS NULL THEN '' ELSE 'On some day they wrote:' || chr(10) || '> ' || replace(coalesce(s.text, ''), chr(10), chr(10) || '> ') || chr(10) END || coalesce(d.text, '') AS text
+  FROM documents d LEFT JOIN documents s ON d.doc_id % 4 <> 0 AND d.doc_id % 12 - 1 - d.doc_id * 7 % 3 >= 0 AND s.doc_id = d.doc_id - 1 - d.doc_id * 7 % 3""",
+    rendered=False,
+)

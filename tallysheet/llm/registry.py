@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.mix_query,
     "op9_quality": quality.quality_query,
     "op10_html": html_text.html_query,
+    "chat_quoted_documents": chat.quoted_query,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL, "chat_quoted_documents": chat.QUOTED_SQL}

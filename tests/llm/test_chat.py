@@ -1,5 +1,10 @@
+import os
 import re
 
+import duckdb
+import pandas as pd
+import pytest
+
 from tallysheet.llm import chat
 
 SHAPE = "conv_id long, turn long, role string, text string, mid string, lines string, level string, root string, rank string"
@@ -104,3 +109,43 @@ def test_latest_of_a_passage_said_very_often(spark):
     for _, t, _, text in rows:
         assert got[t] == (last if text.startswith(">") else None)
         last = t if text == "hello" else last
+
+
+def wordy(seed):
+    """Random threads whose quotations are whole, in part, wrapped anew, nested or made up."""
+    import random
+
+    rnd, rows = random.Random(seed), []
+    for conv in range(12):
+        said = []
+        for turn in range(14):
+            own = "\n\n".join("\n".join(" ".join(rnd.choice("ab cd ef gh".split()) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 3)))
+            parts = []
+            for level in range(rnd.randint(0, 2)):
+                if said:
+                    lines = rnd.choice(said).split("\n")
+                    kind = rnd.randrange(4)
+                    lines = lines if kind < 2 else lines[rnd.randrange(len(lines)) :] if kind == 2 else " ".join(lines).split("  ")
+                    parts += [">" * (level + 1) + rnd.choice(["", " "]) + x.upper() for x in lines]
+            parts.insert(rnd.randint(0, len(parts)), own)
+            said.append(own)
+            rows.append((conv, turn, "user", "\n".join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [conversations(), wordy(1), wordy(2)])
+def test_same_as_sql(spark, rows):
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841  read by name
+    want = duckdb.sql(chat.CHAT_SQL).df().sort_values(["conv_id", "turn"])
+    got = chat.reply_ordered(spark.createDataFrame([(*r, *[None] * 5) for r in rows], SHAPE)).toPandas().sort_values(["conv_id", "turn"])
+    as_text = lambda df: df[sorted(df.columns)].astype(object).where(df.notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).values.tolist()
+    assert as_text(got) == as_text(want) and got["reply_to"].notna().sum() > 50
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_documents_in_threads_quote_each_other(spark):
+    got = chat.quoted_query(spark, "/root/testdata/sf0.001").toPandas().sort_values(["conv_id", "turn"])
+    documents = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")  # noqa: F841  read by name
+    want = duckdb.sql(chat.QUOTED_SQL).df().sort_values(["conv_id", "turn"])
+    as_text = lambda df: df[sorted(df.columns)].astype(object).where(df.notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).values.tolist()
+    assert as_text(got) == as_text(want) and got["reply_to"].notna().mean() > 0.4
