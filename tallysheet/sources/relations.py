@@ -83,9 +83,14 @@ RESULTS_SQL = f"""{ENGINES_SQL}, {CALLS_SQL}, ocr AS (
 
 
 def math_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of all documents and the formulas; formulas have negative ids."""
+    """The texts of all documents and the formulas; formulas have negative ids.
+
+    A caller whose table lies in one small file may set ``tallysheet.text.partitions``
+    to deal its texts out to that many tasks; by default they stay as they are scanned.
+    """
     made = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(FORMULAS)], "id bigint, text string")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(made)
+    docs, parts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), spark.conf.get("tallysheet.text.partitions", None)
+    return (docs.repartition(int(parts)) if parts else docs).unionByName(made)
 
 
 FORMULAS_SQL = f"made(id, text) AS (VALUES {_values([(-1 - k, t) for k, t in enumerate(FORMULAS)])})"
