@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Elements that start a block, those whose text is never shown, and those without an end tag. Fixed values of HTML.
@@ -18,8 +19,8 @@ OPTIONS = frozenset("select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the given bounds.
 ENDS = {
-    "li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
-    "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",)),
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",))),
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/].*\Z", re.S
@@ -84,6 +85,8 @@ def _read(source: str, known: frozenset[int]) -> tuple[Page, frozenset[int]]:
     # Unshown elements that are open: tag, place, size of the stack when they started.
     hidden: list[tuple[str, int, int]] = []
     unclosed: set[int] = set()
+    # How many elements of a name are open: what isn't is never searched for.
+    opened: Counter[str] = Counter()
     at, size = 0, len(source)
 
     def flush() -> None:
@@ -97,7 +100,8 @@ def _read(source: str, known: frozenset[int]) -> tuple[Page, frozenset[int]]:
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            node, _ = stack.pop()
+            node, name = stack.pop()
+            opened[name] -= 1
             page.end[node] = len(page.tags)
         while hidden and hidden[-1][2] > to:
             unclosed.add(hidden.pop()[1])
@@ -152,28 +156,28 @@ def _read(source: str, known: frozenset[int]) -> tuple[Page, frozenset[int]]:
                 hidden.pop()
             flush()
             in_link = 0
-            names = [t for _, t in stack]
             if closing:
-                if tag in names:
-                    pop(len(names) - 1 - names[::-1].index(tag))
+                if opened[tag]:
+                    pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag))
                 continue
-            if names[-1] == "p" and not (hidden and hidden[-1][2] == len(stack)):
+            if stack[-1][1] == "p" and not (hidden and hidden[-1][2] == len(stack)):
                 pop(len(stack) - 1)
             if tag in ENDS:
                 ended, bounds = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ended) else ():
                     if stack[k][1] in bounds:
                         break
-                    if stack[k][1] in ended.split():
+                    if stack[k][1] in ended:
                         pop(k)
                         break
             elif tag[0] == "h" and tag[1:].isdigit() and stack[-1][1][0] == "h" and stack[-1][1][1:].isdigit():
                 pop(len(stack) - 1)
-            if tag in ("html", "body") and tag in names:
+            if tag in ("html", "body") and opened[tag]:
                 continue
             node = page.add(tag, attribute_tokens(rest), stack[-1][0])
             if tag != "hr":
                 stack.append((node, tag))
+                opened[tag] += 1
     flush()
     pop(0)
     return page, frozenset(unclosed)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from tallysheet.llm.pages_gen import MARK, make_page
 
 #: Pages to train on, trees, their depth, learning rate, L2 on leaves, least nodes behind a token, cuts of a measure.
 PAGES, TREES, DEPTH, RATE, RIDGE, LEAST, CUTS = 1200, 80, 5, 0.25, 1.0, 8, 12
+#: Nodes whose features are laid out at a time.
+NODES = 1 << 14
 
 
 def below(values: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -85,21 +88,25 @@ class Extractor:
     feature: np.ndarray
     value: np.ndarray
 
-    def matrix(self, forest: Forest) -> np.ndarray:
-        """Yes-or-no features: own names, names above, measures over each cut."""
+    def packed(self, forest: Forest) -> np.ndarray:
+        """Own names and names above of each node, a bit each: a page of a million nodes stays small."""
         n, m = len(forest.page), len(self.names)
-        own = np.zeros((n, m), bool)
+        own = np.zeros((n, (m + 7) // 8), np.uint8)
         get = self.names.get
         at = [(i, k) for i, (tag, tokens) in enumerate(zip(forest.tags, forest.tokens, strict=True)) for k in (get("<" + tag), *map(get, tokens)) if k is not None]
         if at:
             i, k = np.array(at).T
-            own[i, k] = True
-        above = np.zeros((n, m), bool)
+            np.bitwise_or.at(own, (i, k >> 3), (1 << (k & 7)).astype(np.uint8))
+        above = np.zeros_like(own)
         for level in forest.levels():
             level = level[~forest.root[level]]
             above[level] = above[forest.parent[level]] | own[forest.parent[level]]
-        x = forest.measures()
-        return np.concatenate([own, above, *[x[:, [k]] > c[None, :] for k, c in enumerate(self.cuts)]], axis=1)
+        return np.stack([own, above], axis=1)
+
+    def matrix(self, packed: np.ndarray, measures: np.ndarray) -> np.ndarray:
+        """Yes-or-no features of some nodes: own names, names above, measures over each cut."""
+        own, above = (np.unpackbits(packed[:, k], axis=1, count=len(self.names), bitorder="little").astype(bool) for k in (0, 1))
+        return np.concatenate([own, above, *[measures[:, [k]] > c[None, :] for k, c in enumerate(self.cuts)]], axis=1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.zeros(len(x)), np.arange(len(x))
@@ -111,7 +118,9 @@ class Extractor:
         return out
 
     @classmethod
+    @cache
     def train(cls, pages: int = PAGES) -> Extractor:
+        """A model from made-up pages. They come from seeds, so it is always the same, and a driver trains it once."""
         parsed = [parse(make_page(seed)) for seed in range(pages)]
         marked = np.array([MARK in t for p in parsed for t in p.texts], float)
         forest = Forest(parsed)
@@ -124,7 +133,7 @@ class Extractor:
         x = forest.measures()
         cuts = [np.unique(np.quantile(x[:, k], np.arange(1, CUTS + 1) / (CUTS + 1))) for k in range(x.shape[1])]
         model = cls(names, cuts, np.zeros((TREES, 2**DEPTH - 1), np.int64), np.zeros((TREES, 2**DEPTH)))
-        x = model.matrix(forest)
+        x = model.matrix(model.packed(forest), x)
         dense, out = x.astype(np.float32), np.zeros(len(x))
         rows = np.arange(len(x))
         for t in range(TREES):
@@ -148,7 +157,8 @@ class Extractor:
 
     def keep(self, forest: Forest) -> np.ndarray:
         """Nodes to keep: the likeliest choice in which all nodes above a kept one are kept."""
-        logits = self.logits(self.matrix(forest))
+        packed, measures = self.packed(forest), forest.measures()
+        logits = np.concatenate([self.logits(self.matrix(packed[i : i + NODES], measures[i : i + NODES])) for i in range(0, len(packed), NODES)])
         # In logits, dropping a whole subtree is worth nothing; keeping a node is worth its logit and the best of its children.
         worth = logits.copy()
         levels = list(forest.levels())

@@ -28,6 +28,8 @@ class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         syllables = "ka lo mi ter an ing ber sch que el os tra ne vi du po re ti on en st ou é ü ñ".split()
+        #: Some pages name no part by its role, as generated style sheets do.
+        self.blurred = self.r.random() < 0.12
         self.words = ["".join(self.r.choice(syllables) for _ in range(self.r.randint(1, 4))) for _ in range(300)]
 
     def say(self, low: int, high: int) -> str:
@@ -43,13 +45,17 @@ class Maker:
     def wrap(self, kind: str, inner: str) -> str:
         tag, names = PARTS[kind]
         named = self.r.random()
-        name = " ".join(self.r.sample(names, self.r.choice([1, 1, 1, 2])))
+        name = self.named(names, self.r.choice([1, 1, 1, 2]))
         if self.r.random() < 0.45:
             tag = self.r.choice(["div", "div", "section", "ul" if inner.startswith("<li") else "div"])
             named = 1.0
         attribute = f' {self.r.choice(["class", "class", "id"])}="{name}"' if named > 0.4 else ""
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
+    def named(self, names: list[str], n: int) -> str:
+        """Some of the names, or names that tell nothing."""
+        return " ".join(f"{self.r.choice(['css', 'sc', 'x', 'jsx'])}-{self.r.randrange(16**5):x}" for _ in range(n)) if self.blurred else " ".join(self.r.sample(names, n))
+
     def part(self, kind: str) -> str:
         r = self.r
         if kind == "menu":
@@ -106,7 +112,7 @@ class Maker:
     def page(self) -> str:
         r = self.r
         inner, style = self.body(), r.random()
-        name = f' {r.choice(["class", "id"])}="{" ".join(r.sample(MAIN_NAMES, r.choice([1, 1, 2])))}"'
+        name = f' {r.choice(["class", "id"])}="{self.named(MAIN_NAMES, r.choice([1, 1, 2]))}"'
         if style < 0.45:
             main = f"<article{name if r.random() < 0.4 else ''}>{inner}</article>"
         elif style < 0.6:
@@ -124,8 +130,10 @@ class Maker:
         middle = "".join(before) + main + "".join(after)
         if r.random() < 0.3:
             middle = f'<div class="{r.choice(["wrapper", "container", "page", "wrap", "site", "row", "layout"])}">{middle}</div>'
-        head = f"<head><title>{self.say(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{middle}</body></html>"
+        head = f"<title>{self.say(2, 8)}</title>" + "".join(r.sample(["<meta charset=utf-8>", "<link rel=stylesheet href=s.css>", "<style>h1 > b {color: red}</style>", "<script>if (a < b) go('<div>');</script>", "<base href=/>"], r.randint(0, 3)))
+        if r.random() < 0.15:  # tags that HTML lets a page leave out
+            return f"<!doctype html>{head}{middle}"
+        return f"<!DOCTYPE html><html><head>{head}</head><body>{middle}</body></html>"
 
 
 def make_page(seed: int) -> str:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,12 @@ def test_article_after_an_open_button_is_extracted(model):
     page = PAGE.replace("</h1>", "</h1><button>Share")
     assert "Second paragraph <kept>" in model.extract([page])[0]
     assert "Second paragraph <kept>" in model.extract([PAGE.replace("</head><body>", "")])[0]
+
+
+def test_depth_costs_no_more_than_length(model):
+    """Time per element of very deep pages, with end tags, without, and with tags that look for open ones."""
+    start = time.perf_counter()
+    for page in ("<div>" * 200_000 + "deep", "<div>" * 60_000 + "deep" + "</div>" * 60_000, "<div>" * 40_000 + "<td></td><li>" * 40_000, "<ul><li>" * 50_000 + "deep"):
+        parse(page)
+    assert time.perf_counter() - start < 60
+    assert model.extract(["<div>" * 20_000 + "<p>a word</p>" * 3])[0] in ("", "a word\n\na word\n\na word")

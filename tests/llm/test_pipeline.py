@@ -77,3 +77,21 @@ def test_the_end_is_the_tokenizers_own(spark, stages):
     got = out["bpe"].collect()
     assert len(got) == out["mixing"].count()
     assert all(r.n_tokens == len(tok.encode(text[r.doc_id], add_special_tokens=False).ids) for r in got)
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows; and nulls, repeated rows and ids, columns with clashing names, no label to learn from."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, id string, hash string"
+    odd = [(1, None, None, None, None, "a", "b"), (None, "some words here", "en", "s", 1, "c", "d"), (None, "some words here", "en", "s", 1, "c", "d"), (2, " ", "en", "s", 1, "e", "f"), (3, "word " * 3000, "en", "t", 1, "g", "h"), (3, "other words", "en", "t", 1, "i", "j")]
+    for name, rows in (("empty", []), ("odd", odd)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, shape).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, f(spark, docs, folder)
+            assert docs.columns == before.columns
+            if name == "odd" and stage == "simhash near-dedup":
+                assert {(r.doc_id, r.text and r.text[:5], r.id, r.hash) for r in docs.collect()} == {(2, " ", "e", "f"), (None, "some ", "c", "d"), (3, "word ", "g", "h"), (3, "other", "i", "j")}
+        got = corpus_pipeline.run(spark, folder)
+        assert (got.count() == 0) == (name == "empty")
