@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallysheet.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from tallysheet.llm.common import written
+from tallysheet.llm.common import forget, settled
 from tallysheet.llm.training import fold
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model learns from labelled documents of the stage's input."""
+    """Documents that score below the threshold; the model learns from labelled documents of the stage's input. Without labels of both kinds all score the share of toxic rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels, fold("doc_id", 4) != 2))
 
@@ -30,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies; one without an id only where the group has none."""
     return simhash.one_of_each(docs)
 
 
@@ -57,8 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each but the last written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each but the last written to the shared folder.
+
+    What a stage wrote on its way, and the documents of the stage before, are
+    deleted when its result is written.
+    """
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), False
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        found = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if own:
+            forget(spark, docs)
+        docs, own = found, True
     return STAGES[-1][1](spark, docs, sf_dir)

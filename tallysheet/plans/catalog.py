@@ -108,6 +108,7 @@ SELECT w.image_id, final_text, round(confidence, 6) AS confidence, method, final
   confidence >= 0.5 AND t.total_time <= 15 AND length(final_text) >= 2 AS passed, CASE WHEN t.total_time <= 5 THEN 'excellent' WHEN t.total_time <= 10 THEN 'good' ELSE 'slow' END AS speed
 FROM w JOIN f ON w.image_id = f.id JOIN (SELECT image_id, round(sum(processing_time), 6) AS total_time FROM ocr GROUP BY image_id) t ON w.image_id = t.image_id""")
 def response(spark, d):
+    """The texts of these calls have two characters, so runs pass from two; the operator's own bound is ten."""
     results = R.ocr_results(spark, d)
     out = votes.corrected_aggregate(votes.weighted_vote(results)).withColumn("success", F.lit(True))
     times = results.groupBy("image_id").agg(F.round(F.sum("processing_time"), 6).alias("total_time"))
