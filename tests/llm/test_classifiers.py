@@ -73,6 +73,29 @@ def test_language_temperature_does_not_change_the_choice():
     assert sum(model.predict(t)[1] for t in texts) < sum(s for _, s in before)
 
 
+def plain_bucket(points, salt, bits):
+    """One word or n-gram at a time: the hash that the models share."""
+    mask, base, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+    h = sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(points)) & mask
+    return (((h + salt) & mask) * mix & mask) >> (64 - bits)
+
+
+def test_language_score_is_the_calibrated_softmax_of_the_mean_of_table_entries():
+    rng = random.Random(4)
+    from tallysheet.llm.training import Sample
+
+    model = language.LanguageModel.fit(Sample([say(rng, lang, 12) for lang in SOUNDS for _ in range(40)], [lang for lang in SOUNDS for _ in range(40)], {}))
+    for text in ["a", "one two\tthree", "één tiên 漢字 😀 und mehr", "SCHUNG keit " * 9, "1 2 x"]:
+        points = [ord(c) for c in text.lower()]
+        found = [plain_bucket(points[i : i + n], n, language.BITS) for n in language.SIZES for i in range(len(points) - n + 1)]
+        logits = [(sum(float(model.table[b, k]) for b in found) / len(found) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        top = max(logits)
+        shares = [math.exp(x - top) for x in logits]
+        best = max(range(len(shares)), key=shares.__getitem__)
+        got = model.predict(text)
+        assert got[0] == model.languages[best] and got[1] == pytest.approx(shares[best] / sum(shares), abs=1e-6)
+
+
 def test_toxicity(spark, corpus, make_docs):
     docs, labels = corpus
     model = toxicity.fit_toxicity(docs, labels, fold("doc_id", 4) != 2)
@@ -101,16 +124,10 @@ def test_quality_score_is_the_softmax_of_the_mean_of_table_entries(corpus):
     """Plain recomputation: each word and each character n-gram, one by one."""
     docs, labels = corpus
     model = quality.fit_quality(docs, labels, fold("doc_id", 3) != 1, {1: 100, 0: 100})
-    mask, base, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-    def bucket(points, salt):
-        h = sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(points)) & mask
-        return (((h + salt) & mask) * mix & mask) >> (64 - quality.BITS)
-
     for text in ["", "a", "word two\tword", "één tiên 漢字 😀 und mehr", "x" * 50, " spaced  out \n lines "]:
         points = [ord(c) for c in text]
-        found = [bucket(points[i : i + n], n) for n in quality.SIZES for i in range(len(points) - n + 1)]
-        found += [bucket([ord(c) for c in w], 99) for w in re.findall("[^ \t-\r]+", text)]
+        found = [plain_bucket(points[i : i + n], n, quality.BITS) for n in quality.SIZES for i in range(len(points) - n + 1)]
+        found += [plain_bucket([ord(c) for c in w], 99, quality.BITS) for w in re.findall("[^ \t-\r]+", text)]
         mean = sum(float(model.table[b]) for b in found) / max(1, len(found))
         assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(mean + model.bias))), abs=1e-6)
 

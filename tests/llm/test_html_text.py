@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -37,6 +38,37 @@ def test_nothing_is_kept_below_a_dropped_node(model):
     assert len(inner) and keep[forest.parent[inner]].all()
 
 
+def test_the_choice_is_the_likeliest_of_all(model):
+    """On small pages: node scores walked tree by tree, and every choice tried in which nothing is kept below a dropped node."""
+    from tallysheet.llm.html_text import DEPTH, Forest
+
+    rng, tried = random.Random(6), 0
+    for _ in range(40):
+        parts = [rng.choice(["<p>{0}</p>", "<div class=ad>{0}</div>", "<nav><a href=x>{0}</a></nav>", "<article><h1>{0}</h1><p>{0}</p></article>", "<footer><p>{0}</p></footer>"]) for _ in range(rng.randint(1, 4))]
+        forest = Forest([parse("".join(p.format(" ".join(["word"] * rng.randint(1, 60))) for p in parts))])
+        n = len(forest.page)
+        if n > 16:
+            continue
+        x = model.matrix(model.packed(forest), forest.measures())
+        scores = []
+        for row in x:
+            total = 0.0
+            for feature, value in zip(model.feature, model.value, strict=True):
+                place = 0
+                for _ in range(DEPTH):
+                    place = 2 * place + 1 + int(row[feature[place]])
+                total += value[place - (2**DEPTH - 1)]
+            scores.append(total)
+        worth = {}
+        for bits in range(1 << (n - 1)):
+            chosen = {0} | {k for k in range(1, n) if bits >> (k - 1) & 1}
+            if all(forest.parent[k] in chosen for k in chosen if k):
+                worth[frozenset(chosen)] = sum(scores[k] for k in chosen if k)
+        assert worth[frozenset(np.flatnonzero(model.keep(forest)).tolist())] == pytest.approx(max(worth.values()))
+        tried += 1
+    assert tried > 10
+
+
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <article><h1>A &amp; B   headline</h1><p>First&nbsp;paragraph, with <b>bold</b>
