@@ -102,6 +102,12 @@ class Windows:
         self.of = np.repeat(np.arange(len(held)), [len(h) for h in held])
         self.parts = [w + b" " for h in held for w in h]
 
+    def greatest(self, gains: np.ndarray) -> np.ndarray:
+        """The greatest gain of each text, 0 for a text without windows or gains."""
+        out = np.zeros(self.texts, np.int64)
+        np.maximum.at(out, self.of, gains)
+        return out
+
     def counts(self, gains: np.ndarray) -> np.ndarray:
         """For each text how many of its windows have each gain."""
         out = np.zeros((self.texts, MOST_GAIN + 1))
@@ -149,20 +155,35 @@ def costly(plain: zstandard.ZstdCompressor, held: Windows, cost: np.ndarray) ->
     return [found[k] for k in best], held.of[best]
 
 
+def separation(toxic: np.ndarray, ordinary: np.ndarray) -> float:
+    """How often a toxic text has a greater greatest gain than an ordinary one, ties by half."""
+    least = min(toxic.min(), ordinary.min())
+    a, b = (np.bincount(np.minimum(x - least, 64), minlength=65) for x in (toxic, ordinary))
+    return float((a * (np.cumsum(b) - b / 2)).sum() / (len(toxic) * len(ordinary)))
+
+
 def toxic_dictionary(base: bytes, toxic: Windows, ordinary: Windows) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The toxic dictionary, and the gains of the toxic and ordinary windows by dictionaries that haven't seen their texts."""
+    """The toxic dictionary, and the gains of the toxic and ordinary windows by dictionaries that haven't seen their texts.
+
+    The dictionary is that of the round in which the parts' dictionaries told
+    the texts of the other parts apart best.
+    """
     plain = compressor(base)
     cost, ordinary_cost = lengths(plain, toxic.parts, -1), lengths(plain, ordinary.parts, -1)
     part, ordinary_part = toxic.of % FOLDS, ordinary.of % FOLDS
     runs, of = costly(plain, toxic, cost)
     learned = [[r for r, text in zip(runs, of, strict=True) if text % FOLDS == k] for k in range(FOLDS)]
     gain, ordinary_gain = np.zeros(len(cost), np.int64), np.zeros(len(ordinary_cost), np.int64)
+    best: tuple[float, list[bytes], np.ndarray] = (-1.0, [], gain)
     for turn in range(ROUNDS):
         others = [compressor(base + trained([p for j in range(FOLDS) if j != k for p in learned[j]], TOXIC_BYTES, TOXIC_SEGMENT)) for k in range(FOLDS)]
         for k, other in enumerate(others):
             own, ordinary_own = np.flatnonzero(part == k), np.flatnonzero(ordinary_part == k)
             gain[own] = cost[own] - lengths(other, [toxic.parts[i] for i in own], -1)
             ordinary_gain[ordinary_own] = ordinary_cost[ordinary_own] - lengths(other, [ordinary.parts[i] for i in ordinary_own], -1)
+        apart = separation(toxic.greatest(gain), ordinary.greatest(ordinary_gain))
+        if apart > best[0]:
+            best = apart, [p for parts in learned for p in parts], gain.copy()
         # The least gain that tells, or the most telling; a few ordinary windows more than met, since none met proves little.
         met = {g: int((gain >= g).sum()) for g in range(1, MOST_GAIN + 1)}
         lift = {g: n / len(gain) / (((ordinary_gain >= g).sum() + 5) / len(ordinary_gain)) for g, n in met.items()}
@@ -170,7 +191,9 @@ def toxic_dictionary(base: bytes, toxic: Windows, ordinary: Windows) -> tuple[by
         for k, other in enumerate(others):
             found = [toxic.parts[i] for i in np.flatnonzero((part == k) & (gain >= least))]
             learned[k] = carriers(plain, other, found) if turn >= WHOLE - 1 else found
-    return trained([p for parts in learned for p in parts], TOXIC_BYTES, TOXIC_SEGMENT), gain, ordinary_gain
+    toxic_bytes = trained(best[1], TOXIC_BYTES, TOXIC_SEGMENT)
+    # No ordinary text was learned from, so the dictionary itself tells what they gain.
+    return toxic_bytes, best[2], ordinary_cost - lengths(compressor(base + toxic_bytes), ordinary.parts, -1)
 
 
 class Gains:
