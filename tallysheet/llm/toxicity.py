@@ -258,7 +258,8 @@ class ToxicityModel:
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         x = (features(counts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
+        # Row by row: a product of matrices would round rows alike in different ways.
+        return 1 / (1 + np.exp(-np.clip((x * self.weights[:-1]).sum(axis=1) + self.weights[-1], -35, 35)))
 
     def column(self, spark: SparkSession, text: Column | str) -> Column:
         """Score of a whole text; null counts as empty, which scores as a text without telling windows."""
