@@ -230,11 +230,11 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, sample: Sample) -> ToxicityModel:
-        """Learn from a sample; without both labels the score is the share of toxic rows everywhere."""
+        """Learn from a sample; without both labels the score is the share of toxic rows everywhere, next to 0 if nothing is labelled."""
         by_label = [Windows([t for t, y in zip(sample.texts, sample.labels, strict=True) if y == label]) for label in (0, 1)]
         ordinary_windows, toxic_windows = by_label
         n1, n0 = float(sample.counts.get(1, 0)), float(sample.counts.get(0, 0))
-        prior = (n1 + 0.5) / (n1 + n0 + 1)
+        prior = (n1 + 1e-6) / (n1 + n0 + 1)
         if not ordinary_windows.parts or not toxic_windows.parts:
             width = features(np.zeros((1, MOST_GAIN + 1))).shape[1]
             return cls(b" " * 8, b" " * 8, np.zeros(width), np.ones(width), np.append(np.zeros(width), math.log(prior / (1 - prior))), prior)
