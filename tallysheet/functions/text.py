@@ -86,13 +86,16 @@ def substitute(text: Column) -> Column:
 def with_substitution_types(rows: DataFrame, text: str = "text", name: str = "types") -> DataFrame:
     """T5: the rows with one entry in ``name`` for each rule that changed the text, in rule order, as ``array<string>``.
 
-    Every stage is a column of its own, so none is computed twice and all run as generated code.
+    The rules run through one fold over an array of stages, so that no stage is
+    computed twice.
     """
-    stages = [text, *(f"{name}_stage_{k}" for k in range(len(SUBSTITUTIONS)))]
-    for before, after, (_, rule) in zip(stages, stages[1:], SUBSTITUTIONS, strict=False):
-        rows = rows.withColumn(after, apply_rule(F.col(before), rule))
-    types = F.array_compact(F.array(*[F.when(F.col(before) != F.col(after), F.lit(kind)) for before, after, (kind, _) in zip(stages, stages[1:], SUBSTITUTIONS, strict=False)]))
-    return rows.withColumn(name, F.when(F.col(text).isNotNull(), types)).drop(*stages[1:])
+    start = F.struct(F.col(text).alias("t"), F.array().cast("array<string>").alias("types"))
+
+    def step(state: Column, kind: str, rule: Rule) -> Column:
+        changed = let(state, lambda s: F.struct(s["t"].alias("old"), apply_rule(s["t"], rule).alias("t"), s["types"].alias("types")))
+        return let(changed, lambda s: F.struct(s["t"].alias("t"), F.when(s["old"] != s["t"], F.concat(s["types"], F.array(F.lit(kind)))).otherwise(s["types"]).alias("types")))
+
+    return rows.withColumn(name, reduce(lambda state, kr: step(state, *kr), SUBSTITUTIONS, start)["types"])
 
 
 def space_operators(text: Column) -> Column:
