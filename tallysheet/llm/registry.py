@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, chat, embedding_dedup, exact_dedup, html_text, language, merkle, mixing, quality, simhash, toxicity
+from tallysheet.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, html_text, language, merkle, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_quality": quality.quality_query,
     "op10_html": html_text.html_query,
     "op12_merkle": merkle.merkle_query,
+    "op13_filter_audit": filter_audit.audit_query,
     "chat_quoted_documents": chat.quoted_query,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL, "op12_merkle": merkle.MERKLE_SQL, "chat_quoted_documents": chat.QUOTED_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL, "op12_merkle": merkle.MERKLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL, "chat_quoted_documents": chat.QUOTED_SQL}
