@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallysheet.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, html_text, language, merkle, mixing, quality, simhash, toxicity
+from tallysheet.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, html_text, language, merkle, mixing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.dedup_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.mix_query,
     "op9_quality": quality.quality_query,
     "op10_html": html_text.html_query,
+    "op11_suffix_dedup": suffix_dedup.suffix_query,
     "op12_merkle": merkle.merkle_query,
     "op13_filter_audit": filter_audit.audit_query,
     "chat_quoted_documents": chat.quoted_query,
