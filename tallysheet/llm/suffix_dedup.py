@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysheet.llm.common import row_key, small_batches, text_or_empty
+from tallysheet.llm.common import row_key, small_batches, text_or_empty, written
 
 #: Bytes of a repeat at least, and of the gram that files it; places of a gram within a repeat.
 MATCH, GRAM = 50, 16
@@ -33,7 +34,7 @@ PLACES = MATCH - GRAM + 1
 #: Period of the difference cover and its residues: every difference modulo 13 is one between two of them.
 COVER, RESIDUES = 13, (0, 1, 3, 9)
 #: Bytes of text that a task turns into pieces at a time, starts hashed at once, bytes of pieces in a bucket (about), of a text that is sorted at once, and suffixes in a block.
-BLOCK, CHUNK, BUCKET, SORTED, SUFFIXES = 8 << 20, 1 << 18, 32 << 20, 4 << 20, 1 << 17
+BLOCK, CHUNK, BUCKET, SORTED, SUFFIXES = 12 << 20, 1 << 18, 32 << 20, 4 << 20, 1 << 17
 #: The place of a null id: after all others.
 LAST = (1 << 63) - 1
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -141,7 +142,8 @@ def filed(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, bases: np.ndarr
     if not held:
         return
     start, count, gram, hashed = (np.concatenate(c) for c in zip(*held, strict=True))
-    bucket = ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    with np.errstate(over="ignore"):  # mixed anew, for the least of many hashes is small
+        bucket = ((hashed * MIX[1] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     length = count + (MATCH - 1)
     content = content_hash(word, start, length)
     order = np.lexsort((content, bucket))
@@ -199,15 +201,20 @@ def pieces(buckets: int):
     return run
 
 
-def dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Ranks from 0 of pairs, equal pairs alike."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
+def ranked(key: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of numbers, equal ones alike."""
+    order = np.argsort(key)
+    own = key[order]
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+    rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])[: len(order)]
     return rank
 
 
+def head_ranks(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of places by their next ``COVER`` bytes: by eight, then by the five after them."""
+    return ranked((ranked(word[at]) << 40) | (word[at + 8] >> np.uint64(24)).astype(np.int64))
+
+
 def cover_ranks(word: np.ndarray, n: int) -> np.ndarray:
     """Ranks of the suffixes at sample positions by their first 52 bytes, by doubling from ``COVER`` bytes on; other places hold nothing.
 
@@ -216,11 +223,11 @@ def cover_ranks(word: np.ndarray, n: int) -> np.ndarray:
     at = np.flatnonzero(np.isin(np.arange(COVER), RESIDUES))
     at = (np.arange(0, n, COVER)[:, None] + at[None]).ravel()
     at = at[at < n]
-    known = dense(word[at], word[at + 8] >> np.uint64(24))
+    known = head_ranks(word, at)
     rank, reach = np.zeros(n + 8 * COVER, np.int64), COVER  # the end sorts before all, by rank 0
     while reach < MATCH:
         rank[at] = known + 1
-        known = dense(known, rank[at + reach])
+        known = ranked((known << 32) | rank[at + reach])
         reach *= 2
     rank[at] = known + 1
     return rank
@@ -268,12 +275,9 @@ def suffix_blocks(word: np.ndarray, starts: np.ndarray, n: int) -> Iterator[np.n
     else:
         blocks = [np.arange(len(starts))]
     for own in blocks:
-        at = starts[own]
-        a, b = lead[own], word[at + 8] >> np.uint64(24)
-        order = np.lexsort((b, a))
-        at, a, b = at[order], a[order], b[order]
-        group = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))]) if len(at) else np.zeros(0, np.int64)
-        yield resolved(at, group, rank)
+        group = head_ranks(word, starts[own])
+        order = np.argsort(group)
+        yield resolved(starts[own[order]], group[order], rank)
 
 
 def least_ids(data: np.ndarray, starts: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -291,6 +295,29 @@ def least_ids(data: np.ndarray, starts: np.ndarray, least: np.ndarray) -> np.nda
     return out
 
 
+def eights(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number of the same order."""
+    return raw[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+
+
+def combined(raw: np.ndarray, begin: np.ndarray, length: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal pieces as one: the pieces that stand for themselves, and for every piece the number of the one that stands for it."""
+    data = raw[expanded(begin, length)]
+    at = np.cumsum(length) - length
+    word = words(data.tobytes() + TAIL)
+    content = content_hash(word, at, length)
+    order = np.argsort(content, kind="stable")
+    own = content[order]
+    new = np.concatenate([[True], own[1:] != own[:-1]])[: len(order)]
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = count == count[leader]
+    same &= same_content(word, at, np.where(same, at[leader], at), length)
+    leader = np.where(same, leader, np.arange(len(order)))  # hashes that met by chance
+    lead = np.flatnonzero(leader == np.arange(len(order)))
+    return lead, np.searchsorted(lead, leader)
+
+
 def repeats(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows ``id, tag, at`` of repeated strings among the pieces of a bucket; ``at`` is the first byte times 128 plus the number of bytes."""
     count, gram, rows, ids, tags, places, raw = (np.concatenate(c) for c in zip(*map(unpacked, blobs), strict=True))
@@ -299,12 +326,10 @@ def repeats(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     begin, first = np.cumsum(length) - length, np.cumsum(rows) - rows
     low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
     # Only a gram that two documents have can lie in a repeat.
-    word = words(raw.tobytes() + TAIL)
-    a, b = word[begin + gram], word[begin + gram + 8]
-    del word
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    key = (ranked(eights(raw, begin + gram)) << 32) | ranked(eights(raw, begin + gram + 8))
+    order = np.argsort(key)
+    own = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     size = np.diff(np.append(edge, len(order)))
     many = np.minimum.reduceat(low[order], edge) < np.maximum.reduceat(high[order], edge)
     # Whole grams, up to SORTED bytes of pieces at a time.
@@ -317,12 +342,16 @@ def repeats(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
     last = np.flatnonzero(np.append(part[1:] != part[:-1], True))
     for a, b in zip([0, *ends[last[:-1]]], ends[last], strict=True):
         own = order[a:b]
-        data = raw[expanded(begin[own], length[own])]
-        at = np.cumsum(length[own]) - length[own]
-        starts = expanded(at, count[own])
-        least = least_ids(data, starts, np.repeat(low[own], count[own]))
+        # Equal pieces of several blobs become one, with the least id of all.
+        lead, stands = combined(raw, begin[own], length[own], count[own])
+        one = own[lead]
+        floor = np.full(len(one), LAST)
+        np.minimum.at(floor, stands, low[own])
+        data = raw[expanded(begin[one], length[one])]
+        starts = expanded(np.cumsum(length[one]) - length[one], count[one])
+        least = least_ids(data, starts, np.repeat(floor, count[one]))
         # Every row that has a piece, with every start of the piece.
-        slot = np.cumsum(count[own]) - count[own]
+        slot = (np.cumsum(count[one]) - count[one])[stands]
         row = expanded(first[own], rows[own])
         piece = np.repeat(np.arange(len(own)), rows[own])
         owner = np.repeat(np.arange(len(row)), count[own][piece])
@@ -335,22 +364,12 @@ def repeats(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             yield ids[row][owner[new]], tags[row][owner[new]], place[new] * 128 + run + (MATCH - 1)
 
 
-def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs in the order of their buckets to repeats, one bucket at a time."""
-    names, open_bucket, blobs = ["id", "tag", "at"], None, []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if blobs:
-            for ids, tags, at in repeats(blobs):
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(at, pa.int64())], names)
-
-    for batch in batches:
-        for bucket, blob in zip(batch["bucket"].to_pylist(), batch["blob"], strict=True):
-            if bucket != open_bucket:
-                yield from done()
-                open_bucket, blobs = bucket, []
-            blobs.append(blob.as_py())
-    yield from done()
+def sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blobs of a bucket to repeats."""
+    blobs = [blob for batch in batches for blob in batch["blob"].to_pylist()]
+    if blobs:
+        for ids, tags, at in repeats(blobs):
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(at, pa.int64())], ["id", "tag", "at"])
 
 
 def row_tag(text: str = "text", row_id: str = "doc_id") -> tuple[Column, Column]:
@@ -359,17 +378,32 @@ def row_tag(text: str = "text", row_id: str = "doc_id") -> tuple[Column, Column]
     return F.when(none, F.lit(LAST)).otherwise(number), F.shiftright(digest, 32).cast("int")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries run meanwhile are deleted when the query ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Rows ``id, tag, at`` of strings of ``MATCH`` bytes or more that a document of a smaller id has; see :func:`repeats`. They overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(text_or_empty(f"`{text}`")))).first()[0] or 0
-    buckets = max(4 * parts, 4 * total // BUCKET)
+    parts = max(parts, 4 * total // BUCKET)  # pieces are about four times the texts
     number, tag = row_tag(text, row_id)
     rows = docs.select(number.alias("id"), tag.alias("tag"), text_or_empty(f"`{text}`").cast("binary").alias("data")).where(F.octet_length("data") >= MATCH)
-    blobs = rows.mapInArrow(pieces(buckets), "bucket int, blob binary")
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sorted_buckets, "id long, tag int, at long")
+    blobs = rows.mapInArrow(pieces(parts), "bucket int, blob binary")
+    # A bucket is a partition; its blobs are dropped when its repeats are written.
+    found = blobs.repartitionById(parts, F.col("bucket")).mapInArrow(sorted_bucket, "id long, tag int, at long")
+    with shuffles_dropped(spark):
+        return written(found, "repeats")
 
 
 def merged(at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
