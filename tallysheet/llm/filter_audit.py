@@ -97,7 +97,9 @@ def copies(docs: DataFrame, rows: DataFrame, text: str = "text", row_id: str = "
     left = suspects(rows)
     keyed = docs.select(*[c.alias(n) for c, n in zip(row_key(text, row_id), ("none", "id", "hash"), strict=True)], text_or_empty(f"`{text}`").alias("text"))
     # Rows alike in id and text are one row here: none is a copy of another.
-    met = written(keyed.join(splittable(left.select("none", "id", "hash", F.xxhash64("chars", *[c for c in left.columns if c.startswith("block")]).alias("class")).distinct()), ["none", "id", "hash"]), "suspects")
+    classes = left.select("none", "id", "hash", F.xxhash64("chars", *[c for c in left.columns if c.startswith("block")]).alias("class")).distinct()
+    # Merged at every size: what is broadcast here would grow with the copies.
+    met = written(keyed.join(splittable(classes).hint("merge"), ["none", "id", "hash"]), "suspects")
     forget(spark, left)
     least = met.groupBy("class", "text").agg(F.min(F.struct("none", "id")).alias("least"))
     return met.join(splittable(least), ["class", "text"]).where(F.struct("none", "id") > F.col("least")).select("none", "id", "hash").distinct()
