@@ -65,10 +65,14 @@ def passages(said: Column) -> Column:
         digest = F.substring(F.unhex(F.sha2(F.array_join(rows, " "), 256)), 1, 16)
         return F.struct(paragraph.cast("int").alias("paragraph"), F.lit(tier).alias("tier"), F.size(rows).alias("n"), digest.alias("hash"))
 
-    whole = F.array(unit(F.lit(-1), 0, F.flatten(blocks)))
-    parts = F.filter(F.transform(blocks, lambda rows, i: unit(i, 1, rows)), lambda u: F.size(blocks) > 1)
-    lines = F.flatten(F.transform(blocks, lambda rows, i: F.transform(F.filter(rows, lambda x: F.size(rows) > 1), lambda x: unit(i, 2, F.array(x)))))
-    return F.filter(F.concat(whole, parts, lines), lambda u: u["n"] > 0)
+    def units(blocks: Column) -> Column:
+        whole = F.array(unit(F.lit(-1), 0, F.flatten(blocks)))
+        parts = F.filter(F.transform(blocks, lambda rows, i: unit(i, 1, rows)), lambda u: F.size(blocks) > 1)
+        lines = F.flatten(F.transform(blocks, lambda rows, i: F.transform(F.filter(rows, lambda x: F.size(rows) > 1), lambda x: unit(i, 2, F.array(x)))))
+        return F.filter(F.concat(whole, parts, lines), lambda u: u["n"] > 0)
+
+    # Bound, so that the text is split once and not for each of its paragraphs.
+    return F.transform(F.array(blocks), units)[0]
 
 
 def latest_before(rows: DataFrame) -> DataFrame:

@@ -57,7 +57,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -66,7 +67,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of frames made by :func:`written` that nothing reads any more."""
     for folder in {os.path.dirname(f) for df in frames for f in df.inputFiles()}:
-        _delete(spark, folder)
+        delete(spark, folder)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -74,7 +75,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     known = len(_paths)
     out = written(make(), name)
     for folder in _paths[known:-1]:
-        _delete(spark, folder)
+        delete(spark, folder)
     del _paths[known:-1]
     return out
 

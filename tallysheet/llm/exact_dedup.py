@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import WS, forget, row_key, rows_of, text_or_empty, written
+from tallysheet.llm.common import WS, delete, forget, new_path, row_key, rows_of, text_or_empty, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -24,8 +24,8 @@ class DigestIndex:
     """Digests of all texts seen so far, with the id of the row that stays.
 
     ``path`` names the folder of an index that outlives the session; without it
-    the table lies in the warehouse under ``table``, or under a name of its own
-    until :meth:`drop`. ``buckets`` should be so many that one bucket of digests
+    the table lies in a folder of its own among the shared ones until
+    :meth:`drop`. The warehouse is never written to. ``buckets`` should be so many that one bucket of digests
     (about 40 bytes a row) sorts in memory. Each batch adds a file to a bucket;
     :meth:`compact` makes them one again, so that they are read as sorted.
     """
@@ -33,12 +33,12 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, table: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path
+        self.own = path is None
+        self.path = path or new_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        at = f"LOCATION '{path}'" if path else ""
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING)"
-            f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {at}"
+            f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def rows(self) -> DataFrame:
@@ -46,7 +46,7 @@ class DigestIndex:
 
     def _save(self, rows: DataFrame, mode: str) -> None:
         writer = rows.repartition(self.buckets, "digest").write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-        (writer.option("path", self.path) if self.path and mode == "overwrite" else writer).saveAsTable(self.table)
+        (writer.option("path", self.path) if mode == "overwrite" else writer).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def add(self, representatives: DataFrame) -> None:
@@ -64,8 +64,10 @@ class DigestIndex:
         forget(self.spark, held)
 
     def drop(self) -> None:
-        """Forget the table; the files under a ``path`` stay."""
+        """Forget the table; the files under a ``path`` that was given stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.own:
+            delete(self.spark, self.path)
 
     def _held(self, docs: DataFrame, text: str, row_id: str, batch: str | None) -> tuple[DataFrame, DataFrame]:
         """The rows of a batch by digest, and for each of its digests the row that stays, after it is added to the index."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallysheet.llm.common import WORD, text_or_empty, written
+from tallysheet.llm.common import WORD, fresh, text_or_empty, written
 
 #: Buckets of documents per source; a source's share is met to about one bucket's words.
 BUCKETS = 4096
@@ -64,8 +64,8 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 
 def bucketed(docs: DataFrame, seed: int, text: str, row_id: str, source: str, bucket: str) -> DataFrame:
-    """``docs`` with two more columns: the source as a string and the seeded hash bucket of id and text."""
-    return docs.withColumns({source: F.col("source").cast("string"), bucket: F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col(text)), F.lit(BUCKETS)).cast("int")})
+    """``docs`` with two more columns of the given names: the source as a string and the seeded hash bucket of id and text."""
+    return docs.withColumns({source: F.col("source").cast("string"), bucket: F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{row_id}`"), F.col(f"`{text}`")), F.lit(BUCKETS)).cast("int")})
 
 
 def allotments(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0) -> DataFrame:
@@ -108,8 +108,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
     takes 0 words; a null source is a source of its own; an empty table gives no
     rows; a source without words has target 0; further columns are ignored.
     """
-    sized = bucketed(docs, seed, text, row_id, "__source", "__bucket")
-    sized = written(sized.select(F.col(row_id).cast("long").alias("doc_id"), F.col("__source").alias("source"), word_count(text).alias("size"), F.col("__bucket").alias("bucket")), "sized")
+    source, bucket = fresh(docs.columns, "of_source", "in_bucket")
+    sized = bucketed(docs, seed, text, row_id, source, bucket)
+    sized = written(sized.select(F.col(f"`{row_id}`").cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.col(bucket).alias("bucket")), "sized")
     return (
         sized.alias("d")
         .join(allotments(sized, weights, max_epochs).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
@@ -119,11 +120,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoc
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as :func:`plan` takes it, columns unchanged."""
-    rows = bucketed(docs, seed, text, row_id, "__source", "__bucket")
-    taken = allotments(rows.select(F.col("__source").alias("source"), F.col("__bucket").alias("bucket"), word_count(text).alias("size")), weights, max_epochs)
-    taken = taken.where("copies > 0").select(F.col("source").alias("__of"), F.col("bucket").alias("__in"), F.col("copies").alias("__copies"))
-    out = rows.join(taken, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    source, bucket, of, place, copies, copy = fresh(docs.columns, "of_source", "in_bucket", "taken_source", "taken_bucket", "copies", "copy")
+    rows = bucketed(docs, seed, text, row_id, source, bucket)
+    taken = allotments(rows.select(F.col(source).alias("source"), F.col(bucket).alias("bucket"), word_count(text).alias("size")), weights, max_epochs)
+    taken = taken.where("copies > 0").select(F.col("source").alias(of), F.col("bucket").alias(place), F.col("copies").alias(copies))
+    out = rows.join(taken, F.col(source).eqNullSafe(F.col(of)) & (F.col(bucket) == F.col(place)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:

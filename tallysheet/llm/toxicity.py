@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysheet.llm.common import small_batches
+from tallysheet.llm.common import fresh, small_batches
 from tallysheet.llm.training import Sample, fold, labelled_sample
 
 #: Words in a window, and in the run of it that is learned from in the end.
@@ -294,8 +294,9 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", r
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, columns unchanged."""
-    scored = docs.withColumn("__score", model.column(docs.sparkSession, F.col(text).cast("string")))
-    return scored.where(F.col("__score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = fresh(docs.columns, "score")[0]
+    scored = docs.withColumn(score, model.column(docs.sparkSession, F.col(f"`{text}`").cast("string")))
+    return scored.where(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:

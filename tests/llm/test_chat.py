@@ -1,9 +1,11 @@
 import os
 import re
+import time
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallysheet.llm import chat
 
@@ -149,3 +151,17 @@ def test_documents_in_threads_quote_each_other(spark):
     want = duckdb.sql(chat.QUOTED_SQL).df().sort_values(["conv_id", "turn"])
     as_text = lambda df: df[sorted(df.columns)].astype(object).where(df.notna(), None).map(lambda v: str(int(v)) if isinstance(v, float) else str(v)).values.tolist()
     assert as_text(got) == as_text(want) and got["reply_to"].notna().mean() > 0.4
+
+
+def test_passages_are_linear_in_paragraphs(spark):
+    """Twice the paragraphs of one text take about twice the time."""
+    took = {}
+    for n in (200, 4000, 8000):
+        df = spark.createDataFrame([(f"said {n}\n\n" * n,)], "text string").select(F.split("text", "\n").alias("said")).select(F.size(chat.passages(F.col("said"))).alias("n"))
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert df.first().n == n + 1
+            times.append(time.perf_counter() - start)
+        took[n] = min(times)
+    assert took[8000] < 2.5 * took[4000] + 0.5

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -137,11 +138,25 @@ def test_sample_is_bounded_and_leaves_out_what_it_cannot_learn_from(spark, make_
     labels = spark.createDataFrame([(k, k % 2) for k in range(402)] + [(7, 0), (7, 1), (None, 1)], "doc_id long, toxic int")
     sample = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, {0: 50, 1: 1000})
     assert 20 < sample.labels.count(0) < 90 and sample.counts[1] > 100
-    assert not any(len(t) > 50_000 for t in sample.texts) and "text number 7 of some words 49" not in sample.texts
+    assert (crc32(b"401") % 4 == 2 or "y" * 60_000 in sample.texts) and "text number 7 of some words 49" not in sample.texts
     small = labelled_sample(docs, labels, "toxic", fold("doc_id", 4) != 2, {0: 50, 1: 1000}, most=1000)
     assert all(0 < sum(len(t) for t, y in zip(small.texts, small.labels, strict=True) if y == k) <= 500 for k in (0, 1))
 
 
+def test_a_class_of_long_texts_only_is_learned(spark, make_docs):
+    """Texts beyond the share of their label are learned from by some of their pieces."""
+    rng = random.Random(8)
+    rows = [(k, say(rng, "fr", 40), "fr") for k in range(40)] + [(100 + k, say(rng, "de", 12_000), "de") for k in range(6)]
+    docs = make_docs(rows)
+    for most in (48 << 20, 30_000):
+        sample = labelled_sample(docs, docs, "lang", F.lit(True), 50, most=most)
+        assert set(sample.labels) == {"fr", "de"} and sum(map(len, sample.texts)) <= most
+    long = [t for t, lang in zip(sample.texts, sample.labels, strict=True) if lang == "de"]
+    assert len(long) == 1 and 4096 <= len(long[0]) <= 15_000 and any(long[0][:4096] in t for _, t, lang in rows if lang == "de")
+    model = language.fit_language(docs, F.lit(True))
+    assert {r.lang_pred for r in language.identify(docs.where("doc_id >= 100"), model).collect()} == {"de"}
+
+
 def test_toxicity_score_is_that_of_two_dictionaries_window_by_window():
     rng = random.Random(8)
     plain = [say(rng, "en", rng.randint(20, 60)) for _ in range(300)]

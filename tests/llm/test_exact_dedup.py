@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import duckdb
@@ -68,6 +69,18 @@ def test_clashing_names_come_back_as_they_were(spark):
     assert [tuple(r) for r in DigestIndex(spark).deduplicate(docs).collect()] == [(1, "a", 8, "x")]
 
 
+def test_the_index_lies_among_the_shared_files(spark, make_docs):
+    """Not in the warehouse, which may be a folder of the driver's machine."""
+    index = DigestIndex(spark)
+    index.classify(make_docs([(1, "a"), (2, "b")]))
+    files = index.rows().inputFiles()
+    assert files and all(f.startswith(spark.conf.get("spark.checkpoint.dir").replace("file://", "file:///").replace("////", "///")) for f in files)
+    folder = index.path.removeprefix("file://")
+    assert os.path.isdir(folder)
+    index.drop()
+    assert not os.path.exists(folder) and not os.listdir(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") or ".")
+
+
 def test_empty_table(spark, make_docs):
     assert DigestIndex(spark).classify(make_docs([])).count() == 0
     assert DigestIndex(spark).deduplicate(make_docs([])).count() == 0
