@@ -28,8 +28,11 @@ def brightness(pixels: Column) -> Column:
 
 
 def _variance(values: Column) -> Column:
-    n = F.size(values).cast("double")
-    return let(F.try_divide(_sum(values), n), lambda m: F.try_divide(_sum(values, lambda x: (x - m) * (x - m)), n))
+    def of(x: Column) -> Column:
+        n = F.size(x).cast("double")
+        return let(F.try_divide(_sum(x), n), lambda m: F.try_divide(_sum(x, lambda v: (v - m) * (v - m)), n))
+
+    return let(values, of)
 
 
 def contrast(pixels: Column) -> Column:
@@ -134,21 +137,39 @@ def upscaled_size(width: Column, height: Column) -> Column:
     return F.struct(F.floor(width * factor).cast("int").alias("width"), F.floor(height * factor).cast("int").alias("height"))
 
 
-def otsu(images: DataFrame) -> DataFrame:
-    """I16: the grey level that best splits an image in two, from its histogram.
+def otsu_level(pixels: Column) -> Column:
+    """I16: the grey level that best splits an image in two; null for no pixels.
 
-    Pixels are counted by grey, so an image becomes 256 rows at most; the
-    threshold maximises the variance between the classes (the least on ties).
+    A fold over the sorted greys: at the last pixel of each grey the variance
+    between those up to it and those above it is known; the least of equals counts.
     """
-    from pyspark.sql import Window
 
-    counts = images.select("image_id", F.explode("pixels").alias("g")).groupBy("image_id", "g").agg(F.count("*").alias("n"))
-    upto, whole = Window.partitionBy("image_id").orderBy("g"), Window.partitionBy("image_id")
-    rows = counts.withColumns({"w0": F.sum("n").over(upto), "s0": F.sum(F.col("n") * F.col("g")).over(upto), "w": F.sum("n").over(whole), "s": F.sum(F.col("n") * F.col("g")).over(whole)})
-    w1 = F.col("w") - F.col("w0")
-    gap = F.col("s0") / F.col("w0") - F.try_divide(F.col("s") - F.col("s0"), w1)
-    rows = rows.withColumn("between", F.coalesce(F.round(F.col("w0") * w1 * gap * gap, 6), F.lit(0.0)))
-    return rows.groupBy("image_id").agg(F.max_by("g", F.struct("between", (-F.col("g")).alias("g"))).alias("threshold"))
+    def best(greys: Column) -> Column:
+        n = F.size(greys).cast("double")
+
+        def at(total: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                v = F.get(greys, i)
+                return let(F.struct(v.alias("v"), (i + 1).cast("double").alias("w"), (s["sum"] + v).alias("sum")), lambda x: weighed(s, x, i))
+
+            def weighed(s: Column, x: Column, i: Column) -> Column:
+                gap = x["sum"] / x["w"] - F.try_divide(total - x["sum"], n - x["w"])
+                between = F.coalesce(F.round(x["w"] * (n - x["w"]) * gap * gap, 6), F.lit(0.0))
+                last = ~F.get(greys, i + 1).eqNullSafe(x["v"])
+                better = lambda b: last & (b > s["most"])
+                return let(between, lambda b: F.struct(x["sum"].alias("sum"), F.when(better(b), b).otherwise(s["most"]).alias("most"), F.when(better(b), x["v"]).otherwise(s["level"]).alias("level")))
+
+            start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("most"), F.lit(None).cast("int").alias("level"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(greys) - 1), start, step, lambda s: s["level"])
+
+        return F.when(F.size(greys) > 0, let(_sum(greys), at))
+
+    return let(F.array_sort(pixels), best)
+
+
+def otsu(images: DataFrame) -> DataFrame:
+    """I16: the Otsu grey of each image, within its row."""
+    return images.select("image_id", otsu_level(F.col("pixels")).alias("threshold"))
 
 
 def dominant_angle(contours: DataFrame, least_share: float = 0.001, top: int = 10, least_angle: float = 0.5) -> DataFrame:
