@@ -213,10 +213,32 @@ def convolve(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return (_windows(image.astype(float), len(kernel)) * kernel).sum(axis=(2, 3))
 
 
-def edges(image: np.ndarray, least: float = 50.0) -> np.ndarray:
-    """Pixels whose Sobel gradient reaches a strength: a plain stand-in for hysteresis edges."""
-    gx = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
-    return np.abs(convolve(image, gx)) + np.abs(convolve(image, gx.T)) >= least
+#: The tangent of 22.5 degrees in parts of 2**15.
+SLOPE = round((2**0.5 - 1) * 2**15)
+
+
+def edges(image: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray:
+    """Edge pixels: gradients above ``low`` that are greatest across the edge and hang together with one above ``high``.
+
+    Gradients are sums of the absolute Sobel differences, the border repeated.
+    Weak pixels grow from strong ones, eight neighbours at a time, until none is added.
+    """
+    kernel = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+    around = _windows(image.astype(np.int64), 3, "edge")
+    gx, gy = (around * kernel).sum(axis=(2, 3)), (around * kernel.T).sum(axis=(2, 3))
+    size = np.abs(gx) + np.abs(gy)
+    wide = np.pad(size, 1)
+    at = lambda dr, dc: wide[1 + dr : 1 + dr + size.shape[0], 1 + dc : 1 + dc + size.shape[1]]
+    run, rise = np.abs(gx) * SLOPE, np.abs(gy) << 15
+    flat, steep, falling = rise < run, rise > run + (np.abs(gx) << 16), (gx < 0) != (gy < 0)
+    across = np.where(flat, (size > at(0, -1)) & (size >= at(0, 1)), np.where(steep, (size > at(-1, 0)) & (size >= at(1, 0)), np.where(falling, (size > at(-1, 1)) & (size > at(1, -1)), (size > at(-1, -1)) & (size > at(1, 1)))))
+    weak = across & (size > low)
+    found = weak & (size > high)
+    while True:
+        grown = weak & _windows(np.pad(found, 1), 3, "edge").any(axis=(2, 3))[1:-1, 1:-1]
+        if (grown == found).all():
+            return found
+        found = grown
 
 
 def sharpen(image: np.ndarray) -> np.ndarray:
@@ -233,13 +255,58 @@ def adaptive_threshold(image: np.ndarray, size: int = 11, offset: float = 2.0) -
     return np.where(image > _windows(image.astype(float), size, "edge").mean(axis=(2, 3)) - offset, 255, 0)
 
 
-def equalised(image: np.ndarray, clip: float = 2.0) -> np.ndarray:
-    """Histogram equalisation with a clipped histogram over the whole image: an approximation of the tiled form."""
-    counts = np.bincount(image.ravel(), minlength=256).astype(float)
-    most = max(1.0, clip * image.size / 256)
-    surplus = np.maximum(counts - most, 0).sum()
-    share = np.cumsum(np.minimum(counts, most) + surplus / 256) / image.size
-    return share[image] * 255
+def equalised(image: np.ndarray, clip: float = 3.0, grid: int = 8) -> np.ndarray:
+    """Histogram equalisation by tiles: each of ``grid`` by ``grid`` tiles has a map of greys, and a pixel blends the maps of the four nearest tiles.
+
+    Counts above the clip limit are dealt out again: evenly, and what is left
+    over to greys at equal distances. The image is mirrored up to whole tiles.
+    """
+    h, w = image.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    pad = ((0, th * grid - h), (0, tw * grid - w))
+    wide = np.pad(image, pad, mode="reflect" if min(h, w) > 1 else "edge")
+    tiles = wide.reshape(grid, th, grid, tw).swapaxes(1, 2).reshape(grid * grid, th * tw)
+    counts = np.zeros((grid * grid, 256), np.int64)
+    np.add.at(counts, (np.arange(grid * grid)[:, None], tiles), 1)
+    most = max(1, int(clip * th * tw / 256))
+    surplus = np.maximum(counts - most, 0).sum(axis=1)
+    batch, rest = surplus // 256, surplus % 256
+    step = np.maximum(1, 256 // np.maximum(rest, 1))[:, None]
+    greys = np.arange(256)[None]
+    counts = np.minimum(counts, most) + batch[:, None] + ((greys % step == 0) & (greys // step < rest[:, None]))
+    maps = np.clip(np.rint(np.cumsum(counts, axis=1) * 255.0 / (th * tw)), 0, 255).reshape(grid, grid, 256)
+
+    def near(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.arange(n) / size - 0.5
+        first = np.floor(at).astype(int)
+        return np.maximum(first, 0), np.minimum(first + 1, grid - 1), at - first
+
+    (r0, r1, fr), (c0, c1, fc) = near(h, th), near(w, tw)
+    of = lambda r, c: maps[r[:, None], c[None, :], image]
+    fr, fc = fr[:, None], fc[None, :]
+    return (of(r0, c0) * (1 - fc) + of(r0, c1) * fc) * (1 - fr) + (of(r1, c0) * (1 - fc) + of(r1, c1) * fc) * fr
+
+
+def non_local_means(image: np.ndarray, strength: float = 10.0, patch: int = 7, window: int = 21) -> np.ndarray:
+    """Each pixel as the mean of those in a window around it, weighed by how alike their patches are.
+
+    For each shift of the image the squared differences of all patches come from
+    one integral image of the differences; shifts of one row are taken together.
+    """
+    h, w = image.shape
+    near, far = patch // 2, window // 2
+    wide = np.pad(image.astype(float), near + far, mode="reflect" if min(h, w) > 1 else "edge")
+    own = wide[far : far + h + 2 * near, far : far + w + 2 * near]
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
+    for dr in range(window):
+        rows = wide[dr : dr + h + 2 * near]
+        shifted = np.stack([rows[:, dc : dc + own.shape[1]] for dc in range(window)])
+        area = np.pad((shifted - own) ** 2, ((0, 0), (1, 0), (1, 0))).cumsum(axis=1).cumsum(axis=2)
+        gap = area[:, patch:, patch:] - area[:, :-patch, patch:] - area[:, patch:, :-patch] + area[:, :-patch, :-patch]
+        weight = np.exp(-gap / (patch * patch * strength * strength))
+        total += (weight * shifted[:, near : near + h, near : near + w]).sum(axis=0)
+        weights += weight.sum(axis=0)
+    return total / weights
 
 
 def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -281,7 +348,7 @@ def opened(image: np.ndarray) -> np.ndarray:
 
 #: Steps by name; each takes and gives an image of greys.
 STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "sharpening": sharpen, "denoising": lambda x: median_filter(x, 3), "contrast_enhancement": equalised, "threshold": adaptive_threshold, "binarise": binarised, "close": closed, "open": opened,
+    "sharpening": sharpen, "denoising": non_local_means, "contrast_enhancement": equalised, "equalised_by_quarters": lambda x: equalised(x, grid=2), "lightly_denoised": lambda x: non_local_means(x, patch=3, window=5), "threshold": adaptive_threshold, "binarise": binarised, "close": closed, "open": opened,
     "upscaling": lambda x: bilinear(x, *(int(n * min(3.0, 1600 / x.shape[1])) for n in x.shape)) if x.shape[1] < 1200 or x.shape[0] < 800 else x,
     "double": lambda x: bilinear(x, *(2 * n for n in x.shape)),
     "brightness_correction": lambda x: x + (128 - x.mean()) if abs(128 - x.mean()) > 10 else x,

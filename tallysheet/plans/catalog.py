@@ -389,12 +389,21 @@ def basic_quality(spark, d):
     return raster.basic_quality(raster.measures(R.rasters(spark, d))).select("image_id", "is_sharp", "has_good_contrast", "is_well_lit", "overall_score", "is_suitable_for_ocr")
 
 
+#: The sums that :func:`summed` takes of an image.
+SUMS = "CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (r * 8 + c + 1)) AS BIGINT) AS placed"
 AROUND_SQL = f"""{LAPLACE_SQL}, span AS (SELECT unnest(range(-5, 6)) AS o),
 med AS (SELECT image_id, avg(abs(v - m)) AS noise FROM (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, median(n.v) AS m FROM grid g, span y, span x, grid n
   WHERE y.o BETWEEN -2 AND 2 AND x.o BETWEEN -2 AND 2 AND n.image_id = g.image_id AND n.r = least(greatest(g.r + y.o, 0), 7) AND n.c = least(greatest(g.c + x.o, 0), 7) GROUP BY g.image_id, g.r, g.c) GROUP BY image_id),
-nine AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, sum(n.v) AS total, abs(sum(x.o * (2 - abs(y.o)) * n.v)) + abs(sum(y.o * (2 - abs(x.o)) * n.v)) >= 50 AS edge FROM grid g, span y, span x, grid n
+nine AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, sum(n.v) AS total FROM grid g, span y, span x, grid n
   WHERE y.o BETWEEN -1 AND 1 AND x.o BETWEEN -1 AND 1 AND n.image_id = g.image_id AND n.r = CASE g.r + y.o WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE g.r + y.o END AND n.c = CASE g.c + x.o WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE g.c + x.o END GROUP BY g.image_id, g.r, g.c),
-edg AS (SELECT image_id, avg(CAST(edge AS INTEGER)) AS density FROM nine GROUP BY image_id)"""
+sob AS (SELECT g.image_id, g.r, g.c, CAST(sum(x.o * (2 - abs(y.o)) * n.v) AS BIGINT) AS gx, CAST(sum(y.o * (2 - abs(x.o)) * n.v) AS BIGINT) AS gy FROM grid g, span y, span x, grid n
+  WHERE y.o BETWEEN -1 AND 1 AND x.o BETWEEN -1 AND 1 AND n.image_id = g.image_id AND n.r = least(greatest(g.r + y.o, 0), 7) AND n.c = least(greatest(g.c + x.o, 0), 7) GROUP BY g.image_id, g.r, g.c),
+mag AS (SELECT image_id, r, c, abs(gx) + abs(gy) AS m, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN 0 WHEN abs(gy) * 32768 > abs(gx) * (13573 + 65536) THEN 1 ELSE 2 END AS way, CASE WHEN (gx < 0) <> (gy < 0) THEN -1 ELSE 1 END AS lean FROM sob),
+ste AS (SELECT *, CASE way WHEN 0 THEN 0 ELSE 1 END AS dr, CASE way WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE lean END AS dc FROM mag),
+thin AS (SELECT s.image_id, s.r, s.c, s.m FROM ste s LEFT JOIN mag a ON a.image_id = s.image_id AND a.r = s.r - dr AND a.c = s.c - dc LEFT JOIN mag b ON b.image_id = s.image_id AND b.r = s.r + dr AND b.c = s.c + dc
+  WHERE s.m > 50 AND s.m > coalesce(a.m, 0) AND (s.m > coalesce(b.m, 0) OR s.way < 2 AND s.m = coalesce(b.m, 0))),
+grown AS (SELECT image_id, r, c FROM thin WHERE m > 150 UNION SELECT t.image_id, t.r, t.c FROM grown g JOIN thin t ON g.image_id = t.image_id AND abs(g.r - t.r) <= 1 AND abs(g.c - t.c) <= 1),
+edg AS (SELECT i.image_id, count(g.r) / 64.0 AS density FROM (SELECT DISTINCT image_id FROM grid) i LEFT JOIN grown g ON i.image_id = g.image_id GROUP BY i.image_id)"""
 PLAN_SQL = f"""{AROUND_SQL}, sco AS (SELECT mes.image_id, brightness AS b, contrast AS k, sharpness AS s, noise,
     CASE WHEN brightness < 80 THEN brightness / 80 * 100 WHEN brightness > 200 THEN greatest(0, 300 - brightness) ELSE 100 END AS brightness_score, least(100, contrast / 30 * 100) AS contrast_score, least(100, sharpness / 50 * 100) AS sharpness_score,
     greatest(0, 100 - noise / 15 * 100) AS noise_score, CAST(30 AS DOUBLE) AS resolution_score, CASE WHEN density BETWEEN 0.05 AND 0.4 THEN 100 ELSE greatest(0, 100 - abs(density - 0.2) * 200) END AS text_clarity_score
@@ -405,7 +414,7 @@ pla AS (SELECT *, (brightness_score + contrast_score + sharpness_score + noise_s
 SCORES = ("brightness_score", "contrast_score", "sharpness_score", "noise_score", "resolution_score", "text_clarity_score", "overall_score")
 
 
-@query("i5_i6_o4_quality_and_plan", f"WITH {PLAN_SQL} SELECT image_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, overall_score < 70 AS needs_enhancement, enhancements_needed, steps FROM pla")
+@query("i5_i6_o4_quality_and_plan", f"WITH RECURSIVE {PLAN_SQL} SELECT image_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, overall_score < 70 AS needs_enhancement, enhancements_needed, steps FROM pla")
 def quality_and_plan(spark, d):
     return rounded(raster.analysed(R.rasters(spark, d)).select("image_id", *SCORES, "needs_enhancement", "enhancements_needed", "steps"))
 
@@ -417,15 +426,15 @@ def enhanced(spark, d):
     return rounded(out.select("image_id", "height", "width", "applied", "enhancements_applied", "brightness", "contrast", "score_before", "score_after", "improvement", "recommended"))
 
 
-@query("i9_sharpened", f"""WITH {AROUND_SQL}, k AS (SELECT image_id, CASE WHEN density < 0.05 THEN -1.0 WHEN density < 0.15 THEN -0.5 ELSE -0.25 END AS side FROM edg)
-SELECT nine.image_id, CAST(sum(CAST(least(greatest(round_even(CAST(side * total + (1 - 9 * side) * v AS DOUBLE), 0), 0), 255) AS BIGINT)) AS BIGINT) AS total FROM nine JOIN k ON nine.image_id = k.image_id GROUP BY nine.image_id""")
+@query("i9_sharpened", f"""WITH RECURSIVE {AROUND_SQL}, k AS (SELECT image_id, CASE WHEN density < 0.05 THEN -1.0 WHEN density < 0.15 THEN -0.5 ELSE -0.25 END AS side FROM edg)
+SELECT image_id, {SUMS} FROM (SELECT nine.image_id, r, c, CAST(least(greatest(round_even(CAST(side * total + (1 - 9 * side) * v AS DOUBLE), 0), 0), 255) AS BIGINT) AS v FROM nine JOIN k ON nine.image_id = k.image_id) GROUP BY image_id""")
 def sharpened(spark, d):
     return stepped(spark, d, "sharpening")
 
 
-@query("i16_adaptive_threshold", f"""WITH {AROUND_SQL}, loc AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, avg(n.v) AS m FROM grid g, span y, span x, grid n
+@query("i16_adaptive_threshold", f"""WITH RECURSIVE {AROUND_SQL}, loc AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, avg(n.v) AS m FROM grid g, span y, span x, grid n
   WHERE n.image_id = g.image_id AND n.r = least(greatest(g.r + y.o, 0), 7) AND n.c = least(greatest(g.c + x.o, 0), 7) GROUP BY g.image_id, g.r, g.c)
-SELECT image_id, CAST(sum(CASE WHEN v > m - 2 THEN 255 ELSE 0 END) AS BIGINT) AS total FROM loc GROUP BY image_id""")
+SELECT image_id, {SUMS} FROM (SELECT image_id, r, c, CASE WHEN v > m - 2 THEN 255 ELSE 0 END AS v FROM loc) GROUP BY image_id""")
 def adaptive_threshold(spark, d):
     return stepped(spark, d, "threshold")
 
@@ -433,23 +442,66 @@ def adaptive_threshold(spark, d):
 @query("i17_closed", f"""WITH {R.RASTERS_SQL}, span AS (SELECT unnest([0, 1]) AS o),
 gro AS (SELECT g.image_id, g.r, g.c, max(n.v) AS v FROM grid g, span y, span x, grid n WHERE n.image_id = g.image_id AND n.r = g.r - y.o AND n.c = g.c - x.o GROUP BY g.image_id, g.r, g.c),
 clo AS (SELECT g.image_id, g.r, g.c, min(n.v) AS v FROM gro g, span y, span x, gro n WHERE n.image_id = g.image_id AND n.r = g.r + y.o AND n.c = g.c + x.o GROUP BY g.image_id, g.r, g.c)
-SELECT image_id, CAST(sum(v) AS BIGINT) AS total FROM clo GROUP BY image_id""")
+SELECT image_id, {SUMS} FROM clo GROUP BY image_id""")
 def closed(spark, d):
     return stepped(spark, d, "close")
 
 
+@query("i17_opened", f"""WITH {R.RASTERS_SQL}, span AS (SELECT unnest([0, 1]) AS o),
+les AS (SELECT g.image_id, g.r, g.c, min(n.v) AS v FROM grid g, span y, span x, grid n WHERE n.image_id = g.image_id AND n.r = g.r - y.o AND n.c = g.c - x.o GROUP BY g.image_id, g.r, g.c),
+ope AS (SELECT g.image_id, g.r, g.c, max(n.v) AS v FROM les g, span y, span x, les n WHERE n.image_id = g.image_id AND n.r = g.r + y.o AND n.c = g.c + x.o GROUP BY g.image_id, g.r, g.c)
+SELECT image_id, {SUMS} FROM ope GROUP BY image_id""")
+def opened(spark, d):
+    return stepped(spark, d, "open")
+
+
+@query("i10_equalised", f"""WITH {R.RASTERS_SQL}, cnt AS (SELECT image_id, r // 4 AS tr, c // 4 AS tc, v AS g, count(*) AS n FROM grid GROUP BY ALL),
+til AS (SELECT image_id, tr, tc, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS over FROM cnt GROUP BY image_id, tr, tc),
+bin AS (SELECT t.image_id, t.tr, t.tc, b.g, least(coalesce(n, 0), 1) + over // 256 + CASE WHEN b.g % (256 // greatest(over % 256, 1)) = 0 AND b.g // (256 // greatest(over % 256, 1)) < over % 256 THEN 1 ELSE 0 END AS n
+  FROM til t CROSS JOIN range(256) b(g) LEFT JOIN cnt ON cnt.image_id = t.image_id AND cnt.tr = t.tr AND cnt.tc = t.tc AND cnt.g = b.g),
+lut AS (SELECT image_id, tr, tc, g, least(round_even(CAST(sum(n) OVER (PARTITION BY image_id, tr, tc ORDER BY g) AS DOUBLE) * 255 / 16, 0), 255) AS m FROM bin),
+pos AS (SELECT *, r / 4.0 - 0.5 AS y, c / 4.0 - 0.5 AS x FROM grid),
+bl AS (SELECT p.image_id, p.r, p.c, sum(m * CASE WHEN k.i = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END * CASE WHEN k.j = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS v
+  FROM pos p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j), lut WHERE lut.image_id = p.image_id AND lut.g = p.v AND lut.tr = least(greatest(floor(y) + k.i, 0), 1) AND lut.tc = least(greatest(floor(x) + k.j, 0), 1) GROUP BY p.image_id, p.r, p.c)
+SELECT image_id, {SUMS} FROM (SELECT image_id, r, c, CAST(round_even(CAST(v AS DOUBLE), 0) AS BIGINT) AS v FROM bl) GROUP BY image_id""")
+def equalised(spark, d):
+    """Four tiles of 4 by 4 pixels."""
+    return stepped(spark, d, "equalised_by_quarters")
+
+
+@query("i11_non_local_means", f"""WITH {R.RASTERS_SQL}, far AS (SELECT unnest(range(-2, 3)) AS o), near AS (SELECT unnest(range(-1, 2)) AS o), way AS (SELECT unnest(range(-3, 11)) AS k),
+big AS (SELECT g.image_id, y.k AS r, x.k AS c, g.v FROM way y, way x, grid g WHERE g.r = CASE WHEN y.k < 0 THEN -y.k WHEN y.k > 7 THEN 14 - y.k ELSE y.k END AND g.c = CASE WHEN x.k < 0 THEN -x.k WHEN x.k > 7 THEN 14 - x.k ELSE x.k END),
+gap AS (SELECT a.image_id, a.r - ny.o AS r, a.c - nx.o AS c, fy.o AS dr, fx.o AS dc, CAST(sum((a.v - b.v) * (a.v - b.v)) AS DOUBLE) AS d
+  FROM big a, near ny, near nx, far fy, far fx, big b WHERE a.r - ny.o BETWEEN 0 AND 7 AND a.c - nx.o BETWEEN 0 AND 7 AND b.image_id = a.image_id AND b.r = a.r + fy.o AND b.c = a.c + fx.o GROUP BY ALL),
+mea AS (SELECT gap.image_id, gap.r, gap.c, sum(exp(-d / 900) * b.v) / sum(exp(-d / 900)) AS v FROM gap JOIN big b ON b.image_id = gap.image_id AND b.r = gap.r + dr AND b.c = gap.c + dc GROUP BY gap.image_id, gap.r, gap.c)
+SELECT image_id, {SUMS} FROM (SELECT image_id, r, c, CAST(round_even(v, 0) AS BIGINT) AS v FROM mea) GROUP BY image_id""")
+def non_local_means(spark, d):
+    """Patches of 3 by 3 in windows of 5 by 5."""
+    return stepped(spark, d, "lightly_denoised")
+
+
+@query("i5_edges", f"WITH RECURSIVE {AROUND_SQL} SELECT image_id, round(density, 6) AS edge_density FROM edg")
+def edge_density(spark, d):
+    rows = R.rasters(spark, d)
+    return rounded(rows.select("image_id", raster.neighbourhood("pixels", "height", "width").alias("n")).select("image_id", "n.edge_density"))
+
+
+def summed(pixels):
+    """Sum of greys, and of greys times their places, so that a shifted image is told apart."""
+    whole = F.aggregate(pixels, F.lit(0).cast("long"), lambda a, x: a + x).alias("total")
+    return [whole, F.aggregate(F.transform(pixels, lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("placed")]
+
+
 def stepped(spark, d, step: str):
-    """Sum of the greys of each image after one step."""
-    out = raster.apply_steps(R.rasters(spark, d).withColumn("steps", F.lit(step)))
-    return out.select("image_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """The sums of each image after one step."""
+    return raster.apply_steps(R.rasters(spark, d).withColumn("steps", F.lit(step))).select("image_id", *summed("pixels"))
 
 
 @query("i8_adjusted", f"""WITH {R.RASTERS_SQL}, m AS (SELECT image_id, avg(v) AS m, stddev_pop(v) AS s FROM grid GROUP BY image_id),
 a AS (SELECT g.image_id, i, least(greatest((least(greatest(p.v + CASE WHEN abs(128 - m) > 10 THEN 128 - m ELSE 0 END, 0), 255) - 128) * CASE WHEN s < 50 AND s > 0 THEN least(2.0, 50 / s) ELSE 1 END + 128, 0), 255) AS v FROM m g JOIN pix p ON g.image_id = p.image_id)
-SELECT image_id, CAST(sum(CAST(trunc(v) AS BIGINT)) AS BIGINT) AS total FROM a GROUP BY image_id""")
+SELECT image_id, {SUMS} FROM (SELECT image_id, i // 8 AS r, i % 8 AS c, CAST(trunc(v) AS BIGINT) AS v FROM a) GROUP BY image_id""")
 def adjusted(spark, d):
-    rows = R.rasters(spark, d).select("image_id", raster.adjusted(F.col("pixels")).alias("p"))
-    return rows.select("image_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return R.rasters(spark, d).select("image_id", raster.adjusted(F.col("pixels")).alias("p")).select("image_id", *summed("p"))
 
 
 @query("i14_i15_sizes", "SELECT p_partkey, CAST(least(w, 2000) AS INTEGER) AS fitted_width, CAST(CASE WHEN w > 2000 THEN floor(CAST(h AS DOUBLE) / w * 2000) ELSE h END AS INTEGER) AS fitted_height, CAST(floor(w * f) AS INTEGER) AS up_width, CAST(floor(h * f) AS INTEGER) AS up_height FROM (SELECT *, CASE WHEN w < 1200 OR h < 800 THEN least(CAST(3 AS DOUBLE), CAST(1600 AS DOUBLE) / w) ELSE 1 END AS f FROM (SELECT p_partkey, CAST(300 + p_partkey * 37 % 2500 AS INTEGER) AS w, CAST(200 + p_partkey * 53 % 1900 AS INTEGER) AS h FROM part))")
