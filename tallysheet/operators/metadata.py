@@ -137,29 +137,35 @@ class AssignmentBuilder:
         self._given |= given
         return self
 
-    def template(self, template_id: str) -> AssignmentBuilder:
+    def template(self, template_id: str | Column) -> AssignmentBuilder:
         return self._with(template_id=template_id)
 
-    def name(self, assignment_name: str) -> AssignmentBuilder:
+    def name(self, assignment_name: str | Column) -> AssignmentBuilder:
         return self._with(assignment_name=assignment_name)
 
-    def due(self, due_date: str) -> AssignmentBuilder:
+    def due(self, due_date: str | Column) -> AssignmentBuilder:
         return self._with(due_date=due_date)
 
-    def period(self, class_period: str) -> AssignmentBuilder:
+    def period(self, class_period: str | Column) -> AssignmentBuilder:
         return self._with(class_period=class_period)
 
-    def teacher(self, teacher_name: str) -> AssignmentBuilder:
+    def teacher(self, teacher_name: str | Column) -> AssignmentBuilder:
         return self._with(teacher_name=teacher_name)
 
-    def worth(self, custom_points: int) -> AssignmentBuilder:
+    def worth(self, custom_points: int | Column) -> AssignmentBuilder:
         return self._with(custom_points=custom_points)
 
-    def build(self, request_id: int = 1, created_at=None) -> DataFrame:
-        missing = [k for k in ("template_id", "assignment_name", "due_date") if not self._given.get(k)]
-        if missing:
+    def _missing(self) -> list[str]:
+        return [k for k in ("template_id", "assignment_name", "due_date") if not isinstance(self._given.get(k), Column) and not self._given.get(k)]
+
+    def build_each(self, requests: DataFrame) -> DataFrame:
+        """An assignment for each row ``request_id, created_at``; what was given may be Columns over these rows."""
+        if missing := self._missing():
             raise ValueError(f"missing: {', '.join(missing)}")
-        names = ("template_id", "assignment_name", "due_date", "class_period", "teacher_name", "custom_points")
-        ddl = "request_id bigint, template_id string, assignment_name string, due_date string, class_period string, teacher_name string, custom_points int, created_at timestamp"
-        row = self._templates.sparkSession.createDataFrame([(request_id, *(self._given.get(k) for k in names), created_at)], ddl)
-        return instantiate(row.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())), self._templates)
+        kinds = {"template_id": "string", "assignment_name": "string", "due_date": "string", "class_period": "string", "teacher_name": "string", "custom_points": "int"}
+        given = {k: v if isinstance(v := self._given.get(k), Column) else F.lit(v) for k in kinds}
+        return instantiate(requests.select("request_id", "created_at", *[given[k].cast(kind).alias(k) for k, kind in kinds.items()]), self._templates)
+
+    def build(self, request_id: int = 1, created_at=None) -> DataFrame:
+        row = self._templates.sparkSession.createDataFrame([(request_id, created_at)], "request_id bigint, created_at timestamp")
+        return self.build_each(row.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())))

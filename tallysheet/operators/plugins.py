@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from importlib.util import find_spec
 
 import numpy as np
@@ -17,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallysheet.functions.text import strip
 from tallysheet.schemas import OCR_RESULTS
+from tallysheet.sources.shared import is_written, shared_folder, written
 
 Engine = Callable[[np.ndarray], tuple[str, float]]
 
@@ -81,12 +84,24 @@ class Registry:
         return images.select("image_id", "height", "width", "pixels").mapInPandas(run, OCR_RESULTS)
 
 
-def cascade(registry: Registry, images: DataFrame, order: list[str], enough: float = 0.9) -> DataFrame:
-    """O7 with its savings: engines run in waves, each on the images that no engine before was confident about."""
-    left, out = images, None
-    for name in order:
-        found = registry.recognise(left, [name])
-        out = found if out is None else out.unionByName(found)
-        sure = found.where(F.col("error_message").isNull() & (F.trim("text") != "") & (F.col("confidence") >= enough)).select("image_id")
+def cascade(engines: Registry | Callable[[str, DataFrame], DataFrame], images: DataFrame, order: list[str], enough: float = 0.9, folder: str | None = None) -> DataFrame:
+    """O7, U3 with its savings: engines run in waves, each on the images that no engine before was confident about.
+
+    ``engines`` is a registry, or gives the results of an engine for some images.
+    Each wave is written to ``folder`` (by default a new one among the shared
+    folders) and read from there by all later ones, so an image meets an engine
+    once; a run that died goes on after its last whole wave if it is given the
+    same folder. Failed and blank results don't end the search.
+    """
+    spark = images.sparkSession
+    run = (lambda name, left: engines.recognise(left, [name])) if isinstance(engines, Registry) else engines
+    folder = (folder or shared_folder(spark)).rstrip("/")
+    left, waves = images, []
+    for k, name in enumerate(order):
+        path = f"{folder}/wave-{k}"
+        wave = run(name, left)
+        found = spark.read.schema(wave.schema).parquet(path) if is_written(spark, path) else written(wave, path)
+        waves.append(found)
+        sure = found.where(F.col("error_message").isNull() & (strip(F.col("text")) != "") & (F.col("confidence") >= enough)).select("image_id").distinct()
         left = left.join(sure, "image_id", "left_anti")
-    return out
+    return reduce(DataFrame.unionByName, waves) if waves else spark.createDataFrame([], OCR_RESULTS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallysheet.functions import text as T
 from tallysheet.functions import validate as V
-from tallysheet.operators import layout, metadata, qr, raster, reports, votes
+from tallysheet.operators import layout, metadata, qr, raster, reports, running, votes
 from tallysheet.plans import sql_text as S
 from tallysheet.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tallysheet.sources import relations as R
@@ -77,6 +77,15 @@ def engine_statistics(spark, d):
     return rounded(votes.engine_statistics(R.engine_calls(spark, d), R.engines(spark)), average_confidence=10)
 
 
+@query("a10_running_means", f"""WITH RECURSIVE {R.CALLS_SQL}, num AS (SELECT engine_name, event_id, confidence, error_message IS NULL AS ran, {OK} AS good, row_number() OVER (PARTITION BY engine_name ORDER BY ts, event_id) AS k FROM calls),
+run AS (SELECT DISTINCT engine_name, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS m FROM num
+  UNION ALL SELECT r.engine_name, num.k, num.event_id, r.n + CAST(good AS BIGINT), CASE WHEN ran AND r.n + CAST(good AS BIGINT) > 0 THEN (m * (r.n + CAST(good AS BIGINT) - 1) + confidence) / (r.n + CAST(good AS BIGINT)) ELSE m END
+  FROM run r JOIN num ON num.engine_name = r.engine_name AND num.k = r.k + 1)
+SELECT engine_name, event_id, n AS successful_calls, round(m, 6) AS average_confidence FROM run WHERE k > 0""")
+def running_means(spark, d):
+    return rounded(running.running_means(R.engine_calls(spark, d)))
+
+
 @query("a23_compare_engines", f"WITH {R.CALLS_SQL} SELECT image_id, engine_name, count(*) AS calls, round(max(confidence), 6) AS best, round(avg(confidence), 10) AS mean, count(error_message) AS failures FROM calls GROUP BY ALL")
 def compare_engines(spark, d):
     return rounded(votes.compare_engines(R.engine_calls(spark, d)), mean=10)
@@ -87,9 +96,9 @@ def engines_used(spark, d):
     return votes.engines_used(R.ocr_results(spark, d))
 
 
-@query("p1_o1_engine_order", f"WITH {R.ENGINES_SQL} SELECT engine_name, row_number() OVER (ORDER BY coalesce(priority, 999), config_pos) AS engine_rank FROM engines WHERE enabled")
+@query("p1_o1_engine_order", f"WITH {R.CONFIGURED_SQL} SELECT engine_name, row_number() OVER (ORDER BY coalesce(priority, 999), config_pos) AS engine_rank FROM configured WHERE enabled")
 def engine_order(spark, d):
-    return votes.enabled(R.engines(spark)).select("engine_name", "engine_rank")
+    return votes.enabled(R.configured_engines(spark, d)).select("engine_name", "engine_rank")
 
 
 @query("p2_successful", f"WITH {USABLE} SELECT image_id, engine_name, said, round(confidence, 6) AS confidence FROM ok")
@@ -305,14 +314,15 @@ _T = [(k, t["name"], t["subject"], t["total_points"], t["estimated_time_minutes"
 TEMPLATES_SQL = f"tpl(template_id, name, subject, total_points, minutes, difficulty, kinds, problems, points) AS (VALUES {R._values(_T)})"
 
 
-@query("p10_p11_o2_list_templates", f"WITH {TEMPLATES_SQL} SELECT template_id AS id, name, subject, total_points, difficulty, minutes AS estimated_time FROM tpl")
+@query("p10_p11_o2_list_templates", f"""WITH {R.PART_TEMPLATES_SQL} SELECT template_id AS id, coalesce(name, template_id) AS name, coalesce(subject, 'unknown') AS subject, coalesce(total_points, 100) AS total_points,
+  coalesce(difficulty, 'intermediate') AS difficulty, coalesce(minutes, 60) AS estimated_time FROM pt""")
 def list_templates(spark, d):
-    return metadata.list_templates(templates(spark))
+    return metadata.list_templates(R.part_templates(spark, d))
 
 
-@query("a17_subjects", f"WITH {TEMPLATES_SQL} SELECT DISTINCT subject FROM tpl")
+@query("a17_subjects", f"WITH {R.PART_TEMPLATES_SQL} SELECT DISTINCT subject FROM pt WHERE subject <> ''")
 def subjects(spark, d):
-    return metadata.subjects(templates(spark))
+    return metadata.subjects(R.part_templates(spark, d))
 
 
 INSTANCES_SQL = f"""{TEMPLATES_SQL}, {R.REQUESTS_SQL}, ins AS (
@@ -352,14 +362,16 @@ def any_payload(spark, d):
     return R.qr_detections(spark, d).select("image_id", "seq", metadata.any_payload(F.col("data"), "data").alias("payload"))
 
 
-@query("j9_problem_points", f"WITH {TEMPLATES_SQL} SELECT template_id, problems, points FROM tpl")
+@query("j9_problem_points", f"""WITH {R.PART_TEMPLATES_SQL} SELECT template_id, CAST(coalesce(list_sum(list_transform(range(1, k % 4 + 1), lambda j: size % 5 + j)), 0) AS INTEGER) AS problems,
+  CAST(coalesce(list_sum(list_transform(range(1, k % 4 + 1), lambda j: (size % 5 + j) * (j + 1))), 0) AS INTEGER) AS points FROM pt""")
 def problem_points(spark, d):
-    return metadata.problem_points(templates(spark))
+    return metadata.problem_points(R.part_templates(spark, d))
 
 
-@query("j9_rubric", "WITH r(template_id, item, weight) AS (VALUES " + R._values([(k, i, w) for k, t in BUILT_IN.items() for i, w in t["grading_rubric"].items()]) + ") SELECT template_id, item, weight, round(CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY template_id), 6) AS share FROM r")
+@query("j9_rubric", f"""WITH {R.PART_TEMPLATES_SQL}, r AS (SELECT template_id, 'accuracy' AS item, size AS weight FROM pt UNION ALL SELECT template_id, 'method', k % 10 + 1 FROM pt)
+SELECT template_id, item, weight, round(CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY template_id), 6) AS share FROM r""")
 def rubric(spark, d):
-    return rounded(metadata.rubric_lines(templates(spark)))
+    return rounded(metadata.rubric_lines(R.part_templates(spark, d)))
 
 
 @query("t21_t22_t23_identifiers", """SELECT o_orderkey, 'AG_' || md5(o_orderpriority || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S'))[:8] || '_' || strftime(o_orderdate, '%H%M%S') AS hashed,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,6 +42,17 @@ def engines_by_images(spark, d):
     return rounded(measuring_engines().recognise(R.rasters(spark, d)).drop("processing_time"))
 
 
+@query("o7_u3_cascade", f"""WITH {R.RESULTS_SQL}, s AS (SELECT *, coalesce(bool_or(error_message IS NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND confidence >= 0.7) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS done FROM ocr)
+SELECT image_id, engine_name, text, round(confidence, 6) AS confidence, error_message FROM s WHERE NOT done""")
+def cascade(spark, d):
+    """Engines whose answers are recorded, each asked only about images that none before was sure of."""
+    recorded = R.ocr_results(spark, d)
+    images = R.table(spark, d, "events").select(F.col("user_id").alias("image_id")).distinct()
+    run = lambda name, left: recorded.where(F.col("engine_name") == name).join(left, "image_id", "left_semi")
+    order = [e[0] for e in sorted(R.ENGINES, key=lambda e: e[-1])]
+    return rounded(plugins.cascade(run, images, order, 0.7).select("image_id", "engine_name", "text", "confidence", "error_message"))
+
+
 @query("p20_p21_u2_registry", """WITH e(engine_name, enabled, priority, config_pos) AS (VALUES ('mean_grey', TRUE, 1, 0), ('darkest_grey', TRUE, 2, 1), ('absent', FALSE, 3, 2))
 SELECT asked, enabled, priority, config_pos, asks FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'mean_grey' WHEN 1 THEN 'darkest_grey' WHEN 2 THEN 'absent' ELSE event_type END AS asked, count(*) AS asks FROM events GROUP BY ALL) LEFT JOIN e ON asked = engine_name""")
 def registry_lookup(spark, d):
@@ -74,10 +83,10 @@ def file_checks(spark, d):
     return rounded(good.select("path", F.lit(None).cast("string").alias("error"), "file_size_mb").unionByName(bad.select("path", "error", F.lit(None).cast("double").alias("file_size_mb"))))
 
 
-@query("s5_source_files", f"WITH {PATHS_SQL} SELECT page_id, path AS source_file, CAST(ms AS DOUBLE) / 1000 AS extraction_timestamp FROM p WHERE page_id % 3 = 0")
+@query("s5_source_files", f"WITH {PATHS_SQL} SELECT page_id, path AS source_file, CAST(ms AS DOUBLE) / 1000 AS extraction_timestamp FROM p")
 def source_files(spark, d):
     found = paths(spark, d)
-    return files.with_source(found.where("page_id % 3 = 0").select("page_id", "path"), found).select("page_id", "source_file", "extraction_timestamp")
+    return files.with_source(found.select("page_id", "path"), found).select("page_id", "source_file", "extraction_timestamp")
 
 
 # --- Assignments -----------------------------------------------------------------
@@ -102,14 +111,17 @@ def required_fields(spark, d):
     return metadata.instantiate(asked, templates(spark)).select("request_id", "error", "subject")
 
 
-@query("j7_builder", f"""WITH {TEMPLATES_SQL} SELECT template_id, upper(subject)[:3] || '-20250902-' || upper(md5('1')[:8]) AS assignment_id, 'Sheet' AS assignment_name, '2025-10-01' AS due_date, 'Period 2' AS class_period, 'T.' AS teacher_name, 45 AS total_points, '2025-2026' AS academic_year FROM tpl""")
+@query("j7_builder", f"""WITH {TEMPLATES_SQL}, o AS (SELECT *, ['fractions_intro', 'ratios_review', 'angles_practice'][o_orderkey % 3 + 1] AS template_id FROM orders)
+SELECT o_orderkey AS request_id, o.template_id, upper(subject)[:3] || '-' || strftime(o_orderdate, '%Y%m%d') || '-' || upper(md5(CAST(o_orderkey AS VARCHAR))[:8]) AS assignment_id, 'Sheet ' || o_orderkey AS assignment_name, strftime(o_orderdate + INTERVAL 14 DAY, '%Y-%m-%d') AS due_date,
+  'Period 2' AS class_period, 'T.' AS teacher_name, coalesce(nullif(CAST(o_orderkey % 90 AS INTEGER), 0), total_points) AS total_points, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) >= 8 THEN 0 ELSE 1 END AS VARCHAR) || '-' || CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 8 THEN 1 ELSE 0 END AS VARCHAR) AS academic_year
+FROM o JOIN tpl ON o.template_id = tpl.template_id""")
 def builder(spark, d):
-    known, out = templates(spark), None
-    for name in ("fractions_intro", "ratios_review", "angles_practice"):
-        made = metadata.AssignmentBuilder(known).template(name).name("Sheet").due("2025-10-01").period("Period 2").teacher("T.").worth(45).build(1, datetime.datetime(2025, 9, 2, 8, 30))
-        row = made.select(F.col("additional_data")["template_id"].alias("template_id"), "assignment_id", "assignment_name", "due_date", "class_period", "teacher_name", "total_points", "academic_year")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One builder makes an assignment for every order; some of its parts are the same for all."""
+    k, day = F.col("request_id"), F.col("created_at")
+    orders = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"))
+    chosen = F.element_at(F.array(*map(F.lit, ("fractions_intro", "ratios_review", "angles_practice"))), (k % 3 + 1).cast("int"))
+    made = metadata.AssignmentBuilder(templates(spark)).template(chosen).name(F.concat(F.lit("Sheet "), k.cast("string"))).due(F.date_format(F.date_add(day, 14), "yyyy-MM-dd")).period("Period 2").teacher("T.").worth(k % 90).build_each(orders)
+    return made.select("request_id", F.col("additional_data")["template_id"].alias("template_id"), "assignment_id", "assignment_name", "due_date", "class_period", "teacher_name", "total_points", "academic_year")
 
 
 # --- Images ----------------------------------------------------------------------

@@ -36,6 +36,36 @@ def engines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ENGINES, SCHEMA)
 
 
+def configured_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine for each kind of event and group of users, set up from its first event; some are off, some have no priority."""
+    first = F.min("event_id")
+    name = F.concat("event_type", F.lit("_"), (F.col("user_id") % 40).cast("string"))
+    rows = table(spark, sf_dir, "events").groupBy(name.alias("engine_name")).agg(first.alias("first"))
+    k = F.col("first")
+    return rows.select("engine_name", (k % 5 != 0).alias("enabled"), F.when(k % 4 < 3, k % 4).cast("int").alias("priority"), F.lit(60).alias("timeout"), k.cast("int").alias("config_pos"))
+
+
+CONFIGURED_SQL = """conf AS (SELECT event_type || '_' || CAST(user_id % 40 AS VARCHAR) AS engine_name, min(event_id) AS k FROM events GROUP BY ALL),
+configured AS (SELECT engine_name, k % 5 <> 0 AS enabled, CASE WHEN k % 4 < 3 THEN k % 4 END AS priority, k AS config_pos FROM conf)"""
+
+
+def part_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each part; some lack a name, a subject, points, minutes, a level or problems."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kinds = F.transform(F.sequence(F.lit(1), (k % 4).cast("int")), lambda j: F.struct(F.concat(F.lit("kind "), j.cast("string")).alias("type"), (F.col("p_size") % 5 + j).alias("count"), (j + 1).alias("points_each"), F.lit(None).cast("string").alias("description")))
+    none = F.array().cast("array<struct<type:string,count:int,points_each:int,description:string>>")
+    return p.select(
+        F.concat(F.lit("T"), k.cast("string")).alias("template_id"), F.when(k % 11 != 0, F.col("p_name")).alias("name"), F.when(k % 17 == 0, "").when(k % 13 != 0, F.col("p_brand")).alias("subject"),
+        F.when(k % 7 != 0, F.col("p_size") * 2).alias("total_points"), F.when(k % 5 != 0, F.col("p_size") + 20).alias("estimated_time_minutes"), F.when(k % 3 == 0, "basic").when(k % 3 == 1, "advanced").alias("difficulty_level"),
+        F.lit(None).cast("string").alias("instructions"), F.when(k % 4 > 0, kinds).otherwise(none).alias("problem_types"),
+        F.create_map(F.lit("accuracy"), F.col("p_size"), F.lit("method"), (k % 10 + 1).cast("int")).alias("grading_rubric"),
+    )
+
+
+PART_TEMPLATES_SQL = """pt AS (SELECT p_partkey AS k, 'T' || p_partkey AS template_id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 <> 0 THEN p_brand END AS subject,
+  CASE WHEN p_partkey % 7 <> 0 THEN p_size * 2 END AS total_points, CASE WHEN p_partkey % 5 <> 0 THEN p_size + 20 END AS minutes, CASE p_partkey % 3 WHEN 0 THEN 'basic' WHEN 1 THEN 'advanced' END AS difficulty, p_size AS size FROM part)"""
+
+
 def regions(spark: SparkSession) -> DataFrame:
     from tallysheet.schemas import REGIONS as SCHEMA
 
