@@ -78,16 +78,15 @@ def allotments(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     """
     cells = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "cells")
     sources = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    targets = water_fill(ranked(sources).select("source", "source_size", turn.alias("weight")), max_epochs)
+    filled = water_fill(weighted(sources, weights), max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # An epoch count within rounding of a whole number is that number.
     whole = F.floor(epochs + 1e-9)
-    targets = targets.withColumns({"whole": whole, "rest": F.col("target") - whole * F.col("source_size")})
+    filled = filled.withColumns({"whole": whole, "rest": F.col("target") - whole * F.col("source_size")})
     # Once more: buckets in order while they fit into the rest, passing over those that don't, then the
     # one bucket that best fills what is left. At most BUCKETS rows a source, so each window is bounded.
     own, upto = Window.partitionBy("c.source"), Window.partitionBy("c.source").orderBy("c.bucket").rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).withColumns({"gap": F.col("rest"), "extra": F.lit(False)})
+    run = cells.alias("c").join(filled.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).withColumns({"gap": F.col("rest"), "extra": F.lit(False)})
     for _ in range(3):
         small = ~F.col("extra") & (F.col("words") > 0) & (F.col("words") <= F.col("gap") + 1e-6)
         run = run.withColumn("upto", F.sum(F.when(small, F.col("words")).otherwise(0)).over(upto))
@@ -99,6 +98,18 @@ def allotments(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
     return picked.select(F.col("c.source").alias("source"), F.col("c.bucket").alias("bucket"), "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
 
 
+def weighted(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Sources ``source, source_size`` with their weight: the weights go to them by rank, repeating."""
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    return ranked(sources).select("source", "source_size", turn.alias("weight"))
+
+
+def targets(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, text: str = "text") -> DataFrame:
+    """One row per source: ``source, source_size, weight, target``, as :func:`plan` mixes them."""
+    sized = docs.select(F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
+    return water_fill(weighted(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights), max_epochs)
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 7, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -131,3 +142,22 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epo
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document with the words that the mix takes of it."""
     return plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def targets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 by source: what each weighs and the words it is to give, the part of the mix that SQL can say."""
+    found = targets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("source", "source_size", "weight", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS size FROM documents GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+-- Sources in the order in which a rising level clamps them; the level that lies before the next one is the answer.
+k AS (SELECT *, row_number() OVER (ORDER BY 3 * size / weight, source) AS n, sum(size) OVER () AS total, sum(weight) OVER () AS whole FROM w),
+c AS (
+  SELECT n, sum(3 * size) OVER o AS held, whole - sum(weight) OVER o AS free, total, coalesce(lead(3 * size / weight) OVER o, 'infinity') AS next FROM k WINDOW o AS (ORDER BY n)
+  UNION ALL SELECT 0, 0, any_value(whole), any_value(total), min(3 * size / weight) FROM k),
+l AS (SELECT (total - held) / free AS level FROM c WHERE free > 1e-9 AND (total - held) / free <= next ORDER BY n LIMIT 1)
+SELECT source, CAST(size AS BIGINT) AS source_size, weight, round(least(3.0 * size, level * weight), 3) AS target FROM w, l
+"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat": chat.chat_query,
     "op7_toxicity": toxicity.toxicity_query,
     "op8_mixing": mixing.mix_query,
+    "mix_targets": mixing.targets_query,
     "op9_quality": quality.quality_query,
     "op10_html": html_text.html_query,
     "op11_suffix_dedup": suffix_dedup.suffix_query,
@@ -21,4 +22,4 @@ QUERIES = {
     "chat_quoted_documents": chat.quoted_query,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL, "op12_merkle": merkle.MERKLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL, "chat_quoted_documents": chat.QUOTED_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.DEDUP_SQL, "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL, "op6_chat": chat.CHAT_SQL, "mix_targets": mixing.TARGETS_SQL, "op12_merkle": merkle.MERKLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL, "chat_quoted_documents": chat.QUOTED_SQL}

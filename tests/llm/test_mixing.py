@@ -1,5 +1,7 @@
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,11 @@ def test_ranks_are_global(spark):
     got = {r.source: r["rank"] for r in mixing.ranked(rows, 7).collect()}
     names = sorted(s for s in got if s is not None)
     assert [got[s] for s in names] == list(range(500)) and got[None] == 500
+
+
+def test_targets_against_sql(spark, make_docs):
+    rows = documents(spark)
+    documents_ = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"])  # noqa: F841  read by name
+    want = duckdb.sql(mixing.TARGETS_SQL.replace("FROM documents", "FROM documents_")).fetchall()
+    got = [(r.source, r.source_size, r.weight, round(r.target, 3)) for r in mixing.targets(make_docs(rows)).collect()]
+    assert len(got) == 7 and sorted(map(str, got)) == sorted(map(str, want))
