@@ -12,7 +12,7 @@ from tallysheet.functions.validate import is_expression
 def corrections(texts: DataFrame) -> DataFrame:
     """T5, T10, T28, A14's input: ``id, text, corrected, types, original_parses, corrected_parses, estimated_improvement``.
 
-    The stages are columns of their own, so that each is computed once.
+    The rules and their types come from one fold over the stages of a text, so that each stage is computed once.
     """
     rows = with_substitution_types(texts.select("id", "text")).withColumn("corrected", corrected(F.col("text")))
     rows = rows.withColumns({"original_parses": is_expression(F.col("text")), "corrected_parses": is_expression(F.col("corrected"))})
@@ -38,7 +38,7 @@ def suites(results: DataFrame) -> DataFrame:
 
 
 def first_failures(results: DataFrame, n: int = 3) -> DataFrame:
-    """The first failed tests of each suite, by name; a bounded list for each, kept by a partial aggregate of minima."""
+    """The first failed tests of each suite, by name; ranked in a window, which Spark limits to ``n`` rows of a suite in each task before it shuffles."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("suite").orderBy("test")

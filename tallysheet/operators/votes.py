@@ -38,7 +38,9 @@ def successful(results: DataFrame) -> DataFrame:
 def until_confident(results: DataFrame, enough: float = 0.9) -> DataFrame:
     """Engines in order of priority up to the first whose confidence suffices, that one included.
 
-    Failed and blank results don't end the search.
+    Failed and blank results don't end the search. An image has as many results
+    as engines are configured; for raw calls without such a bound see
+    ``streaming.search``, which searches by windows of time.
     """
     before = Window.partitionBy("image_id").orderBy("priority", "pos", "engine_name").rowsBetween(Window.unboundedPreceding, -1)
     good = F.col("error_message").isNull() & (strip("text") != "") & (F.col("confidence") >= enough)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallysheet.operators import metadata, plugins, qr, raster
+from tallysheet.functions.text import preview
+from tallysheet.operators import layout, metadata, plugins, qr, raster
 from tallysheet.plans.catalog import TEMPLATES_SQL
 from tallysheet.plans.registry import query, rounded
 from tallysheet.sources import files
 from tallysheet.sources import relations as R
 from tallysheet.sources.templates import templates
+from tallysheet.streaming import search
 
 # --- Engines as plug-ins -------------------------------------------------------
 
@@ -53,6 +55,36 @@ def cascade(spark, d):
     return rounded(plugins.cascade(run, images, order, 0.7).select("image_id", "engine_name", "text", "confidence", "error_message"))
 
 
+@query("o7_search_windows", f"""WITH {R.CALLS_SQL}, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end, error_message IS NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND confidence >= 0.6 AS sure FROM calls),
+s AS (SELECT *, coalesce(bool_or(sure) OVER (PARTITION BY image_id, window_end ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS done FROM w)
+SELECT image_id, strftime(window_end, '%Y-%m-%d %H:%M') AS window_end, event_id, engine_name, round(confidence, 6) AS confidence FROM s WHERE NOT done""")
+def search_windows(spark, d):
+    """The early exit that :func:`search.until_confident` makes over a stream, over all calls at once."""
+    found = search.until_confident_so_far(R.engine_calls(spark, d), 0.6, "6 hours")
+    return rounded(found.withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm")))
+
+
+@query("o5_first_wins_windows", """WITH w AS (SELECT event_id AS seq, user_id AS image_id, 'd' || CAST(event_id % 4 AS VARCHAR) AS data, 'r' || CAST(event_id % 3 AS VARCHAR) AS region, event_id % 3 AS region_rank, ts, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end FROM events)
+SELECT strftime(window_end, '%Y-%m-%d %H:%M') AS window_end, image_id, data, first(seq ORDER BY region_rank, ts, seq) AS seq, first(region ORDER BY region_rank, ts, seq) AS region, count(*) AS seen FROM w GROUP BY ALL""")
+def first_wins_windows(spark, d):
+    """The first of equal payloads of each window, as :func:`search.first_wins` finds it over a stream."""
+    k = F.col("event_id")
+    found = search.first_wins(R.table(spark, d, "events").select(k.alias("seq"), F.col("user_id").alias("image_id"), F.concat(F.lit("d"), k % 4).alias("data"), F.concat(F.lit("r"), k % 3).alias("region"), (k % 3).cast("int").alias("region_rank"), "ts"), "6 hours")
+    return found.withColumn("window_end", F.date_format("window_end", "yyyy-MM-dd HH:mm"))
+
+
+@query("s18_o17_previews", """SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS short, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS long FROM documents""")
+def previews(spark, d):
+    """What a terminal shows of a text."""
+    t = F.col("text")
+    return R.table(spark, d, "documents").select("doc_id", preview(t, 100).alias("short"), preview(t, 200).alias("long"))
+
+
+@query("a13_mean_confidence", f"WITH {R.BOXES_SQL}, b AS (SELECT page_id, conf FROM boxes WHERE conf >= 10 AND length(text) >= 2) SELECT page_id, round(avg(conf), 6) AS mean_conf, count(*) AS boxes FROM b GROUP BY page_id")
+def mean_confidence(spark, d):
+    return rounded(layout.mean_confidence(layout.confident(R.word_boxes(spark, d), 10.0, 2, strictly=False)))
+
+
 @query("p20_p21_u2_registry", """WITH e(engine_name, enabled, priority, config_pos) AS (VALUES ('mean_grey', TRUE, 1, 0), ('darkest_grey', TRUE, 2, 1), ('absent', FALSE, 3, 2))
 SELECT asked, enabled, priority, config_pos, asks FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'mean_grey' WHEN 1 THEN 'darkest_grey' WHEN 2 THEN 'absent' ELSE event_type END AS asked, count(*) AS asks FROM events GROUP BY ALL) LEFT JOIN e ON asked = engine_name""")
 def registry_lookup(spark, d):
