@@ -291,16 +291,18 @@ def non_local_means(image: np.ndarray, strength: float = 10.0, patch: int = 7, w
     """Each pixel as the mean of those in a window around it, weighed by how alike their patches are.
 
     For each shift of the image the squared differences of all patches come from
-    one integral image of the differences; shifts of one row are taken together.
+    one integral image of the differences; as many shifts are taken together as
+    fit into some megabytes.
     """
     h, w = image.shape
     near, far = patch // 2, window // 2
     wide = np.pad(image.astype(float), near + far, mode="reflect" if min(h, w) > 1 else "edge")
     own = wide[far : far + h + 2 * near, far : far + w + 2 * near]
+    shifts = np.lib.stride_tricks.sliding_window_view(wide, own.shape)
     total, weights = np.zeros((h, w)), np.zeros((h, w))
-    for dr in range(window):
-        rows = wide[dr : dr + h + 2 * near]
-        shifted = np.stack([rows[:, dc : dc + own.shape[1]] for dc in range(window)])
+    rows = max(1, min(window, (1 << 19) // (window * own.size)))
+    for first in range(0, window, rows):
+        shifted = shifts[first : first + rows].reshape(-1, *own.shape)
         area = np.pad((shifted - own) ** 2, ((0, 0), (1, 0), (1, 0))).cumsum(axis=1).cumsum(axis=2)
         gap = area[:, patch:, patch:] - area[:, :-patch, patch:] - area[:, patch:, :-patch] + area[:, :-patch, :-patch]
         weight = np.exp(-gap / (patch * patch * strength * strength))
