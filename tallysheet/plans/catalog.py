@@ -81,9 +81,9 @@ def engine_statistics(spark, d):
 run AS (SELECT DISTINCT engine_name, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS m FROM num
   UNION ALL SELECT r.engine_name, num.k, num.event_id, r.n + CAST(good AS BIGINT), CASE WHEN ran AND r.n + CAST(good AS BIGINT) > 0 THEN (m * (r.n + CAST(good AS BIGINT) - 1) + confidence) / (r.n + CAST(good AS BIGINT)) ELSE m END
   FROM run r JOIN num ON num.engine_name = r.engine_name AND num.k = r.k + 1)
-SELECT engine_name, event_id, n AS successful_calls, round(m, 6) AS average_confidence FROM run WHERE k > 0""")
+SELECT engine_name, event_id, n AS successful_calls, round(m, 10) AS average_confidence FROM run WHERE k > 0""")
 def running_means(spark, d):
-    return rounded(running.running_means(R.engine_calls(spark, d)))
+    return rounded(running.running_means(R.engine_calls(spark, d)), average_confidence=10)
 
 
 @query("a23_compare_engines", f"WITH {R.CALLS_SQL} SELECT image_id, engine_name, count(*) AS calls, round(max(confidence), 6) AS best, round(avg(confidence), 10) AS mean, count(error_message) AS failures FROM calls GROUP BY ALL")
