@@ -232,7 +232,7 @@ def weighted_lines(spark, d):
 @query("p6_o14_variant_lines", lines_sql("variant"))
 def variant_lines(spark, d):
     boxes = layout.confident(R.word_boxes(spark, d), 0.3, 2, strictly=False)
-    return layout.line_texts(layout.anchor_lines(boxes, order=("top", "idx")), 15.0)
+    return layout.line_texts(layout.anchor_lines(boxes), 15.0)
 
 
 @query("o15_a12_simple_text", f"WITH {R.BOXES_SQL} SELECT page_id, string_agg(text, ' ' ORDER BY idx) AS text, round(avg(conf), 10) AS mean_conf FROM boxes WHERE {ROUND_TRIP} > 0 GROUP BY page_id")

@@ -38,6 +38,43 @@ def test_filters_and_corners(spark):
     assert (r.left, r.top, r.width, r.height, r.center_x, r.center_y) == (1, 2, 4, 6, 3, 5)
 
 
+def plain_lines(tops, threshold=20.0):
+    """Line numbers of tops in ascending order, box after box."""
+    out, anchor = [], None
+    for top in sorted(tops):
+        if anchor is None or top - anchor > threshold:
+            anchor, out = top, [*out, (out[-1] if out else 0) + 1]
+        else:
+            out.append(out[-1])
+    return out
+
+
+def plain_weighted(rows, threshold=50.0):
+    """Line numbers of (centre, width) in ascending order of centre, box after box."""
+    out, cy, yw, w = [], None, 0.0, 0.0
+    for y, width in sorted(rows, key=lambda r: r[0]):
+        new = cy is None or abs(y - cy) > threshold
+        yw, w = (0.0 if new else yw) + y * width, (0.0 if new else w) + width
+        cy = y if new or w == 0 else yw / w
+        out.append((out[-1] if out else 0) + new)
+    return out
+
+
+def test_lines_of_many_boxes(spark):
+    places = [k * 37 % 400 for k in range(600)]
+    b = boxes(spark, [("w", k % 90, y, k % 7, 0) for k, y in enumerate(places)])
+    got = layout.anchor_lines(b).orderBy("top", "idx").collect()
+    assert [r.line_no for r in got] == plain_lines(places)
+    got = layout.weighted_lines(b, 11.0).orderBy("center_y", "idx").collect()
+    assert [r.line_no for r in got] == plain_weighted([(y, k % 7) for k, y in enumerate(places)], 11.0)
+
+
+def test_boxes_without_a_place_or_page(spark):
+    b = spark.createDataFrame([(1, 0, "a", 50.0, 0.0, None, 1.0, 1.0), (1, 1, "b", 50.0, 0.0, 5.0, 1.0, 1.0), (None, 2, "c", 50.0, 0.0, 9.0, None, 1.0), (2, 3, "d", 50.0, None, None, 1.0, None)], DDL)
+    assert {r.text: r.line_no for r in layout.anchor_lines(b).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert {r.text: r.line_no for r in layout.weighted_lines(b).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
 def test_empty_pages(spark):
     b = boxes(spark, [("a", 0, 0, 1, 1)]).where("false")
     assert layout.page_texts(layout.line_texts(layout.anchor_lines(b))).count() == 0
