@@ -255,6 +255,38 @@ def adaptive_threshold(image: np.ndarray, size: int = 11, offset: float = 2.0) -
     return np.where(image > _windows(image.astype(float), size, "edge").mean(axis=(2, 3)) - offset, 255, 0)
 
 
+def gaussian_threshold(image: np.ndarray, size: int = 11, offset: float = 2.0) -> np.ndarray:
+    """White where a pixel is brighter than the bell-weighted mean around it, rounded, less an offset."""
+    at = np.arange(size) - size // 2
+    bell = np.exp(-(at**2) / (2 * (0.3 * ((size - 1) / 2 - 1) + 0.8) ** 2))
+    bell /= bell.sum()
+    x = image.astype(float)
+    for _ in range(2):
+        x = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((size // 2, size // 2), (0, 0)), mode="edge"), size, axis=0) @ bell
+        x = x.T
+    return np.where(image > np.rint(np.round(x, 6)) - offset, 255, 0)
+
+
+#: The sharpening of handwriting after its contrast is evened out. Fixed values.
+STROKES = np.array([[-0.5, -1, -0.5], [-1, 7, -1], [-0.5, -1, -0.5]])
+
+
+def bilateral(image: np.ndarray, size: int = 9, greys: float = 75.0, distance: float = 75.0) -> np.ndarray:
+    """Each pixel as the mean of those within half of ``size``, weighed by nearness in place and in grey, so that edges stay."""
+    h, w = image.shape
+    far = size // 2
+    wide = np.pad(image.astype(float), far, mode="reflect" if min(h, w) > 1 else "edge")
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
+    for dr in range(-far, far + 1):
+        for dc in range(-far, far + 1):
+            gap = dr * dr + dc * dc
+            if gap <= far * far:
+                near = wide[far + dr : far + dr + h, far + dc : far + dc + w]
+                weight = np.exp(-gap / (2 * distance**2) - (near - image) ** 2 / (2 * greys**2))
+                total, weights = total + weight * near, weights + weight
+    return np.round(total / weights, 6)
+
+
 def equalised(image: np.ndarray, clip: float = 3.0, grid: int = 8) -> np.ndarray:
     """Histogram equalisation by tiles: each of ``grid`` by ``grid`` tiles has a map of greys, and a pixel blends the maps of the four nearest tiles.
 
@@ -311,15 +343,46 @@ def non_local_means(image: np.ndarray, strength: float = 10.0, patch: int = 7, w
     return total / weights
 
 
-def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Resampling to a size, weighing the four nearest pixels."""
-    r = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
-    c = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
-    r0, c0 = r.astype(int), c.astype(int)
-    r1, c1 = np.minimum(r0 + 1, image.shape[0] - 1), np.minimum(c0 + 1, image.shape[1] - 1)
-    fr, fc = (r - r0)[:, None], (c - c0)[None, :]
-    x = image.astype(float)
-    return x[r0][:, c0] * (1 - fr) * (1 - fc) + x[r0][:, c1] * (1 - fr) * fc + x[r1][:, c0] * fr * (1 - fc) + x[r1][:, c1] * fr * fc
+#: The slope of the cubic kernel. Fixed value.
+CUBIC = -0.75
+
+
+def cubic(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resampling to a size by cubic convolution; rounded to six places, so that halves don't hang on the last bits.
+
+    Rows and then columns: each new one is a sum of the four old ones around its
+    centre; beyond the border the edge is repeated.
+    """
+
+    def rows(x: np.ndarray, new: int) -> np.ndarray:
+        at = (np.arange(new) + 0.5) * len(x) / new - 0.5
+        first, out = np.floor(at).astype(int), np.zeros((new, x.shape[1]))
+        for k in (-1, 0, 1, 2):
+            d = np.abs(at - first - k)
+            inner, outer = ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1, ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC
+            out += np.where(d <= 1, inner, outer)[:, None] * x[np.clip(first + k, 0, len(x) - 1)]
+        return out
+
+    return np.round(rows(rows(image.astype(float), height).T, width).T, 6)
+
+
+def fitted(image: np.ndarray, most: int = 2000) -> np.ndarray:
+    """A wide image brought to the greatest width."""
+    h, w = image.shape
+    return image if w <= most else cubic(image, int(most * (h / w)), most)
+
+
+def upscaled(image: np.ndarray) -> np.ndarray:
+    """A small image brought to a width of 1600, threefold at most."""
+    h, w = image.shape
+    factor = min(3.0, 1600 / w)
+    return cubic(image, int(h * factor), int(w * factor)) if w < 1200 or h < 800 else image
+
+
+def widened(image: np.ndarray, least: int = 1200) -> np.ndarray:
+    """The last scaling: a narrow image brought to the least width that a recogniser likes."""
+    h, w = image.shape
+    return image if w >= least else cubic(image, int(h * (least / w)), least)
 
 
 def binarised(image: np.ndarray) -> np.ndarray:
@@ -351,12 +414,15 @@ def opened(image: np.ndarray) -> np.ndarray:
 #: Steps by name; each takes and gives an image of greys.
 STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "sharpening": sharpen, "denoising": non_local_means, "contrast_enhancement": equalised, "equalised_by_quarters": lambda x: equalised(x, grid=2), "lightly_denoised": lambda x: non_local_means(x, patch=3, window=5), "threshold": adaptive_threshold, "binarise": binarised, "close": closed, "open": opened,
-    "upscaling": lambda x: bilinear(x, *(int(n * min(3.0, 1600 / x.shape[1])) for n in x.shape)) if x.shape[1] < 1200 or x.shape[0] < 800 else x,
-    "double": lambda x: bilinear(x, *(2 * n for n in x.shape)),
+    "upscaling": upscaled, "fitting": fitted, "widening": widened, "fitted_to_five": lambda x: fitted(x, 5), "widened_to_thirteen": lambda x: widened(x, 13),
+    "double": lambda x: cubic(x, *(2 * n for n in x.shape)), "half_as_large_again": lambda x: cubic(x, *(3 * n // 2 for n in x.shape)),
+    "strokes": lambda x: convolve(x, STROKES), "bilateral": bilateral, "gaussian_threshold": gaussian_threshold, "gentle_contrast": lambda x: equalised(x, clip=2.0), "gentle_denoising": lambda x: non_local_means(x, strength=3.0),
     "brightness_correction": lambda x: x + (128 - x.mean()) if abs(128 - x.mean()) > 10 else x,
 }
 #: The steps before recognition by engine. Fixed values.
-CHAINS = {"printed": "double,denoising,binarise,close,open", "handwriting": "contrast_enhancement,denoising", "formula": "contrast_enhancement,sharpening"}
+CHAINS = {
+    "printed": "double,gentle_denoising,binarise,close,open", "handwriting": "half_as_large_again,contrast_enhancement,strokes,bilateral", "formula": "half_as_large_again,gentle_contrast,denoising,gaussian_threshold",
+}
 
 
 @F.pandas_udf(T.StructType([T.StructField("noise_level", T.DoubleType()), T.StructField("edge_density", T.DoubleType())]))
@@ -393,6 +459,12 @@ def apply_steps(images: DataFrame, steps: str = "steps", keep: tuple[str, ...] =
     return images.select("image_id", *keep, done.alias("done")).select("image_id", *keep, "done.*")
 
 
+def prepared(images: DataFrame, chains: dict[str, str] = CHAINS) -> DataFrame:
+    """Each image as each recogniser wants it: ``image_id, chain`` and the image after the chain's steps."""
+    each = F.explode(F.create_map(*[F.lit(x) for pair in chains.items() for x in pair])).alias("chain", "steps")
+    return apply_steps(images.select("image_id", "height", "width", "pixels", each), keep=("chain",))
+
+
 def processed_for_recognition(images: DataFrame, last: str = "close,open,binarise") -> DataFrame:
     """Analysis, plan, its steps, then those of ``last``; the score before and after and the improvement.
 

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallysheet.plans import catalog, codes, more, regions  # noqa: F401  all add to one registry
+from tallysheet.plans import catalog, codes, more, pixels, regions  # noqa: F401  all add to one registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()

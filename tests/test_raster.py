@@ -89,17 +89,53 @@ def test_files(spark, tmp_path):
 
 
 def plain_upscaled(p, h, w):
-    """Bilinear resampling, pixel by pixel."""
+    """Cubic convolution, pixel by pixel."""
+
+    def weight(d):
+        d = abs(d)
+        return 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0.0
+
     out = np.zeros((h, w))
     for i in range(h):
         for j in range(w):
-            y, x = (min(max((k + 0.5) * n / m - 0.5, 0), n - 1) for k, n, m in ((i, p.shape[0], h), (j, p.shape[1], w)))
-            for a in range(p.shape[0]):
-                for b in range(p.shape[1]):
-                    out[i, j] += p[a, b] * max(0, 1 - abs(y - a)) * max(0, 1 - abs(x - b))
+            y, x = (i + 0.5) * p.shape[0] / h - 0.5, (j + 0.5) * p.shape[1] / w - 0.5
+            for a in range(int(np.floor(y)) - 1, int(np.floor(y)) + 3):
+                for b in range(int(np.floor(x)) - 1, int(np.floor(x)) + 3):
+                    out[i, j] += p[min(max(a, 0), p.shape[0] - 1), min(max(b, 0), p.shape[1] - 1)] * weight(y - a) * weight(x - b)
     return np.clip(np.rint(out), 0, 255)
 
 
+def plain_bilateral(p, far=4, spread=75.0):
+    h, w = p.shape
+    out = np.zeros((h, w))
+    turn = lambda k, n: 0 if n == 1 else [*range(n), *range(n - 2, 0, -1)][k % (2 * n - 2)]
+    for i in range(h):
+        for j in range(w):
+            near = [(p[turn(i + a, h), turn(j + b, w)] if min(h, w) > 1 else p[min(max(i + a, 0), h - 1), min(max(j + b, 0), w - 1)], a * a + b * b) for a in range(-far, far + 1) for b in range(-far, far + 1) if a * a + b * b <= far * far]
+            weights = [np.exp(-(gap + (v - p[i, j]) ** 2) / (2 * spread**2)) for v, gap in near]
+            out[i, j] = np.dot(weights, [v for v, _ in near]) / sum(weights)
+    return out
+
+
+def test_bilateral_and_last_scaling():
+    for p in PICTURES.values():
+        assert np.abs(raster.bilateral(p) - plain_bilateral(p)).max() < 1e-5
+    assert raster.widened(PICTURES[4], 45).shape == (30, 45) and raster.widened(PICTURES[4], 30) is PICTURES[4]
+    assert raster.fitted(PICTURES[4], 7).shape == (4, 7) and raster.fitted(PICTURES[4]) is PICTURES[4]
+    assert (raster.gaussian_threshold(PICTURES[9]) == 255).all()
+
+
+def test_chains_apply_every_step(images):
+    got = raster.prepared(images).collect()
+    assert len(got) == len(PICTURES) * len(raster.CHAINS)
+    for r in got:
+        x = PICTURES[r.image_id]
+        assert r.applied == raster.CHAINS[r.chain]
+        for step in r.applied.split(","):
+            x = np.clip(np.rint(raster.STEPS[step](x)), 0, 255).astype(int)
+        assert (r.height, r.width) == x.shape and (np.array(r.pixels).reshape(x.shape) == x).all()
+
+
 def test_upscaling(images):
     for r in raster.apply_steps(images.where("image_id IN (0, 3, 9)").withColumn("steps", F.lit("upscaling"))).collect():
         p = PICTURES[r.image_id]
