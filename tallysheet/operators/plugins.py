@@ -43,13 +43,18 @@ class Registry:
         e = self.engines.get(name)
         return {"priority": e["priority"], "needs": list(e["needs"]), "available": name in self.available(), **e["capabilities"]} if e else {}
 
+    def sound(self, result: object) -> bool:
+        """Whether a result is a text and a confidence."""
+        text, confidence = result
+        return isinstance(text, str) and 0 <= confidence <= 1
+
     def self_test(self, image: np.ndarray | None = None) -> dict[str, str]:
         """``ok`` or the error of each available engine on a blank image."""
         out = {}
         for name in self.available():
             try:
-                text, confidence = self.engines[name]["engine"](np.full((8, 8), 255) if image is None else image)
-                out[name] = "ok" if isinstance(text, str) and 0 <= confidence <= 1 else "no text and confidence"
+                result = self.engines[name]["engine"](np.full((8, 8), 255) if image is None else image)
+                out[name] = "ok" if self.sound(result) else "no such result"
             except Exception as e:  # noqa: BLE001  an engine may raise anything
                 out[name] = str(e)
         return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallysheet.operators import symbols
+from tallysheet.operators import detectors, symbols
 from tallysheet.plans.registry import query
 from tallysheet.sources import relations as R
 
@@ -38,3 +38,30 @@ def qr_round_trip(spark, d):
     places = F.transform(hit, lambda j: F.get("spots", ((k * 31 + j * 17) % (F.floor(F.size("spots") / 8) * 8)).cast("int")))
     damaged = F.when(k % 10 == 0, F.transform("symbol", lambda _: F.lit(0).cast("long"))).otherwise(symbols.flipped(F.col("symbol"), places))
     return symbols.decoded(rows.withColumn("symbol", damaged)).select("request_id", "level", "version", "size", "decoded", "errors", "decode_error")
+
+
+#: A page's width and height, and the part of it that holds each customer's symbol.
+PAGE = 260, 340
+PLACES = [(int(x * PAGE[0]), int(y * PAGE[1])) if region != "full_image" else (80, 120) for region, _, x, y, _, _ in R.REGIONS]
+
+
+@query("i22_u4_detected_symbols", f"""WITH {SYMBOLS_SQL}, p AS (
+  SELECT c_custkey AS k, ['L', 'M', 'Q', 'H'][c_custkey % 3 + 1] AS level, '{{"assignment_id":"AG_' || c_custkey || '","assignment_name":"Work ' || c_nationkey || '","subject":"' || c_mktsegment || '"}}' AS data FROM customer),
+v AS (SELECT p.*, CAST(34 + 8 * version AS INTEGER) AS side FROM p JOIN sym ON sym.level = p.level AND most >= strlen(data) QUALIFY row_number() OVER (PARTITION BY k ORDER BY version) = 1)
+SELECT k AS image_id, [{", ".join(f"'{r[0]}'" for r in R.REGIONS)}][k % 4 + 1] AS region, CAST(k % 3 + CASE WHEN k % 4 = 3 THEN {PLACES[3][0]} ELSE 0 END AS INTEGER) AS x, CAST(k % 2 + CASE WHEN k % 4 = 3 THEN {PLACES[3][1]} ELSE 0 END AS INTEGER) AS y, side AS w, side AS h, data, NULL AS error_message FROM v""")
+def detected_symbols(spark, d):
+    """Every customer's symbol on a page of its own, in one of four places and four turns, found region by region and read."""
+    k = F.col("image_id")
+    c = R.table(spark, d, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    text = F.concat(F.lit('{"assignment_id":"AG_'), F.col("c_custkey").cast("string"), F.lit('","assignment_name":"Work '), F.col("c_nationkey").cast("string"), F.lit('","subject":"'), F.col("c_mktsegment"), F.lit('"}'))
+    level = F.element_at(F.array(*map(F.lit, symbols.LEVELS)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    made = symbols.encoded(c.select(F.col("c_custkey").alias("image_id"), level.alias("level"), text.alias("payload")))
+    for turns in (1, 2, 3):
+        made = made.withColumn("symbol", F.when(F.floor(k / 4) % 4 >= turns, detectors.turned(F.col("symbol"), F.col("size"))).otherwise(F.col("symbol")))
+    at = lambda axis: F.element_at(F.array(*[F.lit(p[axis]) for p in PLACES]), (k % 4 + 1).cast("int"))
+    pixels = detectors.printed(F.col("symbol"), F.col("size"), at(0) + k % 3, at(1) + k % 2, *PAGE, ink=k % 60, paper=200 + k % 50)
+    pages = made.select("image_id", F.lit(PAGE[1]).alias("height"), F.lit(PAGE[0]).alias("width"), pixels.alias("pixels"))
+    known = detectors.Detectors()
+    known.register("upright", detectors.upright_symbols, priority=1)
+    found = known.search(pages, [(region, *share) for region, _, *share in R.REGIONS])
+    return detectors.read(found).select("image_id", "region", "x", "y", "w", "h", "data", "error_message")
