@@ -465,7 +465,11 @@ def prepared(images: DataFrame, chains: dict[str, str] = CHAINS) -> DataFrame:
     return apply_steps(images.select("image_id", "height", "width", "pixels", each), keep=("chain",))
 
 
-def processed_for_recognition(images: DataFrame, last: str = "close,open,binarise") -> DataFrame:
+#: What follows the plan: symbols mended, lines of even thickness, black and white, the recogniser's width. Fixed values.
+LAST = "close,open,gaussian_threshold,binarise,widening"
+
+
+def processed_for_recognition(images: DataFrame, last: str = LAST) -> DataFrame:
     """Analysis, plan, its steps, then those of ``last``; the score before and after and the improvement.
 
     The plan and the score before travel with the image, so nothing is joined.

@@ -125,6 +125,13 @@ def test_bilateral_and_last_scaling():
     assert (raster.gaussian_threshold(PICTURES[9]) == 255).all()
 
 
+def test_the_last_scaling_reaches_the_width(spark):
+    two = files.in_memory(spark, [(1, RNG.integers(0, 256, (20, 700)).tolist()), (2, RNG.integers(0, 256, (3, 1300)).tolist())])
+    got = {r.image_id: r for r in raster.processed_for_recognition(two).collect()}
+    assert all(r.applied.endswith("binarise,widening") and r.width >= 1200 and len(r.pixels) == r.height * r.width for r in got.values())
+    assert all(abs(r.improvement - (r.score_after - r.score_before)) < 1e-9 for r in got.values())
+
+
 def test_chains_apply_every_step(images):
     got = raster.prepared(images).collect()
     assert len(got) == len(PICTURES) * len(raster.CHAINS)
@@ -152,7 +159,7 @@ def test_the_query_applies_the_whole_plan(spark):
     got = catalog.QUERIES["i7_i18_enhanced"](spark, d).collect()
     assert len(got) == len(plan) == len(pictures)
     for r in got:
-        assert r.applied == plan[r.image_id] + ",close,open,binarise" and "upscaling" in r.applied and (r.height, r.width) == (24, 24)
+        assert r.applied == plan[r.image_id] + ",close,open,gaussian_threshold,binarise" and "upscaling" in r.applied and (r.height, r.width) == (24, 24)
         x = pictures[r.image_id]
         for step in r.applied.split(","):
             x = plain_upscaled(x, 24, 24) if step == "upscaling" else np.clip(np.rint(raster.STEPS[step](x.astype(int))), 0, 255)
