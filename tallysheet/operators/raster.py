@@ -427,9 +427,10 @@ CHAINS = {
 
 @F.pandas_udf(T.StructType([T.StructField("noise_level", T.DoubleType()), T.StructField("edge_density", T.DoubleType())]))
 def neighbourhood(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
-    """Noise (mean distance from the 5 by 5 median) and edge density of each image, as a struct beside its row."""
+    """Noise (mean distance from the 5 by 5 median) and edge density of each image, as a struct beside its row; null for no pixels."""
     grids = [np.asarray(p).reshape(h, w) for p, h, w in zip(pixels, height, width, strict=True)]
-    return pd.DataFrame({"noise_level": [float(np.abs(g - median_filter(g)).mean()) for g in grids], "edge_density": [float(edges(g).mean()) for g in grids]})
+    of = lambda measure: pd.Series([float(measure(g).mean()) if g.size else None for g in grids], dtype=float)
+    return pd.DataFrame({"noise_level": of(lambda g: np.abs(g - median_filter(g))), "edge_density": of(edges)})
 
 
 def analysed(images: DataFrame) -> DataFrame:
@@ -450,7 +451,7 @@ def apply_steps(images: DataFrame, steps: str = "steps", keep: tuple[str, ...] =
                 try:
                     x = np.clip(np.rint(STEPS[step](x)), 0, 255).astype(np.int64)
                     done.append(step)
-                except (KeyError, ValueError):
+                except (KeyError, ValueError, IndexError, ZeroDivisionError):
                     continue
             out.append((x.shape[0], x.shape[1], x.ravel().astype(np.int32), ",".join(done)))
         return pd.DataFrame(out, columns=["height", "width", "pixels", "applied"])

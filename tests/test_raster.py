@@ -132,6 +132,13 @@ def test_the_last_scaling_reaches_the_width(spark):
     assert all(abs(r.improvement - (r.score_after - r.score_before)) < 1e-9 for r in got.values())
 
 
+def test_images_without_pixels(spark):
+    none = spark.createDataFrame([(1, 0, 0, []), (2, 2, 2, [0, 9, 90, 200])], "image_id long, height int, width int, pixels array<int>")
+    assert {r.image_id: (r.noise_level is None, r.edge_density is None) for r in raster.analysed(none).collect()} == {1: (True, True), 2: (False, False)}
+    every = raster.apply_steps(none.withColumn("steps", F.lit(",".join(k for k in raster.STEPS if k != "widening")))).collect()
+    assert {r.image_id: len(r.pixels) == r.height * r.width for r in every} == {1: True, 2: True}
+
+
 def test_chains_apply_every_step(images):
     got = raster.prepared(images).collect()
     assert len(got) == len(PICTURES) * len(raster.CHAINS)
