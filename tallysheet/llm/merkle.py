@@ -243,16 +243,15 @@ def grow(rows: DataFrame, order: list[Column], parts: int) -> Forest:
 
 def members(forest: Forest, tops: RDD, parts: int) -> RDD:
     """``(row, Path of its leaf)`` of each row; ``tops`` has the way on from each group's root."""
-    rows = forest.rows.map(lambda x: ((x[0], x[1] // CHUNK), (x[1], x[3])))
+    rows = forest.rows.map(lambda x: ((x[0], x[1] // CHUNK), (x[1], x[3], x[2])))
     paths = chunk_paths(forest.nodes, tops, parts, forest.levels)
 
     def walk(item: tuple) -> Iterator[tuple]:
         _, (own, found) = item
         own, path = sorted(own, key=lambda x: x[0]), next(iter(found))
-        rows, below, level = [row for _, row in own], [], [row[1] for _, row in own]
-        for _ in range(CHUNK_LEVEL):
-            if len(level) == 1:
-                break
+        rows, below, level, total = [row for _, row, _ in own], [], [row[1] for _, row, _ in own], own[0][2]
+        # The last chunk of a taller tree may be one node wide and still goes up level by level.
+        for _ in range(min(CHUNK_LEVEL, height(total))):
             below.append(level)
             level = [digest(level[r : r + ARITY]) for r in range(0, len(level), ARITY)]
         for k, row in enumerate(rows):

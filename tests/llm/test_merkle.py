@@ -81,6 +81,12 @@ def test_many_groups(spark, make_docs):
     assert sorted((tuple(r) for r in merkle.audited(make_docs(rows)).collect()), key=str) == brute(four(rows))
 
 
+@pytest.mark.parametrize("last", [1, 8, 70, 513])
+def test_short_last_chunk(spark, make_docs, last):
+    rows = [(k, f"Text {k}", "de") for k in range(merkle.CHUNK + last)] + [(-1, "A", "en")]
+    assert sorted((tuple(r) for r in merkle.audited(make_docs(rows)).collect()), key=str) == brute(four(rows))
+
+
 def test_whole_proofs(spark, make_docs):
     for r in merkle.proofs(make_docs([(k, f"Text {k}", "de" if k % 3 else "en") for k in range(100)])).collect():
         assert merkle.fold(r.leaf, [(p.place, p.others) for p in r.proof]) == r.root
