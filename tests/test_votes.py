@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,13 @@ def test_empty_input(results, images):
     none = results.where("false")
     assert votes.aggregate(none, images).where(F.col("method") != "no_results").count() == 0
     assert votes.weighted_vote(none).count() == 0
+
+
+def test_grade_is_the_same_in_any_order(spark):
+    """Confidences whose weighted mean is 0.6, where sums in other orders end just below it or above."""
+    orders = list(itertools.permutations((0.3, 0.38, 0.86, 0.1)))
+    rows = [(k, "abcd"[i], i, i, "x", c, 1.0, None) for k, cs in enumerate(orders) for i, c in enumerate(cs)]
+    results = spark.createDataFrame(rows, DDL).coalesce(1)
+    mean = {r.confidence for r in votes.weighted_vote(results).collect()}
+    assert len(mean) == 1 and abs(mean.pop() - 0.6) < 1e-12
+    assert len({r.overall_quality for r in votes.quality(results, votes.weighted_vote(results)).collect()}) == 1
