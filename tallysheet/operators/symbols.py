@@ -4,18 +4,24 @@ A symbol is an array of rows, each the modules of a row as the bits of a long,
 leftmost highest; :func:`modules` gives it as booleans. What depends on version
 and level alone (where each bit goes, what is fixed, how blocks interleave) is a
 table of forty rows made from the rules of the public standard and joined by
-broadcast. All else is Column functions: Reed-Solomon codes are folds over
-tables of logarithms, masks are exclusive-ors of rows, and the penalties that
-choose a mask count bits of shifted rows.
+broadcast. Symbols are made and read in numpy over Arrow batches, those of one
+version and level together: Reed-Solomon codes are look-ups of what each codeword
+adds, masks are exclusive-ors of rows, and the penalties that choose a mask count
+bits of shifted rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysheet.functions.text import let
 
@@ -211,18 +217,6 @@ class Field:
     def times(self, a: Column, b: Column) -> Column:
         return F.when((a == 0) | (b == 0), F.lit(0)).otherwise(F.get(self.powers, F.get(self.logs, a) + F.get(self.logs, b)))
 
-    def shifted(self, a: Column, power: Column) -> Column:
-        """``a`` times the generator to a power from 0 to 254."""
-        return F.when(a == 0, F.lit(0)).otherwise(F.get(self.powers, F.get(self.logs, a) + power))
-
-    def over(self, a: Column, b: Column) -> Column:
-        """``a / b`` for ``b`` other than 0."""
-        return F.when(a == 0, F.lit(0)).otherwise(F.get(self.powers, F.get(self.logs, a) - F.get(self.logs, b) + 255))
-
-    def value(self, poly: Column, power: Column) -> Column:
-        """The value of a polynomial, lowest coefficient first, at the generator to a power."""
-        return F.aggregate(F.reverse(poly), F.lit(0), lambda total, c: self.shifted(total, power).bitwiseXOR(c))
-
 
 def field_columns() -> dict[str, Column]:
     powers, logs = field()
@@ -248,118 +242,188 @@ def check_codewords(data: Column, gen: Column, gf: Field = OURS) -> Column:
 
 # --- Payload to symbol ------------------------------------------------------------
 
+#: Symbols made at a time, for their eight masked forms to stay in a processor's cache, and read at a time.
+MADE_AT_ONCE, READ_AT_ONCE = 128, 1024
 
-def octets(data: Column) -> Column:
-    """The bytes of a binary as numbers."""
-    whole = lambda digits: F.transform(indices((F.length(digits) / 2).cast("int")), lambda k: F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10).cast("int"))
-    return let(F.hex(data), lambda digits: F.when(digits == "", F.array().cast("array<int>")).otherwise(whole(digits)))
 
+@cache
+def times_table() -> np.ndarray:
+    """Products of all pairs of the field's elements."""
+    powers, logs = (np.array(x) for x in field())
+    out = powers[logs[:, None] + logs[None, :]]
+    out[0, :] = out[:, 0] = 0
+    return out.astype(np.uint8)
 
-def data_codewords(data: Column, version: Column, capacity: Column) -> Column:
-    """Byte mode, the count, the bytes, a terminator and pads: everything half a byte later than it stands."""
-
-    def counted(rows: Column) -> Column:
-        n = F.size(rows)
-        return F.concat(F.when(version < 10, F.array(n)).otherwise(F.array(F.shiftright(n, 8), n.bitwiseAND(255))), rows)
-
-    def halves(rows: Column) -> Column:
-        return F.transform(indices(F.size(rows) + 1), lambda k: F.when(k == 0, F.lit(64)).otherwise(F.shiftleft(F.get(rows, k - 1).bitwiseAND(15), 4)).bitwiseOR(F.coalesce(F.shiftright(F.get(rows, k), 4), F.lit(0))))
 
-    def padded(rows: Column) -> Column:
-        return F.transform(indices(capacity), lambda k: F.coalesce(F.get(rows, k), F.when((k - F.size(rows)) % 2 == 0, 236).otherwise(17)))
+class Layout(NamedTuple):
+    """What a version and level fix, as arrays; ``places`` has the place of each data bit among the 64 bits of each row, highest first."""
 
-    return let(let(let(data, counted), halves), padded)
+    version: int
+    level: str
+    size: int
+    capacity: int
+    checks: int
+    blocks: list[np.ndarray]
+    places: np.ndarray
+    masks: np.ndarray
+    still: np.ndarray
 
 
-def interleaved(data: Column, blocks: Column, gen: Column) -> Column:
-    """Codewords of all blocks with their checks, in the order of the symbol."""
-    checks = F.size(gen)
+@cache
+def layouts() -> dict[int, Layout]:
+    """Layouts by four times the version and the place of the level in :data:`LEVELS`."""
+    out = {}
+    for v, level, size, capacity, _, checks, _, blocks, _, spots, masks, still in table_rows():
+        bits = np.array(spots[: len(spots) // 8 * 8])
+        out[4 * v + LEVELS.index(level)] = Layout(v, level, size, capacity, checks, [np.array(b) for b in blocks], bits // 64 * 64 + 63 - bits % 64, np.array(masks, np.uint64), np.array(still, np.uint64))
+    return out
 
-    def block(start: Column, places: Column) -> Column:
-        own = F.slice(data, start + 1, F.size(places) - checks)
-        return let(own, lambda own: F.zip_with(places, F.concat(own, check_codewords(own, gen)), lambda p, c: F.struct(p.alias("at"), c.alias("codeword"))))
 
-    # Blocks take the data one after the other.
-    joined = F.aggregate(
-        blocks, F.struct(F.lit(0).alias("start"), F.array().cast("array<array<struct<at:int,codeword:int>>>").alias("done")),
-        lambda s, places: F.struct((s["start"] + F.size(places) - checks).alias("start"), F.concat(s["done"], F.array(block(s["start"], places))).alias("done")), lambda s: s["done"],
-    )
-    return F.transform(F.array_sort(F.flatten(joined)), lambda x: x["codeword"])
+@cache
+def check_table(length: int, checks: int) -> np.ndarray:
+    """The check codewords that each value at each place of a block's data adds."""
+    gen, rest, out = np.array(generator(checks)), np.array(generator(checks)), []
+    for _ in range(length):
+        out.append(times_table()[:, rest])
+        rest = np.append(rest[1:], 0) ^ times_table()[rest[0], gen]
+    return np.array(out[::-1])
 
 
-def placed(codewords: Column, bits: Column) -> Column:
-    """The rows of data modules; modules past the last codeword are light."""
-    bit = lambda k: F.when(k < 0, 0).otherwise(F.coalesce(F.getbit(F.get(codewords, F.shiftright(k, 3)), 7 - k.bitwiseAND(7)).cast("int"), F.lit(0)))
-    return F.transform(bits, lambda row: F.aggregate(row, F.lit(0).cast("long"), lambda v, k: v * 2 + bit(k)))
+def power_table(exponents: np.ndarray) -> np.ndarray:
+    """For each row of exponents: each element times the generator to these powers."""
+    return np.array([times_table()[:, row] for row in np.array(field()[0])[exponents % 255]])
 
 
-def penalty(rows: Column, size: Column) -> Column:
-    """How easily a symbol is misread: runs, squares, patterns like a finder's, and more dark or light than half.
+@cache
+def syndrome_table(length: int, checks: int) -> np.ndarray:
+    """What each value at each place of a block adds to its values at the first powers."""
+    return power_table(np.outer(np.arange(length)[::-1], np.arange(checks)))
 
-    Each count is of the bits of rows combined with themselves shifted, or with
-    the rows below.
-    """
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
-    inner = F.shiftright(full, 1)
-    no = F.lit(0).cast("long")
-    alike = lambda a, b: F.bitwise_not(a.bitwiseXOR(b))
-
-    def four(pairs: Column) -> Column:
-        return pairs.bitwiseAND(F.shiftright(pairs, 1)).bitwiseAND(F.shiftright(pairs, 2)).bitwiseAND(F.shiftright(pairs, 3))
-
-    def runs(r: Column, line: Column, above: Column) -> Column:
-        """Three for a run of five, one for each module more: windows of five, and two for each first one."""
-        return F.bit_count(line) + 2 * F.bit_count(line.bitwiseAND(F.bitwise_not(above)))
-
-    # Pairs alike in a row, and in a row and the one below.
-    across = F.transform(rows, lambda x: alike(x, F.shiftright(x, 1)).bitwiseAND(inner))
-    down = F.transform(indices(size - 1), lambda r: alike(F.get(rows, r), F.get(rows, r + 1)).bitwiseAND(full))
-
-    def counted(pairs: Column) -> Column:
-        flat, tall = pairs["across"], pairs["down"]
-        lower = lambda r: F.coalesce(F.get(tall, r), no)
-        columns = F.transform(indices(size - 4), lambda r: lower(r).bitwiseAND(lower(r + 1)).bitwiseAND(lower(r + 2)).bitwiseAND(lower(r + 3)))
-        horizontal = F.aggregate(flat, F.lit(0), lambda n, p: n + let(four(p), lambda w: runs(w, w, F.shiftleft(w, 1))))
-        vertical = let(columns, lambda w: F.aggregate(indices(size - 4), F.lit(0), lambda n, r: n + runs(r, F.get(w, r), F.coalesce(F.get(w, r - 1), no))))
-        squares = F.aggregate(indices(size - 1), F.lit(0), lambda n, r: n + F.bit_count(F.get(flat, r).bitwiseAND(F.get(flat, r + 1)).bitwiseAND(F.get(tall, r))))
-        return horizontal + vertical + 3 * squares
 
-    # The dark, light, dark, dark, dark, light, dark of a finder beside four light modules, down columns and along rows.
-    core = F.transform(indices(size - 6), lambda r: pattern(lambda k: F.get(rows, r + k)))
-    light = F.transform(indices(size - 3), lambda r: F.bitwise_not(F.get(rows, r).bitwiseOR(F.get(rows, r + 1)).bitwiseOR(F.get(rows, r + 2)).bitwiseOR(F.get(rows, r + 3))))
+@cache
+def value_table(length: int, terms: int) -> np.ndarray:
+    """What each coefficient, lowest first, adds to a polynomial's values at the powers -i, where i counts a block's codewords from the last."""
+    return power_table(np.outer(np.arange(terms), 255 - np.arange(length)[::-1]))
 
-    def beside(x: Column) -> Column:
-        own = pattern(lambda k: F.shiftright(x, 6 - k))
-        four_light = lambda y: F.bitwise_not(y.bitwiseOR(F.shiftright(y, 1)).bitwiseOR(F.shiftright(y, 2)).bitwiseOR(F.shiftright(y, 3)))
-        # Bit j of ``own`` is a pattern ending at bit j; the four after it end at j - 4, those before it at j + 7.
-        after = own.bitwiseAND(F.shiftright(full, 6)).bitwiseAND(F.shiftleft(four_light(x).bitwiseAND(full), 4))
-        before = own.bitwiseAND(F.shiftright(four_light(x), 7)).bitwiseAND(F.shiftright(full, 10))
-        return F.bit_count(after) + F.bit_count(before)
 
-    def between(parts: Column) -> Column:
-        c, l4 = parts["core"], parts["light"]
-        return F.aggregate(indices(size - 6), F.lit(0), lambda n, r: n + F.bit_count(F.get(c, r).bitwiseAND(F.coalesce(F.get(l4, r + 7), no)).bitwiseAND(full)) + F.bit_count(F.get(c, r).bitwiseAND(F.coalesce(F.get(l4, r - 4), no)).bitwiseAND(full)))
+def folded(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum in the field of what the table has for the value in each column."""
+    out = table[0][values[:, 0]]
+    for k in range(1, values.shape[1]):
+        out ^= table[k].take(values[:, k], axis=0)
+    return out
 
-    finders = let(F.struct(core.alias("core"), light.alias("light")), between) + F.aggregate(rows, F.lit(0), lambda n, x: n + beside(x))
-    dark = F.aggregate(rows, F.lit(0), lambda n, x: n + F.bit_count(x))
-    uneven = F.floor(F.abs(dark * 20 - size * size * 10) / (size * size)).cast("int") * 10
-    return let(F.struct(across.alias("across"), down.alias("down")), counted) + 40 * finders + uneven
 
+def data_codewords(data: np.ndarray, lengths: np.ndarray, at: Layout) -> np.ndarray:
+    """Byte mode, the count, the bytes, a terminator and pads: everything half a byte later than it stands. ``data`` is 0 beyond the lengths."""
+    head = 1 if at.version < 10 else 2
+    rows = np.zeros((len(data), at.capacity + 1), np.uint8)
+    rows[:, head - 1] = lengths & 255
+    if head == 2:
+        rows[:, 0] = lengths >> 8
+    rows[:, head : head + data.shape[1]] = data
+    out = rows[:, :-1] >> 4
+    out[:, 0] |= 64
+    out[:, 1:] |= rows[:, :-2] << 4
+    beyond = np.arange(at.capacity) - (lengths + head + 1)[:, None]
+    return np.where(beyond < 0, out, np.where(beyond % 2 == 0, 236, 17)).astype(np.uint8)
+
+
+def interleaved(data: np.ndarray, at: Layout) -> np.ndarray:
+    """Codewords of all blocks with their checks, in the order of the symbol. Blocks take the data one after the other."""
+    out, start = np.empty((len(data), sum(map(len, at.blocks))), np.uint8), 0
+    for places in at.blocks:
+        n = len(places) - at.checks
+        own = data[:, start : start + n]
+        out[:, places[:n]], out[:, places[n:]] = own, folded(check_table(n, at.checks), own)
+        start += n
+    return out
 
-def pattern(pick: Callable[[int], Column]) -> Column:
-    """Bits that are dark, light, dark, dark, dark, light, dark in the seven numbers that ``pick`` gives."""
-    dark = pick(0).bitwiseAND(pick(2)).bitwiseAND(pick(3)).bitwiseAND(pick(4)).bitwiseAND(pick(6))
-    return dark.bitwiseAND(F.bitwise_not(pick(1).bitwiseOR(pick(5))))
 
+def placed(codewords: np.ndarray, at: Layout) -> np.ndarray:
+    """The rows of data modules; modules past the last codeword are light."""
+    bits = np.zeros((len(codewords), at.size * 64), np.uint8)
+    bits[:, at.places] = np.unpackbits(codewords, axis=1)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
-def masked(data: Column, masks: Column, still: Column, size: Column) -> Column:
-    """The symbol with the mask of least penalty, the first of equals: a struct ``penalty, mask, rows``."""
 
-    def one(mask: Column, m: Column) -> Column:
-        rows = F.zip_with(F.zip_with(data, mask, lambda d, x: d.bitwiseXOR(x)), F.get(still, m), lambda d, s: d.bitwiseOR(s))
-        return let(rows, lambda rows: F.struct(penalty(rows, size).alias("penalty"), m.alias("mask"), rows.alias("rows")))
+def penalty(x: np.ndarray, size: int) -> np.ndarray:
+    """How easily symbols (rows along the last axis) are misread: runs, squares, patterns like a finder's, and more dark or light than half.
 
-    return F.array_min(F.transform(masks, one))
+    Each count is of the bits of rows combined with themselves shifted, or with
+    the rows below.
+    """
+    full = np.uint64((1 << size) - 1)
+    count = lambda bits: np.einsum("...r->...", np.bitwise_count(bits), dtype=np.int64)
+    # Pairs alike in a row, and in a row and the one below; windows of four such pairs are runs of five.
+    flat, tall = ~(x ^ x >> 1) & full >> 1, ~(x[..., :-1] ^ x[..., 1:]) & full
+    two = flat & flat >> 1
+    across = two & two >> 2
+    two = tall[..., :-1] & tall[..., 1:]
+    down = two[..., :-2] & two[..., 2:]
+    # Three for a run of five, one for each module more: windows of five, and two for each first one.
+    runs = count(across) + 2 * count(across & ~(across << 1)) + count(down) + 2 * count(down[..., 1:] & ~down[..., :-1]) + 2 * count(down[..., :1])
+    squares = count(flat[..., :-1] & flat[..., 1:] & tall)
+    # The dark, light, dark, dark, dark, light, dark of a finder beside four light modules, down columns and along rows.
+    row = lambda k: x[..., k : k + size - 6]
+    core = row(0) & row(2) & row(3) & row(4) & row(6) & ~(row(1) | row(5))
+    two = x[..., :-1] | x[..., 1:]
+    light = ~(two[..., :-2] | two[..., 2:])
+    finders = count(core[..., : size - 10] & light[..., 7:] & full) + count(core[..., 4:] & light[..., : size - 10] & full)
+    own = x >> 6 & x >> 4 & x >> 3 & x >> 2 & x & ~(x >> 5 | x >> 1) & full >> 6
+    two = x | x >> 1
+    four = ~(two | two >> 2)
+    # Bit j of ``own`` is a pattern ending at bit j; the four after it end at j - 4, those before it at j + 7.
+    finders += count(own & (four & full) << 4) + count(own & four >> 7 & full >> 10)
+    uneven = np.abs(count(x) * 20 - size * size * 10) // (size * size) * 10
+    return runs + 3 * squares + 40 * finders + uneven
+
+
+def masked(data: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """The mask of least penalty, the first of equals, and the symbol with it."""
+    forms = data[:, None] ^ at.masks | at.still
+    best = penalty(forms, at.size).argmin(axis=1)
+    return best, forms[np.arange(len(data)), best]
+
+
+def by_layout(keys: np.ndarray, at_once: int) -> Iterator[tuple[Layout, np.ndarray]]:
+    """The places of each layout's key, some at a time; other keys are left out."""
+    for key, at in layouts().items():
+        own = np.flatnonzero(keys == key)
+        for k in range(0, len(own), at_once):
+            yield at, own[k : k + at_once]
+
+
+def octets(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary array, one after the other, and where each value starts and the last ends."""
+    data = data.cast(pa.large_binary())
+    _, offsets, held = data.buffers()
+    starts = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    return np.frombuffer(held or b"", np.uint8), starts
+
+
+def listed(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list array, and where each list starts; a null list is empty."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(values), 0)).astype(np.int64)
+    return np.asarray(pc.fill_null(pc.list_flatten(values), 0)), np.append(0, sizes.cumsum())
+
+
+@F.arrow_udf(T.StructType([T.StructField("mask", T.IntegerType()), T.StructField("rows", T.ArrayType(T.LongType()))]))
+def symbols_of(data: pa.Array, key: pa.Array) -> pa.Array:
+    """Mask and rows of the symbol of each payload, null where its key names no layout."""
+    keys, (held, starts) = np.asarray(pc.fill_null(key, -1)), octets(data)
+    sizes = np.where(keys < 0, 0, 17 + 4 * (keys // 4))
+    offsets = np.append(0, sizes.cumsum())
+    masks, rows = np.zeros(len(keys), np.int32), np.zeros(offsets[-1], np.int64)
+    for at, own in by_layout(keys, MADE_AT_ONCE):
+        lengths = starts[own + 1] - starts[own]
+        k = np.arange(lengths.max())
+        inside = k < lengths[:, None]
+        raw = np.where(inside, held[np.where(inside, starts[own][:, None] + k, 0)], 0) if len(k) else np.zeros((len(own), 0), np.uint8)
+        masks[own], drawn_ = masked(placed(interleaved(data_codewords(raw, lengths, at), at), at), at)
+        rows[offsets[own][:, None] + np.arange(at.size)] = drawn_.astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows))
+    return pa.StructArray.from_arrays([pa.array(masks), lists], names=["mask", "rows"], mask=pa.array(keys < 0))
 
 
 def encoded(payloads: DataFrame, text: str = "payload", level: str = "level") -> DataFrame:
@@ -369,18 +433,12 @@ def encoded(payloads: DataFrame, text: str = "payload", level: str = "level") ->
     null symbol. Byte mode holds any text; the standard's denser modes for
     digits and capitals would decode to the same text.
     """
-    spark = payloads.sparkSession
-    table = symbol_table(spark)
     length = F.octet_length(F.encode(F.col(text), "utf-8"))
     fits = [F.when((F.col(level) == lv) & (length <= most), F.lit(v)) for v, lv, _, _, most, *_ in table_rows()]
     rows = payloads.withColumn("version", F.coalesce(*fits))
-    found = rows.join(F.broadcast(table.withColumnRenamed("level", level)), ["version", level], "left")
-    # Each stage is bound once, for the next looks at it module by module.
-    data = data_codewords(octets(F.encode(F.col(text), "utf-8")), F.col("version"), F.col("capacity"))
-    codewords = let(data, lambda d: interleaved(d, F.col("blocks"), F.col("generator")))
-    symbol = let(let(codewords, lambda c: placed(c, F.col("bits"))), lambda d: masked(d, F.col("masks"), F.col("still"), F.col("size")))
-    found = found.withColumns(field_columns()).withColumn("s", F.when(F.col("version").isNotNull(), symbol))
-    return found.select(*payloads.columns, "version", "size", F.col("s.mask").alias("mask"), F.col("s.rows").alias("symbol"))
+    key = F.col("version") * 4 + F.instr(F.lit(LEVELS), F.col(level)) - 1
+    found = rows.withColumn("s", symbols_of(F.encode(F.col(text), "utf-8"), key))
+    return found.select(*payloads.columns, "version", (17 + 4 * F.col("version")).alias("size"), F.col("s.mask").alias("mask"), F.col("s.rows").alias("symbol"))
 
 
 def modules(symbol: Column, size: Column) -> Column:
@@ -395,110 +453,126 @@ def from_modules(matrix: Column) -> Column:
 
 # --- Symbol to payload ------------------------------------------------------------
 
+#: Formats in the order in which the first of equally near ones counts.
+FORMATS = [(level, mask) for level in sorted(LEVELS) for mask in range(8)]
+NO_FORMAT = 4 * len(FORMATS)
 
-def read_format(symbol: Column, size: Column) -> Column:
-    """Level and mask as a struct: the valid format nearest to either copy, three bits off at most, else null."""
-
-    def word(second: bool) -> Column:
-        first, other = format_places(size_of(1))
-        out = F.lit(0)
-        for k, (r, c) in enumerate(other if second else first):
-            # In the second copy places count from the far edge.
-            row = size - (size_of(1) - r) if second and c == 8 else F.lit(r)
-            shift = F.lit(size_of(1) - 1 - c) if second and r == 8 else size - 1 - c
-            out = out + F.getbit(F.get(symbol, row), shift).cast("int") * (1 << k)
-        return out
 
-    known = F.array(*[F.struct(F.lit(format_word(lv, m)).alias("word"), F.lit(lv).alias("level"), F.lit(m).alias("mask")) for lv in LEVELS for m in range(8)])
-
-    def nearest(words: Column) -> Column:
-        off = lambda w: F.bit_count(w["word"].bitwiseXOR(words["a"])), lambda w: F.bit_count(w["word"].bitwiseXOR(words["b"]))
-        return F.array_min(F.transform(known, lambda w: F.struct(F.least(off[0](w), off[1](w)).alias("off"), w["level"].alias("level"), w["mask"].alias("mask"))))
-
-    return let(let(F.struct(word(False).alias("a"), word(True).alias("b")), nearest), lambda best: F.when(best["off"] <= 3, best))
-
-
-def read_codewords(rows: Column, spots: Column) -> Column:
-    """Codewords of an unmasked symbol in the order of its bits."""
-    bit = lambda s: F.getbit(F.get(rows, F.shiftright(s, 6)), s.bitwiseAND(63)).cast("int")
-    return F.transform(indices((F.size(spots) / 8).cast("int")), lambda k: F.aggregate(F.slice(spots, 8 * k + 1, 8), F.lit(0), lambda v, s: v * 2 + bit(s)))
-
-
-def syndromes(block: Column, checks: Column, gf: Field = OURS) -> Column:
-    """Values of a block at the first powers; all are 0 if it has no error."""
-    return F.transform(indices(checks), lambda j: F.aggregate(block, F.lit(0), lambda total, c: gf.shifted(total, j).bitwiseXOR(c)))
-
-
-def locator(found: Column, checks: Column, gf: Field = OURS) -> Column:
-    """The shortest recurrence of the syndromes, step by step: a struct of its polynomial (lowest first) and its length."""
-    width = F.size(found) + 1
-    one = F.transform(indices(width), lambda k: F.when(k == 0, 1).otherwise(0))
-
-    def step(s: Column, k: Column) -> Column:
-        miss = F.aggregate(F.sequence(F.lit(1), F.greatest(s["length"], F.lit(1))), F.get(found, k), lambda d, i: d.bitwiseXOR(F.when(i <= s["length"], gf.times(F.get(s["poly"], i), F.coalesce(F.get(found, k - i), F.lit(0)))).otherwise(0)))
-
-        def change(miss: Column) -> Column:
-            ratio = gf.over(miss, s["last_miss"])
-            poly = let(ratio, lambda f: F.transform(s["poly"], lambda c, i: c.bitwiseXOR(gf.times(f, F.coalesce(F.get(s["last"], i - s["shift"]), F.lit(0))))))
-            longer = (miss != 0) & (2 * s["length"] <= k)
-            return F.struct(
-                F.when(miss == 0, s["poly"]).otherwise(poly).alias("poly"), F.when(longer, s["poly"]).otherwise(s["last"]).alias("last"),
-                F.when(longer, k + 1 - s["length"]).otherwise(s["length"]).alias("length"), F.when(longer, F.lit(1)).otherwise(s["shift"] + 1).alias("shift"), F.when(longer, miss).otherwise(s["last_miss"]).alias("last_miss"),
-            )
-
-        return let(miss, change)
-
-    start = let(one, lambda p: F.struct(p.alias("poly"), p.alias("last"), F.lit(0).alias("length"), F.lit(1).alias("shift"), F.lit(1).alias("last_miss")))
-    return F.aggregate(indices(checks), start, step)
-
-
-def mended(block: Column, checks: Column, gf: Field = OURS) -> Column:
-    """A block with its errors corrected: a struct of its codewords and how many were wrong, or null if they are too many."""
-    n = F.size(block)
-
-    def correct(s: Column) -> Column:
-        found, poly = s["found"], s["poly"]
-        # A codeword i places before the last is wrong where the locator is 0 at the power -i.
-        inverse = lambda k: (255 - (n - 1 - k)) % 255
-        wrong = F.filter(indices(n), lambda k: gf.value(poly, inverse(k)) == 0)
-        # The product of syndromes and locator, up to the number of checks.
-        product = F.transform(indices(checks), lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0), lambda t, i: t.bitwiseXOR(gf.times(F.get(poly, i), F.get(found, k - i)))))
-        slope = F.transform(poly, lambda _, i: F.when(i % 2 == 0, F.coalesce(F.get(poly, i + 1), F.lit(0))).otherwise(0))
+@cache
+def nearest_formats() -> np.ndarray:
+    """For each word of 15 bits the valid format nearest to it, as how many bits are off times 32 and its place in :data:`FORMATS`; :data:`NO_FORMAT` beyond three."""
+    known = np.array([format_word(*f) for f in FORMATS])
+    off = np.bitwise_count(np.arange(1 << 15)[:, None] ^ known) * np.int64(len(FORMATS)) + np.arange(len(FORMATS))
+    return np.minimum(off.min(axis=1), NO_FORMAT)
 
-        def size_at(k: Column, parts: Column) -> Column:
-            down = gf.value(parts["slope"], inverse(k))
-            return F.when(down != 0, gf.shifted(gf.over(gf.value(parts["product"], inverse(k)), down), n - 1 - k))
 
-        def apply(parts: Column) -> Column:
-            fixed = F.transform(block, lambda c, k: F.when(F.array_contains(parts["wrong"], k), c.bitwiseXOR(F.coalesce(size_at(k, parts), F.lit(0)))).otherwise(c))
-            return F.when(F.size(parts["wrong"]) == s["length"], F.struct(fixed.alias("codewords"), s["length"].alias("errors")))
+def read_format(rows: np.ndarray, size: int) -> np.ndarray:
+    """Places in :data:`FORMATS` of the format nearest to either copy, -1 where both are more than three bits off."""
+    words = []
+    for copy in format_places(size):
+        bits = [(rows[:, r] >> np.uint64(size - 1 - c) & np.uint64(1)).astype(np.int64) << k for k, (r, c) in enumerate(copy)]
+        words.append(nearest_formats()[sum(bits)])
+    best = np.minimum(*words)
+    return np.where(best < NO_FORMAT, best % len(FORMATS), -1)
 
-        return let(F.struct(wrong.alias("wrong"), product.alias("product"), slope.alias("slope")), apply)
 
-    def checked(out: Column) -> Column:
-        return F.when(F.forall(syndromes(out["codewords"], checks, gf), lambda x: x == 0), out)
+def read_codewords(rows: np.ndarray, at: Layout) -> np.ndarray:
+    """Codewords of unmasked symbols in the order of their bits."""
+    bits = np.unpackbits(np.ascontiguousarray(rows, ">u8").view(np.uint8), axis=1)
+    return np.packbits(bits.take(at.places, axis=1), axis=1)
 
-    def decide(found: Column) -> Column:
-        clean = F.struct(block.alias("codewords"), F.lit(0).alias("errors"))
-        told = let(locator(found, checks, gf), lambda s: F.struct(found.alias("found"), s["poly"].alias("poly"), s["length"].alias("length")))
-        tried = let(told, lambda s: F.when((s["length"] > 0) & (2 * s["length"] <= checks), correct(s)))
-        return F.when(F.forall(found, lambda x: x == 0), clean).otherwise(let(tried, lambda out: F.when(out.isNotNull(), checked(out))))
 
-    return let(syndromes(block, checks, gf), decide)
+def syndromes(blocks: np.ndarray, checks: int) -> np.ndarray:
+    """Values of blocks at the first powers; all are 0 if there is no error."""
+    return folded(syndrome_table(blocks.shape[1], checks), blocks)
 
 
-def text_of(data: Column, version: Column) -> Column:
-    """The text of a symbol's data codewords; null unless they are one segment of bytes."""
+def locators(found: np.ndarray, checks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest recurrences of syndromes: polynomials, lowest first, and their lengths. Lengths above half the checks are beyond repair, their polynomials cut."""
+    times, most = times_table().ravel(), checks // 2
+    powers, logs = (np.array(x) for x in field())
+    found = np.ascontiguousarray(found.T)  # one column a block from here on
+    poly = np.zeros((most + 1, found.shape[1]), np.uint16)
+    last, length, last_miss = np.zeros_like(poly), np.zeros(found.shape[1], np.int64), np.ones(found.shape[1], np.uint8)
+    poly[0], last[1:2] = 1, 1
+    for k in range(checks):
+        n = min(k, most) + 1
+        miss = np.bitwise_xor.reduce(times.take((poly[:n] << 8) + found[k - n + 1 : k + 1][::-1]), axis=0)
+        ratio = np.where(miss == 0, 0, powers[logs[miss] - logs[last_miss] + 255]).astype(np.uint16)
+        longer = (miss != 0) & (2 * length <= k)
+        kept = np.where(longer, poly, last)
+        poly = poly ^ times.take((last << 8) + ratio)
+        length, last_miss = np.where(longer, k + 1 - length, length), np.where(longer, miss, last_miss)
+        last = np.zeros_like(kept)
+        last[1:] = kept[:-1]
+    return np.ascontiguousarray(poly.T, np.uint8), length
+
+
+def mended(blocks: np.ndarray, checks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks with their errors corrected, and how many codewords were wrong, -1 if too many."""
+    n, out, errors = blocks.shape[1], blocks.copy(), np.zeros(len(blocks), np.int64)
+    found = syndromes(blocks, checks)
+    bad = np.flatnonzero(found.any(axis=1))
+    if not len(bad):
+        return out, errors
+    found, times, most = found[bad], times_table(), checks // 2
+    poly, length = locators(found, checks)
+    # A codeword i places before the last is wrong where the locator is 0 at the power -i.
+    values = value_table(n, most + 1)
+    wrong = folded(values, poly) == 0
+    # The product of syndromes and locator, and the locator's slope: their values at the wrong places give the errors.
+    product = np.zeros_like(poly)
+    for i in range(most + 1):
+        product[:, i:] ^= times[poly[:, i : i + 1], found[:, : most + 1 - i]]
+    slope = np.zeros_like(poly)
+    slope[:, 0:most:2] = poly[:, 1::2]
+    row, place = np.nonzero(wrong)
+    top, down = folded(values, product)[row, place], folded(values, slope)[row, place]
+    powers, logs = (np.array(x) for x in field())
+    size = np.where((top == 0) | (down == 0), 0, powers[(logs[top] - logs[down] + 255 + n - 1 - place) % 255]).astype(np.uint8)
+    fixed = blocks[bad]
+    fixed[row, place] ^= size
+    good = (length > 0) & (length <= most) & (wrong.sum(axis=1) == length)
+    good[good] = ~syndromes(fixed[good], checks).any(axis=1) if good.any() else good[good]
+    out[bad[good]], errors[bad] = fixed[good], np.where(good, length, -1)
+    return out, errors
+
+
+def bytes_of(data: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """The payload bytes of data codewords and their number, -1 unless they are one segment of bytes."""
     # Everything stands half a byte later than it would: mode, count, bytes.
-    byte = lambda k: F.shiftleft(F.get(data, k).bitwiseAND(15), 4).bitwiseOR(F.shiftright(F.get(data, k + 1), 4))
-    head = F.when(version < 10, 1).otherwise(2)
-    count = F.when(version < 10, byte(F.lit(0))).otherwise(byte(F.lit(0)) * 256 + byte(F.lit(1)))
-
-    def shown(n: Column) -> Column:
-        digits = F.transform(F.when(n > 0, indices(n)).otherwise(F.array().cast("array<int>")), lambda k: F.lpad(F.hex(byte(k + head)), 2, "0"))
-        return F.when((F.shiftright(F.get(data, 0), 4) == 4) & (n + head + 1 <= F.size(data)), F.decode(F.unhex(F.array_join(digits, "")), "utf-8"))
-
-    return let(count, shown)
+    held = (data[:, :-1] & 15) << 4 | data[:, 1:] >> 4
+    head = 1 if at.version < 10 else 2
+    count = held[:, 0].astype(np.int64) if head == 1 else held[:, 0].astype(np.int64) * 256 + held[:, 1]
+    return held[:, head:], np.where((data[:, 0] >> 4 == 4) & (count + head + 1 <= at.capacity), count, -1)
+
+
+@F.arrow_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("errors", T.IntegerType()), T.StructField("why", T.StringType())]))
+def payloads_of(symbol: pa.Array) -> pa.Array:
+    """The payload's bytes and how many codewords were wrong, or why there is none, for each symbol."""
+    values, starts = listed(symbol)
+    sides, rows = np.diff(starts), values.astype(np.int64).view(np.uint64)
+    keys, masks = np.full(len(sides), -1), np.zeros(len(sides), np.int64)
+    why = np.full(len(sides), "no symbol", object)
+    for version in VERSIONS:
+        size = size_of(version)
+        own = np.flatnonzero(sides == size)
+        if len(own):
+            best = read_format(rows[starts[own][:, None] + np.arange(size)], size)
+            levels = np.array([LEVELS.index(level) for level, _ in FORMATS])
+            keys[own], masks[own] = np.where(best < 0, -1, 4 * version + levels[best]), best % 8
+            why[own] = np.where(best < 0, "no format", None)
+    lengths, errors, held = np.full(len(sides), -1), np.zeros(len(sides), np.int32), {}
+    for at, own in by_layout(keys, READ_AT_ONCE):
+        words = read_codewords(rows[starts[own][:, None] + np.arange(at.size)] ^ at.masks[masks[own]], at)
+        tried = [mended(words[:, places], at.checks) for places in at.blocks]
+        whole = np.all([e >= 0 for _, e in tried], axis=0)
+        raw, n = bytes_of(np.concatenate([b[:, : b.shape[1] - at.checks] for b, _ in tried], axis=1), at)
+        errors[own], lengths[own] = sum(e for _, e in tried), np.where(whole, n, -1)
+        why[own] = np.where(~whole, "too many errors", np.where(n < 0, "no byte mode", None))
+        held.update({int(i): r for i, r in zip(own, raw, strict=True)})
+    data = [held[i][:n].tobytes() if n >= 0 else None for i, n in enumerate(lengths)]
+    return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(errors, mask=lengths < 0), pa.array(why, pa.string())], names=["data", "errors", "why"])
 
 
 def decoded(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
@@ -507,25 +581,25 @@ def decoded(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
     Errors: ``no symbol`` (null, or no size of versions 1 to 10), ``no format``,
     ``too many errors`` in a block, ``no byte mode``.
     """
-    spark = symbols.sparkSession
-    side = F.size(F.col(symbol))
-    rows = symbols.withColumn("n_", F.when(side.isin([size_of(v) for v in VERSIONS]), side)).withColumn("format_", F.when(F.col("n_").isNotNull(), read_format(F.col(symbol), F.col("n_"))))
-    table = symbol_table(spark).select(F.col("size").alias("n_"), F.col("level").alias("level_"), *[F.col(c).alias(f"{c}_") for c in ("version", "checks", "blocks", "spots", "masks")])
-    keyed = rows.withColumn("level_", F.col("format_.level"))
-    found = keyed.join(F.broadcast(table), ["n_", "level_"], "left").withColumns(field_columns())
-    plain = F.zip_with(F.col(symbol), F.get("masks_", F.col("format_.mask")), lambda x, m: x.bitwiseXOR(m))
-    blocks = let(let(plain, lambda rows: read_codewords(rows, F.col("spots_"))), lambda words: F.transform("blocks_", lambda places: let(F.transform(places, lambda p: F.get(words, p)), lambda b: mended(b, F.col("checks_")))))
-    found = found.withColumn("mended_", F.when(F.col("version_").isNotNull(), blocks))
-    whole = F.col("mended_").isNotNull() & F.forall("mended_", lambda b: b.isNotNull())
-    data = F.flatten(F.transform("mended_", lambda b: F.slice(b["codewords"], F.lit(1), F.size(b["codewords"]) - F.col("checks_"))))
-    found = found.withColumn("data_", F.when(whole, data))
-    found = found.withColumn("text_", let(F.col("data_"), lambda d: text_of(d, F.col("version_"))))
-    why = F.when(F.col("n_").isNull(), "no symbol").when(F.col("format_").isNull(), "no format").when(F.col("data_").isNull(), "too many errors").when(F.col("text_").isNull(), "no byte mode")
-    errors = F.when(F.col("text_").isNotNull(), F.aggregate("mended_", F.lit(0), lambda n, b: n + b["errors"]))
-    return found.select(*symbols.columns, F.col("text_").alias("decoded"), errors.alias("errors"), why.alias("decode_error"))
+    found = symbols.withColumn("read_", payloads_of(F.col(symbol)))
+    return found.select(*symbols.columns, F.decode(F.col("read_.data"), "utf-8").alias("decoded"), F.col("read_.errors").alias("errors"), F.col("read_.why").alias("decode_error"))
+
+
+def _turned_bits(symbol: pa.Array, places: pa.Array) -> pa.Array:
+    """Symbols with the named bits turned; places outside them count for nothing."""
+    values, starts = listed(symbol)
+    out, (spots, of) = values.astype(np.int64).view(np.uint64), listed(places)
+    own = np.repeat(np.arange(len(symbol)), np.diff(of))
+    row = starts[own] + (spots >> 6)
+    inside = (spots >= 0) & (row < starts[own + 1])
+    np.bitwise_xor.at(out, row[inside], np.left_shift(np.uint64(1), (spots[inside] & 63).astype(np.uint64)))
+    gone = pc.or_(pc.is_null(symbol), pc.is_null(places))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out.view(np.int64)), mask=gone)
+
+
+turned_bits = F.arrow_udf(_turned_bits, T.ArrayType(T.LongType()))
 
 
 def flipped(symbol: Column, places: Column) -> Column:
     """A symbol with modules turned, each named as row times 64 plus column from the right."""
-    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63))
-    return F.transform(symbol, lambda x, r: F.aggregate(places, x, lambda v, p: F.when(F.shiftright(p, 6) == r, v.bitwiseXOR(one(p))).otherwise(v)))
+    return turned_bits(symbol, places)
