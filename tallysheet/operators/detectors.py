@@ -7,13 +7,17 @@ batches; what the modules say is read by Column functions (``operators.symbols``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysheet.operators import symbols
 from tallysheet.operators.plugins import Registry
@@ -39,21 +43,26 @@ class Found:
 Detector = Callable[[np.ndarray], list[Found]]
 
 
-def _marks(dark: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
-    """Where five runs along a row are as wide as those of a mark: row and column of the middle, its exact place, a module's width."""
+def _marks(dark: np.ndarray, top: int, left: int) -> dict[tuple[int, int], tuple[float, float]]:
+    """Where five runs along a row are as wide as those of a mark: row and column of the middle, its exact place, a module's width; ``dark`` is a part that begins at ``top`` and ``left``."""
     h, w = dark.shape
-    flat = np.pad(dark, ((0, 0), (1, 1))).ravel()
+    flat = np.zeros((h, w + 2), bool)
+    flat[:, 1:-1] = dark
+    flat = flat.ravel()
     turns = np.flatnonzero(flat[1:] != flat[:-1]) + 1
     if len(turns) < 6:
         return {}
     # Rows begin and end light, so every other run is dark, the first one too.
-    runs = np.lib.stride_tricks.sliding_window_view(np.diff(turns), 5)[::2]
-    first, unit = turns[:-5:2][: len(runs)], runs.sum(axis=1) / 7
-    one_row = first // (w + 2) == (first + runs.sum(axis=1) - 1) // (w + 2)
+    first, after = turns[:-5:2], turns[5::2]
+    unit = (after - first) / 7
+    likely = np.flatnonzero(np.abs(turns[3:-2:2] - turns[2:-3:2] - 3 * unit) <= np.maximum(unit / 2, 0.5))
+    first, unit = first[likely], unit[likely]
+    runs = np.diff(turns[2 * likely[:, None] + np.arange(6)], axis=1)
+    one_row = first // (w + 2) == (after[likely] - 1) // (w + 2)
     good = one_row & (np.abs(runs - MARK * unit[:, None]) <= np.maximum(unit / 2, 0.5)[:, None]).all(axis=1)
     row, start = np.divmod(first[good], w + 2)
-    middle = start - 1 + unit[good] * 3.5
-    return {(int(r), int(m)): (float(m), float(u)) for r, m, u in zip(row, middle, unit[good], strict=True)}
+    middle = start + left - 1 + unit[good] * 3.5
+    return {(int(r), int(m)): (float(m), float(u)) for r, m, u in zip(row + top, middle, unit[good], strict=True)}
 
 
 def _sampled(dark: np.ndarray, corner: np.ndarray, across: np.ndarray, down: np.ndarray, size: int) -> np.ndarray:
@@ -71,15 +80,22 @@ def upright_symbols(image: np.ndarray, alike: float = 0.8) -> list[Found]:
     them at equal distances, one the corner of the others, make a symbol if its two
     lines of alternating modules alternate in a share of at least ``alike``.
     """
-    if image.size == 0 or image.min() == image.max():
+    if image.size == 0 or (least := image.min()) == (most := image.max()):
         return []
-    dark = image < (int(image.min()) + int(image.max()) + 1) / 2
-    along, down = _marks(dark), _marks(dark.T)
-    marks = np.array([(along[r, c][0], down[c, r][0], (along[r, c][1] + down[c, r][1]) / 2) for r, c in along if (c, r) in down]).reshape(-1, 3)
+    middle = (int(least) + int(most) + 1) / 2
+    dark = image < (math.ceil(middle) if np.issubdtype(image.dtype, np.integer) else middle)
+    # Marks lie within the smallest box around all that is dark.
+    rows = np.flatnonzero(dark.any(axis=1))
+    top, bottom = int(rows[0]), int(rows[-1]) + 1
+    columns = np.flatnonzero(dark[top:bottom].any(axis=0))
+    left = int(columns[0])
+    inner = dark[top:bottom, left : columns[-1] + 1]
+    along, down = _marks(inner, top, left), _marks(inner.T, left, top)
+    marks = [(along[r, c][0], down[c, r][0], (along[r, c][1] + down[c, r][1]) / 2) for r, c in along if (c, r) in down]
     out = []
     for x, y, unit in marks:
-        beside = marks[(np.abs(marks[:, 1] - y) <= unit) & (np.abs(marks[:, 0] - x) > 7 * unit)]
-        below = marks[(np.abs(marks[:, 0] - x) <= unit) & (np.abs(marks[:, 1] - y) > 7 * unit)]
+        beside = [m for m in marks if abs(m[1] - y) <= unit and abs(m[0] - x) > 7 * unit]
+        below = [m for m in marks if abs(m[0] - x) <= unit and abs(m[1] - y) > 7 * unit]
         best = None
         for bx, by, _ in beside:
             for vx, vy, _ in below:
@@ -111,6 +127,7 @@ class Detectors(Registry):
     def search(self, images: DataFrame, regions: list[tuple[str, float, float, float, float]], least: int = 50, most: int = 500, names: list[str] | None = None) -> DataFrame:
         """Each image region by region until one holds a symbol whose longer side is within bounds; in a region all detectors are asked.
 
+        ``pixels`` are an array of greys, or a binary with one byte for each.
         Regions are names and shares of the page (x, y, width, height) in the order
         of search; boxes are relative to their region. A detector that raises gives
         an error row and the others go on.
@@ -140,10 +157,11 @@ class Detectors(Registry):
                     return
 
         names_of = [c.split(" ")[0] for c in FOUND.split(", ")]
+        greys = lambda p: np.frombuffer(p, np.uint8) if isinstance(p, bytes) else np.asarray(p)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                rows = [r for k, h, w, p in zip(f["image_id"], f["height"], f["width"], f["pixels"], strict=True) for r in of_image(k, np.asarray(p).reshape(h, w))]
+                rows = [r for k, h, w, p in zip(f["image_id"], f["height"], f["width"], f["pixels"], strict=True) for r in of_image(k, greys(p).reshape(h, w))]
                 out = pd.DataFrame(rows, columns=names_of)
                 yield out.astype({c: "Int32" for c in ("x", "y", "w", "h")})
 
@@ -158,17 +176,51 @@ def read(found: DataFrame) -> DataFrame:
     return rows.withColumns({"data": data, "error_message": why}).drop("symbol", "decoded", "errors", "decode_error")
 
 
-def turned(symbol: Column, size: Column) -> Column:
-    """A symbol after a quarter turn to the right."""
-    bit = lambda i, j: F.getbit(F.get(symbol, size - 1 - j), size - 1 - i).cast("long")
-    return F.transform(symbols.indices(size), lambda i: F.aggregate(symbols.indices(size), F.lit(0).cast("long"), lambda v, j: v * 2 + bit(i, j)))
+def _turned(symbol: pa.Array, turns: pa.Array) -> pa.Array:
+    values, starts = symbols.listed(symbol)
+    out, sides, often = values.astype(np.int64), np.diff(starts), np.asarray(pc.fill_null(turns, 0)) % 4
+    for size in np.unique(sides[sides > 0]):
+        for n in range(1, 4):
+            at = starts[:-1][(sides == size) & (often == n)][:, None] + np.arange(size)
+            bits = np.unpackbits(np.ascontiguousarray(out[at], ">i8").view(np.uint8), axis=1).reshape(-1, size, 64)
+            bits[:, :, 64 - size :] = np.rot90(bits[:, :, 64 - size :], -n, axes=(1, 2))
+            out[at] = np.packbits(bits.reshape(-1, size * 64), axis=1).view(">i8")
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out), mask=pc.is_null(symbol))
 
 
-def printed(symbol: Column, size: Column, x: Column, y: Column, width: int, height: int, box: int = 2, ink: Column | int = 0, paper: Column | int = 255) -> Column:
-    """A page's pixels with a symbol at a place, each module a square of ``box`` pixels. Blank stretches are repeated, not drawn."""
-    dark, light = (F.lit(v) if isinstance(v, int) else v for v in (ink, paper))
-    blank = lambda n: F.array_repeat(light.cast("int"), n.cast("int"))
-    one = lambda row, c: F.array_repeat(F.when(F.getbit(row, size - 1 - c) == 1, dark).otherwise(light).cast("int"), box)
-    line = lambda row: F.concat(blank(x), F.flatten(F.transform(symbols.indices(size), lambda c: one(row, c))), blank(width - x - size * box))
-    lines = F.flatten(F.transform(symbol, lambda row: F.array_repeat(line(row), box)))
-    return F.concat(blank(y * width), F.flatten(lines), blank((height - y - size * box) * width))
+_turned_rows = F.arrow_udf(_turned, T.ArrayType(T.LongType()))
+
+
+def turned(symbol: Column, turns: Column) -> Column:
+    """A symbol after some quarter turns to the right."""
+    return _turned_rows(symbol, turns.cast("int"))
+
+
+#: Pages drawn at a time, so that a batch holds a few megabytes of pixels.
+PAGES_AT_ONCE = 32
+
+
+def printed(symbols_: DataFrame, width: int, height: int, box: int = 2) -> DataFrame:
+    """Pages ``image_id, height, width, pixels`` (binary), each with a symbol at a place, each module a square of ``box`` pixels.
+
+    Rows: ``image_id, symbol, x, y, ink, paper``; without a symbol a page is blank.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), PAGES_AT_ONCE):
+                b = whole.slice(first, PAGES_AT_ONCE)
+                values, starts = symbols.listed(b["symbol"])
+                pages = []
+                for k, (x, y, ink, paper) in enumerate(zip(*(b[c].to_pylist() for c in ("x", "y", "ink", "paper")), strict=True)):
+                    rows, page = values[starts[k] : starts[k + 1]], np.full((height, width), paper, np.uint8)
+                    if size := len(rows):
+                        bits = np.unpackbits(rows.astype(">i8").view(np.uint8)).reshape(size, 64)[:, 64 - size :]
+                        page[y : y + size * box, x : x + size * box] = np.where(bits, np.uint8(ink), np.uint8(paper)).repeat(box, axis=0).repeat(box, axis=1)
+                    pages.append(page.tobytes())
+                side = lambda n, pages=pages: pa.array([n] * len(pages), pa.int32())
+                yield pa.RecordBatch.from_arrays([b["image_id"], side(height), side(width), pa.array(pages, pa.binary())], names=["image_id", "height", "width", "pixels"])
+
+    number = lambda c: F.col(c).cast("int").alias(c)
+    rows = symbols_.select(F.col("image_id").cast("long").alias("image_id"), "symbol", *map(number, ("x", "y", "ink", "paper")))
+    return rows.mapInArrow(draw, "image_id long, height int, width int, pixels binary")

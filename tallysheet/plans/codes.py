@@ -56,11 +56,9 @@ def detected_symbols(spark, d):
     text = F.concat(F.lit('{"assignment_id":"AG_'), F.col("c_custkey").cast("string"), F.lit('","assignment_name":"Work '), F.col("c_nationkey").cast("string"), F.lit('","subject":"'), F.col("c_mktsegment"), F.lit('"}'))
     level = F.element_at(F.array(*map(F.lit, symbols.LEVELS)), (F.col("c_custkey") % 3 + 1).cast("int"))
     made = symbols.encoded(c.select(F.col("c_custkey").alias("image_id"), level.alias("level"), text.alias("payload")))
-    for turns in (1, 2, 3):
-        made = made.withColumn("symbol", F.when(F.floor(k / 4) % 4 >= turns, detectors.turned(F.col("symbol"), F.col("size"))).otherwise(F.col("symbol")))
     at = lambda axis: F.element_at(F.array(*[F.lit(p[axis]) for p in PLACES]), (k % 4 + 1).cast("int"))
-    pixels = detectors.printed(F.col("symbol"), F.col("size"), at(0) + k % 3, at(1) + k % 2, *PAGE, ink=k % 60, paper=200 + k % 50)
-    pages = made.select("image_id", F.lit(PAGE[1]).alias("height"), F.lit(PAGE[0]).alias("width"), pixels.alias("pixels"))
+    rows = made.select("image_id", detectors.turned(F.col("symbol"), F.floor(k / 4) % 4).alias("symbol"), (at(0) + k % 3).alias("x"), (at(1) + k % 2).alias("y"), (k % 60).alias("ink"), (200 + k % 50).alias("paper"))
+    pages = detectors.printed(rows, *PAGE)
     known = detectors.Detectors()
     known.register("upright", detectors.upright_symbols, priority=1)
     found = known.search(pages, [(region, *share) for region, _, *share in R.REGIONS])
