@@ -71,11 +71,14 @@ def from_payload(json: Column, strict: bool = False) -> Column:
     Lenient: required keys must be there, others default to null. Strict: the
     keys must be just those of the record.
     """
-    keys = F.json_object_keys(json)
     needed = FIELDS if strict else REQUIRED
-    ok = F.forall(F.array(*map(F.lit, needed)), lambda k: F.array_contains(keys, k))
-    if strict:
-        ok = ok & (F.size(keys) == len(FIELDS))
+
+    def complete(keys: Column) -> Column:
+        ok = F.forall(F.array(*map(F.lit, needed)), lambda k: F.array_contains(keys, k))
+        return ok & (F.size(keys) == len(FIELDS)) if strict else ok
+
+    # Bound, so that the keys are read once and not for each that is needed.
+    ok = let(F.json_object_keys(json), complete)
     return F.when(F.coalesce(ok, F.lit(False)), F.from_json(json, str(ASSIGNMENTS)))
 
 
@@ -104,14 +107,12 @@ def any_payload(value: Column, key: str = "assignment_name") -> Column:
 
 
 def round_trip(assignments: DataFrame) -> DataFrame:
-    """Each assignment with its payload and whether reading it back gives the same record."""
+    """Each assignment with its payload, the record ``back`` that is read from it, and whether that is the same record."""
     rows = assignments.withColumn("payload", payload(assignments))
-
-    def compared(back: Column) -> Column:
-        same = [back[f].eqNullSafe(F.col(f)) for f in FIELDS if f != "additional_data"]
-        return F.forall(F.array(*same), lambda x: x) & (F.to_json(back["additional_data"]).eqNullSafe(F.to_json("additional_data")))
-
-    return rows.withColumn("same", let(from_payload(F.col("payload"), strict=True), compared))
+    rows = rows.withColumn("back", from_payload(F.col("payload"), strict=True))
+    same = [F.col("back")[f].eqNullSafe(F.col(f)) for f in FIELDS if f != "additional_data"]
+    extra = F.to_json(F.col("back")["additional_data"]).eqNullSafe(F.to_json("additional_data"))
+    return rows.withColumn("same", F.when(F.col("back").isNotNull(), F.forall(F.array(*same), lambda x: x) & extra))
 
 
 def rubric_lines(templates: DataFrame) -> DataFrame:

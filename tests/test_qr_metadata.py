@@ -78,3 +78,9 @@ def test_settings(tmp_path):
     (tmp_path / "bad.yaml").write_text("a: [")
     with pytest.raises(ValueError, match="YAML"):
         Settings(str(tmp_path / "bad.yaml"))
+
+
+def test_keys_of_a_payload_are_read_once(spark):
+    """However many keys are needed, the plan reads them in one place; what is read back comes with the round trip."""
+    read = spark.createDataFrame([("{}",)], "p string").select(metadata.from_payload(F.col("p"), strict=True).alias("r"))
+    assert read._jdf.queryExecution().analyzed().toString().count("json_object_keys(") == 1
