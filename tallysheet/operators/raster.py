@@ -322,27 +322,39 @@ def equalised(image: np.ndarray, clip: float = 3.0, grid: int = 8) -> np.ndarray
 def non_local_means(image: np.ndarray, strength: float = 10.0, patch: int = 7, window: int = 21) -> np.ndarray:
     """Each pixel as the mean of those in a window around it, weighed by how alike their patches are.
 
-    For each shift of the image the squared differences of all patches come from
-    one integral image of the differences; as many shifts are taken together as
-    fit into some megabytes.
+    For each shift of the image the squared differences of all patches are sums
+    along rows and then columns, whole numbers for an image of whole greys; as many
+    shifts are taken together as fit into some megabytes.
     """
     h, w = image.shape
     near, far = patch // 2, window // 2
-    wide = np.pad(image.astype(float), near + far, mode="reflect" if min(h, w) > 1 else "edge")
+    greys = image.astype(np.int32 if np.issubdtype(image.dtype, np.integer) else float)
+    wide = np.pad(greys, near + far, mode="reflect" if min(h, w) > 1 else "edge")
     own = wide[far : far + h + 2 * near, far : far + w + 2 * near]
     shifts = np.lib.stride_tricks.sliding_window_view(wide, own.shape)
     total, weights = np.zeros((h, w)), np.zeros((h, w))
     rows = max(1, min(window, (1 << 19) // (window * own.size)))
     for first in range(0, window, rows):
         shifted = shifts[first : first + rows].reshape(-1, *own.shape)
-        area = np.pad((shifted - own) ** 2, ((0, 0), (1, 0), (1, 0))).cumsum(axis=1).cumsum(axis=2)
-        gap = area[:, patch:, patch:] - area[:, :-patch, patch:] - area[:, patch:, :-patch] + area[:, :-patch, :-patch]
-        weight = np.exp(-gap / (patch * patch * strength * strength))
+        area = shifted - own
+        gap = _run_sums(_run_sums(area * area, patch).swapaxes(1, 2), patch).swapaxes(1, 2)
+        weight = np.exp(gap / (-patch * patch * strength * strength))
         total += (weight * shifted[:, near : near + h, near : near + w]).sum(axis=0)
         weights += weight.sum(axis=0)
     return total / weights
 
 
+def _run_sums(x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``n`` neighbours along the second axis, from sums of twice as many step by step."""
+    size, out, at, step = x.shape[1] - n + 1, None, 0, 1
+    while n:
+        if n & 1:
+            part = x[:, at : at + size]
+            out, at = part if out is None else out + part, at + step
+        x, n, step = x[:, :-step] + x[:, step:] if n > 1 else x, n >> 1, step * 2
+    return out
+
+
 #: The slope of the cubic kernel. Fixed value.
 CUBIC = -0.75
 
@@ -433,8 +445,26 @@ def neighbourhood(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.
     return pd.DataFrame({"noise_level": of(lambda g: np.abs(g - median_filter(g))), "edge_density": of(edges)})
 
 
+#: Images of a batch that a Python task gets at a time.
+BATCH = 512
+BATCH_BOUND = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(images: DataFrame) -> DataFrame:
+    """Bound the batches that Python tasks get, for steps make images many times as large.
+
+    A setting of the session, since Spark reads it only when the returned frame
+    is run; a smaller bound that the caller set stays.
+    """
+    conf = images.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_BOUND)) <= BATCH:
+        conf.set(BATCH_BOUND, str(BATCH))
+    return images
+
+
 def analysed(images: DataFrame) -> DataFrame:
     """The images with their measures, I5's scores and I6's plan; every image passes once, nothing is shuffled."""
+    images = small_batches(images)
     p, h, w = F.col("pixels"), F.col("height"), F.col("width")
     rows = images.withColumns({"brightness": brightness(p), "contrast": contrast(p), "sharpness": sharpness(p, h, w), "around": neighbourhood(p, h, w)})
     return enhancement_plan(full_quality(rows.select("*", "around.*").drop("around")))
@@ -456,6 +486,7 @@ def apply_steps(images: DataFrame, steps: str = "steps", keep: tuple[str, ...] =
             out.append((x.shape[0], x.shape[1], x.ravel().astype(np.int32), ",".join(done)))
         return pd.DataFrame(out, columns=["height", "width", "pixels", "applied"])
 
+    images = small_batches(images)
     done = F.pandas_udf(run, "height int, width int, pixels array<int>, applied string")("pixels", "height", "width", F.col(steps).cast("string"))
     return images.select("image_id", *keep, done.alias("done")).select("image_id", *keep, "done.*")
 

@@ -171,3 +171,22 @@ def test_the_query_applies_the_whole_plan(spark):
         for step in r.applied.split(","):
             x = plain_upscaled(x, 24, 24) if step == "upscaling" else np.clip(np.rint(raster.STEPS[step](x.astype(int))), 0, 255)
         assert abs(r.brightness - x.mean()) < 0.5 and abs(r.contrast - x.std()) < 0.5
+
+
+def test_patch_sums_are_exact_for_whole_greys():
+    rnd = np.random.default_rng(8)
+    for n in (1, 2, 3, 5, 7):
+        x = rnd.integers(0, 65026, (4, 20, 9)).astype(np.int32)
+        assert (raster._run_sums(x, n) == np.lib.stride_tricks.sliding_window_view(x, n, axis=1).sum(axis=-1)).all()
+
+
+def test_batches_of_steps_are_small(spark):
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(bound)
+    images = spark.createDataFrame([(1, 1, 1, [5])], "image_id long, height int, width int, pixels array<int>").withColumn("steps", F.lit("double"))
+    try:
+        for given, kept in (("10000", str(raster.BATCH)), ("0", str(raster.BATCH)), ("100", "100")):
+            spark.conf.set(bound, given)
+            assert raster.apply_steps(images).count() == 1 and spark.conf.get(bound) == kept
+    finally:
+        spark.conf.set(bound, before)
