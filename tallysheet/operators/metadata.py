@@ -112,7 +112,7 @@ def round_trip(assignments: DataFrame) -> DataFrame:
     rows = rows.withColumn("back", from_payload(F.col("payload"), strict=True))
     same = [F.col("back")[f].eqNullSafe(F.col(f)) for f in FIELDS if f != "additional_data"]
     extra = F.to_json(F.col("back")["additional_data"]).eqNullSafe(F.to_json("additional_data"))
-    return rows.withColumn("same", F.when(F.col("back").isNotNull(), F.forall(F.array(*same), lambda x: x) & extra))
+    return rows.withColumn("same", F.forall(F.array(*same), lambda x: x) & extra)
 
 
 def rubric_lines(templates: DataFrame) -> DataFrame:

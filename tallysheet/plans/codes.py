@@ -14,7 +14,7 @@ SYMBOLS_SQL = "sym(version, level, most, checks, codewords) AS (VALUES " + ", ".
 def payloads(spark, d):
     """The identifying part of every order's payload, at one of the four levels.
 
-    Dealt out before the work begins: a symbol costs some ten milliseconds, its payload a hundred bytes.
+    Dealt out before the work begins: a symbol costs far more than its payload of a hundred bytes.
     """
     k = F.col("o_orderkey")
     text = F.concat(F.lit('{"assignment_id":"AG_'), k.cast("string"), F.lit('","assignment_name":"Work '), F.col("o_custkey").cast("string"), F.lit('","subject":"'), F.col("o_orderpriority"), F.lit('"}'))

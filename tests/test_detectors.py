@@ -70,3 +70,14 @@ def test_texts_of_a_detector_and_unreadable_modules(spark):
     images = spark.createDataFrame([(1, 1, 1, [0])], "image_id long, height int, width int, pixels array<int>")
     got = {r.method: (r.data, r.error_message) for r in D.read(known.search(images, WHOLE)).collect()}
     assert got == {"reader": ("read", None), "blind": (None, "no format")}
+
+
+def test_pages_are_bytes_with_turned_symbols(spark, matrices):
+    """All turns on one page each, drawn as one byte a grey; a page without a symbol is blank."""
+    rows = [(k, "a longer text, é 漢", "H", k) for k in range(4)] + [(9, None, "H", 1)]
+    made = S.encoded(spark.createDataFrame(rows, "image_id long, payload string, level string, turns int"))
+    turned = made.select("image_id", D.turned(F.col("symbol"), F.col("turns")).alias("symbol"), F.lit(7).alias("x"), F.lit(11).alias("y"), F.lit(10).alias("ink"), F.lit(240).alias("paper"))
+    got = {r.image_id: np.frombuffer(bytes(r.pixels), np.uint8).reshape(150, 140) for r in D.printed(turned, 140, 150).collect()}
+    for k in range(4):
+        assert (got[k] == page(np.rot90(matrices[2][1], -k), 2, 7, 11, (150, 140))).all()
+    assert (got[9] == 240).all()
