@@ -8,6 +8,8 @@ message replied to. Conversations come out ordered by replies, without the quote
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +23,36 @@ BLANK = " \t\n\x0b\f\r"
 ATTRIBUTION = r"(?i)^[ \t]*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,100}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)[ \t]*:[ \t]*$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normal(line: Column) -> Column:
     """A line for comparison: lower case, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    low = F.lower(line)
+    # Most lines have single spaces only, and looking is cheaper than replacing each. A line holds no line ends.
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\x0b") | line.contains("\f")
+    return F.trim(F.when(uneven, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
 def parsed(text: str = "text") -> Column:
     """Lines of a text as ``array<struct<level, line>>``; attributions before a quotation are left out."""
-    rows = F.split(text_or_empty(text), r"\r\n|\r|\n")
-    marks = lambda line: F.regexp_extract(line, QUOTE, 0)
-    lines = F.transform(rows, lambda s: F.struct(F.length(F.translate(marks(s), " \t", "")).alias("level"), F.regexp_replace(F.regexp_replace(s, QUOTE, ""), r"^ ", "").alias("line")))
-    quoted = F.exists(lines, lambda x: x["level"] > 0)
-    return F.when(quoted, F.filter(lines, lambda x: ~((x["level"] == 0) & x["line"].rlike(ATTRIBUTION)))).otherwise(lines)
+    whole = text_or_empty(text)
+    # One plain character is what texts are split by without a regular expression.
+    rows = F.split(F.when(whole.contains("\r"), F.regexp_replace(whole, r"\r\n|\r", "\n")).otherwise(whole), "\n")
+
+    def level_and_line(s: Column) -> Column:
+        marked = F.ltrim(s, F.lit(" \t")).startswith(">")
+        level = F.when(marked, F.length(F.translate(F.regexp_extract(s, QUOTE, 0), " \t", ""))).otherwise(0)
+        line = F.when(marked, F.regexp_replace(s, QUOTE + " ?", "")).when(s.startswith(" "), F.substring(s, 2, 2**31 - 1)).otherwise(s)
+        return F.struct(level.alias("level"), line.alias("line"))
+
+    def unattributed(lines: Column) -> Column:
+        quoted = F.exists(lines, lambda x: x["level"] > 0)
+        return F.when(quoted, F.filter(lines, lambda x: ~((x["level"] == 0) & x["line"].contains(":") & x["line"].rlike(ATTRIBUTION)))).otherwise(lines)
+
+    return bound(F.transform(rows, level_and_line), unattributed)
 
 
 def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -49,8 +69,14 @@ def in_order(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def runs(lines: Column) -> Column:
     """Consecutive lines of one level as ``array<struct<level, said>>``; ``said`` has the lines normalised."""
     starts = F.array_compact(F.transform(lines, lambda x, i: F.when((i == 0) | (x["level"] != F.get(lines, i - 1)["level"]), i)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines)))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(lines, s)["level"].alias("level"), F.transform(F.slice(lines, s + 1, e - s), lambda x: normal(x["line"])).alias("said")))
+    ends = lambda starts: F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(lines)))
+    said = lambda s, e: F.transform(F.slice(lines, s + 1, e - s), lambda x: normal(x["line"]))
+    return bound(starts, lambda starts: F.zip_with(starts, ends(starts), lambda s, e: F.struct(F.get(lines, s)["level"].alias("level"), said(s, e).alias("said"))))
+
+
+def digest(rows: Column) -> Column:
+    """Hash of lines where line ends count as spaces."""
+    return F.substring(F.unhex(F.sha2(F.array_join(rows, " "), 256)), 1, 16)
 
 
 def passages(said: Column) -> Column:
@@ -58,12 +84,14 @@ def passages(said: Column) -> Column:
 
     ``n`` counts lines that aren't blank. A lone paragraph isn't told apart from its run, nor a lone line from its paragraph.
     """
-    blocks = F.filter(F.split(F.array_join(said, "\n"), "\n{2,}"), lambda p: F.translate(p, "\n", "") != "")
-    blocks = F.transform(blocks, lambda p: F.filter(F.split(p, "\n"), lambda x: x != ""))
+    def edges(said: Column, side: int) -> Column:
+        """Places of the lines where a paragraph starts (``side`` -1) or ends (1)."""
+        return F.array_compact(F.transform(said, lambda x, i: F.when((x != "") & (F.coalesce(F.get(said, i + side), F.lit("")) == ""), i)))
+
+    blocks = bound(said, lambda said: F.zip_with(edges(said, -1), edges(said, 1), lambda s, e: F.transform(F.sequence(s, e), lambda i: F.get(said, i))))
 
     def unit(paragraph: Column, tier: int, rows: Column) -> Column:
-        digest = F.substring(F.unhex(F.sha2(F.array_join(rows, " "), 256)), 1, 16)
-        return F.struct(paragraph.cast("int").alias("paragraph"), F.lit(tier).alias("tier"), F.size(rows).alias("n"), digest.alias("hash"))
+        return F.struct(paragraph.cast("int").alias("paragraph"), F.lit(tier).alias("tier"), F.size(rows).alias("n"), digest(rows).alias("hash"))
 
     def units(blocks: Column) -> Column:
         whole = F.array(unit(F.lit(-1), 0, F.flatten(blocks)))
@@ -72,7 +100,7 @@ def passages(said: Column) -> Column:
         return F.filter(F.concat(whole, parts, lines), lambda u: u["n"] > 0)
 
     # Bound, so that the text is split once and not for each of its paragraphs.
-    return F.transform(F.array(blocks), units)[0]
+    return bound(blocks, units)
 
 
 def latest_before(rows: DataFrame) -> DataFrame:
@@ -84,7 +112,10 @@ def latest_before(rows: DataFrame) -> DataFrame:
     """
     order = ["conv_id", "hash", "at", "own"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "passages")
+    # Written before, since finding the ranges reads the rows once or twice more and would parse and hash all texts again.
+    units = written(rows, "units")
+    dealt = written(units.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "passages")
+    forget(rows.sparkSession, units)
     original = F.when(F.col("own"), F.struct("conv_id", "hash", "at", "mid"))
     ends = dealt.groupBy("__part").agg(F.max(original).alias("__end"))
     # One row for each partition.
@@ -107,8 +138,9 @@ def replies(messages: DataFrame) -> DataFrame:
     rows = held.select("conv_id", "mid", "at", "passage", F.col("x.level").alias("level"), F.explode(passages(F.col("x.said"))).alias("u"))
     rows = rows.select("conv_id", "mid", "at", "passage", "level", "u.*", (F.col("level") == 0).alias("own"))
     # Own text around quotations, put together.
-    split = messages.where("n_quoted > 0").select("conv_id", "mid", "at", F.explode(passages(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: normal(x["line"])))).alias("u")).where("u.tier = 0")
-    rows = rows.unionByName(split.select("conv_id", "mid", "at", F.lit(-1).alias("passage"), F.lit(0).alias("level"), "u.*", F.lit(True).alias("own")))
+    own = F.filter(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: normal(x["line"])), lambda x: x != "")
+    split = messages.where("n_quoted > 0").select("conv_id", "mid", "at", bound(own, lambda said: F.struct(F.size(said).alias("n"), digest(said).alias("hash"))).alias("u")).where("u.n > 0")
+    rows = rows.unionByName(split.select("conv_id", "mid", "at", F.lit(-1).alias("passage"), F.lit(-1).alias("paragraph"), F.lit(0).alias("tier"), F.lit(0).alias("level"), "u.*", F.lit(True).alias("own")))
     found = latest_before(rows)
     # All found parts of a passage are of one message, so no group is larger than that.
     best_of = lambda *keys: F.min("tier").over(Window.partitionBy(*keys))
@@ -157,10 +189,12 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
     messages = written(base.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
     links = written(replies(messages), "replies")
     tops = roots(links).join(messages.select(F.col("mid").alias("root"), F.col("at").alias("root_at")), "root").select("mid", "root_at")
-    placed = messages.drop("lines").join(links.drop("parent"), "mid", "left").join(tops, "mid", "left").withColumn("root_at", F.coalesce("root_at", "at"))
+    # Keys alone are placed and ranked; the texts are joined at the end and shuffled once.
+    placed = messages.select("conv_id", "mid", "at").join(links.drop("parent"), "mid", "left").join(tops, "mid", "left").withColumn("root_at", F.coalesce("root_at", "at"))
     ranked = in_order(placed, ["conv_id", "root_at", "at"], "rank")
     first = ranked.groupBy("conv_id").agg(F.min("rank").alias("start")).withColumnRenamed("conv_id", "c")
-    done = ranked.join(splittable(first), F.col("conv_id").eqNullSafe(F.col("c")))
+    ranked = ranked.join(splittable(first), F.col("conv_id").eqNullSafe(F.col("c")))
+    done = messages.select("mid", "turn", "role", "n_quoted", "text").join(ranked, "mid")
     return done.select(
         "conv_id", "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("root_at.turn").alias("thread"), (F.col("rank") - F.col("start")).alias("position"), "n_quoted", "text",
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("rendered"),
@@ -177,9 +211,10 @@ def quoting_threads(docs: DataFrame) -> DataFrame:
     k = F.col("doc_id")
     turn = k % 12
     to = F.when((turn % 4 != 0) & (turn - 1 - k * 7 % 3 >= 0), k - 1 - k * 7 % 3)
-    rows = docs.select(k.alias("doc_id"), F.floor(k / 12).alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"), text_or_empty().alias("own"), to.alias("to"))
-    said = docs.select(k.alias("to"), F.concat(F.lit("On some day they wrote:\n> "), F.replace(text_or_empty(), F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("quote"))
-    return rows.join(said, "to", "left").select("conv_id", "turn", "role", F.concat(F.coalesce("quote", F.lit("")), "own").alias("text"))
+    rows = docs.select(F.floor(k / 12).alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"), text_or_empty().alias("own"), to.isNotNull().alias("quotes"), F.coalesce(to, k).alias("key"))
+    said = docs.select(k.alias("said_by"), F.concat(F.lit("On some day they wrote:\n> "), F.replace(text_or_empty(), F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("quote"))
+    # A document that quotes none has its own id for a key: by a null they would all lie in one task.
+    return rows.join(said, F.col("quotes") & (F.col("key") == F.col("said_by")), "left").select("conv_id", "turn", "role", F.concat(F.coalesce("quote", F.lit("")), "own").alias("text"))
 
 
 def quoted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
