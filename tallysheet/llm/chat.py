@@ -88,7 +88,7 @@ def passages(said: Column) -> Column:
         """Places of the lines where a paragraph starts (``side`` -1) or ends (1)."""
         return F.array_compact(F.transform(said, lambda x, i: F.when((x != "") & (F.coalesce(F.get(said, i + side), F.lit("")) == ""), i)))
 
-    blocks = bound(said, lambda said: F.zip_with(edges(said, -1), edges(said, 1), lambda s, e: F.transform(F.sequence(s, e), lambda i: F.get(said, i))))
+    blocks = bound(said, lambda said: F.zip_with(edges(said, -1), edges(said, 1), lambda s, e: F.slice(said, s + 1, e - s + 1)))
 
     def unit(paragraph: Column, tier: int, rows: Column) -> Column:
         return F.struct(paragraph.cast("int").alias("paragraph"), F.lit(tier).alias("tier"), F.size(rows).alias("n"), digest(rows).alias("hash"))
