@@ -183,7 +183,6 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
     own = F.filter("lines", lambda x: x["level"] == 0)
     base = base.withColumns({
         "mid": F.monotonically_increasing_id(),
-        "text": F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(BLANK)),
         "n_quoted": (F.size("lines") - F.size(own)).cast("long"),
     })
     messages = written(base.withColumn("at", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
@@ -194,7 +193,9 @@ def reply_ordered(turns: DataFrame) -> DataFrame:
     ranked = in_order(placed, ["conv_id", "root_at", "at"], "rank")
     first = ranked.groupBy("conv_id").agg(F.min("rank").alias("start")).withColumnRenamed("conv_id", "c")
     ranked = ranked.join(splittable(first), F.col("conv_id").eqNullSafe(F.col("c")))
-    done = messages.select("mid", "turn", "role", "n_quoted", "text").join(ranked, "mid")
+    # Made of the lines here, since written messages that held both would hold each text twice.
+    text = F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(BLANK))
+    done = messages.select("mid", "turn", "role", "n_quoted", text.alias("text")).join(ranked, "mid")
     return done.select(
         "conv_id", "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("root_at.turn").alias("thread"), (F.col("rank") - F.col("start")).alias("position"), "n_quoted", "text",
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("rendered"),
