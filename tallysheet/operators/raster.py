@@ -217,7 +217,11 @@ def convolve(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 SLOPE = round((2**0.5 - 1) * 2**15)
 
 
-def edges(image: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray:
+#: The gradient that an edge begins above. Fixed value.
+STRONG = 150.0
+
+
+def edges(image: np.ndarray, low: float = 50.0, high: float = STRONG) -> np.ndarray:
     """Edge pixels: gradients above ``low`` that are greatest across the edge and hang together with one above ``high``.
 
     Gradients are sums of the absolute Sobel differences, the border repeated.
@@ -242,7 +246,15 @@ def edges(image: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarr
 
 
 def sharpen(image: np.ndarray) -> np.ndarray:
-    """A kernel by edge density: strong below .05, middling to .15, mild above."""
+    """A kernel by edge density: against all eight neighbours below .05, against the four nearest to .15, and against half of those above."""
+    density = edges(image).mean()
+    kernel = np.full((3, 3), -1.0) if density < 0.05 else np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]]) * (-1.0 if density < 0.15 else -0.5)
+    kernel[1, 1] = 9 if density < 0.05 else 5 if density < 0.15 else 3
+    return convolve(image, kernel)
+
+
+def sharpen_all_round(image: np.ndarray) -> np.ndarray:
+    """Sharpening against all eight neighbours: strong below an edge density of .05, middling to .15, mild above."""
     density = edges(image).mean()
     side = -1.0 if density < 0.05 else -0.5 if density < 0.15 else -0.25
     kernel = np.full((3, 3), side)
@@ -250,6 +262,15 @@ def sharpen(image: np.ndarray) -> np.ndarray:
     return convolve(image, kernel)
 
 
+def lit(image: np.ndarray) -> np.ndarray:
+    """I8 as a step: brightness moved, then contrast stretched by the spread before; cut to whole greys after each, where :func:`adjusted` cuts once."""
+    if not image.size:
+        return image
+    move, spread = 128 - image.mean(), image.std()
+    x = np.trunc(np.clip(image + move, 0, 255)) if abs(move) > 10 else image
+    return np.trunc(np.clip((x - 128) * min(2.0, 50 / max(spread, 1.0)) + 128, 0, 255)) if spread < 50 else x
+
+
 def adaptive_threshold(image: np.ndarray, size: int = 11, offset: float = 2.0) -> np.ndarray:
     """I16: white where a pixel is brighter than the mean around it less an offset."""
     return np.where(image > _windows(image.astype(float), size, "edge").mean(axis=(2, 3)) - offset, 255, 0)
@@ -359,6 +380,12 @@ def _run_sums(x: np.ndarray, n: int) -> np.ndarray:
 CUBIC = -0.75
 
 
+def _cubic_weight(distance: np.ndarray) -> np.ndarray:
+    """What an old pixel at a distance of less than two weighs."""
+    d = np.abs(distance)
+    return np.where(d <= 1, ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1, ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC)
+
+
 def cubic(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Resampling to a size by cubic convolution; rounded to six places, so that halves don't hang on the last bits.
 
@@ -370,9 +397,7 @@ def cubic(image: np.ndarray, height: int, width: int) -> np.ndarray:
         at = (np.arange(new) + 0.5) * len(x) / new - 0.5
         first, out = np.floor(at).astype(int), np.zeros((new, x.shape[1]))
         for k in (-1, 0, 1, 2):
-            d = np.abs(at - first - k)
-            inner, outer = ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1, ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC
-            out += np.where(d <= 1, inner, outer)[:, None] * x[np.clip(first + k, 0, len(x) - 1)]
+            out += _cubic_weight(at - first - k)[:, None] * x[np.clip(first + k, 0, len(x) - 1)]
         return out
 
     return np.round(rows(rows(image.astype(float), height).T, width).T, 6)
@@ -429,7 +454,7 @@ STEPS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "upscaling": upscaled, "fitting": fitted, "widening": widened, "fitted_to_five": lambda x: fitted(x, 5), "widened_to_thirteen": lambda x: widened(x, 13),
     "double": lambda x: cubic(x, *(2 * n for n in x.shape)), "half_as_large_again": lambda x: cubic(x, *(3 * n // 2 for n in x.shape)),
     "strokes": lambda x: convolve(x, STROKES), "bilateral": bilateral, "gaussian_threshold": gaussian_threshold, "gentle_contrast": lambda x: equalised(x, clip=2.0), "gentle_denoising": lambda x: non_local_means(x, strength=3.0),
-    "brightness_correction": lambda x: x + (128 - x.mean()) if abs(128 - x.mean()) > 10 else x,
+    "brightness_correction": lit, "sharpening_all_round": sharpen_all_round,
 }
 #: The steps before recognition by engine. Fixed values.
 CHAINS = {
@@ -445,6 +470,142 @@ def neighbourhood(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.
     return pd.DataFrame({"noise_level": of(lambda g: np.abs(g - median_filter(g))), "edge_density": of(edges)})
 
 
+# --- Measures of large images, in numpy: whole, or once for places that are alike ------
+
+#: What :func:`measured` gives of an image.
+MEASURES = ("brightness", "contrast", "sharpness", "noise_level", "edge_density")
+#: The pairs of a network that puts five in order.
+FIVE = ((0, 1), (3, 4), (2, 4), (2, 3), (1, 4), (0, 3), (0, 2), (1, 3), (1, 2))
+
+
+def _in_order(five: list[np.ndarray]) -> list[np.ndarray]:
+    """Five arrays put in order, element by element."""
+    x = list(five)
+    for i, j in FIVE:
+        x[i], x[j] = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
+    return x
+
+
+def _median_of_25(wide: np.ndarray) -> np.ndarray:
+    """The median of the 5 by 5 around each place but the outer two; further axes are apart.
+
+    Columns of five are put in order, then rows of them. In a square in order both
+    ways, a place with 14 or more at most as great, or at least as great, itself
+    counted, is not needed. From more than half of the 13 others the least and the
+    greatest are dropped, and again with the next one, until one is left.
+    """
+    h, w = wide.shape[0] - 4, wide.shape[1] - 4
+    square = [_in_order([c[:, k : k + w] for k in range(5)]) for c in _in_order([wide[k : k + h] for k in range(5)])]
+    rest = [square[a][b] for a in range(5) for b in range(5) if (a + 1) * (b + 1) <= 13 and (5 - a) * (5 - b) <= 13]
+    some = [rest.pop() for _ in range(len(rest) // 2 + 2)]
+    while len(some) > 1:
+        for i in range(1, len(some)):
+            some[0], some[i] = np.minimum(some[0], some[i]), np.maximum(some[0], some[i])
+        for i in range(1, len(some) - 1):
+            some[i], some[-1] = np.minimum(some[i], some[-1]), np.maximum(some[i], some[-1])
+        some = some[1:-1] + [rest.pop() for _ in rest[:1]]
+    return some[0]
+
+
+def _sums(parts: np.ndarray, ends: tuple[int, int, int, int]) -> np.ndarray:
+    """Sums over parts of images (rows, columns, parts): greys, their squares, Laplacians, their squares, distances from the 5 by 5 median; and the steepest gradient.
+
+    ``ends`` has 1 where the image ends (above, below, left, right); on the other
+    sides two more rows or columns of the image stand around a part.
+    """
+    top, bottom, left, right = ends
+    wide = np.pad(parts, ((2 * top, 2 * bottom), (2 * left, 2 * right), (0, 0)), mode="edge")
+    own, signed = wide[2:-2, 2:-2], np.int16 if parts.dtype == np.uint8 else np.int64
+    middle = _median_of_25(wide)
+    noise = np.maximum(own, middle) - np.minimum(own, middle)
+    x = wide[1:-1, 1:-1].astype(signed)
+    down, along = x[:-2] + 2 * x[1:-1] + x[2:], x[:, :-2] + 2 * x[:, 1:-1] + x[:, 2:]
+    steep = np.abs(down[:, 2:] - down[:, :-2]) + np.abs(along[2:] - along[:-2])
+    x = np.pad(parts.astype(signed), ((top, bottom), (left, right), (0, 0)), mode="reflect")
+    x = x[1 - top : len(x) - 1 + bottom, 1 - left : x.shape[1] - 1 + right]
+    bend = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
+    total = lambda y: y.sum(axis=(0, 1), dtype=float)  # noqa: E731  whole numbers, exact
+    squares = lambda y: total((y := y.astype(np.int32 if signed is np.int16 else float)) * y)
+    return np.array([total(own), squares(own), total(bend), squares(bend), total(noise), steep.max(axis=(0, 1))])
+
+
+def _measures(sums: np.ndarray, pixels: int, edge_density: Callable[[], float]) -> tuple[float, ...]:
+    """The measures of an image from the sums over it. Without a gradient above the greater bound no edge begins."""
+    total, squares, bend, bends, noise, steepest = map(int, sums)
+    variance = lambda s, s2: (pixels * s2 - s * s) / pixels**2  # noqa: E731  of whole numbers without bounds
+    return total / pixels, variance(total, squares) ** 0.5, variance(bend, bends), noise / pixels, edge_density() if steepest > STRONG else 0.0
+
+
+def measured(image: np.ndarray) -> tuple[float | None, ...]:
+    """I1 to I3, noise and edge density of an image of whole greys; null for no pixels."""
+    if not image.size:
+        return (None,) * len(MEASURES)
+    greys = image.astype(np.uint8) if image.min() >= 0 and image.max() <= 255 else image
+    return _measures(_sums(greys[..., None], (1, 1, 1, 1))[:, 0], image.size, lambda: float(edges(image).mean()))
+
+
+def greyed(image: np.ndarray) -> np.ndarray:
+    """The whole greys of a step's image."""
+    return np.clip(np.rint(image), 0, 255).astype(np.int64)
+
+
+#: Parts that are scaled and measured at a time.
+PARTS = 64
+
+
+def measured_widened(images: list[np.ndarray], least: int = 1200) -> list[tuple[int | float | None, ...]]:
+    """Height, width and measures of each image after the last scaling; every pixel counts, but those of places that are alike are made once.
+
+    In an image of black and white that grows a whole number of times, the
+    pixels that one old pixel becomes, and two around them, hang on the 5 by 5
+    old ones around it and on where the image ends. So each such
+    neighbourhood of the images is scaled and measured once, and an image's sums
+    are those of its old pixels. Other images are scaled whole.
+    """
+    out: list[tuple[int | float | None, ...]] = [()] * len(images)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, x in enumerate(images):
+        h, w = x.shape
+        if x.size and w < least and least % w == 0 and least // w >= 6 and ((x == 0) | (x == 255)).all():
+            alike.setdefault((h, w), []).append(k)
+        else:
+            y = greyed(widened(x, least)) if x.size else x
+            out[k] = (*y.shape, *measured(y))
+    for (h, w), which in alike.items():
+        times = least // w
+        sums = _sums_by_neighbourhood(np.stack([images[k] for k in which]) > 0, times)
+        for k, s in zip(which, sums, strict=True):
+            out[k] = (h * times, least, *_measures(s, h * times * least, lambda k=k: float(edges(greyed(widened(images[k], least))).mean())))
+    return out
+
+
+def _sums_by_neighbourhood(white: np.ndarray, times: int) -> np.ndarray:
+    """:func:`_sums` over images of black and white (images, rows, columns) that grow ``times`` times: a row for each image."""
+    n, h, w = white.shape
+    code = np.zeros((n, h, w), np.int64)
+    wide = np.pad(white, ((0, 0), (2, 2), (2, 2)), mode="edge")
+    for k in range(25):
+        code |= wide[:, k // 5 : k // 5 + h, k % 5 : k % 5 + w].astype(np.int64) << k
+    for k, end in enumerate(((slice(None), 0), (slice(None), -1), (slice(None), slice(None), 0), (slice(None), slice(None), -1))):
+        code[end] |= 1 << 25 + k
+    kinds, of = np.unique(code, return_inverse=True)
+    sums = np.empty((6, len(kinds)))
+    at = (np.arange(-2, times + 2) + 0.5) / times - 0.5
+    weights = np.stack([np.where(np.abs(at - k) < 2, _cubic_weight(at - k), 0.0) for k in (-2, -1, 0, 1, 2)], axis=1)
+    first = 0
+    while first < len(kinds):  # in order, so that those at the same ends stand together
+        ends = tuple(int(kinds[first] >> 25 + k & 1) for k in range(4))
+        last = min(first + PARTS, np.searchsorted(kinds, (kinds[first] >> 25) + 1 << 25))
+        old = (kinds[first:last] >> np.arange(25)[:, None] & 1).reshape(5, 5, -1) * 255.0
+        rows, columns = (weights[2 * a : len(weights) - 2 * b] for a, b in (ends[:2], ends[2:]))
+        x = np.matmul(columns, (rows @ old.reshape(5, -1)).reshape(len(rows), 5, -1))
+        x = np.clip(np.rint(np.round(x, 6, out=x), out=x), 0, 255, out=x).astype(np.uint8)
+        sums[:, first:last] = _sums(x, ends)
+        first = last
+    each = sums[:, of.reshape(n, -1)]
+    return np.concatenate([each[:5].sum(axis=2), each[5:].max(axis=2)]).T
+
+
 #: Images of a batch that a Python task gets at a time.
 BATCH = 512
 BATCH_BOUND = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -470,19 +631,25 @@ def analysed(images: DataFrame) -> DataFrame:
     return enhancement_plan(full_quality(rows.select("*", "around.*").drop("around")))
 
 
+def _after(image: np.ndarray, plan: str | None) -> tuple[np.ndarray, list[str]]:
+    """An image after its comma-separated steps, and those that ran."""
+    done = []
+    for step in filter(None, (plan or "").split(",")):
+        try:
+            image = greyed(STEPS[step](image))
+            done.append(step)
+        except (KeyError, ValueError, IndexError, ZeroDivisionError):
+            continue
+    return image, done
+
+
 def apply_steps(images: DataFrame, steps: str = "steps", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each image after its comma-separated steps, and the columns in ``keep``; a step that fails is passed over, ``applied`` lists those that ran."""
 
     def run(pixels: pd.Series, height: pd.Series, width: pd.Series, plans: pd.Series) -> pd.DataFrame:
         out = []
         for p, h, w, plan in zip(pixels, height, width, plans, strict=True):
-            x, done = np.asarray(p).reshape(h, w), []
-            for step in filter(None, (plan or "").split(",")):
-                try:
-                    x = np.clip(np.rint(STEPS[step](x)), 0, 255).astype(np.int64)
-                    done.append(step)
-                except (KeyError, ValueError, IndexError, ZeroDivisionError):
-                    continue
+            x, done = _after(np.asarray(p).reshape(h, w), plan)
             out.append((x.shape[0], x.shape[1], x.ravel().astype(np.int32), ",".join(done)))
         return pd.DataFrame(out, columns=["height", "width", "pixels", "applied"])
 
@@ -501,15 +668,38 @@ def prepared(images: DataFrame, chains: dict[str, str] = CHAINS) -> DataFrame:
 LAST = "close,open,gaussian_threshold,binarise,widening"
 
 
-def processed_for_recognition(images: DataFrame, last: str = LAST) -> DataFrame:
+def processed_for_recognition(images: DataFrame, last: str = LAST, pixels: bool = True) -> DataFrame:
     """Analysis, plan, its steps, then those of ``last``; the score before and after and the improvement.
 
-    The plan and the score before travel with the image, so nothing is joined.
+    The plan and the score before travel with the image, so nothing is joined,
+    and the image is measured where its steps run. ``unscaled`` has what it was
+    before a last ``widening``. Without ``pixels`` the widened image, over a
+    million pixels, never leaves its task; see :func:`measured_widened`.
     """
-    before = analysed(images)
-    out = apply_steps(before.withColumn("steps", F.concat_ws(",", F.when(F.col("steps") != "", F.col("steps")), F.lit(last))), keep=("overall_score", "enhancements_needed"))
-    out = out.withColumnRenamed("overall_score", "score_before").withColumnRenamed("enhancements_needed", "enhancements_applied")
-    after = analysed(out.drop("steps")).withColumnRenamed("overall_score", "score_after")
+
+    def run(pictures: pd.Series, height: pd.Series, width: pd.Series, plans: pd.Series) -> pd.DataFrame:
+        out, narrow = [], []
+        for p, h, w, plan in zip(pictures, height, width, plans, strict=True):
+            before, _, after = plan.rpartition(",")
+            x, done = _after(np.asarray(p).reshape(h, w), before if after == "widening" else plan)
+            unscaled = {"height": x.shape[0], "width": x.shape[1], "applied": ",".join(done)} | dict(zip(MEASURES[:2], (float(x.mean()), float(x.std())) if x.size else (None, None), strict=True))
+            if after == "widening" and pixels:
+                x, more = _after(x, after)
+                done += more
+            elif after == "widening" and x.size:
+                narrow.append((len(out), x))
+                done.append(after)
+            out.append([*x.shape, ",".join(done), unscaled, *([x.ravel().astype(np.int32), *measured(x)] if pixels else [] if after == "widening" and x.size else measured(x))])
+        for (k, _), (h, w, *found) in zip(narrow, measured_widened([x for _, x in narrow]), strict=True):
+            out[k] = [h, w, *out[k][2:], *found]
+        return pd.DataFrame(out, columns=names)
+
+    names = ["height", "width", "applied", "unscaled", *["pixels"] * pixels, *MEASURES]
+    kinds = {"applied": "string", "unscaled": "struct<height:int,width:int,applied:string,brightness:double,contrast:double>", "pixels": "array<int>", "height": "int", "width": "int"}
+    plan = F.concat_ws(",", F.when(F.col("steps") != "", F.col("steps")), F.lit(last))
+    done = F.pandas_udf(run, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names))("pixels", "height", "width", plan)
+    out = analysed(images).select("image_id", F.col("overall_score").alias("score_before"), F.col("enhancements_needed").alias("enhancements_applied"), done.alias("done")).select("*", "done.*").drop("done")
+    after = enhancement_plan(full_quality(out)).withColumnRenamed("overall_score", "score_after")
     return after.withColumns({"improvement": F.col("score_after") - F.col("score_before"), "recommended": F.col("score_after") >= 70})
 
 

@@ -433,19 +433,24 @@ def quality_and_plan(spark, d):
 
 @query("i7_i18_enhanced")
 def enhanced(spark, d):
-    """The whole plan and the last steps but the last scaling, which would make over a million pixels of each 64; see ``i15_i18_widened``.
+    """The whole plan and the last steps, the scaling to the recogniser's width included.
 
+    Scores and what begins with ``final`` are of the image after all steps;
+    the other columns of an image are of it in black and white, before that scaling.
     A chain of filters over pixels is beyond SQL, so the tests hold it against a plain version.
     """
     # Some milliseconds an image, whose rows are a few hundred bytes: dealt out, for the table may be one small file.
-    out = raster.processed_for_recognition(R.rasters(spark, d).repartition(spark.sparkContext.defaultParallelism, "image_id"), raster.LAST.removesuffix(",widening"))
-    return rounded(out.select("image_id", "height", "width", "applied", "enhancements_applied", "brightness", "contrast", "score_before", "score_after", "improvement", "recommended"))
+    out = raster.processed_for_recognition(R.rasters(spark, d).repartition(spark.sparkContext.defaultParallelism, "image_id"), pixels=False)
+    own = [f"unscaled.{c}" for c in ("height", "width", "applied", "brightness", "contrast")]
+    final = [F.col(c).alias(f"final_{c}") for c in ("height", "width", "applied", *raster.MEASURES)]
+    return rounded(out.select("image_id", *own, "enhancements_applied", "score_before", "score_after", "improvement", "recommended", *final))
 
 
 @query("i9_sharpened", f"""WITH RECURSIVE {AROUND_SQL}, k AS (SELECT image_id, CASE WHEN density < 0.05 THEN -1.0 WHEN density < 0.15 THEN -0.5 ELSE -0.25 END AS side FROM edg)
 SELECT image_id, {SUMS} FROM (SELECT nine.image_id, r, c, CAST(least(greatest(round_even(CAST(side * total + (1 - 9 * side) * v AS DOUBLE), 0), 0), 255) AS BIGINT) AS v FROM nine JOIN k ON nine.image_id = k.image_id) GROUP BY image_id""")
 def sharpened(spark, d):
-    return stepped(spark, d, "sharpening")
+    """Against all eight neighbours; the plan's own sharpening has two kernels of four."""
+    return stepped(spark, d, "sharpening_all_round")
 
 
 @query("i16_adaptive_threshold", f"""WITH RECURSIVE {AROUND_SQL}, loc AS (SELECT g.image_id, g.r, g.c, any_value(g.v) AS v, avg(n.v) AS m FROM grid g, span y, span x, grid n

@@ -190,3 +190,74 @@ def test_batches_of_steps_are_small(spark):
             assert raster.apply_steps(images).count() == 1 and spark.conf.get(bound) == kept
     finally:
         spark.conf.set(bound, before)
+
+
+def plain_measures(p):
+    """Of a whole image, by the plain steps."""
+    x = np.pad(p, 1, mode="reflect")
+    bend = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * p
+    return p.mean(), p.std(), bend.var(), np.abs(p - raster.median_filter(p)).mean(), raster.edges(p).mean()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables here")
+def test_the_query_scales_to_the_recognisers_width(spark):
+    d = "/root/testdata/sf0.001"
+    pictures = {r.image_id: np.array(r.pixels).reshape(r.height, r.width) for r in R.rasters(spark, d).collect()}
+    got = catalog.QUERIES["i7_i18_enhanced"](spark, d).collect()
+    assert {r.image_id for r in got} == set(pictures)
+    assert all((r.final_height, r.final_width, r.final_applied) == (1200, 1200, r.applied + ",widening") for r in got)
+    for r in got[::250]:
+        x = pictures[r.image_id]
+        for step in r.final_applied.split(","):
+            x = np.clip(np.rint(raster.STEPS[step](x)), 0, 255).astype(int)
+        want = plain_measures(x)
+        assert x.shape == (1200, 1200) and np.allclose([r[f"final_{m}"] for m in raster.MEASURES], want, atol=2e-6)
+        brightness, contrast, sharpness, noise, edge = want
+        assert 80 <= brightness <= 200 and contrast >= 30 and edge == 0
+        score = (100 + 100 + sharpness / 50 * 100 + 100 - noise / 15 * 100 + 100 + 60) / 6
+        assert abs(r.score_after - score) < 2e-6 and abs(r.improvement - (score - r.score_before)) < 4e-6 and r.recommended
+
+
+def test_places_that_are_alike_give_the_measures_of_the_whole_image():
+    for shape in ((24, 24), (3, 24), (1, 24), (7, 100), (5, 200), (24, 25), (2, 7), (1, 1)):
+        images = [255 * RNG.integers(0, 2, shape) for _ in range(3)] + [RNG.integers(0, 256, shape)]
+        for x, got in zip(images, raster.measured_widened(images), strict=True):
+            y = raster.greyed(raster.widened(x))
+            assert got[:2] == y.shape and np.allclose(got[2:], raster.measured(y), rtol=1e-12, atol=0)
+    assert raster.measured_widened([np.zeros((0, 0), int)]) == [(0, 0, *[None] * 5)]
+
+
+def test_measures_of_whole_images():
+    for p in [*PICTURES.values(), np.cumsum(RNG.integers(0, 3, (40, 50)), axis=1), 400 * RNG.integers(-1, 2, (9, 9))]:
+        assert np.allclose(raster.measured(p), plain_measures(p))
+    none = raster.measured(np.zeros((0, 3), int))
+    assert none == (None,) * 5
+
+
+def test_small_and_whole_images_agree_through_the_operator(spark):
+    two = files.in_memory(spark, [(1, RNG.integers(0, 256, (8, 8)).tolist()), (2, RNG.integers(0, 256, (3, 5)).tolist())])
+    columns = ["image_id", "height", "width", "applied", "unscaled", *raster.MEASURES, "score_before", "score_after"]
+    whole = raster.processed_for_recognition(two)
+    assert "pixels" in whole.columns and "pixels" not in raster.processed_for_recognition(two, pixels=False).columns
+    a, b = ({r.image_id: r for r in x.select(columns).collect()} for x in (whole, raster.processed_for_recognition(two, pixels=False)))
+    for k in (1, 2):
+        assert a[k][1:5] == b[k][1:5] and np.allclose(a[k][5:], b[k][5:], rtol=1e-9) and a[k].width == 1200
+    none = spark.createDataFrame([(1, 0, 0, [])], "image_id long, height int, width int, pixels array<int>")
+    assert [(r.height, r.width, "widening" in r.applied, r.brightness) for r in raster.processed_for_recognition(none, pixels=False).collect()] == [(0, 0, False, None)]
+
+
+def test_the_plans_steps_are_those_of_the_method():
+    flat, dot = np.full((20, 20), 100), np.full((20, 20), 100)
+    dot[10, 10] = 103
+    assert (raster.sharpen(flat) == 100).all()
+    assert raster.edges(dot).mean() < 0.05 and raster.sharpen(dot)[9:12, 9:12].tolist() == [[97, 97, 97], [97, 127, 97], [97, 97, 97]]
+    few, many = np.full((20, 20), 100), np.where(np.arange(20) // 5 % 2, 200, 0)[None].repeat(20, axis=0)
+    few[:, 10:] = 200
+    assert 0.05 <= raster.edges(few).mean() < 0.15 <= raster.edges(many).mean()
+    for p, side in ((few, -1.0), (many, -0.5)):
+        x = np.pad(p, 1, mode="reflect")
+        assert np.allclose(raster.sharpen(p), (1 - 4 * side) * p + side * (x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:]))
+    p = RNG.integers(10, 41, (8, 8))
+    moved = np.trunc(np.clip(p + (128 - p.mean()), 0, 255))
+    assert p.std() < 50 and (raster.STEPS["brightness_correction"](p) == np.trunc(np.clip((moved - 128) * min(2, 50 / p.std()) + 128, 0, 255))).all()
+    assert (raster.STEPS["brightness_correction"](np.full((4, 4), 7)) == 128).all()
